@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import chat, exact_dedup, mixing, url_filters
+from trackloom.llm import chat, exact_dedup, fingerprints, mixing, packing, url_filters
 from trackloom.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,16 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizer())
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -58,6 +68,10 @@ FROM h
 """
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.against_next(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -94,8 +108,10 @@ FROM r
 def queries() -> dict[str, Query]:
     return {
         "op3_url_filters": op3_url_filters,
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op5_exact_dedup": op5_exact_dedup,
         "op8_chat_perspectives": op8_chat_perspectives,
+        "op9_document_fingerprints": op9_document_fingerprints,
         "op10_mix_sources": op10_mix_sources,
     }
 
