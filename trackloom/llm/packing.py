@@ -162,6 +162,19 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return bins, offsets
 
 
+def _place_block(capacity: int, slack: int, level: int, final: bool):
+    def place(pdf):
+        pdf = pdf.sort_values(["length", "row"], ascending=[False, True], ignore_index=True)
+        bins, offsets = sum_of_squares(pdf["length"].to_numpy(), capacity)
+        room = capacity - np.bincount(bins, weights=pdf["length"].to_numpy())
+        pdf["sequence_id"] = (level << 56) + (pdf["block"].to_numpy() << 16) + bins
+        pdf["offset"] = offsets
+        pdf["settled"] = True if final else (room <= capacity / slack)[bins]
+        return pdf.drop(columns="block")
+
+    return place
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, slack: int = SLACK) -> DataFrame:
     """Adds sequence_id, offset to pieces(row, length, ...): a written table with unique row."""
     keep = pieces.columns
@@ -172,17 +185,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, slack:
         blocks = max(1, -(-n // block))
         final = blocks == 1
 
-        def place(pdf, level=level, final=final):
-            pdf = pdf.sort_values(["length", "row"], ascending=[False, True], ignore_index=True)
-            bins, offsets = sum_of_squares(pdf["length"].to_numpy(), capacity)
-            room = capacity - np.bincount(bins, weights=pdf["length"].to_numpy())
-            pdf["sequence_id"] = (level << 56) + (pdf["block"].to_numpy() << 16) + bins
-            pdf["offset"] = offsets
-            pdf["settled"] = True if final else (room <= capacity / slack)[bins]
-            return pdf.drop(columns="block")
-
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.select(*keep).schema) + ", sequence_id long, offset long, settled boolean"
-        placed = left.withColumn("block", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(blocks))).groupBy("block").applyInPandas(place, schema)
+        placed = left.withColumn("block", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(blocks))).groupBy("block").applyInPandas(_place_block(capacity, slack, level, final), schema)
         if final:
             placed = placed.drop("settled")
             return placed if done is None else done.unionByName(placed)
