@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import chat, exact_dedup, fingerprints, mixing, packing, url_filters
+from trackloom.llm import chat, exact_dedup, fingerprints, language_id, mixing, packing, quality, url_filters
 from trackloom.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,13 @@ URL_RULES: tuple[url_filters.Rule, ...] = (
 )
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), language_id.fold(F.col("doc_id"), 3) == 1
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), trainable=~held_out)
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -48,6 +55,13 @@ JOIN (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_
 """
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), language_id.fold(F.col("doc_id"), 4) == 2
+    model = language_id.fit(docs, trainable=~held_out)
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
@@ -107,9 +121,11 @@ FROM r
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op3_url_filters": op3_url_filters,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_language_id": op6_language_id,
         "op8_chat_perspectives": op8_chat_perspectives,
         "op9_document_fingerprints": op9_document_fingerprints,
         "op10_mix_sources": op10_mix_sources,
