@@ -27,7 +27,7 @@ from trackloom.llm._common import materialize
 
 DIMENSIONS, PER_LANGUAGE, CENTROIDS, ROUNDS = 4096, 400, 4, 12
 #: A text is rejected below this share of the cosine that all but one in a hundred training texts reach.
-REJECT_SHARE = 0.5
+REJECT_SHARE = 0.25
 UNKNOWN = "und"
 
 _LETTER: np.ndarray | None = None
