@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import chat, exact_dedup, fingerprints, language_id, mixing, packing, quality, url_filters
+from trackloom.llm import chat, exact_dedup, fingerprints, language_id, mixing, packing, quality, url_filters, warc
 from trackloom.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,20 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+best AS (SELECT html AS h, max(page_id) AS best FROM p WHERE n >= 1000 GROUP BY html)
+SELECT p.page_id, p.n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN b.best <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN b.best <> p.page_id THEN b.best END AS refers_to
+FROM p LEFT JOIN best b ON p.html = b.h
+"""
+
+
 def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
@@ -126,6 +140,7 @@ def queries() -> dict[str, Query]:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_language_id": op6_language_id,
+        "op7_warc": op7_warc,
         "op8_chat_perspectives": op8_chat_perspectives,
         "op9_document_fingerprints": op9_document_fingerprints,
         "op10_mix_sources": op10_mix_sources,
@@ -133,4 +148,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op8_chat_perspectives": OP8_SQL, "op10_mix_sources": OP10_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op8_chat_perspectives": OP8_SQL, "op10_mix_sources": OP10_SQL}
