@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import chat, exact_dedup, fingerprints, language_id, mixing, packing, quality, url_filters, warc
+from trackloom.llm import chat, exact_dedup, fingerprints, language_id, mixing, ngram_join, packing, quality, url_filters, warc
 from trackloom.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -136,6 +140,7 @@ FROM r
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_url_filters": op3_url_filters,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_exact_dedup": op5_exact_dedup,
