@@ -47,7 +47,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0),
     t = t.withColumn("ratio", cap / F.col("w"))
     left = F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum(cap).over(up_to), F.lit(0.0))
     t = t.withColumn("level", left / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(up_to), F.lit(0.0))))
-    level = F.coalesce(F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every), F.lit(float("inf")))
+    # the first source in the order of its ratio that stays below its cap; later levels are lower
+    level = F.coalesce(F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every), F.lit(float("inf")))
     return t.withColumn("target", F.least(cap, F.col("w") * level)).select("source", "source_size", "target")
 
 
