@@ -6,20 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackloom.operators import series as S
+from trackloom.plans._register import Register
 from trackloom.sources.rides import RIDES_SQL, by_ride, rides
 
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def query(name: str, sql: str | None = None, ctes: bool = True):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = f"WITH {RIDES_SQL} {sql}" if ctes else sql
-        return f
-
-    return add
+R = Register(RIDES_SQL)
+QUERIES, SQL, query = R.queries, R.sql, R.query
 
 
 @query("q_path_length", "SELECT ride_id, seq, step_mm, d_mm, step_mm - coalesce(lag(step_mm) OVER (PARTITION BY ride_id ORDER BY seq), step_mm) AS change_mm FROM r")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.plans import series
+from trackloom.plans import scoring, series
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (series,)
+MODULES = (series, scoring)
 
 
 def queries() -> dict[str, Query]:
