@@ -31,7 +31,11 @@ def search_score(query_tokens: list[str], names: list[Column]) -> Column:
     One more if one of the names has as many words as the query.
     """
     words = F.flatten(F.array(*names))
-    scores = [F.coalesce(F.array_max(F.transform(words, lambda w, q=q, last=i == len(query_tokens) - 1: token_match(F.lit(q), w, F.lit(last)))), F.lit(0)) for i, q in enumerate(query_tokens)]
+
+    def best(q: str, last: bool) -> Column:
+        return F.coalesce(F.array_max(F.transform(words, lambda w: token_match(F.lit(q), w, F.lit(last)))), F.lit(0))
+
+    scores = [best(q, i == len(query_tokens) - 1) for i, q in enumerate(query_tokens)]
     found = F.array(*scores)
     whole = F.array_contains(F.array(*[F.size(n) for n in names]), len(query_tokens))
     return F.when(F.forall(found, lambda m: m > 0), F.aggregate(found, F.lit(0), lambda t, m: t + m) + F.when(whole, 1).otherwise(0))

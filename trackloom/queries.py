@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.plans import scoring, series
+from trackloom.plans import scoring, series, spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (series, scoring)
+MODULES = (series, scoring, spatial)
 
 
 def queries() -> dict[str, Query]:
