@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm._common import materialize
+from trackloom.llm.bpe import WordMerges
 
-CAPACITY, END_ID, BLOCK, SLACK, MEMO = 4096, 1, 4096, 64, 150_000
+CAPACITY, END_ID, BLOCK, SLACK, MEMO = 4096, 1, 4096, 64, 300_000
 
 #: A word that is letters, then marks: its ids are those of the lower-case letters and of the marks.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
@@ -46,6 +47,7 @@ class Memo:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = WordMerges(path)
         self.words: list[dict[bytes, bytes]] = [{}, {}]
         self.parts: list[dict[str, bytes]] = [{}, {}]
 
@@ -83,7 +85,9 @@ class Memo:
             else:
                 whole.append(w)
         parts, unseen = self._find(self.parts, {p for _, a, b in split for p in (a, b) if p})
-        parts.update(zip(unseen, self._encode(unseen)))
+        letters, marks = [p for p in unseen if p[0].isalpha()], [p for p in unseen if not p[0].isalpha()]
+        parts.update(zip(letters, self.merges.ids([p.encode() for p in letters])))
+        parts.update(zip(marks, self._encode(marks)))
         young.update(zip(whole, self._encode([w.decode() for w in whole])))
         for w, a, b in split:
             young[w] = parts[a] + parts[b] if b else parts[a]
