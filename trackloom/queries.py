@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.plans import scoring, series, spatial
+from trackloom.plans import folds, graph, scoring, series, spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (series, scoring, spatial)
+MODULES = (series, scoring, spatial, folds, graph)
 
 
 def queries() -> dict[str, Query]:
