@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.plans import folds, graph, scoring, series, spatial, streaming
+from trackloom.plans import folds, graph, scoring, series, sinks, spatial, streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (series, scoring, spatial, folds, graph, streaming)
+MODULES = (series, scoring, spatial, folds, graph, streaming, sinks)
 
 
 def queries() -> dict[str, Query]:
