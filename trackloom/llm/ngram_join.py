@@ -103,7 +103,8 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
         counts, held, size = np.zeros(1 << COUNTER_BITS, np.uint32), [], 0
 
         def add() -> None:
-            counts[:] += np.bincount(np.concatenate(held), minlength=1 << COUNTER_BITS).astype(np.uint32)
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            counts[found] += times.astype(np.uint32)
             held.clear()
 
         for ids, texts in _slices(batches):
@@ -114,7 +115,7 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
                 cls.append(class_of(s) if len(s) else None)
                 held.append((s >> np.uint64(64 - COUNTER_BITS)).astype(np.int32))
                 size += len(s)
-            if size > 1 << COUNTER_BITS:
+            if size > 1 << 20:
                 add()
                 size = 0
             yield _rows([ids, n, cls, [None] * len(ids), [None] * len(ids)], schema)

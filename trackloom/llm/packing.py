@@ -7,7 +7,7 @@ only the counts per gap, so a step costs one pass over at most `capacity` number
 
 Pieces are dealt by a hash into blocks of about `block` and packed a block at a time, in parallel. Sequences
 that a block leaves with more than 1/`slack` of their room open are dissolved and packed again with those of the other
-blocks, until one block is left: about one sequence of a thousand blocks' worth stays partly empty. Only lengths
+blocks, until one block is left or a round has settled less than half of its pieces. Only lengths
 and ids travel, never texts. The tokenised table is written first, so a lost executor repeats no tokenising.
 
 Tokenising is memoised: the vocabulary's pre-tokeniser never joins across ASCII white space, so a text's ids are
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from trackloom.llm._common import materialize
 from trackloom.llm.bpe import WordMerges
 
-CAPACITY, END_ID, BLOCK, SLACK, MEMO = 4096, 1, 4096, 64, 300_000
+CAPACITY, END_ID, BLOCK, SLACK, MEMO = 4096, 1, 4096, 64, 100_000
 
 #: A word that is letters, then marks: its ids are those of the lower-case letters and of the marks.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
@@ -56,15 +56,13 @@ class Memo:
 
     @staticmethod
     def _find(memo: list[dict], wanted: set) -> tuple[dict, list]:
+        """The young generation, now with what the old one knew of wanted, and the rest of wanted."""
         young, old = memo
-        missing = []
-        for x in wanted:
-            if x not in young:
-                if x in old:
-                    young[x] = old[x]
-                else:
-                    missing.append(x)
-        return young, missing
+        missing = wanted.difference(young)
+        known = missing.intersection(old) if old else ()
+        for x in known:
+            young[x] = old[x]
+        return young, list(missing.difference(known))
 
     @staticmethod
     def _age(memo: list[dict]) -> None:
@@ -95,8 +93,8 @@ class Memo:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode().split() for t in texts]
-        memo = self.learn({w for words in split for w in words})
-        return [b"".join([memo[w] for w in words]) for words in split]
+        find = self.learn(set().union(*split)).__getitem__
+        return [b"".join(map(find, words)) for words in split]
 
 
 _MEMOS: dict[str, Memo] = {}
@@ -195,6 +193,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, slack:
             placed = placed.drop("settled")
             return placed if done is None else done.unionByName(placed)
         placed = materialize(placed, "pack-placed")
+        if 2 * placed.where("not settled").count() > n:  # lengths that don't fit together won't do so elsewhere
+            placed = placed.drop("settled")
+            return placed if done is None else done.unionByName(placed)
         settled = placed.where("settled").drop("settled")
         done = settled if done is None else done.unionByName(settled)
         left, level = placed.where("not settled").select(*keep), level + 1
