@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.plans import folds, graph, roads, scoring, series, sinks, spatial, streaming
+from trackloom.plans import extras, folds, graph, roads, scoring, series, sinks, spatial, streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (series, scoring, spatial, roads, folds, graph, streaming, sinks)
+MODULES = (series, scoring, spatial, roads, folds, graph, streaming, sinks, extras)
 
 
 def queries() -> dict[str, Query]:
