@@ -16,8 +16,10 @@ empty table gives an archive without records and an empty result; extra columns
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -42,11 +44,13 @@ def _open(uri: str, write: bool):
 
 
 def _record(out: BinaryIO, fields: list[tuple[str, str]], payload: memoryview) -> None:
+    """One record as one gzip member, as archives have them, so that each can be read alone."""
+    pressed = zlib.compressobj(1, wbits=31)
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + f"Content-Length: {len(payload)}\r\n\r\n"
-    out.write(head.encode())
+    out.write(pressed.compress(head.encode()))
     for at in range(0, len(payload), CHUNK):
-        out.write(payload[at : at + CHUNK])
-    out.write(b"\r\n\r\n")
+        out.write(pressed.compress(payload[at : at + CHUNK]))
+    out.write(pressed.compress(b"\r\n\r\n") + pressed.flush())
 
 
 def _one_line(value: str) -> str:
@@ -66,7 +70,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """records(page_id, url, payload, target) -> the manifest (path, records, bytes), a written table."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, n = f"{folder}/{uuid.uuid4().hex}.warc", 0
+        path, n = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
         with _open(path, True) as out:
             _record(out, [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("Content-Type", "application/warc-fields")], memoryview(b"format: WARC File Format 1.1\r\n"))
             for batch in batches:
@@ -149,7 +153,7 @@ def read_chunks(spark: SparkSession, manifest: DataFrame, chunk: int = CHUNK, wi
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with _open(path, False) as stream:
+                with _open(path, False) as packed, gzip.GzipFile(fileobj=packed, mode="rb") as stream:
                     rows, size = [], 0
                     for row in stream_chunks(stream, chunk):
                         size += len(row["data"]) if with_data else 200
