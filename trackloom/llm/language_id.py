@@ -2,12 +2,13 @@
 
 A text is a bag of hashed one-, two- and three-letter grams of its lower-case letters, weighted by TF-IDF (log
 counts) and normalised. Each language has several centroids, found by spherical k-means; a text gets the language
-of the centroid nearest by cosine, and is rejected if even that one is too far. Document frequencies cover all
+of the centroid nearest by cosine, and is rejected if even that one is too far for a text of its length. How far
+texts of a length are is learned from the beginnings of the sampled texts: short ones lie farther off. Document frequencies cover all
 labelled training rows; the centroids are fitted on a bounded sample of them (`per_language` rows of each
 language expected, chosen by a hash of the id), which alone comes to the driver, as 16-bit vectors.
 
 Defined results: a text that is null, empty or without any letter is "und" with score 0 and rejected; a text
-whose best cosine is below the threshold keeps the nearest language in lang_pred and is rejected; without any
+whose best cosine is below the threshold of its length keeps the nearest language in lang_pred and is rejected; without any
 training row everything is "und"; rows that repeat an id count as often as they occur; extra columns are ignored.
 Whole texts are read.
 """
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from trackloom.llm._common import materialize
 
 DIMENSIONS, PER_LANGUAGE, CENTROIDS, ROUNDS = 4096, 400, 4, 12
-#: A text is rejected below this share of the cosine that all but one in a hundred training texts reach.
-REJECT_SHARE = 0.25
+#: A text is rejected below this share of the cosine that all but one in a hundred beginnings of training texts with as many grams reach.
+REJECT_SHARE = 0.85
+#: Letters of those beginnings. Gram counts fall into buckets by their power of two; one with fewer beginnings than LEAST_KNOWN takes the threshold of the next shorter one.
+BEGINNINGS, LEAST_KNOWN = (1, 2, 4, 8, 16, 32, 64, 128, 256), 20
 UNKNOWN = "und"
 
 _LETTER: np.ndarray | None = None
@@ -72,7 +75,11 @@ class CentroidModel:
     owner: np.ndarray  # the language of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    threshold: float
+    thresholds: np.ndarray  # by bucket of gram counts; longer texts take the last
+
+    def threshold(self, n: int) -> float:
+        """For a text of n grams."""
+        return float(self.thresholds[min(int(n).bit_length(), len(self.thresholds)) - 1])
 
     def vector(self, counts: np.ndarray) -> np.ndarray:
         v = np.log1p(counts) * self.idf
@@ -86,7 +93,20 @@ class CentroidModel:
         near = self.centroids @ self.vector(counts)
         k = int(np.argmax(near))
         score = float(min(1.0, max(0.0, near[k])))
-        return self.languages[self.owner[k]], score, score < self.threshold
+        return self.languages[self.owner[k]], score, score < self.threshold(counts.sum())
+
+    def calibrate(self, texts: list[str]) -> None:
+        """Sets the thresholds from beginnings of texts; whole texts would find themselves in the centroids."""
+        found: dict[int, list[float]] = {}
+        for text in texts:
+            for k in BEGINNINGS:
+                counts = grams(text[:k]) if len(text) > k else None
+                if counts is not None:
+                    found.setdefault(int(counts.sum()).bit_length() - 1, []).append(float((self.centroids @ self.vector(counts)).max()))
+        self.thresholds = np.zeros(max(found, default=0) + 1)
+        for b in range(len(self.thresholds)):
+            known = found.get(b, [])
+            self.thresholds[b] = REJECT_SHARE * float(np.percentile(known, 1)) if len(known) >= LEAST_KNOWN else self.thresholds[b - 1] if b else 0.0
 
 
 def cluster(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -112,7 +132,7 @@ def fit(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id"
         share = F.when(lang == name, F.lit(min(1.0, per_language / n))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.select(lang.alias("lang"), F.col(f"`{text_col}`").alias("text"), (draw < share).alias("picked"))
-    schema = pa.schema([("lang", pa.string()), ("vector", pa.binary()), ("n", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("vector", pa.binary()), ("n", pa.int64()), ("begins", pa.string())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each sampled text, and one a task with the document frequencies."""
@@ -127,11 +147,11 @@ def fit(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id"
                     frequency += counts > 0
                     n += 1
                     if keep:
-                        out.append((language, np.minimum(counts, 65504).astype(np.float16).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary()), pa.array([None] * len(out), pa.int64())], schema=schema)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([frequency.tobytes()], pa.binary()), pa.array([n], pa.int64())], schema=schema)
+                        out.append((language, np.minimum(counts, 65504).astype(np.float16).tobytes(), text[: BEGINNINGS[-1] + 1]))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary()), pa.array([None] * len(out), pa.int64()), pa.array([x[2] for x in out], pa.string())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([frequency.tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([None], pa.string())], schema=schema)
 
-    counted = materialize(picked.mapInArrow(count, "lang string, vector binary, n long"), "lang-fit")
+    counted = materialize(picked.mapInArrow(count, "lang string, vector binary, n long, begins string"), "lang-fit")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency, n = np.zeros(DIMENSIONS, np.int64), 0
@@ -145,8 +165,8 @@ def fit(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id"
     total = parts.coalesce(64).mapInArrow(add, "vector binary, n long").collect()  # 64 rows at most
     frequency = sum((np.frombuffer(r["vector"], np.int64) for r in total), np.zeros(DIMENSIONS, np.int64))
     n = sum(r["n"] for r in total)
-    sample = counted.where("n is null").select("lang", "vector").toArrow()
-    model = CentroidModel([], np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32), (np.log((1 + n) / (1 + frequency)) + 1).astype(np.float32), 0.0)
+    sample = counted.where("n is null").select("lang", "vector", "begins").toArrow()
+    model = CentroidModel([], np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32), (np.log((1 + n) / (1 + frequency)) + 1).astype(np.float32), np.zeros(1))
     names = np.array(sample.column("lang").to_pylist(), dtype=object)
     if not len(names):
         return model
@@ -155,7 +175,7 @@ def fit(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id"
     found = [cluster(vectors[names == name], centroids) for name in model.languages]
     model.owner = np.concatenate([np.full(len(c), i) for i, c in enumerate(found)])
     model.centroids = np.concatenate(found).astype(np.float32)
-    model.threshold = REJECT_SHARE * float(np.percentile((vectors @ model.centroids.T).max(1), 1))
+    model.calibrate(sample.column("begins").to_pylist())
     return model
 
 
