@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from trackloom.llm import language_id
+from trackloom.llm import language_id, url_filters
 
 FOREIGN = [
     "Wczoraj wieczorem poszliśmy z przyjaciółmi do małej restauracji nad rzeką, gdzie podano nam świeże ryby i ciepły chleb. Po kolacji długo rozmawialiśmy o podróżach, które chcielibyśmy odbyć w przyszłym roku, i o książkach, które ostatnio przeczytaliśmy.",
@@ -25,3 +25,13 @@ def test_language_rejects_by_length(spark):
     assert len(short) >= 5
     for text in short:
         assert not model.predict(text)[2], (text, model.predict(text))
+
+
+def test_distrust_does_not_fade_with_many_linkers(spark):
+    bad, many = '<a href="http://bad.net/es/">', "".join(f'<a href="http://fine{i}.org/">' for i in range(40))
+    rows = [(0, "http://bad.net/es/", ""), (1, "http://good.com/a", "")]
+    rows += [(10 + i, f"http://farm{i}.org/x", bad) for i in range(30)]
+    rows += [(50, "http://second.org/x", '<a href="http://farm0.org/x">'), (51, "http://wide.org/x", many + bad)]
+    got = {r["page_id"]: r["verdict"] for r in url_filters.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), [("com", "/", "allow"), ("net", "/es/", "block")]).collect()}
+    assert all(got[10 + i] == "block" for i in range(30)) and got[0] == got[50] == "block"
+    assert got[1] == got[51] == "allow"

@@ -2,8 +2,10 @@
 
 Trust is a personalised PageRank from trusted hosts along links; distrust is one from blocked hosts along
 reversed links, for who links to a blocked host is suspect. Both run at once on host edges, as joins and
-aggregates: links are counted per (host, host) map-side first, so the graph is of hosts, not of pages. A host
-whose distrust is above `least_distrust` of a seed's mean share and above its trust is blocked.
+aggregates: links are counted per (host, host) map-side first, so the graph is of hosts, not of pages. Distrust
+is divided among all who link to a host, so it fades as that host grows popular; `sent` runs along the same reversed links
+but weighs them by their share of the linking host's own links, which does not depend on who else links. A host
+of which either is above `least_distrust` of a seed's mean share and above its trust is blocked.
 
 Defined results: host and path of a null url or one without "://" are empty, such a url meets no rule and is
 allowed; null html has no links; repeated pages count again as links, which does not change shares by much and
@@ -52,22 +54,23 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, checkpoint_every: int = 4) -> DataFrame:
-    """edges(src, dst, links), seeds(host, trust, distrust: each summing to 1) -> host, trust, distrust after `rounds`.
+    """edges(src, dst, links), seeds(host, trust, distrust: each summing to 1) -> host, trust, distrust, sent after `rounds`.
 
     Mass at a host without onward links returns to nobody, as in the usual PageRank that renormalises only at the end.
     """
     out = edges.groupBy("src").agg(F.sum("links").alias("n")).withColumnRenamed("src", "of")
     back = edges.groupBy("dst").agg(F.sum("links").alias("n")).withColumnRenamed("dst", "of")
-    forward = edges.join(out, F.col("src") == F.col("of")).select(F.col("src").alias("at"), F.col("dst").alias("to"), (F.col("links") / F.col("n")).alias("ft"), F.lit(0.0).alias("fd"))
-    reverse = edges.join(back, F.col("dst") == F.col("of")).select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(0.0).alias("ft"), (F.col("links") / F.col("n")).alias("fd"))
+    forward = edges.join(out, F.col("src") == F.col("of")).select(F.col("src").alias("at"), F.col("dst").alias("to"), (F.col("links") / F.col("n")).alias("ft"), F.lit(0.0).alias("fd"), F.lit(0.0).alias("fs"))
+    both = edges.join(back, F.col("dst") == F.col("of")).join(out.toDF("by", "n_by"), F.col("src") == F.col("by"))
+    reverse = both.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(0.0).alias("ft"), (F.col("links") / F.col("n")).alias("fd"), (F.col("links") / F.col("n_by")).alias("fs"))
     steps = materialize(forward.unionByName(reverse), "url-steps")
-    own = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
+    own = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust")).withColumn("sent", F.col("distrust"))
     state = own
     if steps.isEmpty():
         return state
     for k in range(1, rounds + 1):
-        moved = steps.join(state, F.col("at") == F.col("host")).select(F.col("to").alias("host"), (F.col("ft") * F.col("trust") * damping).alias("trust"), (F.col("fd") * F.col("distrust") * damping).alias("distrust"))
-        state = moved.unionByName(own).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        moved = steps.join(state, F.col("at") == F.col("host")).select(F.col("to").alias("host"), (F.col("ft") * F.col("trust") * damping).alias("trust"), (F.col("fd") * F.col("distrust") * damping).alias("distrust"), (F.col("fs") * F.col("sent") * damping).alias("sent"))
+        state = moved.unionByName(own).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"), F.sum("sent").alias("sent"))
         if k % checkpoint_every == 0:
             state = materialize(state, "url-state")
     return state
@@ -89,7 +92,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id"
     seeds = hosts.where("t > 0 or d > 0").select("host", (F.col("t") / n_trust).alias("trust"), (F.col("d") / n_block).alias("distrust"))
     scores = propagate(host_edges(pages, url_col, html_col), seeds, damping, rounds).withColumnRenamed("host", "h")
     # one row a host against very many pages of a hot host: the join is of host with host, then pages find their host
-    blocked = (F.col("distrust") > least_distrust * (1 - damping) / n_block) & (F.col("distrust") > F.col("trust"))
+    worst = F.greatest("distrust", "sent")
+    blocked = (worst > least_distrust * (1 - damping) / n_block) & (worst > F.col("trust"))
     rows = judged.join(scores, F.col("host") == F.col("h"), "left")
     by_method = F.when(F.coalesce(blocked, F.lit(False)), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
