@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from trackloom.llm import language_id, url_filters
+from trackloom.llm import language_id, packing, url_filters
 
 FOREIGN = [
     "Wczoraj wieczorem poszliśmy z przyjaciółmi do małej restauracji nad rzeką, gdzie podano nam świeże ryby i ciepły chleb. Po kolacji długo rozmawialiśmy o podróżach, które chcielibyśmy odbyć w przyszłym roku, i o książkach, które ostatnio przeczytaliśmy.",
@@ -35,3 +35,18 @@ def test_distrust_does_not_fade_with_many_linkers(spark):
     got = {r["page_id"]: r["verdict"] for r in url_filters.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), [("com", "/", "allow"), ("net", "/es/", "block")]).collect()}
     assert all(got[10 + i] == "block" for i in range(30)) and got[0] == got[50] == "block"
     assert got[1] == got[51] == "allow"
+
+
+def test_packing_goes_on_where_little_settles(spark):
+    rng = random.Random(6)
+    rows = [(i, 0, 0, rng.randint(1, 100), 0, i) for i in range(500)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
+    got = packing.pack(pieces, capacity=100, block=60).collect()
+    assert sorted(r["row"] for r in got) == list(range(500))
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for p in seqs.values():
+        p.sort()
+        assert p[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(p, p[1:])) and sum(p[-1]) <= 100
+    assert len(seqs) <= 279  # stopped early: 283; one pass over all: 284; no packing has less than 273

@@ -7,7 +7,8 @@ only the counts per gap, so a step costs one pass over at most `capacity` number
 
 Pieces are dealt by a hash into blocks of about `block` and packed a block at a time, in parallel. Sequences
 that a block leaves with more than 1/`slack` of their room open are dissolved and packed again with those of the other
-blocks, until one block is left or a round has settled less than half of its pieces. Only lengths
+blocks, until one block is left or a round needs no fewer sequences for its pieces than they had; then they stay where
+they were. After a round that settles less than half of its pieces, blocks are twice as large, up to `LARGEST`. Only lengths
 and ids travel, never texts. The tokenised table is written first, so a lost executor repeats no tokenising.
 
 Tokenising is memoised: the vocabulary's pre-tokeniser never joins across ASCII white space, so a text's ids are
@@ -34,6 +35,8 @@ from trackloom.llm._common import materialize
 from trackloom.llm.bpe import WordMerges
 
 CAPACITY, END_ID, BLOCK, SLACK, MEMO = 4096, 1, 4096, 64, 100_000
+#: Pieces of the largest block: sequence ids have 16 bits for the sequences of one.
+LARGEST = 65_536
 
 #: A word that is letters, then marks: its ids are those of the lower-case letters and of the marks.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
@@ -181,24 +184,29 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, slack:
     """Adds sequence_id, offset to pieces(row, length, ...): a written table with unique row."""
     keep = pieces.columns
     done: DataFrame | None = None
-    left, level = pieces, 0
+    loose: DataFrame | None = None  # the unsettled pieces where the round before has put them
+    left, level, n, sequences = pieces, 0, pieces.count(), 0
+    joined = lambda d: d if done is None else done.unionByName(d)
     while True:
-        n = left.count()
         blocks = max(1, -(-n // block))
         final = blocks == 1
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.select(*keep).schema) + ", sequence_id long, offset long, settled boolean"
         placed = left.withColumn("block", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(blocks))).groupBy("block").applyInPandas(_place_block(capacity, slack, level, final), schema)
-        if final:
-            placed = placed.drop("settled")
-            return placed if done is None else done.unionByName(placed)
+        if final and loose is None:
+            return placed.drop("settled")
         placed = materialize(placed, "pack-placed")
-        if 2 * placed.where("not settled").count() > n:  # lengths that don't fit together won't do so elsewhere
-            placed = placed.drop("settled")
-            return placed if done is None else done.unionByName(placed)
-        settled = placed.where("settled").drop("settled")
-        done = settled if done is None else done.unionByName(settled)
-        left, level = placed.where("not settled").select(*keep), level + 1
+        made = placed.groupBy("sequence_id").agg(F.first("settled").alias("settled"), F.count(F.lit(1)).alias("n"))
+        made = made.agg(F.count(F.lit(1)).alias("all"), F.count_if(~F.col("settled")).alias("open"), F.sum(F.when(~F.col("settled"), F.col("n"))).alias("n")).first()
+        if loose is not None and made["all"] >= sequences:
+            return joined(loose)
+        if final or not made["open"]:
+            return joined(placed.drop("settled"))
+        if 2 * made["n"] > n:
+            block = max(block, min(2 * block, LARGEST))
+        done = joined(placed.where("settled").drop("settled"))
+        loose = placed.where("not settled").drop("settled")
+        left, level, n, sequences = loose.select(*keep), level + 1, made["n"], made["open"]
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
