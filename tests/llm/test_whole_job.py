@@ -1,10 +1,12 @@
 """Operators on what they once left out: foreign texts, popular blocked hosts, unsettled packing rounds, null and repeated ids."""
 
+import collections
 import random
 
 from pyspark.sql import functions as F
 
-from trackloom.llm import language_id, packing, url_filters
+import corpus_pipeline
+from trackloom.llm import exact_dedup, language_id, packing, url_filters
 
 FOREIGN = [
     "Wczoraj wieczorem poszliśmy z przyjaciółmi do małej restauracji nad rzeką, gdzie podano nam świeże ryby i ciepły chleb. Po kolacji długo rozmawialiśmy o podróżach, które chcielibyśmy odbyć w przyszłym roku, i o książkach, które ostatnio przeczytaliśmy.",
@@ -50,3 +52,17 @@ def test_packing_goes_on_where_little_settles(spark):
         p.sort()
         assert p[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(p, p[1:])) and sum(p[-1]) <= 100
     assert len(seqs) <= 279  # stopped early: 283; one pass over all: 284; no packing has less than 273
+
+
+def test_null_and_repeated_ids_stay_whole(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(12))
+    rows = [(None, words(0), "en", "a", 1), (None, words(0), "en", "a", 1), (None, words(1), "en", "a", 1), (7, words(2), "en", "a", 1), (7, words(3), "en", "a", 1), (8, words(4), "en", "a", 1), (None, words(4), "en", "a", 1), (9, None, None, "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for keep in ("smallest", "largest"):
+        kept = exact_dedup.drop_exact_copies(docs, keep=keep)
+        assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter([(None, words(0)), (None, words(1)), (7, words(2)), (7, words(3)), (8, words(4)), (9, None)])
+    left = corpus_pipeline.drop_near_copies(spark, kept, "")
+    assert left.count() == 6
+    mixed = corpus_pipeline.mix_sources(spark, left, "")
+    assert mixed.columns == docs.columns
+    assert collections.Counter((r["doc_id"], r["text"]) for r in mixed.collect()) == collections.Counter((r["doc_id"], r["text"]) for r in left.collect())

@@ -6,7 +6,8 @@ all rows share leaves each task as one row. Rows find their group again by (hash
 of fixed width; Spark splits that join where one group is hot.
 
 Defined results: null text counts as empty; empty texts are equal to each other; rows that repeat an id and a
-text belong to one group and count separately in group_size; an empty table gives an empty result; other
+text belong to one group and count separately in group_size; drop_exact_copies() keeps a row without an id only where
+no row of its text has one; an empty table gives an empty result; other
 columns are ignored by exact_groups() and carried by drop_exact_copies(), whatever their names.
 """
 
@@ -52,6 +53,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows that stay, with the columns of docs: one shuffle, no join back."""
     key = text_or_empty(F.col(f"`{text_col}`"))
     best = {"smallest": F.min_by, "largest": F.max_by}[keep]
+    own = F.col(f"`{id_col}`")
+    order = F.struct(own.isNull() if keep == "smallest" else own.isNotNull(), own)  # never null itself: those orderings are ignored
     whole = F.struct(*[F.col(f"`{c}`") if c != text_col else F.col(f"`{c}`").isNull().alias(c) for c in docs.columns])
-    kept = docs.groupBy(content_hash(key).alias("__h"), key.alias("__t")).agg(best(whole, F.col(f"`{id_col}`")).alias("__r"))
+    kept = docs.groupBy(content_hash(key).alias("__h"), key.alias("__t")).agg(best(whole, order).alias("__r"))
     return kept.select(*[F.when(~F.col(f"__r.`{c}`"), F.col("__t")).alias(c) if c == text_col else F.col(f"__r.`{c}`").alias(c) for c in docs.columns])

@@ -12,7 +12,7 @@ The order is never made by one task: ranking keys are counted into 256 ranges a
 target falls is counted into 256 again, and only the documents of that 65,536th part are ordered exactly.
 
 Defined results: null text has size 0, and documents of size 0 take 0; null source is a source of its own, last;
-an empty table gives an empty result; rows that repeat an id draw the same u and are ranked side by side;
+an empty table gives an empty result; rows that repeat an id draw the same u and are ranked side by side; rows without an id draw theirs from their text;
 extra columns are ignored. The same input and seed give the same result.
 """
 
@@ -60,11 +60,16 @@ def _first_range_over(counts: DataFrame, keys: list[str], bucket: str, before: s
     return run.groupBy(*keys).agg(F.min(hit).alias("hit")).select(*keys, F.col("hit.b").alias(bucket), F.col("hit.o").alias(f"{bucket}_before"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.0, most_copies: int = 3, seed: str = "mix", weight_col: str | None = None) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken (= copies * size)."""
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.0, most_copies: int = 3, seed: str = "mix", weight_col: str | None = None, whole_rows: bool = False) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken (= copies * size).
+
+    whole_rows: and row, a struct of all columns of docs, so that nobody need join back on an id.
+    """
     own = F.col(f"`{weight_col}`").cast("double") if weight_col else F.lit(1.0)
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_rows else []
+    drawn = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`"))
     sizes = materialize(
-        docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), uniform(F.col(f"`{id_col}`"), seed).alias("u"), own.alias("own")),
+        docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), uniform(drawn, seed).alias("u"), own.alias("own"), *row),
         "mix-sizes",
     )
     targets = source_targets(sizes, weights, share, most_copies)
@@ -102,4 +107,4 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = (F.col("b1") == F.col("c1")) & (F.col("b2") == F.col("c2")) & (F.struct("key", "doc_id") <= F.col("edge"))
     extra = F.when((F.col("need") > 0) & (F.col("size") > 0) & (F.col("c1").isNull() | before | at), 1).otherwise(0)
     copies = (F.col("whole") + F.coalesce(extra, F.lit(0))).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["row"] if whole_rows else []))
