@@ -14,12 +14,16 @@ CLOSED: dict[str, Callable[[Column, Column, Column, Column, Column], tuple[Colum
 }
 
 
+def steps(outages: DataFrame, path: DataFrame, init: DataFrame, key: str = "ride_id") -> DataFrame:
+    """A row per outage and step in [i0, i1] of path(key, seq, ...), with the state x0, y0, vx, vy at i0. An equi-join on key and step: only rows that stay are formed."""
+    o = outages.join(init.select(key, F.col("seq").alias("i0"), "x0", "y0", "vx", "vy"), [key, "i0"])
+    return o.withColumn("seq", F.explode(F.sequence("i0", "i1"))).join(path, [key, "seq"])
+
+
 def predict_closed(outages: DataFrame, path: DataFrame, init: DataFrame, names: list[str] | None = None, key: str = "ride_id") -> DataFrame:
     """A row per outage, predictor and step in [i0, i1]: key, target, i0, i1, predictor, seq, x, y, sigma (mm), true x_mm, y_mm."""
     names = names or list(CLOSED)
-    p = path.select(F.col(key).alias("__k"), "seq", "x_mm", "y_mm")
-    o = outages.join(init.select(key, F.col("seq").alias("i0"), "x0", "y0", "vx", "vy"), [key, "i0"])
-    rows = o.join(p, (F.col(key) == F.col("__k")) & (F.col("seq") >= F.col("i0")) & (F.col("seq") <= F.col("i1"))).drop("__k")
+    rows = steps(outages, path.select(key, "seq", "x_mm", "y_mm"), init, key)
     dt = (F.col("seq") - F.col("i0")).cast("double")
     args = (F.col("x0"), F.col("y0"), F.col("vx"), F.col("vy"), dt)
     each = F.array(*[F.struct(F.lit(n).alias("predictor"), *[c.cast("double").alias(a) for c, a in zip(CLOSED[n](*args), ("x", "y", "sigma"))]) for n in names])
@@ -28,9 +32,7 @@ def predict_closed(outages: DataFrame, path: DataFrame, init: DataFrame, names:
 
 def integrate(outages: DataFrame, path: DataFrame, init: DataFrame, accel: str, turn_deg: str, key: str = "ride_id") -> DataFrame:
     """Naive integration: speed |v0| plus summed acceleration, never below 0; heading plus summed turns; one-second steps."""
-    p = path.select(F.col(key).alias("__k"), "seq", F.col(accel).alias("__a"), F.col(turn_deg).alias("__w"), "x_mm", "y_mm")
-    o = outages.join(init.select(key, F.col("seq").alias("i0"), "x0", "y0", "vx", "vy"), [key, "i0"])
-    rows = o.join(p, (F.col(key) == F.col("__k")) & F.col("seq").between(F.col("i0"), F.col("i1"))).drop("__k")
+    rows = steps(outages, path.select(key, "seq", F.col(accel).alias("__a"), F.col(turn_deg).alias("__w"), "x_mm", "y_mm"), init, key)
     run = Window.partitionBy(key, "target", "i0", "i1").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("v", F.greatest(F.hypot("vx", "vy") + F.sum("__a").over(run), F.lit(0.0)))
     start = F.when(F.hypot("vx", "vy") > 100, F.atan2("vy", "vx")).otherwise(F.lit(0.0))

@@ -75,24 +75,42 @@ def segments_by_breaks(track: DataFrame, breaks: Column, key: str = "ride_id", t
     return track.withColumn("line", F.sum(F.when(breaks, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def localise(turns: DataFrame, road_turns: DataFrame, n: int, angle: float = 45.0, gap: float = 40000.0, key: str = "ride_id") -> DataFrame:
-    """Where on a road a sequence of n turns fits best: key, first (turn of the ride), place (on the road), cost.
-
-    turns and road_turns: key / road, i, s, angle. Signs must agree and no angle may be off by more than `angle`. Sequences meet
-    in an equi-join on their signs.
+def localise(turns: DataFrame, road_turns: DataFrame, n: int, write, angle: float = 45.0, gap: float = 40000.0, key: str = "ride_id", steps: int = 4, own: bool = True) -> DataFrame:
+    """Where on a road a sequence of n turns fits best: key, first (turn of the ride), road, place (on the road), cost.
+
+    turns and road_turns: key / road, i, s, angle. Signs must agree and no angle may be off by more than `angle`; the cost is the sum of
+    squared differences of angles and of the gaps between turns, in units of `angle` and `gap`. A fit that costs no more than
+    reach^2 has no gap off by more than reach * gap, so sequences meet in an equi-join on their signs and on cells of that
+    width of their first two gaps. The reach begins at 1/16 and is doubled for those that found nothing within it; what is
+    left after `steps` doublings meets all sequences of the same signs. own: whether a ride may be found on the road of its own name.
     """
     def grams(d: DataFrame, of: str, p: str) -> DataFrame:
         w = Window.partitionBy(of).orderBy("i")
         seq = F.collect_list(F.struct("s", "angle")).over(w.rowsBetween(0, n - 1))
         g = d.withColumn("__g", seq).where(F.size("__g") == n)
-        return g.select(F.col(of), F.col("i").alias(f"{p}i"), F.col("__g").alias(f"{p}g"), F.transform("__g", lambda x: F.signum(x["angle"])).alias("signs"))
+        gaps = [(F.col("__g")[k]["s"] - F.col("__g")[k - 1]["s"]).alias(f"{p}{k}") for k in (1, min(2, n - 1))][: max(n - 1, 1)]
+        return write(g.select(F.col(of), F.col("i").alias(f"{p}i"), F.col("__g").alias(f"{p}g"), F.transform("__g", lambda x: F.signum(x["angle"])).alias("signs"), *gaps))
 
-    a, b = grams(turns, key, "a"), grams(road_turns, "road", "b")
-    pairs = a.join(b, "signs")
+    left, b, found = grams(turns, key, "a"), grams(road_turns, "road", "b"), None
     both = F.arrays_zip("ag", "bg")
     fits = F.forall(both, lambda z: F.abs(z["bg"]["angle"] - z["ag"]["angle"]) <= angle)
     by_angle = F.aggregate(both, F.lit(0.0), lambda t, z: t + F.pow(z["bg"]["angle"] - z["ag"]["angle"], 2)) / angle**2
     places = F.sequence(F.lit(1), F.lit(n - 1))
     by_gap = F.aggregate(places, F.lit(0.0), lambda t, k: t + F.pow((F.get("bg", k)["s"] - F.get("bg", k - 1)["s"]) - (F.get("ag", k)["s"] - F.get("ag", k - 1)["s"]), 2)) / gap**2
-    scored = pairs.where(fits).withColumn("cost", F.round(by_angle + by_gap, 6))
-    return scored.groupBy(key, "ai").agg(F.min(F.struct("cost", "road", "bi")).alias("m")).select(key, F.col("ai").alias("first"), F.col("m.road").alias("road"), F.col("m.bi").alias("place"), F.col("m.cost").alias("cost"))
+    beside = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    for k in range(steps + 1):
+        reach = 2.0**k / 16 if k < steps else None
+        if reach is None:
+            pairs = left.join(b, "signs")
+        else:
+            cell = lambda c, r=reach: F.floor(F.col(c) / (r * gap))
+            asked = left.withColumn("__o", beside).withColumn("c1", cell("a1") + F.col("__o.i")).withColumn("c2", cell("a2") + F.col("__o.j")).drop("__o")
+            pairs = asked.join(b.withColumn("c1", cell("b1")).withColumn("c2", cell("b2")), ["signs", "c1", "c2"])
+        pairs = pairs if own else pairs.where(F.col(key) != F.col("road"))
+        scored = pairs.where(fits).withColumn("cost", F.round(by_angle + by_gap, 6))
+        scored = scored if reach is None else scored.where(F.col("cost") <= reach * reach * 0.999)
+        now = scored.groupBy(key, "ai").agg(F.min(F.struct("cost", "road", "bi")).alias("m"))
+        now = write(now.select(key, F.col("ai").alias("first"), F.col("m.road").alias("road"), F.col("m.bi").alias("place"), F.col("m.cost").alias("cost")))
+        found = now if found is None else found.unionByName(now)
+        left = left.join(now.select(key, F.col("first").alias("ai")), [key, "ai"], "left_anti")
+    return found

@@ -33,20 +33,28 @@ def segments(points: DataFrame, key: str, order: str, x: str, y: str) -> DataFra
     return s.where("bx is not null")
 
 
-def nearest_segment(points: DataFrame, segs: DataFrame, radius: int, id_cols: list[str], x: str, y: str) -> DataFrame:
+def nearest_segment(points: DataFrame, segs: DataFrame, radius: int, id_cols: list[str], x: str, y: str, write, but: str | None = None, steps: int = 4) -> DataFrame:
     """Of each point the nearest segment not further than radius: ids, way, seg, u, d2. Ties go to the least way and seg.
 
-    A segment is posted in every cell its box, grown by the radius, touches; a point looks in its own cell only.
+    A segment is posted in every cell its box, grown by the radius, touches; a point looks in its own cell only. The radius is
+    doubled `steps` - 1 times up to the one given, and only points that have found nothing go on: where there are many segments the
+    first cells, small ones, do, so candidates grow with the points and not with their square. but: a column of points
+    that names a way that doesn't count. write: cuts lineage once a step (a written table in the shared folder).
     """
-    def span(a: str, b: str) -> Column:
-        return F.sequence(cell(F.least(a, b) - radius, radius), cell(F.greatest(a, b) + radius, radius))
-
-    posted = segs.withColumn("cx", F.explode(span("ax", "bx"))).withColumn("cy", F.explode(span("ay", "by")))
-    p = points.withColumn("cx", cell(F.col(x), radius)).withColumn("cy", cell(F.col(y), radius))
     u, d2, _ = segment_offset(F.col(x), F.col(y), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    pairs = p.join(posted, ["cx", "cy"]).withColumn("u", u).withColumn("d2", d2).where(F.col("d2") <= float(radius) * radius)
     best = F.min(F.struct(F.round("d2").alias("r"), "way", "seg", "u", "d2")).alias("b")
-    return pairs.groupBy(*id_cols).agg(best).select(*id_cols, "b.way", "b.seg", "b.u", "b.d2")
+    left, found = points, None
+    for k in range(steps):
+        r = max(radius // 2 ** (steps - 1 - k), 1)
+        span = lambda a, b, r=r: F.sequence(cell(F.least(a, b) - r, r), cell(F.greatest(a, b) + r, r))
+        posted = segs.withColumn("cx", F.explode(span("ax", "bx"))).withColumn("cy", F.explode(span("ay", "by")))
+        pairs = left.withColumn("cx", cell(F.col(x), r)).withColumn("cy", cell(F.col(y), r)).join(posted, ["cx", "cy"])
+        pairs = pairs.where(F.col(but) != F.col("way")) if but else pairs
+        near = pairs.withColumn("u", u).withColumn("d2", d2).where(F.col("d2") <= float(r) * r)
+        now = write(near.groupBy(*id_cols).agg(best).select(*id_cols, "b.way", "b.seg", "b.u", "b.d2"))
+        found = now if found is None else found.unionByName(now)
+        left = left.join(now, id_cols, "left_anti")
+    return found
 
 
 def crossings(track: DataFrame, marks: DataFrame, radius: int, gap: int, key: str = "ride_id", t: str = "seq") -> DataFrame:

@@ -10,6 +10,7 @@ from trackloom.operators import roads as W
 from trackloom.plans._register import Register
 from trackloom.plans.scoring import OUTAGES_SQL, outages
 from trackloom.sources.rides import RIDES_SQL, by_ride, rides
+from trackloom.sources.shared import materialize
 
 R = Register(RIDES_SQL)
 QUERIES, SQL, query = R.queries, R.sql, R.query
@@ -96,14 +97,14 @@ def line_breaks(spark, sf_dir):
 g AS (SELECT ride_id, i, s AS s1, a AS a1, lead(s) OVER w AS s2, lead(a) OVER w AS a2, lead(s, 2) OVER w AS s3, lead(a, 2) OVER w AS a3, lead(s, 3) OVER w AS s4, lead(a, 3) OVER w AS a4 FROM t WINDOW w AS (PARTITION BY ride_id ORDER BY i)),
 p AS (SELECT x.ride_id, x.i AS first, y.ride_id AS road, y.i AS place, round((pow(y.a1 - x.a1, 2) + pow(y.a2 - x.a2, 2) + pow(y.a3 - x.a3, 2) + pow(y.a4 - x.a4, 2)) / 2025.0::DOUBLE
  + (pow((y.s2 - y.s1) - (x.s2 - x.s1), 2) + pow((y.s3 - y.s2) - (x.s3 - x.s2), 2) + pow((y.s4 - y.s3) - (x.s4 - x.s3), 2)) / 1600000000.0::DOUBLE, 6) AS cost
- FROM g x JOIN g y ON x.ride_id % 5 = 1 AND y.ride_id % 5 = 0 AND x.a4 IS NOT NULL AND y.a4 IS NOT NULL AND sign(x.a1) = sign(y.a1) AND sign(x.a2) = sign(y.a2) AND sign(x.a3) = sign(y.a3) AND sign(x.a4) = sign(y.a4)
+ FROM g x JOIN g y ON x.ride_id <> y.ride_id AND x.a4 IS NOT NULL AND y.a4 IS NOT NULL AND sign(x.a1) = sign(y.a1) AND sign(x.a2) = sign(y.a2) AND sign(x.a3) = sign(y.a3) AND sign(x.a4) = sign(y.a4)
  WHERE abs(y.a1 - x.a1) <= 45 AND abs(y.a2 - x.a2) <= 45 AND abs(y.a3 - x.a3) <= 45 AND abs(y.a4 - x.a4) <= 45)
 SELECT ride_id, first, arg_min(road, (cost, road, place)) AS road, arg_min(place, (cost, road, place)) AS place, min(cost) AS cost FROM p GROUP BY ride_id, first""")
 def localise_turns(spark, sf_dir):
-    """Runs of four sharp turns of some rides, found among the turns of others."""
+    """Runs of four sharp turns of every ride, found among the turns of all others."""
     r = rides(spark, sf_dir).where("abs(k - 50) > 30")
     t = r.select("ride_id", F.row_number().over(by_ride()).cast("long").alias("i"), F.col("d_mm").alias("s"), (F.col("k") - 50).cast("double").alias("angle"))
-    return W.localise(t.where("ride_id % 5 = 1"), t.where("ride_id % 5 = 0").withColumnRenamed("ride_id", "road"), 4)
+    return W.localise(t, t.withColumnRenamed("ride_id", "road"), 4, lambda d: materialize(d, "turns"), own=False)
 
 
 @query("q_diverse_destinations")

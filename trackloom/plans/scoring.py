@@ -9,6 +9,7 @@ from trackloom.operators import predict as P
 from trackloom.operators import score as C
 from trackloom.plans._register import Register
 from trackloom.sources.rides import RIDES_SQL, by_ride, rides
+from trackloom.sources.shared import materialize
 
 R = Register(RIDES_SQL)
 QUERIES, SQL, query = R.queries, R.sql, R.query
@@ -24,8 +25,9 @@ o AS (SELECT * FROM o1 WHERE i1 - i0 >= 5)
 
 
 def outages(spark, sf_dir):
-    r = rides(spark, sf_dir)
-    return r, O.by_distance(r, TARGETS, STRIDE)
+    """The rides, written once for all their uses, and their outages."""
+    r = materialize(rides(spark, sf_dir), "rides")
+    return r, materialize(O.by_distance(r, TARGETS, STRIDE), "outages")
 
 
 @query("q_outages_by_distance", OUTAGES_SQL + "SELECT ride_id, target, CAST(start AS BIGINT) AS start, i0, i1 FROM o")

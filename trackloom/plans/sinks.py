@@ -40,13 +40,13 @@ def osm_export(spark, sf_dir):
     return K.osm_nodes(c, 15.36, 75.12, "crowdsourced")
 
 
-@query("q_route_upsert", """, n AS (SELECT ride_id AS name, max(d_mm) AS length_mm, count(*) AS n_points, 'learned' AS source FROM r WHERE seq <= 40 AND ride_id % 2 = 0 GROUP BY ride_id),
+@query("q_route_upsert", """, n AS (SELECT ride_id AS name, max(d_mm) AS length_mm, count(*) AS n_points, 'learned' AS source FROM r WHERE hit GROUP BY ride_id),
 o AS (SELECT ride_id AS name, max(d_mm) AS length_mm, count(*) AS n_points, 'shipped' AS source FROM r GROUP BY ride_id)
 SELECT * FROM n UNION ALL SELECT * FROM o WHERE name NOT IN (SELECT name FROM n)""")
 def route_upsert(spark, sf_dir):
     r = rides(spark, sf_dir)
     routes = lambda d, source: d.groupBy(F.col("ride_id").alias("name")).agg(F.max("d_mm").alias("length_mm"), F.count(F.lit(1)).alias("n_points")).withColumn("source", F.lit(source))
-    return K.upsert_routes(routes(r, "shipped"), routes(r.where("seq <= 40 and ride_id % 2 = 0"), "learned"))
+    return K.upsert_routes(routes(r, "shipped"), routes(r.where("hit"), "learned"))
 
 
 @query("q_trip_summary", "SELECT ride_id AS trip, max(seq) AS duration_s, count(*) FILTER (WHERE NOT gnss_ok) AS denied FROM r GROUP BY ride_id")

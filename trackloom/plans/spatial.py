@@ -11,6 +11,7 @@ from trackloom.operators import series as S
 from trackloom.operators import spatial as P
 from trackloom.plans._register import Register
 from trackloom.sources.rides import RIDES_SQL, by_ride, rides, table
+from trackloom.sources.shared import materialize
 
 R = Register(RIDES_SQL)
 QUERIES, SQL, query = R.queries, R.sql, R.query
@@ -27,22 +28,23 @@ def grid_radius_join(spark, sf_dir):
     return pairs.groupBy("event_id").agg(F.count(F.lit(1)).alias("near"), F.min("d2").alias("least_d2"))
 
 
-@query("q_nearest_segment", """, sg AS (SELECT ride_id AS way, seq AS seg, x_mm AS ax, y_mm AS ay, lead(x_mm) OVER w AS bx, lead(y_mm) OVER w AS by_ FROM r WHERE ride_id % 7 = 0 WINDOW w AS (PARTITION BY ride_id ORDER BY seq)),
-pt AS (SELECT event_id, x_mm AS px, y_mm AS py FROM r WHERE ride_id % 7 <> 0),
-c AS (SELECT pt.*, sg.*, (bx - ax)::DOUBLE AS dx, (by_ - ay)::DOUBLE AS dy, (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) AS l2 FROM pt JOIN sg ON bx IS NOT NULL AND px BETWEEN least(ax, bx) - 20000 AND greatest(ax, bx) + 20000 AND py BETWEEN least(ay, by_) - 20000 AND greatest(ay, by_) + 20000),
+@query("q_nearest_segment", """, sg AS (SELECT ride_id AS way, seq AS seg, x_mm AS ax, y_mm AS ay, lead(x_mm) OVER w AS bx, lead(y_mm) OVER w AS by_ FROM r WINDOW w AS (PARTITION BY ride_id ORDER BY seq)),
+pt AS (SELECT event_id, ride_id AS own, x_mm AS px, y_mm AS py FROM r),
+c AS (SELECT pt.*, sg.*, (bx - ax)::DOUBLE AS dx, (by_ - ay)::DOUBLE AS dy, (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) AS l2 FROM pt JOIN sg ON own <> way AND bx IS NOT NULL AND px BETWEEN least(ax, bx) - 20000 AND greatest(ax, bx) + 20000 AND py BETWEEN least(ay, by_) - 20000 AND greatest(ay, by_) + 20000),
 u AS (SELECT *, least(greatest(CASE WHEN l2 > 0 THEN ((px - ax) * dx + (py - ay) * dy) / l2 ELSE 0 END, 0), 1) AS u FROM c),
 d AS (SELECT *, (ax + u * dx - px) * (ax + u * dx - px) + (ay + u * dy - py) * (ay + u * dy - py) AS d2 FROM u),
 b AS (SELECT event_id, arg_min({'way': way, 'seg': seg, 'u': u, 'd2': d2}, (round(d2), way, seg)) AS b FROM d WHERE d2 <= 20000.0::DOUBLE * 20000 GROUP BY event_id)
 SELECT event_id, b.way AS way, b.seg AS seg, round(b.u, 4) AS u, CAST(round(b.d2 / 1000) AS BIGINT) AS d2k FROM b""")
 def nearest_segment(spark, sf_dir):
-    r = rides(spark, sf_dir)
-    segs = P.segments(r.where("ride_id % 7 = 0"), "ride_id", "seq", "x_mm", "y_mm").withColumnRenamed("ride_id", "way")
-    points = r.where("ride_id % 7 <> 0").select("event_id", F.col("x_mm").alias("px"), F.col("y_mm").alias("py"))
-    b = P.nearest_segment(points, segs, 20000, ["event_id"], "px", "py")
+    """Of every point the nearest segment of another ride within 20 m."""
+    r = materialize(rides(spark, sf_dir).select("event_id", "ride_id", "seq", "x_mm", "y_mm"), "rides")
+    segs = P.segments(r, "ride_id", "seq", "x_mm", "y_mm").withColumnRenamed("ride_id", "way")
+    points = r.select("event_id", F.col("ride_id").alias("own"), F.col("x_mm").alias("px"), F.col("y_mm").alias("py"))
+    b = P.nearest_segment(points, segs, 20000, ["event_id"], "px", "py", lambda d: materialize(d, "nearest"), but="own")
     return b.select("event_id", "way", "seg", F.round("u", 4).alias("u"), F.round(F.col("d2") / 1000).cast("long").alias("d2k"))
 
 
-CROSS_SQL = """, mk AS (SELECT event_id AS mark_id, x_mm AS mx, y_mm AS my FROM r WHERE hit AND k >= 80),
+CROSS_SQL = """, mk AS (SELECT event_id AS mark_id, x_mm AS mx, y_mm AS my FROM r WHERE hit),
 nr AS (SELECT r.ride_id, r.seq, mk.mark_id, (x_mm - mx) * (x_mm - mx) + (y_mm - my) * (y_mm - my) AS d2 FROM r JOIN mk ON abs(x_mm - mx) <= 12000 AND abs(y_mm - my) <= 12000 AND (x_mm - mx) * (x_mm - mx) + (y_mm - my) * (y_mm - my) <= 144000000),
 ps AS (SELECT *, CAST(sum(n) OVER (PARTITION BY ride_id, mark_id ORDER BY seq) AS BIGINT) AS pass FROM (SELECT *, CASE WHEN coalesce(seq - lag(seq) OVER (PARTITION BY ride_id, mark_id ORDER BY seq) > 8, true) THEN 1 ELSE 0 END AS n FROM nr)),
 cr AS (SELECT ride_id, mark_id, pass, arg_min(seq, (d2, seq)) AS closest_t, min(d2) AS d2, count(*) AS n FROM ps GROUP BY ALL)
@@ -51,7 +53,7 @@ cr AS (SELECT ride_id, mark_id, pass, arg_min(seq, (d2, seq)) AS closest_t, min(
 
 def _crossings(spark, sf_dir):
     r = rides(spark, sf_dir)
-    marks = r.where("hit and k >= 80").select(F.col("event_id").alias("mark_id"), F.col("x_mm").alias("mx"), F.col("y_mm").alias("my"))
+    marks = r.where("hit").select(F.col("event_id").alias("mark_id"), F.col("x_mm").alias("mx"), F.col("y_mm").alias("my"))
     return r, marks, P.crossings(r.select("ride_id", "seq", "x_mm", "y_mm"), marks, 12000, 8)
 
 
@@ -246,12 +248,12 @@ def set_operations(spark, sf_dir):
     return both.unionByName(ids("hit and k > 95").subtract(ids("not gnss_ok and k > 95")).withColumn("side", F.lit("hit only")))
 
 
-@query("q_loro_pairs", "SELECT a.ride_id AS held_out, count(*) AS rows_learned, count(DISTINCT b.ride_id) AS rides_learned FROM (SELECT DISTINCT ride_id FROM r WHERE ride_id < 10) a JOIN r b ON a.ride_id <> b.ride_id AND b.ride_id < 10 GROUP BY a.ride_id")
+@query("q_loro_pairs", ", n AS (SELECT ride_id, count(*) AS n FROM r GROUP BY ride_id) SELECT ride_id AS held_out, CAST((SELECT sum(n) FROM n) - n AS BIGINT) AS rows_learned, (SELECT count(*) FROM n) - 1 AS rides_learned FROM n")
 def loro_pairs(spark, sf_dir):
-    """Leave one ride out, for the first ten rides."""
-    r = rides(spark, sf_dir).where("ride_id < 10").groupBy("ride_id").agg(F.count(F.lit(1)).alias("n"))
-    a = r.select(F.col("ride_id").alias("held_out"))
-    return a.join(r, F.col("held_out") != F.col("ride_id")).groupBy("held_out").agg(F.sum("n").alias("rows_learned"), F.count(F.lit(1)).alias("rides_learned"))
+    """Leave one ride out: what is left to learn from is all less the ride's own, so no pair of rides is formed."""
+    r = rides(spark, sf_dir).groupBy("ride_id").agg(F.count(F.lit(1)).alias("n"))
+    every = r.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("rides"))
+    return r.crossJoin(F.broadcast(every)).select(F.col("ride_id").alias("held_out"), (F.col("rows") - F.col("n")).alias("rows_learned"), (F.col("rides") - 1).alias("rides_learned"))  # one row
 
 
 @query("q_projection_round_trip", "SELECT event_id, CAST(round(x_mm) AS BIGINT) AS x_mm, CAST(round(y_mm) AS BIGINT) AS y_mm, true AS same FROM r")

@@ -1,7 +1,7 @@
 """The driver's events as vehicle rides, in whole millimetres so that every engine agrees to the last digit.
 
 A user is a ride, an event a step: value / 10 is its length in metres, k - 50 the turn in degrees, and the place in
-the ride a one-second clock. Errors are steps without satellite fixes, purchases are landmark hits. The rides are a
+the ride a one-second clock. Rides begin 60 m apart on a grid 64 wide, so that more rides cover more ground. Errors are steps without satellite fixes, purchases are landmark hits. The rides are a
 stand-in for recorded ones: they exercise the operators, and drift figures from them say nothing about navigation.
 """
 
@@ -37,8 +37,8 @@ def rides(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = c.withColumn("dy_mm", F.round(F.col("value") * 100 * F.sin(F.radians("head_deg"))).cast("long")).withColumn("step_mm", F.round(F.col("value") * 100).cast("long"))
     return c.select(
         "*",
-        F.sum("dx_mm").over(run).alias("x_mm"),
-        F.sum("dy_mm").over(run).alias("y_mm"),
+        (F.sum("dx_mm").over(run) + F.pmod("ride_id", F.lit(64)) * 60000).alias("x_mm"),
+        (F.sum("dy_mm").over(run) + F.floor(F.col("ride_id") / 64) * 60000).alias("y_mm"),
         F.sum("step_mm").over(run).alias("d_mm"),
         (F.col("kind") != "error").alias("gnss_ok"),
         (F.col("kind") == "purchase").alias("hit"),
@@ -52,6 +52,6 @@ ra AS (SELECT user_id AS ride_id, event_id, ts, event_type AS kind, value, CAST(
 rb AS (SELECT *, CAST(sum(k - 50) OVER (PARTITION BY ride_id ORDER BY seq) AS BIGINT) AS head_deg FROM ra),
 rc AS (SELECT *, CAST(round(value * 100 * cos(radians(head_deg))) AS BIGINT) AS dx_mm, CAST(round(value * 100 * sin(radians(head_deg))) AS BIGINT) AS dy_mm,
               CAST(round(value * 100) AS BIGINT) AS step_mm FROM rb),
-r AS (SELECT *, CAST(sum(dx_mm) OVER w AS BIGINT) AS x_mm, CAST(sum(dy_mm) OVER w AS BIGINT) AS y_mm, CAST(sum(step_mm) OVER w AS BIGINT) AS d_mm,
+r AS (SELECT *, CAST(sum(dx_mm) OVER w + (ride_id % 64) * 60000 AS BIGINT) AS x_mm, CAST(sum(dy_mm) OVER w + (ride_id // 64) * 60000 AS BIGINT) AS y_mm, CAST(sum(step_mm) OVER w AS BIGINT) AS d_mm,
              kind <> 'error' AS gnss_ok, kind = 'purchase' AS hit FROM rc WINDOW w AS (PARTITION BY ride_id ORDER BY seq))
 """

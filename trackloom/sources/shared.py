@@ -13,10 +13,12 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset (tests) a folder of our own."""
+    """spark.checkpoint.dir; where it is unset, a local master gets a folder of its own, and on a cluster there is no other."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="trackloom-"))
         atexit.register(shutil.rmtree, _OWN[0], True)
