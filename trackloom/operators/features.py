@@ -22,20 +22,34 @@ def level(ax: Column, ay: Column, az: Column, gx: Column, gy: Column, gz: Column
 
 
 def tilt(mean_acc: np.ndarray) -> np.ndarray:
-    """Rotation of rows east, north, up (heading free) that levels a mean acceleration."""
-    up = mean_acc / np.linalg.norm(mean_acc)
-    helper = np.array([1.0, 0.0, 0.0]) if abs(up[0]) <= 0.9 else np.array([0.0, 1.0, 0.0])
-    east = helper - (helper @ up) * up
-    east /= np.linalg.norm(east)
-    return np.stack([east, np.cross(up, east), up])
+    """Rotation of rows east, north, down, from a mean acceleration as down: east = reference x down, north = down x east.
+
+    The reference is the first axis, or the second where that lies within about 26 degrees of down. A model that depends on the
+    heading of its frame needs this very basis.
+    """
+    down = np.asarray(mean_acc, float) / max(float(np.linalg.norm(mean_acc)), 1e-9)
+    east = np.cross([0.0, 1.0, 0.0] if abs(down[0]) > 0.9 else [1.0, 0.0, 0.0], down)
+    east /= max(float(np.linalg.norm(east)), 1e-9)
+    return np.stack([east, np.cross(down, east), down])
+
+
+def tilt_columns(mx: Column, my: Column, mz: Column, v: list[Column]) -> list[Column]:
+    """The same as columns: a vector v in east, north, down of a mean acceleration (mx, my, mz)."""
+    n = F.greatest(F.sqrt(mx * mx + my * my + mz * mz), F.lit(1e-9))
+    dx, dy, dz = mx / n, my / n, mz / n
+    second = F.abs(dx) > 0.9
+    ex, ey, ez = F.when(second, dz).otherwise(F.lit(0.0)), F.when(second, F.lit(0.0)).otherwise(-dz), F.when(second, -dx).otherwise(dy)
+    m = F.greatest(F.sqrt(ex * ex + ey * ey + ez * ez), F.lit(1e-9))
+    ex, ey, ez = ex / m, ey / m, ez / m
+    north = (dy * ez - dz * ey, dz * ex - dx * ez, dx * ey - dy * ex)
+    return [r[0] * v[0] + r[1] * v[1] + r[2] * v[2] for r in ((ex, ey, ez), north, (dx, dy, dz))]
 
 
 def detector_channels(window: np.ndarray) -> np.ndarray:
-    """(T, 3) accelerations -> (T, 4): magnitude without its median, its steps, vertical and horizontal part."""
-    size = np.linalg.norm(window, axis=1)
-    up = window.mean(0) / max(float(np.linalg.norm(window.mean(0))), 1e-9)
-    vertical = window @ up
-    return np.stack([size - np.median(size), np.diff(size, prepend=size[:1]), vertical, np.sqrt(np.maximum(size**2 - vertical**2, 0))], axis=1)
+    """(T, 3) accelerations -> (T, 4): magnitude less its median and its steps; third axis and length of the other two, less their medians."""
+    size, flat = np.linalg.norm(window, axis=1), np.linalg.norm(window[:, :2], axis=1)
+    centred = [c - np.median(c) for c in (size, window[:, 2], flat)]
+    return np.stack([centred[0], np.diff(centred[0], prepend=centred[0][:1]), centred[1], centred[2]], axis=1)
 
 
 class Ema:
@@ -74,21 +88,29 @@ class Estimator:
 
 
 class Edge:
-    """The small device: gravity by Ema at full rate, every k-th sample kept, a model call a second, distance since the last fix."""
+    """The small device: gravity by Ema at full rate; every k-th sample, less gravity, is kept; a model call a second.
+
+    The model sees the ring in the basis of tilt() at the time of the call: levelled rates, then levelled accelerations. The
+    distance since the last fix grows with the speed; before the first fix nothing does.
+    """
 
-    def __init__(self, model: Callable[[np.ndarray], float], hz: float = 200.0, model_hz: float = 10.0, rows: int = 300, tau: float = 4.0):
-        self.gravity, self.step, self.n = Ema(tau, hz), round(hz / model_hz), 0
-        self.inner, self.hz, self.since_fix = Estimator(model, rows, model_hz, every=1.0), hz, 0.0
+    def __init__(self, model: Callable[[np.ndarray], float], hz: float = 200.0, model_hz: float = 10.0, rows: int = 300, tau: float = 4.0, every: float = 1.0):
+        self.model, self.gravity, self.skip, self.seconds, self.every = model, Ema(tau, hz), max(round(hz / model_hz), 1), rows / model_hz, every
+        self.ring, self.n, self.speed, self.since_fix = deque(maxlen=rows), 0, 0.0, 0.0
+        self.fixed, self.last, self.called = False, None, -math.inf
 
-    def push(self, a: np.ndarray, w: np.ndarray) -> None:
+    def push(self, t: float, a: np.ndarray, w: np.ndarray) -> None:
+        dt, self.last = 0.0 if self.last is None else max(t - self.last, 0.0), t
         g = self.gravity.push(a)
+        if self.n % self.skip == 0:
+            self.ring.append(np.concatenate([w, a - g]))
         self.n += 1
-        if self.n % self.step == 0:
-            up = g / np.linalg.norm(g)
-            vertical, yaw = float(a @ up), float(w @ up)
-            rest = lambda v, part: math.sqrt(max(float(v @ v) - part * part, 0.0))
-            self.inner.push(self.n / self.hz, np.array([rest(a, vertical), vertical, rest(w, yaw), yaw, float(np.linalg.norm(a))], np.float32))
-        self.since_fix += (self.inner.at(self.n / self.hz) or 0.0) / self.hz
-
-    def fix(self) -> None:
-        self.since_fix = 0.0
+        self.since_fix += self.speed * dt * self.fixed
+        if len(self.ring) == self.ring.maxlen and t - self.called >= self.every:
+            rows, r = np.stack(self.ring), tilt(g)
+            features = np.concatenate([rows[:, :3] @ r.T, rows[:, 3:] @ r.T], axis=1).astype(np.float32)
+            self.speed, self.called = max(float(self.model(features)) / self.seconds, 0.0), t
+
+    def fix(self, speed: float | None = None) -> None:
+        self.fixed, self.since_fix = True, 0.0
+        self.speed = self.speed if speed is None else speed

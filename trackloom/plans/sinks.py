@@ -20,18 +20,23 @@ KEYS = ["ride_id", "target", "i0", "i1"]
 def _runs(spark, sf_dir):
     r, o = outages(spark, sf_dir)
     o = o.select(*KEYS).distinct()
-    return K.run_files(P.predict_closed(o, r, O.initial_state(r)), scores(spark, sf_dir), KEYS)
+    return K.run_files(P.predict_closed(o, r, O.initial_state(r)), scores(spark, sf_dir), KEYS, "synthetic")
 
 
-@query("q_run_files", SCORES_SQL + "SELECT ride_id, target, i0, i1, predictor, i1 - i0 + 1 AS samples, CASE WHEN passes THEN 'true' ELSE 'false' END AS passes FROM s")
+@query("q_run_files", SCORES_SQL + "SELECT ride_id, target, i0, i1, predictor, i1 - i0 + 1 AS samples, CASE WHEN passes THEN 'true' ELSE 'false' END AS passes, round(round(final_drift_m, 2), 1) AS drift, 't,truth,pred,sigma_m,terrain,speed_mps' AS sample_keys, 'final_drift_m,drift_pct,ate_m,passes_isro' AS metric_keys FROM s")
 def run_files(spark, sf_dir):
     d = _runs(spark, sf_dir)
-    return d.select(*KEYS, "predictor", F.json_array_length(F.get_json_object("doc", "$.samples")).cast("long").alias("samples"), F.get_json_object("doc", "$.metrics.passes").alias("passes"))
+    keys = lambda path: F.array_join(F.json_object_keys(F.get_json_object("doc", path)), ",")
+    return d.select(*KEYS, "predictor", F.json_array_length(F.get_json_object("doc", "$.samples")).cast("long").alias("samples"), F.get_json_object("doc", "$.metrics.passes_isro").alias("passes"), F.round(F.get_json_object("doc", "$.metrics.final_drift_m").cast("double"), 1).alias("drift"), keys("$.samples[0]").alias("sample_keys"), keys("$.metrics").alias("metric_keys"))
 
 
-@query("q_run_file_problems", SCORES_SQL + "SELECT predictor, count(*) AS files, CAST(0 AS BIGINT) AS with_problems FROM s GROUP BY predictor")
+@query("q_run_file_problems", SCORES_SQL + "SELECT predictor, ride_id % 4 AS fault, count(*) AS files, CASE ride_id % 4 WHEN 1 THEN 'samples is empty' WHEN 2 THEN 'metrics.ate_m' WHEN 3 THEN 'schema_version,run_id,source,origin,vehicle,mount,blackout,samples,landmarks,guidance,metrics' ELSE '' END AS problems FROM s GROUP BY ALL")
 def run_file_problems(spark, sf_dir):
-    return K.run_file_problems(_runs(spark, sf_dir)).groupBy("predictor").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.size("problems") > 0).alias("with_problems"))
+    """Run files of which three of four are spoilt: without samples, without a metric, cut short."""
+    d = _runs(spark, sf_dir).withColumn("fault", F.col("ride_id") % 4)
+    doc = F.col("doc")
+    spoilt = F.when(F.col("fault") == 1, F.regexp_replace(doc, r'"samples":\[.*?\}\]', '"samples":[]')).when(F.col("fault") == 2, F.regexp_replace(doc, '"ate_m":', '"ate":')).when(F.col("fault") == 3, F.substring(doc, F.lit(1), F.length(doc) - 1)).otherwise(doc)
+    return K.run_file_problems(d.withColumn("doc", spoilt)).groupBy("predictor", "fault", F.array_join("problems", ",").alias("problems")).agg(F.count(F.lit(1)).alias("files"))
 
 
 @query("q_osm_export")
@@ -49,8 +54,8 @@ def route_upsert(spark, sf_dir):
     return K.upsert_routes(routes(r, "shipped"), routes(r.where("hit"), "learned"))
 
 
-@query("q_trip_summary", "SELECT ride_id AS trip, max(seq) AS duration_s, count(*) FILTER (WHERE NOT gnss_ok) AS denied FROM r GROUP BY ride_id")
+@query("q_trip_summary", "SELECT ride_id AS trip, max(seq) AS duration_s, count(*) FILTER (WHERE NOT gnss_ok) AS denied, true AS missing_is_null, 'missing,endless' AS nulls FROM r GROUP BY ride_id")
 def trip_summary(spark, sf_dir):
-    t = rides(spark, sf_dir).groupBy(F.col("ride_id").alias("trip")).agg(F.max("seq").alias("duration_s"), F.count_if(~F.col("gnss_ok")).alias("denied"), F.max("value").alias("fastest"), F.lit(float("nan")).alias("missing"))
+    t = rides(spark, sf_dir).groupBy(F.col("ride_id").alias("trip")).agg(F.max("seq").alias("duration_s"), F.count_if(~F.col("gnss_ok")).alias("denied"), F.max("value").alias("fastest"), F.lit(float("nan")).alias("missing"), F.lit(float("inf")).alias("endless"))
     d = K.trip_summary(t)
-    return d.select("trip", F.get_json_object("doc", "$.duration_s").cast("long").alias("duration_s"), F.get_json_object("doc", "$.denied").cast("long").alias("denied"))
+    return d.select("trip", F.get_json_object("doc", "$.duration_s").cast("long").alias("duration_s"), F.get_json_object("doc", "$.denied").cast("long").alias("denied"), F.col("doc").contains('"missing":null').alias("missing_is_null"), F.array_join(F.regexp_extract_all("doc", F.lit(r'"(\w+)":null'), F.lit(1)), ",").alias("nulls"))
