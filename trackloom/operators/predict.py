@@ -41,8 +41,9 @@ def integrate(outages: DataFrame, path: DataFrame, init: DataFrame, accel: str,
     return rows.select(key, "target", "i0", "i1", F.lit("integrate").alias("predictor"), (F.col("x0") + F.sum(F.col("v") * F.cos("h")).over(run)).alias("x"), (F.col("y0") + F.sum(F.col("v") * F.sin("h")).over(run)).alias("y"), (50.0 * t * t + 1000.0).alias("sigma"), "seq", "x_mm", "y_mm")
 
 
-def problems(predicted: DataFrame, key: str = "ride_id") -> DataFrame:
+def problems(predicted: DataFrame, all_rows: bool = False) -> DataFrame:
     """Breaches of the predictor contract: places and sigmas that are missing, not finite or negative."""
     bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
     found = F.filter(F.array(F.when(bad("x"), "x"), F.when(bad("y"), "y"), F.when(bad("sigma") | (F.col("sigma") < 0), "sigma")), lambda p: p.isNotNull())
-    return predicted.withColumn("problems", found).where(F.size("problems") > 0)
+    marked = predicted.withColumn("problems", found)
+    return marked if all_rows else marked.where(F.size("problems") > 0)

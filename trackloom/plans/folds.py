@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trackloom.operators import fold as D
 from trackloom.operators.fusion import Dot, Fusion
 from trackloom.operators.matching import AlongRoad, Online, align, correct_by_marks, correct_by_turns
+from trackloom.plans import folds_sql as Q
 from trackloom.plans._register import Register
 from trackloom.sources.rides import RIDES_SQL, rides
 
@@ -19,7 +20,7 @@ def metres(row: dict) -> tuple[float, float]:
     return row["x_mm"] / 1000, row["y_mm"] / 1000
 
 
-@query("q_fix_filter")
+@query("q_fix_filter", Q.FIX_FILTER, ctes=False)
 def fix_filter(spark, sf_dir):
     """Verdict of every fix; k stands for the age in tenths of a second."""
 
@@ -39,7 +40,7 @@ def switch_step(f, row):
     return {"seq": row["seq"], "mode": f.mode, "switches": f.switches}
 
 
-@query("q_gnss_switch")
+@query("q_gnss_switch", Q.GNSS_SWITCH, ctes=False)
 def gnss_switch(spark, sf_dir):
     return D.fold(rides(spark, sf_dir).select("ride_id", "seq", "k", "value", "gnss_ok"), "ride_id", ["seq"], D.GnssSwitch, switch_step, "ride_id long, seq long, mode string, switches int")
 
@@ -70,7 +71,7 @@ def clean_track(spark, sf_dir):
     return clean(rides(spark, sf_dir).select("ride_id", "seq", *XY), 15000.0)
 
 
-@query("q_greedy_thinning")
+@query("q_greedy_thinning", Q.GREEDY_THINNING, ctes=False)
 def greedy_thinning(spark, sf_dir):
     """Points more than 20 m from the last kept one."""
 
@@ -80,7 +81,7 @@ def greedy_thinning(spark, sf_dir):
     return D.fold(rides(spark, sf_dir).select("ride_id", "seq", *XY), "ride_id", ["seq"], lambda: D.Anchor(20.0), step, "ride_id long, seq long, x_mm long, y_mm long")
 
 
-@query("q_merged_events")
+@query("q_merged_events", Q.MERGED_EVENTS, ctes=False)
 def merged_events(spark, sf_dir):
     """Landmark hits nearer than 25 m travelled to the last kept one merge; the stronger stays."""
 
@@ -95,7 +96,7 @@ def merged_events(spark, sf_dir):
     return D.fold(hits, "ride_id", ["seq"], lambda: D.StrongestWithin(25.0), step, "ride_id long, seq long", finish)
 
 
-@query("q_merged_turns")
+@query("q_merged_turns", Q.MERGED_TURNS, ctes=False)
 def merged_turns(spark, sf_dir):
     def row_of(got):
         return None if got is None else {"at_m": got[0], "angle_deg": got[1]}
@@ -138,7 +139,7 @@ def align_landmarks(spark, sf_dir):
     return g.select("ride_id", F.posexplode(F.arrays_zip("seen", "to")).alias("i", "m")).select("ride_id", "i", F.col("m.seen").alias("seen"), F.col("m.to").alias("mark"))
 
 
-@query("q_online_match")
+@query("q_online_match", Q.ONLINE_MATCH, ctes=False)
 def online_match(spark, sf_dir):
     @F.udf("array<int>")
     def matched(seen, marks):
@@ -209,7 +210,7 @@ def road_advance(spark, sf_dir):
     return D.fold(r, "ride_id", ["seq"], lambda: D.RoadAdvance(0.0, 250.0), step, "ride_id long, seq long, s double, at_end boolean").withColumn("s", F.round("s", 6))
 
 
-@query("q_spoken_turns")
+@query("q_spoken_turns", Q.SPOKEN_TURNS, ctes=False)
 def spoken_turns(spark, sf_dir):
     def step(f, row):
         said = f.at(row["d_mm"] / 1000)
@@ -219,7 +220,7 @@ def spoken_turns(spark, sf_dir):
     return D.fold(r, "ride_id", ["seq"], lambda: D.Speaker([80.0, 200.0], 300.0), step, "ride_id long, seq long, said string")
 
 
-@query("q_confidence_spoken")
+@query("q_confidence_spoken", Q.CONFIDENCE_SPOKEN, ctes=False)
 def confidence_spoken(spark, sf_dir):
     def step(f, row):
         band = "tight" if row["value"] < 25 else "medium" if row["value"] < 75 else "loose"
@@ -229,16 +230,17 @@ def confidence_spoken(spark, sf_dir):
     return D.fold(r, "ride_id", ["seq"], D.Throttled, step, "ride_id long, seq long, band string")
 
 
-@query("q_gyro_bias")
+@query("q_gyro_bias", Q.GYRO_BIAS, ctes=False)
 def gyro_bias(spark, sf_dir):
+    """Four samples of the gyro a second."""
+
     def step(f, row):
-        f.LEAST = 5
-        w = (row["k"] / 4000, row["k"] / 8000, 0.0)
-        f.observe(w, row["value"] < 60)
+        f.observe((row["k"] / 4000, row["k"] / 8000, 0.0), row["value"] < 60)
         return {"seq": row["seq"], "ready": f.ready, "n": f.n, "bias_x": f.bias[0]}
 
-    r = rides(spark, sf_dir).select("ride_id", "seq", "k", "value")
-    return D.fold(r, "ride_id", ["seq"], D.GyroBias, step, "ride_id long, seq long, ready boolean, n int, bias_x double")
+    r = rides(spark, sf_dir).select("ride_id", "seq", "k", "value", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    r = r.select("ride_id", (F.col("seq") * 4 + F.col("i")).alias("seq"), (F.col("k") + F.col("i")).alias("k"), "value")
+    return D.fold(r, "ride_id", ["seq"], D.GyroBias, step, "ride_id long, seq long, ready boolean, n int, bias_x double").withColumn("bias_x", F.round("bias_x", 9))
 
 
 @query("q_blackout_sessions", """, i AS (SELECT *, CAST(sum(n) OVER (PARTITION BY ride_id ORDER BY seq) AS BIGINT) AS island FROM (SELECT *, CASE WHEN lag(gnss_ok) OVER (PARTITION BY ride_id ORDER BY seq) IS NOT DISTINCT FROM gnss_ok THEN 0 ELSE 1 END AS n FROM r))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trackloom.operators import fold as D
 from trackloom.operators import outage as O
 from trackloom.operators import roads as W
+from trackloom.plans import folds_sql as Q
 from trackloom.plans._register import Register
 from trackloom.plans.scoring import OUTAGES_SQL, outages
 from trackloom.sources.rides import RIDES_SQL, by_ride, rides
@@ -107,7 +108,7 @@ def localise_turns(spark, sf_dir):
     return W.localise(t, t.withColumnRenamed("ride_id", "road"), 4, lambda d: materialize(d, "turns"), own=False)
 
 
-@query("q_diverse_destinations")
+@query("q_diverse_destinations", Q.DIVERSE, ctes=False)
 def diverse_destinations(spark, sf_dir):
     """The first three points of a ride, by k descending, at least 60 m apart."""
     class Chosen:
