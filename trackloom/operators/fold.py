@@ -206,13 +206,13 @@ class StrongestWithin:
 
 
 class TurnPieces:
-    """Joins turns of one sign nearer than `gap` to where the first of them began; angles add up."""
+    """Joins turns of one sign (or any) nearer than `gap` to where the first of them began; angles add up."""
 
-    def __init__(self, gap: float = 15.0):
-        self.gap, self.open = gap, None
+    def __init__(self, gap: float = 15.0, any_sign: bool = False):
+        self.gap, self.any_sign, self.open = gap, any_sign, None
 
     def push(self, at: float, angle: float) -> tuple[float, float] | None:
-        if self.open is not None and at - self.open[0] < self.gap and (angle > 0) == (self.open[1] > 0):
+        if self.open is not None and at - self.open[0] < self.gap and (self.any_sign or (angle > 0) == (self.open[1] > 0)):
             self.open = (self.open[0], self.open[1] + angle)
             return None
         settled, self.open = self.open, (at, angle)

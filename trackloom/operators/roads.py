@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from trackloom.operators.series import bracket, gradient, ordered, rolling
 
 
-def at(places: DataFrame, road: DataFrame, key: str = "ride_id", s: str = "s", x: str = "x", y: str = "y") -> DataFrame:
-    """places(key, s) with x, y on the road(key, s, x, y) at that distance, held at its ends."""
+def at(places: DataFrame, road: DataFrame, key: str = "ride_id", s: str = "s", x: str = "x", y: str = "y", with_heading: bool = False) -> DataFrame:
+    """places(key, s) with x, y on the road(key, s, x, y) at that distance, held at its ends. with_heading: and heading (radians), null at its own points and ends."""
     b = bracket(places, road.withColumn("__p", F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))), key, s, "__p")
     share = F.when(F.col("t1") == F.col("t0"), F.lit(0.0)).otherwise((F.col(s) - F.col("t0")) / (F.col("t1") - F.col("t0")))
 
@@ -17,7 +17,8 @@ def at(places: DataFrame, road: DataFrame, key: str = "ride_id", s: str = "s", x
         lo, hi = F.col(f"v0.{c}"), F.col(f"v1.{c}")
         return F.when(F.col("t0").isNull(), hi).when(F.col("t1").isNull(), lo).otherwise(lo + (hi - lo) * share)
 
-    return b.select(key, s, along("x").alias(x), along("y").alias(y))
+    heading = F.when(F.col("t1") != F.col("t0"), F.atan2(F.col("v1.y") - F.col("v0.y"), F.col("v1.x") - F.col("v0.x")))
+    return b.select(key, s, along("x").alias(x), along("y").alias(y), *([heading.alias("heading")] if with_heading else []))
 
 
 def extended(road: DataFrame, length: float, step: float, key: str = "ride_id", s: str = "s", x: str = "x", y: str = "y") -> DataFrame:
