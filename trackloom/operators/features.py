@@ -63,6 +63,41 @@ class Ema:
         return self.value
 
 
+class SensorGrid:
+    """Several sensors on one grid of `hz`, event by event: times from the latest of their first events, each value interpolated.
+
+    A time is due once every sensor has an event at or after it. Of each sensor no more than `keep` seconds before the next time are held.
+    """
+
+    def __init__(self, sensors: int, hz: float, keep: float = 1.0):
+        self.held: list[deque] = [deque() for _ in range(sensors)]
+        self.hz, self.keep, self.start, self.k = hz, keep, None, 0
+
+    @staticmethod
+    def _at(events: deque, t: float) -> float:
+        before = None
+        for s, v in events:
+            if s >= t:
+                return v if before is None or s == t else before[1] + (v - before[1]) * (t - before[0]) / (s - before[0])
+            before = (s, v)
+        return before[1]
+
+    def push(self, sensor: int, t: float, value: float) -> list[tuple[float, list[float]]]:
+        self.held[sensor].append((t, value))
+        if self.start is None:
+            if not all(self.held):
+                return []
+            self.start = max(h[0][0] for h in self.held)
+        out = []
+        while (due := self.start + self.k / self.hz) <= min(h[-1][0] for h in self.held):
+            out.append((due, [self._at(h, due) for h in self.held]))
+            self.k += 1
+        for h in self.held:
+            while len(h) > 2 and h[1][0] <= due - self.keep:
+                h.popleft()
+        return out
+
+
 class Estimator:
     """Speed from a stream of features: a full ring, then a model call every half second; a stall or a step back starts anew.
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.plans import evaluation, extras, folds, frames, graph, projection, roads, scoring, series, sinks, spatial, streaming
+from trackloom.plans import evaluation, extras, folds, frames, graph, projection, records, roads, scoring, series, sinks, spatial, streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (series, scoring, spatial, roads, projection, evaluation, folds, graph, streaming, sinks, extras, frames)
+MODULES = (series, scoring, spatial, roads, projection, evaluation, folds, graph, streaming, sinks, extras, frames, records)
 
 
 def queries() -> dict[str, Query]:
