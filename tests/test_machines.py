@@ -216,3 +216,42 @@ def test_fold_starts_anew_with_each_key(spark):
 
     got = D.fold(df, "key", ["i"], Sum, step, "key long, i long, run long", lambda s, k: [{"i": -1, "run": s.total}]).collect()
     assert all(r["run"] == (50 if r["i"] < 0 else r["i"] + 1) for r in got) and len(got) == 7 * 51
+
+
+def test_fleet_is_many_filters(spark):
+    """The query's rides, filtered at once, against a filter for each ride, row by row."""
+    import trackloom.queries as core
+    from trackloom.sources.rides import rides
+
+    sf = "/root/testdata/sf0.001"
+    for name, with_scale in (("q_ekf5", False), ("q_ekf6", True)):
+        got = {(r["ride_id"], r["seq"]): r for r in core.queries()[name](spark, sf).collect()}
+        filters, dots = {}, {}
+        for r in rides(spark, sf).orderBy("ride_id", "seq").collect():
+            xy, speed, ride = (r["x_mm"] / 1000, r["y_mm"] / 1000), r["value"] / 10, r["ride_id"]
+            if ride not in filters:
+                filters[ride], dots[ride] = Fusion(*xy, speed, 0.0, with_scale=with_scale), Dot()
+            else:
+                on = with_scale and r["seq"] % 20 == 0
+                filters[ride].step(1.0, math.radians(r["k"] - 50), 0.0, fix=xy if r["gnss_ok"] else None, model_speed=speed, road=xy if on else None, road_heading=math.radians(r["head_deg"]) if on else None)
+            f, g = filters[ride], got[ride, r["seq"]]
+            shown = dots[ride].follow(tuple(f.x[:2]), 1.0)
+            assert np.allclose([g["x"], g["y"], g["speed"], g["heading"], g["sigma"], g["dot_x"], g["dot_y"]], [*f.x[:4], f.sigma, *shown]) and g["mode"] == f.mode
+
+
+def test_lockstep_takes_repeated_rows_one_by_one(spark):
+    rows = [(k, t, float(v)) for k, t, v in [(1, 0, 1), (1, 1, 2), (1, 1, 3), (2, 1, 10), (2, 1, 20), (2, 1, 30), (1, 2, 4)]]
+
+    class Sums:
+        def __init__(self):
+            self.sum = np.zeros(0)
+
+    def step(f, at, row, new):
+        f.sum = np.append(f.sum, np.zeros(new.sum()))
+        assert len(set(at.tolist())) == len(at)
+        f.sum[at] += row["v"]
+        return {"total": f.sum[at]}
+
+    d = D.lockstep(spark.createDataFrame(rows, "k long, t long, v double"), "k", "t", Sums, step, "k long, t long, total double")
+    got = sorted(map(tuple, d.collect()))
+    assert [g for g in got if g[0] == 1][0] == (1, 0, 1.0) and got[-1] == (2, 1, 60.0) and (1, 2, 10.0) in got and len(got) == 7

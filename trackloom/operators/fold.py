@@ -11,6 +11,7 @@ import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -47,6 +48,62 @@ def fold(df: DataFrame, key: str, order: list[str], start: Callable[[], Any], st
     return df.repartition(n, key).sortWithinPartitions(key, *order).mapInArrow(run, kind)
 
 
+#: step(state, at, columns, new) -> columns to emit. at: places of the rows' keys in the state; new: which of them are seen first.
+Epoch = Callable[[Any, np.ndarray, dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]]
+
+
+def lockstep(df: DataFrame, key: str, seq: str, start: Callable[[], Any], step: Epoch, schema: str, partitions: int | None = None) -> DataFrame:
+    """The fold of many keys at once: rows with the same seq, of all keys of a task, are one call on arrays.
+
+    The state holds a row of numbers for each key of the task, however long the keys are. Rows that repeat a key and seq are taken one after
+    the other. Columns must be numbers or booleans; null is NaN. Key and seq are added to what is emitted.
+    """
+    kind = StructType.fromDDL(schema) if hasattr(StructType, "fromDDL") else _parse_datatype_string(schema)
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, places, held = start(), {}, None
+        names = df_columns
+
+        def groups(cols: list[np.ndarray], last: bool) -> tuple[list[slice], int]:
+            t = cols[names.index(seq)]
+            edges = np.concatenate([[0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)]])
+            spans = [slice(a, b) for a, b in zip(edges, edges[1:])]
+            return (spans, len(t)) if last else (spans[:-1], int(edges[-2]))
+
+        def work(cols: list[np.ndarray], spans: list[slice]) -> Iterator[pa.RecordBatch]:
+            out: list[dict[str, np.ndarray]] = []
+            for span in spans:
+                keys = cols[names.index(key)][span]
+                again = np.concatenate([[False], keys[1:] == keys[:-1]])  # rows of a seq come by key
+                wave = np.arange(len(keys)) - np.maximum.accumulate(np.where(again, 0, np.arange(len(keys))))
+                for w in range(int(wave.max()) + 1):
+                    take = wave == w
+                    part = {n: c[span][take] for n, c in zip(names, cols)}
+                    fresh = np.array([k not in places for k in part[key].tolist()])
+                    for k in part[key][fresh].tolist():
+                        places[k] = len(places)
+                    at = np.array([places[k] for k in part[key].tolist()], np.int64)
+                    out.append({key: part[key], seq: part[seq], **step(state, at, part, fresh)})
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.asarray(o[f.name]) for o in out])).cast(f.type) for f in arrow], schema=arrow)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+            spans, done = groups(cols, False)
+            yield from work(cols, spans)
+            held = [c[done:] for c in cols]
+        if held is not None:
+            yield from work(held, groups(held, True)[0])
+
+    df_columns = df.columns
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).sortWithinPartitions(seq, key).mapInArrow(run, kind)
+
+
 def _apart(a: tuple[float, float], b: tuple[float, float]) -> float:
     return math.hypot(a[0] - b[0], a[1] - b[1])
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from trackloom.operators import fold as D
-from trackloom.operators.fusion import Dot, Fusion
+from trackloom.operators.fusion import Dots, Fleet
 from trackloom.operators.matching import AlongRoad, Online, align, correct_by_marks, correct_by_turns
 from trackloom.plans import folds_sql as Q
 from trackloom.plans._register import Register
 from trackloom.sources.rides import RIDES_SQL, rides
+from trackloom.sources.shared import materialize
 
 R = Register(RIDES_SQL)
 QUERIES, SQL, query = R.queries, R.sql, R.query
@@ -168,36 +170,83 @@ def turn_correction(spark, sf_dir):
     return _gathered(spark, sf_dir).select("ride_id", corrected("turns").alias("c")).select("ride_id", "c.*")
 
 
-class Ride:
-    """A ride through the filter: fixes by gnss_ok, speed by value, the shown dot after it."""
+class Rides:
+    """Rides through the filter: fixes by gnss_ok, speed by value, the road every 20 epochs where there is a scale, the shown dots after it."""
 
     def __init__(self, with_scale: bool = False):
-        self.filter, self.dot, self.with_scale = None, Dot(), with_scale
-
-    def step(self, row: dict) -> dict:
-        xy, speed = metres(row), row["value"] / 10
-        if self.filter is None:
-            self.filter = Fusion(*xy, speed, 0.0, with_scale=self.with_scale)
-        else:
-            turn = (row["k"] - 50) * 0.017453292519943295
-            self.filter.step(1.0, turn, 0.0, fix=xy if row["gnss_ok"] else None, model_speed=speed)
-        shown = self.dot.follow((float(self.filter.x[0]), float(self.filter.x[1])), 1.0)
-        return {"seq": row["seq"], "x": float(self.filter.x[0]), "y": float(self.filter.x[1]), "speed": float(self.filter.x[2]), "heading": float(self.filter.x[3]), "sigma": self.filter.sigma, "mode": self.filter.mode, "dot_x": float(shown[0]), "dot_y": float(shown[1])}
+        self.fleet, self.dots, self.with_scale = Fleet(with_scale=with_scale), Dots(), with_scale
+
+    def step(self, at: np.ndarray, row: dict[str, np.ndarray], new: np.ndarray) -> dict[str, np.ndarray]:
+        xy, speed = np.stack([row["x_mm"], row["y_mm"]], axis=1) / 1000, row["value"] / 10
+        if new.any():
+            self.fleet.add(xy[new, 0], xy[new, 1], speed[new], np.zeros(new.sum()))
+            self.dots.add(xy[new])
+        old, none = ~new, np.full(len(at), np.nan)
+        fix = np.where(row["gnss_ok"].astype(bool)[:, None], xy, np.nan)
+        road = np.where((self.with_scale & (row["seq"] % 20 == 0))[:, None], xy, np.nan)
+        on = np.where(np.isnan(road[:, 0]), np.nan, np.radians(row["head_deg"]))
+        given = (np.radians(row["k"] - 50.0), np.zeros(len(at)), fix, none, speed, np.stack([none, none], axis=1), on, road)
+        self.fleet.step(at[old], 1.0, *(v[old] for v in given))
+        x = self.fleet.x[at]
+        shown = self.dots.follow(at, x[:, :2], 1.0)
+        mode = np.array(Fleet.MODES, dtype=object)[self.fleet.mode[at]]
+        return {"x": x[:, 0], "y": x[:, 1], "speed": x[:, 2], "heading": x[:, 3], "sigma": self.fleet.sigma(at), "mode": mode, "dot_x": shown[:, 0], "dot_y": shown[:, 1]}
 
 
 FUSED = "ride_id long, seq long, x double, y double, speed double, heading double, sigma double, mode string, dot_x double, dot_y double"
 
 
+def fused(r, with_scale: bool):
+    r = r.select("ride_id", "seq", *XY, "value", "k", "gnss_ok", "head_deg")
+    return D.lockstep(r, "ride_id", "seq", lambda: Rides(with_scale), lambda f, at, row, new: f.step(at, row, new), FUSED)
+
+
 @query("q_ekf5")
 def ekf5(spark, sf_dir):
-    r = rides(spark, sf_dir).select("ride_id", "seq", *XY, "value", "k", "gnss_ok")
-    return D.fold(r, "ride_id", ["seq"], Ride, lambda f, row: f.step(row), FUSED)
+    return fused(rides(spark, sf_dir), False)
 
 
 @query("q_ekf6")
 def ekf6(spark, sf_dir):
-    r = rides(spark, sf_dir).select("ride_id", "seq", *XY, "value", "k", "gnss_ok")
-    return D.fold(r, "ride_id", ["seq"], lambda: Ride(True), lambda f, row: f.step(row), FUSED)
+    return fused(rides(spark, sf_dir), True)
+
+
+#: Variants of the ablation: fix every so many seconds, the model's speed always or only without a fix, acceleration used or not.
+ABLATION = [("all", 1, True, True), ("no_accel", 1, True, False), ("sparse_fixes", 10, True, True), ("model_when_lost", 1, False, True), ("sparse_no_accel", 10, True, False), ("sparse_when_lost", 10, False, True), ("bare", 10, False, False)]
+
+
+@query("q_fusion_ablation")
+def fusion_ablation(spark, sf_dir):
+    """Satellites gone from 20 to 80 % of a ride, in seven variants: error at their return, and the largest jump of the shown dot."""
+    from pyspark.sql import Window
+
+    r = materialize(rides(spark, sf_dir), "rides")
+    variants = spark.createDataFrame([(i, *v) for i, v in enumerate(ABLATION)], "v int, variant string, every int, always boolean, accel boolean")
+    w = Window.partitionBy("ride_id").orderBy("seq")
+    rows = r.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ride_id"))).withColumn("a", (F.col("step_mm") - F.coalesce(F.lag("step_mm").over(w), F.col("step_mm"))) / 1000)
+    rows = rows.crossJoin(F.broadcast(variants))  # seven rows
+    gone = (F.col("seq") * 10 >= F.col("n") * 2) & (F.col("seq") * 10 < F.col("n") * 8)
+    fixed = ~gone & (F.col("seq") % F.col("every") == 0)
+    rows = rows.select((F.col("ride_id") * 8 + F.col("v")).alias("run"), "seq", *XY, "k", "variant", (F.col("value") / 10).alias("speed"), fixed.alias("fixed"), (F.col("always") | ~fixed).alias("modelled"), F.when(F.col("accel"), F.col("a")).otherwise(0.0).alias("a"), "ride_id", gone.alias("gone"))
+
+    def step(f, at, row, new):
+        xy = np.stack([row["x_mm"], row["y_mm"]], axis=1) / 1000
+        if new.any():
+            f.fleet.add(xy[new, 0], xy[new, 1], row["speed"][new], np.zeros(new.sum()))
+            f.dots.add(xy[new])
+        old, none = ~new, np.full(len(at), np.nan)
+        two = np.stack([none, none], axis=1)
+        given = (np.radians(row["k"] - 50.0), row["a"], np.where(row["fixed"].astype(bool)[:, None], xy, np.nan), none, np.where(row["modelled"].astype(bool), row["speed"], np.nan), two, none, two)
+        f.fleet.step(at[old], 1.0, *(v[old] for v in given))
+        before = f.dots.xy[at].copy()
+        shown = f.dots.follow(at, f.fleet.x[at, :2], 1.0)
+        off, jump = f.fleet.x[at, :2] - xy, shown - before
+        return {"err": np.hypot(off[:, 0], off[:, 1]), "jump": np.hypot(jump[:, 0], jump[:, 1])}
+
+    numbers = rows.select("run", "seq", *XY, "k", "speed", "fixed", "modelled", "a")
+    found = D.lockstep(numbers, "run", "seq", Rides, step, "run long, seq long, err double, jump double")
+    ends = found.join(rows.where("gone").select("run", "seq", "variant"), ["run", "seq"]).groupBy("run", "variant").agg(F.max_by("err", "seq").alias("err"), F.max("jump").alias("jump"))
+    return ends.groupBy("variant").agg(F.count(F.lit(1)).alias("rides"), F.round(F.percentile("err", 0.5), 2).alias("median_err"), F.round(F.max("jump"), 2).alias("worst_jump"))
 
 
 @query("q_road_advance", "SELECT ride_id, seq, round(least(250, sum(CASE WHEN value / 10 >= 0.5 THEN value / 10 ELSE 0 END) OVER w), 6) AS s, round(least(250, sum(CASE WHEN value / 10 >= 0.5 THEN value / 10 ELSE 0 END) OVER w), 6) >= 248 AS at_end FROM r WINDOW w AS (PARTITION BY ride_id ORDER BY seq)")
