@@ -95,46 +95,59 @@ class AlongRoad:
         return s - self.gate * math.sqrt(self.variance) - 3 * math.sqrt(self.noise)
 
 
-def correct_by_marks(places: list[float], marks: list[float], filt: AlongRoad | None = None, window: int = 3) -> tuple[list[float], int, int]:
-    """places: raw distance at each detection -> corrected ones, how many corrections held, how many were refused.
+class ByMarks:
+    """Corrects the distance along a road at one detection after the other, by the marks ahead. A shift applies to all that follows."""
+
+    def __init__(self, marks: list[float], filt: AlongRoad | None = None, window: int = 3):
+        self.marks, self.filter, self.window = marks, filt or AlongRoad(), window
+        self.shift, self.first, self.held, self.refused = 0.0, 0, 0, 0
+
+    def step(self, raw: float) -> float:
+        s, f = raw + self.shift, self.filter
+        if self.first >= len(self.marks):
+            return s
+        f.travel(s)
+        while self.first < len(self.marks) and self.marks[self.first] < f.behind(s):
+            self.first += 1
+        ahead = range(self.first, min(self.first + self.window, len(self.marks)))
+        if not ahead:
+            return s
+        j = min(ahead, key=lambda q: abs(self.marks[q] - s))
+        moved = f.correct(self.marks[j] - s)
+        if moved is None:
+            self.refused += 1
+            return s
+        self.shift, s, self.first, self.held = self.shift + moved, s + moved, j + 1, self.held + 1
+        f.at = s
+        return s
 
-    Each shift applies to all later places, so this is a fold and not a join.
-    """
-    f, shift, first, held, refused, out = filt or AlongRoad(), 0.0, 0, 0, 0, []
-    for raw in places:
-        s = raw + shift
-        if first < len(marks):
-            f.travel(s)
-            while first < len(marks) and marks[first] < f.behind(s):
-                first += 1
-            ahead = range(first, min(first + window, len(marks)))
-            if len(ahead):
-                j = min(ahead, key=lambda q: abs(marks[q] - s))
-                moved = f.correct(marks[j] - s)
-                if moved is None:
-                    refused += 1
-                else:
-                    shift, s, first, held = shift + moved, s + moved, j + 1, held + 1
-                    f.at = s
-        out.append(s)
-    return out, held, refused
-
-
-def correct_by_turns(turns: list[tuple[float, float]], road: list[tuple[float, float]], tolerance: float = 45.0, filt: AlongRoad | None = None, window: int = 4) -> tuple[list[float], int, int]:
-    """The same for turns (raw distance, angle) against the road's turns: sign and angle must agree as well."""
-    f, shift, first, held, refused, out = filt or AlongRoad(mark_sigma=8.0), 0.0, 0, 0, 0, []
-    for raw, angle in turns:
-        s = raw + shift
+
+class ByTurns:
+    """The same by turns (distance, angle) of the road: sign and angle must agree as well."""
+
+    def __init__(self, road: list[tuple[float, float]], tolerance: float = 45.0, filt: AlongRoad | None = None, window: int = 4):
+        self.road, self.tolerance, self.filter, self.window = road, tolerance, filt or AlongRoad(mark_sigma=8.0), window
+        self.shift, self.first, self.held, self.refused = 0.0, 0, 0, 0
+
+    def step(self, raw: float, angle: float) -> float:
+        s, f = raw + self.shift, self.filter
         f.variance += 0.0 if f.at is None else (f.growth * max(s - f.at, 0.0)) ** 2
         f.at = s
-        while first < len(road) and road[first][0] < f.behind(s):
-            first += 1
-        like = [j for j in range(first, min(first + window, len(road))) if road[j][1] * angle > 0 and abs(road[j][1] - angle) <= tolerance]
-        moved = f.correct(road[min(like, key=lambda q: abs(road[q][0] - s))][0] - s) if like else None
+        while self.first < len(self.road) and self.road[self.first][0] < f.behind(s):
+            self.first += 1
+        ahead = range(self.first, min(self.first + self.window, len(self.road)))
+        like = [j for j in ahead if self.road[j][1] * angle > 0 and abs(self.road[j][1] - angle) <= self.tolerance]
+        best = min(like, key=lambda q: abs(self.road[q][0] - s), default=None)
+        moved = None if best is None else f.correct(self.road[best][0] - s)
         if moved is None:
-            refused += 1
-        else:
-            first, shift, s, held = min(like, key=lambda q: abs(road[q][0] - s)) + 1, shift + moved, s + moved, held + 1
-            f.at = s
-        out.append(s)
-    return out, held, refused
+            self.refused += 1
+            return s
+        self.first, self.shift, s, self.held = best + 1, self.shift + moved, s + moved, self.held + 1
+        f.at = s
+        return s
+
+
+def correct_by_marks(places: list[float], marks: list[float], filt: AlongRoad | None = None, window: int = 3) -> tuple[list[float], int, int]:
+    """places: raw distance at each detection -> corrected ones, how many corrections held, how many were refused."""
+    c = ByMarks(marks, filt, window)
+    return [c.step(p) for p in places], c.held, c.refused

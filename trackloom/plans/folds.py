@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from trackloom.operators import fold as D
 from trackloom.operators.fusion import Dots, Fleet
-from trackloom.operators.matching import AlongRoad, Online, align, correct_by_marks, correct_by_turns
+from trackloom.operators.matching import ByMarks, ByTurns, Online, align
 from trackloom.plans import folds_sql as Q
 from trackloom.plans._register import Register
 from trackloom.sources.rides import RIDES_SQL, rides
@@ -124,50 +125,59 @@ def crowd_landmarks(spark, sf_dir):
     return D.fold(hits, "area", ["event_id"], D.Crowd, step, "area string, candidate int, x double, y double, n int, runs int, confidence double", finish)
 
 
-def _gathered(spark, sf_dir):
-    """Detections (hits) and landmarks (every tenth step) along each ride, in metres."""
-    r = rides(spark, sf_dir)
+def _along(spark, sf_dir):
+    """Marks (every tenth step, kind 0) and detections (hits, kind 1) along each ride, in metres; a ride's marks come first."""
+    r = materialize(rides(spark, sf_dir).select("ride_id", "seq", "d_mm", "hit", "k"), "rides")
     along = F.col("d_mm") / 1000
-    return r.groupBy("ride_id").agg(F.sort_array(F.collect_list(F.when(F.col("hit"), along + (F.col("k") - 50) / 10))).alias("seen"), F.sort_array(F.collect_list(F.when(F.col("seq") % 10 == 0, along))).alias("marks"), F.sort_array(F.collect_list(F.when(F.abs(F.col("k") - 50) > 35, F.struct(along.alias("s"), (F.col("k") - 50).cast("double").alias("a"))))).alias("turns"))
+    marks = r.where("seq % 10 = 0").select("ride_id", F.lit(0).alias("kind"), along.alias("place"))
+    return marks.unionByName(r.where("hit").select("ride_id", F.lit(1).alias("kind"), (along + (F.col("k") - 50) / 10).alias("place")))
+
+
+class Seen:
+    """A road's marks, and then what goes along it; make: what sees the detections, from the marks."""
+
+    def __init__(self, make):
+        self.make, self.marks, self.sees, self.n = make, [], None, -1
+
+    def step(self, row: dict, of_mark, emit):
+        if row["kind"] == 0:
+            self.marks.append(of_mark(row))
+            return None
+        self.sees = self.sees or self.make(self.marks)
+        self.n += 1
+        return {"i": self.n, **emit(self.sees, row)}
 
 
 @query("q_align_landmarks")
 def align_landmarks(spark, sf_dir):
-    @F.udf("array<int>")
-    def matched(seen, marks):
-        return align(list(seen), list(marks))
+    """The best assignment of all detections of a ride to its road's marks: it needs the whole ride, so a ride is a group."""
 
-    g = _gathered(spark, sf_dir).withColumn("to", matched("seen", "marks"))
-    return g.select("ride_id", F.posexplode(F.arrays_zip("seen", "to")).alias("i", "m")).select("ride_id", "i", F.col("m.seen").alias("seen"), F.col("m.to").alias("mark"))
+    def matched(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen, marks = (sorted(pdf["place"][pdf["kind"] == kind].tolist()) for kind in (1, 0))
+        return pd.DataFrame({"ride_id": pdf["ride_id"].iloc[0], "i": range(len(seen)), "seen": seen, "mark": align(seen, marks)})
+
+    return _along(spark, sf_dir).groupBy("ride_id").applyInPandas(matched, "ride_id long, i int, seen double, mark int")
 
 
 @query("q_online_match", Q.ONLINE_MATCH, ctes=False)
 def online_match(spark, sf_dir):
-    @F.udf("array<int>")
-    def matched(seen, marks):
-        m = Online(list(marks))
-        return [m.match(s) for s in seen]
-
-    g = _gathered(spark, sf_dir).withColumn("to", matched("seen", "marks"))
-    return g.select("ride_id", F.posexplode("to").alias("i", "mark"))
+    step = lambda f, row: f.step(row, lambda m: m["place"], lambda o, d: {"mark": o.match(d["place"])})
+    return D.fold(_along(spark, sf_dir), "ride_id", ["kind", "place"], lambda: Seen(Online), step, "ride_id long, i int, mark int")
 
 
 @query("q_landmark_correction")
 def landmark_correction(spark, sf_dir):
-    @F.udf("struct<places:array<double>,held:int,refused:int>")
-    def corrected(seen, marks):
-        return correct_by_marks(list(seen), list(marks), AlongRoad())
-
-    return _gathered(spark, sf_dir).select("ride_id", corrected("seen", "marks").alias("c")).select("ride_id", "c.*")
+    emit = lambda c, d: {"s": c.step(d["place"]), "held": c.held, "refused": c.refused}
+    return D.fold(_along(spark, sf_dir), "ride_id", ["kind", "place"], lambda: Seen(ByMarks), lambda f, row: f.step(row, lambda m: m["place"], emit), "ride_id long, i int, s double, held int, refused int")
 
 
 @query("q_turn_correction")
 def turn_correction(spark, sf_dir):
-    @F.udf("struct<places:array<double>,held:int,refused:int>")
-    def corrected(turns):
-        return correct_by_turns([(t["s"] * 1.03, t["a"]) for t in turns], [(t["s"], t["a"]) for t in turns])
-
-    return _gathered(spark, sf_dir).select("ride_id", corrected("turns").alias("c")).select("ride_id", "c.*")
+    """Sharp turns, seen three per cent too far along, against the road's own."""
+    r = materialize(rides(spark, sf_dir).where("abs(k - 50) > 35").select("ride_id", (F.col("d_mm") / 1000).alias("place"), (F.col("k") - 50).cast("double").alias("angle")), "turns")
+    rows = r.withColumn("kind", F.lit(0)).unionByName(r.withColumn("place", F.col("place") * 1.03).withColumn("kind", F.lit(1)))
+    emit = lambda c, d: {"s": c.step(d["place"], d["angle"]), "held": c.held, "refused": c.refused}
+    return D.fold(rows, "ride_id", ["kind", "place", "angle"], lambda: Seen(ByTurns), lambda f, row: f.step(row, lambda m: (m["place"], m["angle"]), emit), "ride_id long, i int, s double, held int, refused int")
 
 
 class Rides:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trackloom.functions.geo import R_EQUATOR
 from trackloom.operators import outage as O
 from trackloom.operators import predict as P
 from trackloom.plans._register import Register
@@ -39,10 +40,13 @@ def run_file_problems(spark, sf_dir):
     return K.run_file_problems(d.withColumn("doc", spoilt)).groupBy("predictor", "fault", F.array_join("problems", ",").alias("problems")).agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("q_osm_export")
+@query("q_osm_export", f""", c AS (SELECT count(*) AS n, count(DISTINCT ride_id) AS runs, CAST(sum(x_mm) AS DOUBLE) / count(*) / 1000 AS x, CAST(sum(y_mm) AS DOUBLE) / count(*) / 1000 AS y FROM (SELECT *, floor(x_mm / 12000.0::DOUBLE) AS fx, floor(y_mm / 12000.0::DOUBLE) AS fy FROM r WHERE hit) GROUP BY fx, fy HAVING count(DISTINCT ride_id) >= 2)
+SELECT -row_number() OVER (ORDER BY x, y) AS id, 'node' AS type, round(15.36::DOUBLE + degrees(y / {R_EQUATOR!r}), 6) AS lat, round(75.12::DOUBLE + degrees(x / (cos(radians(15.36::DOUBLE)) * {R_EQUATOR!r})), 6) AS lon, 'purchase' AS kind, 'crowdsourced' AS source, CAST(n AS VARCHAR) AS observations, round(1 - pow(0.5::DOUBLE, runs), 2) AS confidence FROM c""")
 def osm_export(spark, sf_dir):
     c = candidates(spark, sf_dir).withColumn("x", F.col("x") / 1000).withColumn("y", F.col("y") / 1000)
-    return K.osm_nodes(c, 15.36, 75.12, "crowdsourced")
+    get = lambda path, kind="string": F.get_json_object("node", f"$.{path}").cast(kind)
+    d = K.osm_nodes(c, 15.36, 75.12, "crowdsourced")
+    return d.select(get("id", "long").alias("id"), get("type").alias("type"), F.round(get("lat", "double"), 6).alias("lat"), F.round(get("lon", "double"), 6).alias("lon"), get("tags.traffic_calming").alias("kind"), get("tags.source").alias("source"), get("tags.observations").alias("observations"), F.round(get("tags.confidence", "double"), 2).alias("confidence"))
 
 
 @query("q_route_upsert", """, n AS (SELECT ride_id AS name, max(d_mm) AS length_mm, count(*) AS n_points, 'learned' AS source FROM r WHERE hit GROUP BY ride_id),
