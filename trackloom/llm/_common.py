@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: What counts as a word: a run of anything but space, tab, newline, vertical tab, form feed and return.
@@ -16,11 +16,14 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _OWN_DIR: list[str] = []
 
 
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local master gets one of its own; on a cluster there is no other."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="trackloom-"))
         atexit.register(shutil.rmtree, _OWN_DIR[0], True)
@@ -31,11 +34,25 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/trackloom-{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives a lost executor."""
+def materialize(df: DataFrame, label: str, *figures: Column) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and survives a lost executor.
+
+    figures: named aggregates over df, taken while it is written; the result has them as the attribute `figures`.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation() if figures else None
+    (df.observe(seen, *figures) if seen else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.path, out.figures = path, seen.get if seen else {}
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables that materialize() has written and that nothing will read again."""
+    for df in written:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:

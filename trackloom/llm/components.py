@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm._common import materialize
+from trackloom.llm._common import discard, materialize
+
+
+def _state() -> list[Column]:
+    """What tells one edge table from another: the number of edges and the sum of their hashes."""
+    return [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")]
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
@@ -14,30 +19,40 @@ def _least_neighbour(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges(a, b) of comparable ids -> node, root: the least id reachable, for every node that has an edge.
+    """edges(a, b) of comparable ids -> node, root: the least id reachable, for every node that has an edge. A written table.
 
     Each round hangs the larger neighbours of a node on its least neighbour (large star), then the smaller ones
     (small star), until nothing changes; the number of rounds grows with the logarithm of a component's size.
-    No neighbourhood is ever collected: a round is two aggregations and two joins, written to the shared folder.
+    No neighbourhood is ever collected: a round is two aggregations and two joins and one job, written to the shared
+    folder; what the round before has written goes. The joins are by sorting whatever the sizes: a round that broadcasts keeps
+    threads and buffers in the driver for tables that next to nothing is gained by.
     """
-    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
-
-    def state(e: DataFrame):
-        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    before = state(e)
+    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges", *_state())
+    if not e.figures["n"]:
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least_neighbour(both), F.col("u") == F.col("n")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(_least_neighbour(both).hint("merge"), F.col("u") == F.col("n")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = _least_neighbour(large)
-        hung = large.join(near, F.col("u") == F.col("n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hung = large.join(near.hint("merge"), F.col("u") == F.col("n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = hung.unionByName(near.select(F.col("n").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        e = materialize(small, "cc-edges")
-        now = state(e)
-        if now == before:
+        now = materialize(small, "cc-edges", *_state())
+        before, e = e, now
+        discard(before)
+        if now.figures == before.figures:
             break
-        before = now
     else:
         raise RuntimeError(f"components are not found after {rounds} rounds")
-    roots = e.groupBy("v").agg(F.count(F.lit(1)).alias("k")).select(F.col("v").alias("node"), F.col("v").alias("root"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    found = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = materialize(found, "cc-roots")
+    discard(e)
+    return out
+
+
+def merge(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of roots(node, root) once links(a, b) are added: node, root. Only links between components are searched."""
+    up = {c: roots.select(F.col("node").alias(f"n_{c}"), F.col("root").alias(f"r_{c}")) for c in "ab"}
+    between = links.join(up["a"], F.col("a") == F.col("n_a"), "left").join(up["b"], F.col("b") == F.col("n_b"), "left")
+    top = components(between.select(F.coalesce("r_a", "a").alias("a"), F.coalesce("r_b", "b").alias("b"))).toDF("of", "top")
+    old = roots.join(top, F.col("root") == F.col("of"), "left").select("node", F.coalesce("top", "root").alias("root"))
+    return old.unionByName(top.join(roots, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("node"), F.col("top").alias("root")))

@@ -5,12 +5,17 @@ are exact bounds, so no link is lost:
 
 * Documents with equal sets are one class (a 64-bit hash of the sorted set); only classes are joined.
 * Shingles are ordered rare first, by counts over all documents in a table of 2^22 counters, ties by hash. Any
-  one order serves for the bounds; the counts put what many documents share at the end, outside the prefix.
+  one order serves for the bounds; the counts, to a sixteenth of an octave, put what many documents share at the end,
+  outside the prefix.
 * A class posts its first n - ceil(0.8 n) + 1 shingles. Classes that can link share a posting, and the smaller one
   has it among its first n - ceil(8n/9) + 1 (prefix filter). Their sizes differ by no more than 0.8 (length
   filter), and the places of the shared shingle must leave room for the overlap needed (positional filter).
-* A signature of 512 parity bits bounds the symmetric difference from below; it stands for the suffix filter, for
-  it partitions the rest of both sets by hash and compares the parts (suffix filter).
+* What follows the shared shingle in both sets is cut at the same `PARTS` - 1 pivots of the one order. The parts of one set
+  can only meet the like parts of the other, so the differences of their sizes add up to a lower bound of how far the
+  suffixes differ (suffix filter, all levels of its recursion at once). A class carries only the sizes of its parts; those of
+  any of its suffixes follow from them, for parts are ranges of the order.
+* Where as many shingles were added as taken away in a part, its size tells nothing: 512 parity bits by hash bound the
+  difference of the whole sets from below as well.
 * What is left is verified on the whole texts, each pair once.
 
 Lists are not expanded into pairs. First every class in a list is tried against the list's first (the class with
@@ -22,7 +27,8 @@ change the result.
 
 Defined results: words are runs of other than ASCII white space with A-Z in lower case; fewer than five words make
 one shingle; null, empty or blank texts have no shingle and link with nothing; equal texts link; repeated rows are
-documents like any other; an empty table gives an empty result; extra columns are ignored.
+documents like any other; rows without an id link like others, and their component_id is the least id of those they are linked
+with, null if none has one; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,11 +42,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm._common import materialize, shuffle_partitions
-from trackloom.llm.components import components
+from trackloom.llm._common import discard, materialize, shuffle_partitions
+from trackloom.llm.components import components, merge
 
 WORDS, PERCENT = 5, 80
-COUNTER_BITS, COUNTER_BLOCKS, SIGNATURE, BLOCK = 22, 64, 512, 1024
+COUNTER_BITS, COUNTER_BLOCKS, PARTS, PARITY, BLOCK = 22, 64, 32, 512, 1024
+#: Counters are kept as steps of 1/16 octave. A part of more shingles than 16 bits hold leaves its class out of the suffix filter.
+OCTAVE, FULL = 16, 65535
 _FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
 
 
@@ -50,7 +58,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     if not found:
         return np.zeros(0, np.uint64)
     if len(found) < words:
-        return np.array([xxhash.xxh3_64_intdigest(b"\0".join(found), seed=len(found))], np.uint64)
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), seed=len(found))], np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     n = len(h) - words + 1
     s = np.zeros(n, np.uint64)
@@ -62,15 +70,46 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(s)
 
 
+def row_hash(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What a row is found again by: 64 bits of its id and text."""
+    return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))
+
+
 def class_of(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
-def signature(s: np.ndarray) -> list[int]:
-    odd = np.bincount((s & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1
+class Order:
+    """Rare first: shingles by (level of their counter, hash), and the parts that the pivots make of that order."""
+
+    def __init__(self, levels: np.ndarray):
+        self.levels = levels
+        kinds = np.bincount(levels)
+        mass = kinds * (np.exp2(np.arange(len(kinds)) / OCTAVE) - 1)
+        below = np.cumsum(mass) - mass
+        self.below, self.mass = below / max(mass.sum(), 1e-9) * PARTS, mass / max(mass.sum(), 1e-9) * PARTS
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        return self.levels[s >> np.uint64(64 - COUNTER_BITS)]
+
+    def parts(self, s: np.ndarray) -> list[int]:
+        """How many shingles each part has, four 16-bit numbers to a long."""
+        level = self.of(s)
+        part = np.minimum(self.below[level] + self.mass[level] * (s / 2.0**64), PARTS - 1).astype(np.int64)
+        sizes = np.bincount(part, minlength=PARTS)
+        return (sizes if sizes.max() < FULL else np.full(PARTS, FULL)).astype(np.uint16).view(np.int64).tolist()
+
+
+def parities(s: np.ndarray) -> list[int]:
+    odd = np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def suffix_sizes(parts: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Of rows of part sizes, the sizes of what follows the shingle at place pos in the order."""
+    return np.clip(np.cumsum(parts, axis=1) - (pos[:, None] + 1), 0, parts)
+
+
 def needed(na, nb, percent: int = PERCENT):
     """The least overlap of a link: ceil(percent / (100 + percent) * (na + nb))."""
     return -(-percent * (na + nb) // (100 + percent))
@@ -96,8 +135,8 @@ def _slices(batches: Iterator[pa.RecordBatch], n: int = 200) -> Iterator[list[li
 
 
 def _describe(docs: DataFrame, words: int) -> DataFrame:
-    """A written table: a row per document (doc_id, n, cls), and per task its counters in zipped blocks (block, counts)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+    """A written table: a row per document (doc_id, row, n, cls), and per task its counters in zipped blocks (block, counts)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, size = np.zeros(1 << COUNTER_BITS, np.uint32), [], 0
@@ -107,7 +146,7 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
             counts[found] += times.astype(np.uint32)
             held.clear()
 
-        for ids, texts in _slices(batches):
+        for ids, texts, row in _slices(batches):
             n, cls = [], []
             for text in texts:
                 s = shingles(text, words)
@@ -118,18 +157,18 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
             if size > 1 << 20:
                 add()
                 size = 0
-            yield _rows([ids, n, cls, [None] * len(ids), [None] * len(ids)], schema)
+            yield _rows([ids, row, n, cls, [None] * len(ids), [None] * len(ids)], schema)
         if held:
             add()
         blocks = [zlib.compress(b.tobytes(), 1) for b in np.split(counts, COUNTER_BLOCKS)]
         none = [None] * COUNTER_BLOCKS
-        yield _rows([none, none, none, list(range(COUNTER_BLOCKS)), blocks], schema)
+        yield _rows([none, none, none, none, list(range(COUNTER_BLOCKS)), blocks], schema)
 
-    return materialize(docs.mapInArrow(run, "doc_id long, n long, cls long, block int, counts binary"), "join-docs")
+    return materialize(docs.mapInArrow(run, "doc_id long, row long, n long, cls long, block int, counts binary"), "join-docs")
 
 
 def _add_counters(described: DataFrame) -> np.ndarray:
-    """The counters of all documents: 2^22 numbers, whatever the size of the table."""
+    """The levels of the counters of all documents: 2^22 numbers of 16 bits, whatever the size of the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -138,12 +177,13 @@ def _add_counters(described: DataFrame) -> np.ndarray:
                 got = np.frombuffer(zlib.decompress(zipped), np.uint32).astype(np.int64)
                 total[block] = total[block] + got if block in total else got
         for block, got in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.minimum(got, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], names=["block", "counts"])
+            level = np.round(np.log2(1.0 + got) * OCTAVE).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "counts"])
 
     parts = described.where("block is not null").select("block", "counts").repartition(COUNTER_BLOCKS, "block").mapInArrow(run, "block int, counts binary").collect()
-    out = np.zeros((COUNTER_BLOCKS, (1 << COUNTER_BITS) // COUNTER_BLOCKS), np.uint32)
+    out = np.zeros((COUNTER_BLOCKS, (1 << COUNTER_BITS) // COUNTER_BLOCKS), np.uint16)
     for r in parts:
-        out[r["block"]] = np.frombuffer(r["counts"], np.uint32)
+        out[r["block"]] = np.frombuffer(r["counts"], np.uint16)
     return out.ravel()
 
 
@@ -152,8 +192,8 @@ def _postings(docs: DataFrame, counters, words: int, percent: int) -> DataFrame:
     schema = pa.schema([("list", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.frombuffer(counters.value, np.uint32), set()
-        for _, texts in _slices(batches):
+        order, seen = Order(np.frombuffer(counters.value, np.uint16)), set()
+        for _, texts, _ in _slices(batches):
             out: list[list[np.ndarray]] = [[], [], [], []]
             for text in texts:
                 s = shingles(text, words)
@@ -162,7 +202,7 @@ def _postings(docs: DataFrame, counters, words: int, percent: int) -> DataFrame:
                     continue
                 seen.add(cls)
                 prefix = n - -(-percent * n // 100) + 1
-                rare = np.argsort(counts[s >> np.uint64(64 - COUNTER_BITS)], kind="stable")[:prefix]  # s is sorted: ties by hash
+                rare = np.argsort(order.of(s), kind="stable")[:prefix]  # s is sorted: ties by hash
                 for c, x in zip(out, (s[rare].view(np.int64), np.full(prefix, cls), np.full(prefix, n, np.int32), np.arange(prefix, dtype=np.int32))):
                     c.append(x)
             if out[0]:
@@ -219,34 +259,41 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
     return materialize(dealt.mapInArrow(run, "kind int, list long, a long, b long, n int, pos int"), "join-lists")
 
 
-def _texts(docs: DataFrame, described: DataFrame, lists: DataFrame, words: int) -> DataFrame:
-    """A written table: cls, n, signature, text of one document of each class that is in a list."""
+def _texts(docs: DataFrame, described: DataFrame, lists: DataFrame, counters, words: int) -> DataFrame:
+    """A written table: cls, n, parts, odd, text of one document of each class that is in a list."""
     wanted = lists.where("kind = 0").select(F.col("a").alias("cls")).distinct()
-    chosen = described.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("id")).join(wanted, "cls", "left_semi")
-    found = docs.join(chosen, F.col("doc_id") == F.col("id")).select("cls", "text")
-    schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("signature", pa.list_(pa.int64())), ("text", pa.string())])
+    chosen = described.where("cls is not null").groupBy("cls").agg(F.min("row").alias("chosen")).join(wanted, "cls", "left_semi")
+    found = docs.join(chosen, F.col("row") == F.col("chosen")).select("cls", "text")
+    schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("parts", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64())), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        order, seen = Order(np.frombuffer(counters.value, np.uint16)), set()
         for cls, texts in _slices(batches):
             sets = [shingles(t, words) if c not in seen else None for c, t in zip(cls, texts)]
-            same = [k for k, s in enumerate(sets) if s is not None and len(s) and class_of(s) == cls[k]]  # a repeated id may have other texts too
+            same = [k for k, s in enumerate(sets) if s is not None and len(s) and class_of(s) == cls[k]]  # another row may have the same 64-bit name
             seen.update(cls[k] for k in same)
-            yield _rows([[cls[k] for k in same], [len(sets[k]) for k in same], [signature(sets[k]) for k in same], [texts[k] for k in same]], schema)
+            yield _rows([[cls[k] for k in same], [len(sets[k]) for k in same], [order.parts(sets[k]) for k in same], [parities(sets[k]) for k in same], [texts[k] for k in same]], schema)
 
-    return materialize(found.mapInArrow(run, "cls long, n long, signature array<long>, text string").dropDuplicates(["cls"]), "join-texts")
+    return materialize(found.mapInArrow(run, "cls long, n long, parts array<long>, odd array<long>, text string").dropDuplicates(["cls"]), "join-texts")
 
 
 def _differ(a: Column, b: Column) -> Column:
-    bits = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    return F.aggregate(bits, F.lit(0), lambda s, x: s + x)
+    """At least how many shingles only one of two whole sets has, by (parts, odd): the sizes of their parts, unless beyond 16 bits, and their parities."""
+    bits = F.zip_with(a["odd"], b["odd"], lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    by_bits = F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s + x)
+    a, b = a["parts"], b["parts"]
+    part = lambda x, k: F.shiftrightunsigned(x, 16 * k).bitwiseAND(F.lit(FULL))
+    off = F.zip_with(a, b, lambda x, y: sum((F.abs(part(x, k) - part(y, k)) for k in range(1, 4)), F.abs(part(x, 0) - part(y, 0))))
+    full = lambda c: F.get(c, F.lit(0)).bitwiseAND(F.lit(FULL)) == FULL
+    by_parts = F.aggregate(off, F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.greatest(by_bits, F.when(~(full(a) | full(b)), by_parts))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """A written table: those of pairs(a, b) that link."""
-    marks = texts.select("cls", "n", "signature")
-    left = marks.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
-    right = marks.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
+    marks = texts.select("cls", "n", F.struct("parts", "odd").alias("m"))
+    left = marks.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("m").alias("sa"))
+    right = marks.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("m").alias("sb"))
     total = F.col("na") + F.col("nb")
     most = total - 2 * F.ceil(F.lit(percent) * total / F.lit(100 + percent))
     near = pairs.join(left, "a").join(right, "b").where(_differ(F.col("sa"), F.col("sb")) <= most).select("a", "b")
@@ -273,20 +320,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return materialize(near.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "join-links")
 
 
-def _cross(lists: DataFrame, roots: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within a list that pass all filters."""
-    spark = lists.sparkSession
+def _rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """A written table: the postings with the component of their class."""
     rows = lists.where("kind = 0").select("list", F.col("a").alias("cls"), "n", "pos")
     rows = rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    rows = materialize(rows, "join-rooted")
+    return materialize(rows, "join-rooted")
+
+
+def _cross(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components within a list that pass all filters."""
+    spark = rows.sparkSession
     unsettled = rows.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("m > 2 and lo <> hi").select("list", F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks"))
-    rows = rows.join(unsettled, "list").join(texts.select("cls", "signature"), "cls")
+    rows = rows.join(unsettled, "list").join(texts.select("cls", "parts", "odd"), "cls")
     own = F.pmod(F.xxhash64("cls"), F.col("blocks"))
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "n", "pos", "root", *[F.col("signature")[k].alias(f"s{k}") for k in range(SIGNATURE // 64)])
+    rows = rows.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "n", "pos", "root", *[F.col(c)[k].alias(f"{c}{k}") for c, n in (("parts", PARTS // 4), ("odd", PARITY // 64)) for k in range(n)])
     rows = rows.repartition(shuffle_partitions(spark), "list", "i", "j").sortWithinPartitions("list", "i", "j", "n")
 
     def compare(own, cls, n, pos, root, marks, i, j) -> Iterator[np.ndarray]:
+        odd, parts = marks[:, PARTS // 4 :], np.ascontiguousarray(marks[:, : PARTS // 4]).view(np.uint16).astype(np.int64)
+        full, after = parts[:, 0] == FULL, suffix_sizes(parts, pos)
         for k in range(len(cls) - 1):
             hi = int(np.searchsorted(n, 100 * n[k] // percent, side="right"))
             if hi <= k + 1:
@@ -297,7 +350,10 @@ def _cross(lists: DataFrame, roots: DataFrame, texts: DataFrame, percent: int) -
                 ok &= own[s] != own[k]
             at = np.flatnonzero(ok) + k + 1
             if len(at):
-                gap = np.bitwise_count((marks[at] ^ marks[k]).view(np.uint64)).sum(1, dtype=np.int64)
+                # what the suffixes may differ by at most, if all before them were common
+                room = n[k] - pos[k] + n[at] - pos[at] - 2 - 2 * (needed(n[k], n[at], percent) - np.minimum(pos[k], pos[at]) - 1)
+                at = at[full[k] | full[at] | (np.abs(after[at] - after[k]).sum(1) <= room)]
+                gap = np.bitwise_count((odd[at] ^ odd[k]).view(np.uint64)).sum(1, dtype=np.int64)
                 at = at[gap <= n[k] + n[at] - 2 * needed(n[k], n[at], percent)]
                 if len(at):
                     yield np.stack([np.minimum(cls[at], cls[k]), np.maximum(cls[at], cls[k])], axis=1)
@@ -331,24 +387,33 @@ def _cross(lists: DataFrame, roots: DataFrame, texts: DataFrame, percent: int) -
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, with_rows: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included).
+
+    with_rows: and row (row_hash of the document) and root, which names its component and is null for texts without words.
+    """
     spark = docs.sparkSession
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    described = _describe(base, words)
-    counters = spark.sparkContext.broadcast(_add_counters(described).tobytes())
-    described = described.where("block is null").select("doc_id", "n", "cls")
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), row_hash(id_col, text_col).alias("row"))
+    written = _describe(base, words)
+    counters = spark.sparkContext.broadcast(_add_counters(written).tobytes())
+    described = written.where("block is null").select("doc_id", "row", "n", "cls")
     lists = _lists(_postings(base, counters, words, percent), percent)
-    texts = _texts(base, described, lists, words)
+    texts = _texts(base, described, lists, counters, words)
+    counters.destroy()  # what was made with it is written
     tried = lists.where("kind = 1").select("a", "b").distinct()
     links = _verified(tried, texts, words, percent)
-    more = _cross(lists, components(links), texts, percent).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(more, texts, words, percent))
     roots = components(links)
+    rooted = _rooted(lists, roots)
+    more = _verified(_cross(rooted, texts, percent).join(tried, ["a", "b"], "left_anti"), texts, words, percent)
+    discard(lists, rooted, texts)
+    roots = merge(roots, more)
 
     least = described.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    of_root = roots.join(least, F.col("node") == F.col("cls")).groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = roots.join(of_root, "root").select(F.col("node").alias("cls"), "component_id")
-    labels = least.join(of_class, "cls", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
+    of_class = materialize(least.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root")), "join-classes")
+    discard(links, more)
+    of_root = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = of_class.join(of_root, "root").select("cls", "root", "component_id")
     found = described.join(labels, "cls", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # a text without words has no class
+    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *(["row", "root"] if with_rows else []))
