@@ -1,16 +1,19 @@
 """WARC archives as tables of chunks.
 
-Writing: each task writes one archive to a folder that all executors share and reports it as a manifest row; only
-archives in the (written) manifest count, so a repeated task leaves nothing double. Of records with equal payloads
-of at least `least_bytes` one is a response, the others are revisits that name it; which one is found by digest and
-length in an aggregation, so a payload that a third of all pages share is one row per task before it is shuffled.
+Writing: payloads are cut into chunk rows by Spark (record, chunk number, bytes), which each task streams into one archive in
+a folder that all executors share; no whole record enters Python, and the length and digest that a record's head needs come as columns. A task
+reports its archive as a manifest row; only archives in the (written) manifest count, so a repeated task leaves nothing
+double. Of records with equal payloads of at least `least_bytes` one is a response, the others are revisits that name it. Which
+one is found by digest and length in an aggregation, so a payload that a third of all pages share is one row per task before
+it is shuffled, and by digests alone: payloads are never dealt by their digest.
 
 Reading: archives are streamed. A payload comes as rows of record id and chunk number, each with the running length
 and the running SHA-1 of all chunks so far; no more than a chunk of a payload is held, however long the record is.
 
 Paths are opened by Arrow's file systems (file, hdfs, s3, gs). Defined results: a null payload is empty, and empty
-payloads are responses; repeated page ids are written as often as they occur; null urls are written as empty; an
-empty table gives an archive without records and an empty result; extra columns are ignored.
+payloads are responses; repeated page ids are written as often as they occur; null page ids are written as responses and read
+back as null; null urls are written as empty; an empty table gives an archive without records and an empty result; extra
+columns are ignored; a head line of more than `LONGEST_LINE` bytes is an error.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm._common import materialize, new_path, text_or_empty
 
-CHUNK, LEAST_BYTES = 1 << 20, 1000
+CHUNK, LEAST_BYTES, LONGEST_LINE = 1 << 20, 1000, 1 << 26
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -43,14 +46,19 @@ def _open(uri: str, write: bool):
     return system.open_input_stream(path, buffer_size=CHUNK)
 
 
-def _record(out: BinaryIO, fields: list[tuple[str, str]], payload: memoryview) -> None:
-    """One record as one gzip member, as archives have them, so that each can be read alone."""
-    pressed = zlib.compressobj(1, wbits=31)
-    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + f"Content-Length: {len(payload)}\r\n\r\n"
-    out.write(pressed.compress(head.encode()))
-    for at in range(0, len(payload), CHUNK):
-        out.write(pressed.compress(payload[at : at + CHUNK]))
-    out.write(pressed.compress(b"\r\n\r\n") + pressed.flush())
+class _Record:
+    """One record as one gzip member, as archives have them, so that each can be read alone. Its payload comes by chunks."""
+
+    def __init__(self, out: BinaryIO, fields: list[tuple[str, str]], length: int):
+        self.out, self.pressed = out, zlib.compressobj(1, wbits=31)
+        head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + f"Content-Length: {length}\r\n\r\n"
+        out.write(self.pressed.compress(head.encode()))
+
+    def add(self, data) -> None:
+        self.out.write(self.pressed.compress(data))
+
+    def close(self) -> None:
+        self.out.write(self.pressed.compress(b"\r\n\r\n") + self.pressed.flush())
 
 
 def _one_line(value: str) -> str:
@@ -61,31 +69,52 @@ def choose_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     """page_id, url, payload (text), target: the page that this one revisits, null for responses."""
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), text_or_empty(F.col(f"`{payload_col}`")).alias("payload"))
     rows = rows.withColumn("n", F.octet_length("payload")).withColumn("h", F.unhex(F.sha2("payload", 256)))
-    first = rows.where(F.col("n") >= least_bytes).groupBy("h", "n").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("h").alias("h2"), F.col("n").alias("n2"), "best")
-    found = rows.join(first, (F.col("h") == F.col("h2")) & (F.col("n") == F.col("n2")), "left")
-    return found.select("page_id", "url", "payload", F.when(F.col("best") != F.col("page_id"), F.col("best")).alias("target"))
+    marks = rows.select("page_id", "h", "n").where(F.col("n") >= least_bytes)
+    first = marks.groupBy("h", "n").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    revisits = marks.join(first, ["h", "n"]).where("page_id <> best").select(F.col("page_id").alias("p2"), F.col("h").alias("h2"), F.col("best").alias("target")).distinct()
+    found = rows.join(revisits, (F.col("page_id") == F.col("p2")) & (F.col("h") == F.col("h2")), "left")
+    return found.select("page_id", "url", "payload", "target")
+
+
+def payload_chunks(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """records(page_id, url, payload, target) -> page_id, url, target, length, sha1, chunk, last, data: the rows of a record one after the other."""
+    body = records.withColumn("payload", F.col("payload").cast("binary"))
+    length = F.when(F.col("target").isNull(), F.octet_length("payload")).otherwise(0).cast("long")
+    heads = body.select("page_id", "url", "target", "payload", length.alias("length"), F.sha1("payload").alias("sha1"))
+    most = F.greatest(F.ceil(F.col("length") / chunk) - 1, F.lit(0)).cast("int")
+    rows = heads.select("*", most.alias("most"), F.explode(F.sequence(F.lit(0), most)).alias("chunk"))
+    data = F.substring("payload", F.col("chunk") * chunk + 1, F.lit(chunk))
+    return rows.select("page_id", "url", "target", "length", "sha1", "chunk", (F.col("chunk") == F.col("most")).alias("last"), F.when(F.col("length") > 0, data).alias("data"))
 
 
-def write_archives(records: DataFrame, folder: str) -> DataFrame:
+def write_archives(records: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
     """records(page_id, url, payload, target) -> the manifest (path, records, bytes), a written table."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, n = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
+        path, n, record = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, None
         with _open(path, True) as out:
-            _record(out, [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("Content-Type", "application/warc-fields")], memoryview(b"format: WARC File Format 1.1\r\n"))
+            note = b"format: WARC File Format 1.1\r\n"
+            record = _Record(out, [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("Content-Type", "application/warc-fields")], len(note))
+            record.add(note)
+            record.close()
             for batch in batches:
-                for lo in range(0, batch.num_rows, 100):
-                    for page, url, payload, target in zip(*(c.to_pylist() for c in batch.slice(lo, 100).columns)):
-                        body = payload.encode()
-                        fields = [("WARC-Type", "response" if target is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{page}>"), ("WARC-Target-URI", _one_line(url or "")), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode())]
+                data = batch.column(7)
+                heads = zip(*(c.to_pylist() for c in batch.columns[:7]))
+                for i, (page, url, target, length, sha1, k, last) in enumerate(heads):
+                    if k == 0:
+                        fields = [("WARC-Type", "response" if target is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{page}>"), ("WARC-Target-URI", _one_line(url or "")), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode())]
                         if target is not None:
                             fields += [("WARC-Refers-To", f"<urn:page:{target}>"), ("WARC-Profile", REVISIT_PROFILE)]
-                        _record(out, fields, memoryview(body if target is None else b""))
+                        record = _Record(out, fields, length)
                         n += 1
+                    if data[i].is_valid:
+                        record.add(data[i].as_buffer())
+                    if last:
+                        record.close()
             size = out.tell()
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "bytes"])
 
-    return materialize(records.select("page_id", "url", "payload", "target").mapInArrow(write, "path string, records long, bytes long"), "warc-manifest")
+    return materialize(payload_chunks(records, chunk).mapInArrow(write, "path string, records long, bytes long"), "warc-manifest")
 
 
 class _Source:
@@ -108,6 +137,8 @@ class _Source:
                 out, self.at = self.held[self.at : end], end + 2
                 return out
             n = len(self.held) - self.at
+            if n > LONGEST_LINE:
+                raise ValueError(f"a head line is longer than {LONGEST_LINE} bytes")
             if not self.fill(n + 1):
                 out, self.at = self.held[self.at :], len(self.held)
                 return out
@@ -175,10 +206,10 @@ def round_trip(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     A revisit's payload is that of the response it names, found among the records read.
     """
     spark = pages.sparkSession
-    manifest = write_archives(choose_revisits(pages, id_col, url_col, payload_col, least_bytes), folder or new_path(spark, "warc"))
+    manifest = write_archives(choose_revisits(pages, id_col, url_col, payload_col, least_bytes), folder or new_path(spark, "warc"), chunk)
     ends = read_chunks(spark, manifest, chunk, with_data=False).where("last and type <> 'warcinfo'")
-    page = F.regexp_extract("record_id", r"^urn:page:(-?\d+)$", 1).cast("long")
-    target = F.regexp_extract("target", r"^urn:page:(-?\d+)$", 1).cast("long")
+    page = F.regexp_extract("record_id", r"^urn:page:(-?\d+)$", 1).try_cast("long")
+    target = F.regexp_extract("target", r"^urn:page:(-?\d+)$", 1).try_cast("long")
     ends = materialize(ends.select(page.alias("page_id"), F.col("type").alias("record_type"), target.alias("refers_to"), F.col("length_so_far").alias("payload_bytes"), F.col("sha1_so_far").alias("payload_digest")), "warc-records")
     named = ends.where("record_type = 'revisit'").select(F.col("refers_to").alias("id")).distinct()
     known = ends.where("record_type = 'response'").join(named, F.col("page_id") == F.col("id"), "left_semi").select(F.col("page_id").alias("id"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d")).dropDuplicates(["id"])
