@@ -8,7 +8,8 @@ Likeness is 1 less the edit distance (insertions and deletions 1, replacements 2
 compatible block size that both have, and 0 if no run of characters is common or no size is compatible.
 
 Defined results: null counts as empty; the fingerprint of an empty text is "3::", alike (1) to itself and to
-nothing else (0); equal texts have equal fingerprints and likeness 1; whole texts are read, however long.
+nothing else (0); equal texts have equal fingerprints and likeness 1; whole texts are read, however long; rows that repeat an
+id lie in one range; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from trackloom.llm._common import shuffle_partitions, text_or_empty
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW, SMALLEST, MOST_CUTS, RUN = 7, 3, 63, 5
+#: Text of a range of ids, and how many ranges there are at most; how finely work is dealt, not what comes out.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 16_384
 
 
 def rolling_hash(data: np.ndarray) -> np.ndarray:
@@ -133,30 +136,32 @@ OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text against itself with the last third replaced by the start of the next document, and against that.
 
-    Next is by descending id (ties: descending text); after the last comes the first. Ids are cut into ranges at
-    quantiles; a range is one sorted run in one task, and each range also gets a copy of the first row of the
-    range after it, so every text is shuffled once and no task sees more than its ranges.
+    Next is by descending id (ties: descending text; rows without an id last); after the last comes the first. Ids are cut into
+    ranges at quantiles, one for every `RANGE_BYTES` of text; a range is one sorted run in one task, and each range also gets a
+    copy of the first row of the range after it, so every text is shuffled once and no task sees more than its ranges.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(F.col(f"`{text_col}`")).alias("text"))
-    n = 4 * shuffle_partitions(spark)
-    splits = base.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0]
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(MOST_RANGES, max(shuffle_partitions(spark), -(-size // RANGE_BYTES)))
+    splits = base.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n)).first()[0]
     edges = np.array(sorted(set(splits or [])), np.int64)
 
     @F.pandas_udf("long")
-    def range_of(ids: pd.Series) -> pd.Series:
+    def place(ids: pd.Series) -> pd.Series:
         return pd.Series(len(edges) - np.searchsorted(edges, ids.to_numpy(), side="left"))
 
-    base = base.withColumn("range", range_of("doc_id"))
+    of_range = F.when(F.col("doc_id").isNull(), F.lit(len(edges) + 1)).otherwise(place(F.coalesce("doc_id", F.lit(0).cast("long"))))
+    base = base.withColumn("range", of_range)
     # one row for each range, of which there are as many as we asked for above
-    heads = sorted((r["range"], r["head"]) for r in base.groupBy("range").agg(F.max("doc_id").alias("head")).collect())
+    heads = sorted(((r["range"], r["head"]) for r in base.groupBy("range").agg(F.max("doc_id").alias("head")).collect()), key=lambda r: r[0])
     if not heads:
         return spark.createDataFrame([], OUT)
     follows = [(heads[i][0], heads[(i + 1) % len(heads)][1]) for i in range(len(heads))]
-    guests = base.drop("range").join(F.broadcast(spark.createDataFrame(follows, "range long, doc_id long")), "doc_id")
-    guests = guests.groupBy("range", "doc_id").agg(F.max("text").alias("text"))
+    first = F.broadcast(spark.createDataFrame(follows, "range long, head long"))
+    guests = base.drop("range").join(first, F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("range", "doc_id").agg(F.max("text").alias("text"))
     rows = base.select("range", "doc_id", "text", F.lit(False).alias("guest")).unionByName(guests.select("range", "doc_id", "text", F.lit(True).alias("guest")))
-    rows = rows.repartition(shuffle_partitions(spark), "range").sortWithinPartitions("range", "guest", F.col("doc_id").desc(), F.col("text").desc())
+    rows = rows.repartition(n, "range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

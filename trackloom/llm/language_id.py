@@ -5,7 +5,7 @@ counts) and normalised. Each language has several centroids, found by spherical
 of the centroid nearest by cosine, and is rejected if even that one is too far for a text of its length. How far
 texts of a length are is learned from the beginnings of the sampled texts: short ones lie farther off. Document frequencies cover all
 labelled training rows; the centroids are fitted on a bounded sample of them (`per_language` rows of each
-language expected, chosen by a hash of the id), which alone comes to the driver, as 16-bit vectors.
+language expected, chosen by a hash of the id), which alone comes to the driver, as zipped 16-bit vectors.
 
 Defined results: a text that is null, empty or without any letter is "und" with score 0 and rejected; a text
 whose best cosine is below the threshold of its length keeps the nearest language in lang_pred and is rejected; without any
@@ -15,6 +15,7 @@ Whole texts are read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm._common import materialize
 
-DIMENSIONS, PER_LANGUAGE, CENTROIDS, ROUNDS = 4096, 400, 4, 12
+DIMENSIONS, PER_LANGUAGE, CENTROIDS, ROUNDS, MOST_LANGUAGES = 4096, 400, 4, 12, 200
 #: A text is rejected below this share of the cosine that all but one in a hundred beginnings of training texts with as many grams reach.
 REJECT_SHARE = 0.85
 #: Letters of those beginnings. Gram counts fall into buckets by their power of two; one with fewer beginnings than LEAST_KNOWN takes the threshold of the next shorter one.
@@ -122,11 +123,12 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centres
 
 
-def fit(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> CentroidModel:
-    """trainable: which rows may be learned from; rows without a language never are."""
+def fit(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, most_languages: int = MOST_LANGUAGES) -> CentroidModel:
+    """trainable: which rows may be learned from; rows without a language never are. Of more names than most_languages the most frequent are learned."""
     lang = F.col(f"`{lang_col}`")
     rows = docs.where(lang.isNotNull() & (F.lit(True) if trainable is None else trainable))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    known = rows.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    sizes = {r["lang"]: r["n"] for r in known.collect()}
     share = F.lit(0.0)
     for name, n in sizes.items():
         share = F.when(lang == name, F.lit(min(1.0, per_language / n))).otherwise(share)
@@ -147,7 +149,7 @@ def fit(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id"
                     frequency += counts > 0
                     n += 1
                     if keep:
-                        out.append((language, np.minimum(counts, 65504).astype(np.float16).tobytes(), text[: BEGINNINGS[-1] + 1]))
+                        out.append((language, zlib.compress(np.minimum(counts, 65504).astype(np.float16).tobytes(), 1), text[: BEGINNINGS[-1] + 1]))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary()), pa.array([None] * len(out), pa.int64()), pa.array([x[2] for x in out], pa.string())], schema=schema)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([frequency.tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([None], pa.string())], schema=schema)
 
@@ -170,7 +172,7 @@ def fit(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id"
     names = np.array(sample.column("lang").to_pylist(), dtype=object)
     if not len(names):
         return model
-    vectors = np.stack([model.vector(np.frombuffer(v, np.float16).astype(np.float32)) for v in sample.column("vector").to_pylist()]).astype(np.float32)
+    vectors = np.stack([model.vector(np.frombuffer(zlib.decompress(v), np.float16).astype(np.float32)) for v in sample.column("vector").to_pylist()]).astype(np.float32)
     model.languages = sorted(set(names))
     found = [cluster(vectors[names == name], centroids) for name in model.languages]
     model.owner = np.concatenate([np.full(len(c), i) for i, c in enumerate(found)])

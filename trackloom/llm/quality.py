@@ -3,8 +3,9 @@
 A document is a bag of passages of 50 words. A passage becomes counts of its characters by class, word statistics and
 hashed words; a small network encodes it, and a second one gives it a gated attention weight (tanh times sigmoid).
 The encoded passages, summed by softmax of their weights, are scored as one vector. Everything is learned from the
-documents' labels alone, on a bounded sample: about `per_class` documents of each label, chosen by a hash of the id.
-Only their passage features come to the driver, which trains in numpy; scoring is a pandas UDF over all texts.
+documents' labels alone, on a bounded sample: about `per_class` documents of each label, chosen by a hash of the id, and of
+each no more than `most_passages` evenly spaced passages. Only their features come to the driver (half a KB a passage), which
+trains in numpy; scoring is a pandas UDF over all passages of all texts.
 
 Defined results: null and empty texts are one empty passage and get a score like any other; rows that repeat an
 id are scored alike; labels that are null are ignored and of repeated ones the greatest counts; without any
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PASSAGE, HASHED, PER_CLASS, HIDDEN, ATTENTION, EPOCHS = 50, 192, 1500, 32, 16, 20
+PASSAGE, HASHED, PER_CLASS, MOST_PASSAGES, HIDDEN, ATTENTION, EPOCHS = 50, 192, 1500, 40, 32, 16, 20
 
 
 def _classes() -> np.ndarray:
@@ -108,6 +109,20 @@ class AttentionModel:
         return float(self.forward(x, np.array([0]))["s"][0])
 
 
+def gradients(model: AttentionModel, x: np.ndarray, starts: np.ndarray, labels: np.ndarray, cost: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean log loss of documents (rows of x from starts on), each weighed by its cost, by every weight."""
+    p, f = model.weights, model.forward(x, starts)
+    ds = (f["s"] - labels) * cost / len(labels)
+    dz = ds[:, None] * p["c"]
+    dz_of = np.repeat(dz, f["sizes"], axis=0)
+    da = (dz_of * f["h"]).sum(1)
+    de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, starts), f["sizes"]))
+    gate = de[:, None] * p["w"]
+    dv, du = gate * f["u"] * (1 - f["v"] ** 2), gate * f["v"] * f["u"] * (1 - f["u"])
+    dh = (f["a"][:, None] * dz_of + dv @ p["V"].T + du @ p["U"].T) * (1 - f["h"] ** 2)
+    return {"W": x.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dv, "U": f["h"].T @ du, "w": (f["v"] * f["u"]).T @ de, "c": f["z"].T @ ds, "d": ds.sum(keepdims=True)}
+
+
 def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> AttentionModel:
     """Adam on the mean log loss, each class weighing the same; bags of 64 documents a step."""
     rng = np.random.default_rng(seed)
@@ -129,16 +144,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate
             some = order[lo : lo + 64]
             x = np.concatenate([every[at[i] : at[i + 1]] for i in some])
             starts = np.cumsum([0, *(at[i + 1] - at[i] for i in some)])[:-1]
-            f = model.forward(x, starts)
-            ds = (f["s"] - labels[some]) * cost[some] / len(some)
-            dz = ds[:, None] * p["c"]
-            dz_of = np.repeat(dz, f["sizes"], axis=0)
-            da = (dz_of * f["h"]).sum(1)
-            de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, starts), f["sizes"]))
-            gate = de[:, None] * p["w"]
-            dv, du = gate * f["u"] * (1 - f["v"] ** 2), gate * f["v"] * f["u"] * (1 - f["u"])
-            dh = (f["a"][:, None] * dz_of + dv @ p["V"].T + du @ p["U"].T) * (1 - f["h"] ** 2)
-            grads = {"W": x.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dv, "U": f["h"].T @ du, "w": (f["v"] * f["u"]).T @ de, "c": f["z"].T @ ds, "d": ds.sum(keepdims=True)}
+            grads = gradients(model, x, starts, labels[some], cost[some])
             step += 1
             for k, g in grads.items():
                 g = g + decay * p[k]
@@ -148,7 +154,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> AttentionModel:
+def fit(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, most_passages: int = MOST_PASSAGES) -> AttentionModel:
     """trainable: a condition on doc_id that says which labels may be learned from."""
     known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("y")).where("doc_id is not null and y is not null")
     known = (known if trainable is None else known.where(trainable)).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -161,11 +167,17 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, id_
     # some thousand ids, by per_class
     rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"))
 
+    def some(text: str | None) -> bytes:
+        x = passages(text)
+        if len(x) > most_passages:
+            x = x[np.linspace(0, len(x) - 1, most_passages).astype(int)]
+        return x.astype(np.float16).tobytes()
+
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 ids, found, y = (c.to_pylist() for c in batch.slice(lo, 200).columns)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([passages(t).astype(np.float16).tobytes() for t in found], pa.binary()), pa.array(y, pa.int32())], names=["doc_id", "x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([some(t) for t in found], pa.binary()), pa.array(y, pa.int32())], names=["doc_id", "x", "y"])
 
     got = rows.mapInArrow(featurise, "doc_id long, x binary, y int").toArrow().sort_by("doc_id")
     bags = [np.frombuffer(b, np.float16).astype(np.float32).reshape(-1, FEATURES) for b in got.column("x").to_pylist()]

@@ -7,6 +7,9 @@ is divided among all who link to a host, so it fades as that host grows popular;
 but weighs them by their share of the linking host's own links, which does not depend on who else links. A host
 of which either is above `least_distrust` of a seed's mean share and above its trust is blocked.
 
+Links are what href, src, action, cite and formaction name: absolute, without a scheme (//host), or relative to the page or its
+<base>; slashes and colons may be written as entities.
+
 Defined results: host and path of a null url or one without "://" are empty, such a url meets no rule and is
 allowed; null html has no links; repeated pages count again as links, which does not change shares by much and
 never the rules; an empty table gives an empty result; extra columns are ignored.
@@ -23,7 +26,9 @@ from trackloom.llm._common import materialize
 
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
-LINK_PATTERN = r"""(?i)href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+#: Values of attributes that name another place; the second group is one without quotes.
+LINK_PATTERN = r"""(?i)[\s"'](?:href|src|action|data-href|cite|formaction)\s*=\s*(?:["']\s*([^"'>]*)|([^"'\s>]+))"""
+BASE_PATTERN = r"""(?i)<base\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -46,11 +51,27 @@ def best_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
+def link_host(link: Column, base: Column) -> Column:
+    """Host of a link as it stands in a page: absolute, without a scheme (//host), or relative to the page's or its base's host."""
+    link = F.replace(F.trim(link), F.lit("&amp;"), F.lit("&"))
+    for entity, mark in (("&#47;", "/"), ("&#x2f;", "/"), ("&#58;", ":"), ("&#x3a;", ":")):
+        link = F.replace(link, F.lit(entity), F.lit(mark))
+    absolute = link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://")
+    other = link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")  # mailto: and the like
+    return F.when(absolute, host_of(link)).when(link.startswith("//"), host_of(F.concat(F.lit("x:"), link))).when(other, F.lit("")).otherwise(base)
+
+
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """src, dst, links: absolute links between different hosts."""
-    targets = F.explode(F.transform(F.regexp_extract_all(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), F.lit(LINK_PATTERN), F.lit(1)), host_of))
-    links = pages.select(host_of(F.col(f"`{url_col}`")).alias("src"), targets.alias("dst"))
-    return links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
+    """src, dst, links: links between different hosts, relative ones resolved."""
+    html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
+    named = F.regexp_extract(html, BASE_PATTERN, 1)
+    p = pages.select(host_of(F.col(f"`{url_col}`")).alias("src"), html.alias("html"), named.alias("named"))
+    p = p.withColumn("base", F.when(F.col("named") == "", F.col("src")).otherwise(link_host(F.col("named"), F.col("src"))))
+    found = F.concat(F.regexp_extract_all("html", F.lit(LINK_PATTERN), F.lit(1)), F.regexp_extract_all("html", F.lit(LINK_PATTERN), F.lit(2)))
+    links = p.where("src <> ''").select("src", "base", F.explode(found).alias("link")).where("link <> ''")
+    # most links stay on their host
+    links = links.select("src", link_host(F.col("link"), F.col("base")).alias("dst")).where("dst <> '' and src <> dst")
+    return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, checkpoint_every: int = 4) -> DataFrame:
