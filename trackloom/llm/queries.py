@@ -67,7 +67,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    # chunks so small that most of these pages have several
+    return warc.round_trip(table(spark, sf_dir, "pages"), chunk=4096)
 
 
 OP7_SQL = """
@@ -84,14 +85,14 @@ def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
 
-OP8_SQL = """
+OP8_SQL = r"""
 WITH people AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role IS NOT NULL AND role <> 'system'),
 r AS (
-  SELECT c.conv_id, p.perspective, c.turn, c.role AS speaker, coalesce(c.text, '') AS said,
+  SELECT c.conv_id, p.perspective, c.turn, c.role AS speaker, regexp_replace(coalesce(c.text, ''), '<(\\*)\|', '<\\\1\1|', 'g') AS said,
          CASE WHEN c.role = 'system' THEN 'system' WHEN c.role = p.perspective THEN 'assistant' ELSE 'user' END AS shown_as
   FROM conversations c JOIN people p ON c.conv_id IS NOT DISTINCT FROM p.conv_id),
 h AS (
-  SELECT *, '<|im_start|>' || shown_as || CASE WHEN shown_as = 'user' THEN ' name=' || coalesce(speaker, 'unknown') ELSE '' END || chr(10) AS header
+  SELECT *, '<|im_start|>' || shown_as || CASE WHEN shown_as = 'user' THEN ' name=' || regexp_replace(regexp_replace(coalesce(speaker, 'unknown'), '<(\\*)\|', '<\\\1\1|', 'g'), '\s', '_', 'g') ELSE '' END || chr(10) AS header
   FROM r)
 SELECT conv_id, perspective, turn, speaker, shown_as, header || said || '<|im_end|>' || chr(10) AS segment,
        shown_as = 'assistant' AS train, CASE WHEN shown_as = 'assistant' THEN length(header) END::BIGINT AS mask_start,
@@ -122,18 +123,23 @@ s3 AS (
   FROM s2 WINDOW o AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s4 AS (SELECT *, least(cap, w * coalesce(max(CASE WHEN level <= ratio THEN level END) OVER (), 'inf'::DOUBLE)) AS target FROM s3),
 s5 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM s4),
-s6 AS (SELECT *, target - whole * source_size AS need, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0 END AS p0 FROM s5),
-s7 AS (SELECT *, least(greatest(p0, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE) AS p FROM s6),
+s6 AS (SELECT *, target - whole * source_size AS need FROM s5),
+o AS (SELECT *, pow(2.0::DOUBLE, round(log2(1.0::DOUBLE / length(bin(size))) * 16) / 16) AS own FROM d),
+c0 AS (SELECT o.source, s.need, own, sum(size) AS words FROM o JOIN s6 s ON o.source IS NOT DISTINCT FROM s.source WHERE size > 0 GROUP BY ALL),
+c1 AS (
+  SELECT *, (need - coalesce(sum(words) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(own * words) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c
+  FROM c0 WINDOW w AS (PARTITION BY source ORDER BY own DESC)),
+c2 AS (SELECT source, coalesce(arg_max(c, own) FILTER (WHERE c * own <= 1), 'inf'::DOUBLE) AS c FROM c1 GROUP BY source),
 k AS (
-  SELECT d.doc_id, d.source, d.size, s.source_size, s.target, s.whole, s.need, (d.u / (1 - d.u)) / (s.p / (1 - s.p)) AS q
-  FROM d JOIN s7 s ON d.source IS NOT DISTINCT FROM s.source),
-r AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0::DOUBLE AS middle
-  FROM k)
-SELECT doc_id, source, size, source_size, target,
-       (whole + CASE WHEN need > 0 AND size > 0 AND middle < need THEN 1 ELSE 0 END)::BIGINT AS copies,
-       ((whole + CASE WHEN need > 0 AND size > 0 AND middle < need THEN 1 ELSE 0 END) * size)::BIGINT AS taken
-FROM r
+  SELECT o.doc_id, o.source, o.size, s.source_size, s.target, s.whole, s.need, o.u, least(greatest(coalesce(c2.c, 0) * own, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE) AS p
+  FROM o JOIN s6 s ON o.source IS NOT DISTINCT FROM s.source LEFT JOIN c2 ON o.source IS NOT DISTINCT FROM c2.source),
+q AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS q, need > 0 AND size > 0 AS drawable FROM k),
+r AS (SELECT *, drawable AND sum(CASE WHEN drawable THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= need AS drawn FROM q),
+g AS (SELECT source, any_value(need) - coalesce(sum(size) FILTER (WHERE drawn), 0) AS gap FROM r GROUP BY source),
+f AS (SELECT r.source, arg_min(doc_id, (abs(size - gap), q, doc_id)) AS filler FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source WHERE drawable AND NOT drawn AND abs(size - gap) < gap GROUP BY r.source)
+SELECT r.doc_id, r.source, size, source_size, target, (whole + CASE WHEN drawn OR r.doc_id = f.filler THEN 1 ELSE 0 END)::BIGINT AS copies,
+       ((whole + CASE WHEN drawn OR r.doc_id = f.filler THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM r LEFT JOIN f ON r.source IS NOT DISTINCT FROM f.source
 """
 
 
