@@ -230,8 +230,11 @@ def test_distrust_blocks_who_links_to_blocked(spark):
 def test_warc_chunks_carry_running_digests():
     out = io.BytesIO()
     body = random.Random(7).randbytes(1000)
-    warc._record(out, [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:page:1>")], memoryview(body))
-    warc._record(out, [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:page:2>")], memoryview(b""))
+    for page, data in ((1, body), (2, b"")):
+        record = warc._Record(out, [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:page:{page}>")], len(data))
+        for at in range(0, len(data), 77):
+            record.add(data[at : at + 77])
+        record.close()
     import gzip
 
     rows = list(warc.stream_chunks(gzip.GzipFile(fileobj=io.BytesIO(out.getvalue())), 300))
