@@ -139,3 +139,10 @@ def clip(track: DataFrame, gates: DataFrame, most: float, key: str = "ride_id",
     near = near.select(key, F.col(f"a.{t}").alias("__a"), F.col(f"b.{t}").alias("__b"))
     cut = track.join(near, key).where(F.col(t).between(F.least("__a", "__b"), F.greatest("__a", "__b")))
     return cut.withColumn("n", F.abs(F.col(t) - F.col("__a"))).drop("__a", "__b")
+
+
+def weighted_centroids(fixes: DataFrame, keys: list[str], weight: Column, x: str = "x_mm", y: str = "y_mm") -> DataFrame:
+    """keys, n, x, y: the weighted mean place of each group of fixes, to three digits."""
+    f = fixes.withColumn("__w", weight)
+    mean = lambda c: F.round(F.sum(F.col("__w") * F.col(c)) / F.sum("__w"), 3)
+    return f.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), mean(x).alias("x"), mean(y).alias("y"))

@@ -29,7 +29,7 @@ ms AS (SELECT *, s0 + u * (s1 - s0) AS s, sqrt(pow(ax + u * (bx - ax) - px, 2) +
 
 def beside(spark, sf_dir):
     """Points some metres beside their road, and the segments of all roads."""
-    r = materialize(rides(spark, sf_dir).select("ride_id", "seq", "d_mm", "x_mm", "y_mm", "dx_mm", "dy_mm", "k", "gnss_ok"), "rides")
+    r = materialize(rides(spark, sf_dir).select("ride_id", "seq", "d_mm", "x_mm", "y_mm", "dx_mm", "dy_mm", "k", "gnss_ok", "hit"), "rides")
     points = r.select("ride_id", "seq", F.col("d_mm").alias("d"), "gnss_ok", (F.col("x_mm") + (F.col("k") - 50) * 40).alias("px"), (F.col("y_mm") - (F.col("k") % 7) * 300).alias("py"))
     return r, points, J.legs(r)
 
@@ -241,3 +241,22 @@ def consensus_draws(spark, sf_dir):
     m = near.join(F.broadcast(draws), "track").groupBy("draw", "ride_id", "i").agg(F.percentile("x", 0.5).alias("px"), F.percentile("y", 0.5).alias("py"), F.avg("x").alias("mx"), F.avg("y").alias("my"))  # sixty rows
     e = lambda a: F.hypot(F.col(f"{a}x") - F.col("x"), F.col(f"{a}y") - F.col("y"))
     return m.join(stations, ["ride_id", "i"]).groupBy("draw").agg(F.count(F.lit(1)).alias("stations"), F.round(F.avg(e("p")), 3).alias("median_err"), F.round(F.avg(e("m")), 3).alias("mean_err"))
+
+
+@query("q_landmark_arcs", BESIDE_SQL + ", pr AS (SELECT pt.*, sg.* EXCLUDE (ride_id) FROM pt JOIN (SELECT ride_id, seq FROM r WHERE hit) h USING (ride_id, seq) JOIN sg ON sg.ride_id = pt.ride_id)" + MEASURE_SQL + ", ar AS (SELECT ride_id, seq, arg_min(s, (off, seg)) AS s, min(off) AS off FROM ms GROUP BY ride_id, seq) SELECT ride_id, seq, row_number() OVER (PARTITION BY ride_id ORDER BY s, seq) AS place, round(s, 2) AS s, round(off, 2) AS off FROM ar")
+def landmark_arcs(spark, sf_dir):
+    """Where along its road every surveyed landmark lies, in that order."""
+    r, points, segs = beside(spark, sf_dir)
+    marks = points.join(r.where("hit").select("ride_id", "seq"), ["ride_id", "seq"], "left_semi")
+    best = J.candidates(marks, segs, "px", "py").groupBy("ride_id", "seq").agg(F.min(F.struct("off", "seg", "s")).alias("b")).select("ride_id", "seq", F.col("b.s").alias("s"), F.col("b.off").alias("off"))
+    place = F.row_number().over(Window.partitionBy("ride_id").orderBy("s", "seq")).cast("long")
+    return best.select("ride_id", "seq", place.alias("place"), F.round("s", 2).alias("s"), F.round("off", 2).alias("off"))
+
+
+@query("q_survey_centroids", """, an AS (SELECT ride_id, seq AS noted FROM r WHERE hit), nr AS (SELECT an.ride_id, noted, x_mm, y_mm, 1.0::DOUBLE / ((k + 5) * (k + 5)) AS w FROM an JOIN r ON r.ride_id = an.ride_id AND r.seq BETWEEN noted - 3 AND noted + 3 WHERE gnss_ok)
+SELECT ride_id, noted, count(*) AS n, round(sum(w * x_mm) / sum(w), 3) AS x, round(sum(w * y_mm) / sum(w), 3) AS y FROM nr GROUP BY ride_id, noted""")
+def survey_centroids(spark, sf_dir):
+    """Survey notes as places: the fixes of three seconds around each, weighed by the inverse square of their accuracy (k + 5)."""
+    r = materialize(rides(spark, sf_dir).select("ride_id", "seq", "x_mm", "y_mm", "k", "gnss_ok", "hit"), "rides")
+    notes = r.where("hit").select("ride_id", F.col("seq").alias("noted"), F.explode(F.sequence(F.col("seq") - 3, F.col("seq") + 3)).alias("seq"))
+    return J.weighted_centroids(notes.join(r.where("gnss_ok"), ["ride_id", "seq"]), ["ride_id", "noted"], F.lit(1.0) / ((F.col("k") + 5) * (F.col("k") + 5)))
