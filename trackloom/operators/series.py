@@ -138,3 +138,9 @@ def trailing_windows(df: DataFrame, col: str, key: str, order: str, size: int, s
 
 def decimate(df: DataFrame, order: str, factor: int) -> DataFrame:
     return df.where(F.col(order) % factor == 0)
+
+
+def stairs(df: DataFrame, col: str, key: str, order: str) -> DataFrame:
+    """df and new: whether a held value is a new one."""
+    before = F.lag(F.struct(col)).over(ordered(key, order))
+    return df.withColumn("new", ~F.coalesce(before[col].eqNullSafe(F.col(col)) & before.isNotNull(), F.lit(False)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trackloom.functions.geo import confidence_radius
 from trackloom.operators import fold as D
 from trackloom.operators import series as S
-from trackloom.operators.cleaning import clean
+from trackloom.operators.cleaning import clean, clean_distance
 from trackloom.plans._register import Register
 from trackloom.plans.folds import CLEAN_SQL
 from trackloom.plans.scoring import SCORES_SQL, scores
@@ -25,11 +25,13 @@ def scorecard_text(spark, sf_dir):
     return g.select("predictor", F.format_string("%s: %d outages, median %d %%, %d under 10 %%", "predictor", "n", "med", "ok").alias("line"))
 
 
-@query("q_fault_injection", """SELECT ride_id, seq, CAST(round(40000 * greatest(least((d_mm - 50000) / 20000.0::DOUBLE, (300000 - d_mm) / 20000.0::DOUBLE, 1), 0)) AS BIGINT) AS pushed_mm FROM r""")
+@query("q_fault_injection", """, f AS (SELECT *, CAST(round(40000 * greatest(least((d_mm - 50000) / 20000.0::DOUBLE, (300000 - d_mm) / 20000.0::DOUBLE, 1), 0)) AS BIGINT) AS pushed_mm FROM r)
+SELECT ride_id, seq, pushed_mm, CAST(round(x_mm - pushed_mm * sin(radians(head_deg::DOUBLE))) AS BIGINT) AS x_mm, CAST(round(y_mm + pushed_mm * cos(radians(head_deg::DOUBLE))) AS BIGINT) AS y_mm FROM f""")
 def fault_injection(spark, sf_dir):
     """A 250 m stretch pushed 40 m sideways, with ramps of 20 m."""
     share = F.greatest(F.least((F.col("d_mm") - 50000) / 20000.0, (300000 - F.col("d_mm")) / 20000.0, F.lit(1.0)), F.lit(0.0))
-    return rides(spark, sf_dir).select("ride_id", "seq", F.round(40000 * share).cast("long").alias("pushed_mm"))
+    r = rides(spark, sf_dir).withColumn("pushed_mm", F.round(40000 * share).cast("long")).withColumn("h", F.radians(F.col("head_deg").cast("double")))
+    return r.select("ride_id", "seq", "pushed_mm", F.round(F.col("x_mm") - F.col("pushed_mm") * F.sin("h")).cast("long").alias("x_mm"), F.round(F.col("y_mm") + F.col("pushed_mm") * F.cos("h")).cast("long").alias("y_mm"))
 
 
 @query("q_landmark_width", "SELECT event_id, CASE WHEN step_mm * (k + 10) < 112500 THEN 'bump' WHEN step_mm * (k + 10) < 187500 THEN 'hump' ELSE 'table' END AS by_width, step_mm * (k + 10) AS width_um FROM r WHERE hit")
@@ -108,3 +110,29 @@ def merged_places(spark, sf_dir):
         f.observe((row["x"], row["y"]), row["p_partkey"])
 
     return D.fold(places, "name", ["p_partkey"], lambda: D.Crowd(300.0), step, "name string, x double, y double, n int", lambda f, k: [{"x": c["xy"][0], "y": c["xy"][1], "n": c["n"]} for c in f.candidates])
+
+
+@query("q_clean_distance", CLEAN_SQL + """, sm AS (SELECT ride_id, seq, quantile_cont(x_mm, 0.5) OVER w AS x, quantile_cont(y_mm, 0.5) OVER w AS y FROM c10 WINDOW w AS (PARTITION BY ride_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+st AS (SELECT ride_id, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS l FROM sm WINDOW w AS (PARTITION BY ride_id ORDER BY seq))
+SELECT ride_id, round(coalesce(sum(l), 0), 2) AS distance FROM st GROUP BY ride_id""")
+def clean_distances(spark, sf_dir):
+    """The length of every ride without spikes, on medians of five."""
+    d = clean_distance(rides(spark, sf_dir).select("ride_id", "seq", "x_mm", "y_mm"), 15000.0)
+    return d.select("ride_id", F.round("distance", 2).alias("distance"))
+
+
+@query("q_fix_staircase", """, h AS (SELECT ride_id, seq, max(x_mm) FILTER (WHERE seq % 3 = 0) OVER (PARTITION BY ride_id, seq // 3) AS held FROM r),
+f AS (SELECT * FROM (SELECT *, held IS DISTINCT FROM lag(held) OVER (PARTITION BY ride_id ORDER BY seq) AS new FROM h) WHERE new),
+lo AS (SELECT h.ride_id, h.seq, f.seq AS t0, f.held AS v0 FROM h ASOF LEFT JOIN f ON h.ride_id = f.ride_id AND h.seq >= f.seq),
+hi AS (SELECT lo.*, f.seq AS t1, f.held AS v1 FROM lo ASOF LEFT JOIN f ON lo.ride_id = f.ride_id AND lo.seq <= f.seq)
+SELECT ride_id, seq, t0 = seq AS fix, round(CASE WHEN t1 IS NULL OR t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (seq - t0)::DOUBLE / (t1 - t0) END, 3) AS x FROM hi""")
+def fix_staircase(spark, sf_dir):
+    """A fix that is held for three seconds, as logs have it: where it is a new one, and the line between those."""
+    from pyspark.sql import Window
+
+    r = rides(spark, sf_dir)
+    held = F.max(F.when(F.col("seq") % 3 == 0, F.col("x_mm"))).over(Window.partitionBy("ride_id", F.floor(F.col("seq") / 3)))
+    h = r.select("ride_id", "seq", held.alias("held"))
+    new = S.stairs(h, "held", "ride_id", "seq")
+    x = S.interpolate(h.select("ride_id", "seq"), new.where("new").select("ride_id", "seq", "held"), "ride_id", "seq", "held")
+    return x.join(new.select("ride_id", "seq", "new"), ["ride_id", "seq"]).select("ride_id", "seq", F.col("new").alias("fix"), F.round("held", 3).alias("x"))

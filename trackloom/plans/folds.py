@@ -11,7 +11,7 @@ from trackloom.operators.fusion import Dots, Fleet
 from trackloom.operators.matching import ByMarks, ByTurns, Online, align
 from trackloom.plans import folds_sql as Q
 from trackloom.plans._register import Register
-from trackloom.sources.rides import RIDES_SQL, rides
+from trackloom.sources.rides import RIDES_SQL, by_ride, rides
 from trackloom.sources.shared import materialize
 
 R = Register(RIDES_SQL)
@@ -303,9 +303,10 @@ def gyro_bias(spark, sf_dir):
 
 
 @query("q_blackout_sessions", """, i AS (SELECT *, CAST(sum(n) OVER (PARTITION BY ride_id ORDER BY seq) AS BIGINT) AS island FROM (SELECT *, CASE WHEN lag(gnss_ok) OVER (PARTITION BY ride_id ORDER BY seq) IS NOT DISTINCT FROM gnss_ok THEN 0 ELSE 1 END AS n FROM r))
-SELECT ride_id, island, min(seq) AS i0, max(seq) AS i1, max(d_mm) - min(d_mm) AS denied_mm FROM i WHERE NOT gnss_ok GROUP BY ride_id, island""")
+SELECT ride_id, island, min(seq) AS i0, max(seq) AS i1, max(d_mm) - min(d_mm) AS denied_mm, CAST(epoch_us(min(ts)) AS BIGINT) AS began_us, last(jump ORDER BY seq) AS jump_mm FROM (SELECT *, lead(step_mm) OVER (PARTITION BY ride_id ORDER BY seq) AS jump FROM i) WHERE NOT gnss_ok GROUP BY ride_id, island""")
 def blackout_sessions(spark, sf_dir):
     from trackloom.operators.series import islands
 
-    i = islands(rides(spark, sf_dir), F.col("gnss_ok"), "ride_id", "seq").where("not gnss_ok")
-    return i.groupBy("ride_id", "island").agg(F.min("seq").alias("i0"), F.max("seq").alias("i1"), (F.max("d_mm") - F.min("d_mm")).alias("denied_mm"))
+    """Every outage of a ride: its rows and distance, when it began, and the step to the fix that ends it."""
+    i = islands(rides(spark, sf_dir), F.col("gnss_ok"), "ride_id", "seq").withColumn("jump", F.lead("step_mm").over(by_ride())).where("not gnss_ok")
+    return i.groupBy("ride_id", "island").agg(F.min("seq").alias("i0"), F.max("seq").alias("i1"), (F.max("d_mm") - F.min("d_mm")).alias("denied_mm"), F.unix_micros(F.min("ts")).alias("began_us"), F.max_by("jump", "seq").alias("jump_mm"))

@@ -260,3 +260,17 @@ def survey_centroids(spark, sf_dir):
     r = materialize(rides(spark, sf_dir).select("ride_id", "seq", "x_mm", "y_mm", "k", "gnss_ok", "hit"), "rides")
     notes = r.where("hit").select("ride_id", F.col("seq").alias("noted"), F.explode(F.sequence(F.col("seq") - 3, F.col("seq") + 3)).alias("seq"))
     return J.weighted_centroids(notes.join(r.where("gnss_ok"), ["ride_id", "seq"]), ["ride_id", "noted"], F.lit(1.0) / ((F.col("k") + 5) * (F.col("k") + 5)))
+
+
+@query("q_map_coverage", PASSES_SQL + """, mp AS (SELECT * FROM tr WHERE track = 1), ne AS (SELECT r.ride_id, r.seq, sqrt(min((r.x_mm - x) * (r.x_mm - x) + (r.y_mm - y) * (r.y_mm - y))::DOUBLE) / 10 AS d FROM r LEFT JOIN mp ON r.ride_id = mp.ride_id AND (r.x_mm - x) * (r.x_mm - x) + (r.y_mm - y) * (r.y_mm - y) <= 400000000 GROUP BY ALL),
+g AS (SELECT ride_id, quantile_cont(coalesce(d, 2000), 0.9) AS p90, max(coalesce(d, 2000)) AS worst, count(*) AS n FROM ne GROUP BY ride_id)
+SELECT ride_id, round(p90, 3) AS p90, round(worst, 3) AS worst, CASE WHEN n < 10 THEN 'SKIP' WHEN p90 > 150 OR worst > 300 THEN 'FAIL' WHEN p90 > 80 OR worst > 150 THEN 'WARN' ELSE 'OK' END AS gate FROM g""")
+def map_coverage(spark, sf_dir):
+    """Whether a map covers a ride, by the distances of its points from the map's; centimetres stand for metres."""
+    line = passes(spark, sf_dir).where("track = 1").select("ride_id", "track", "j", "x", "y")
+    truth = rides(spark, sf_dir).select("ride_id", F.col("seq").alias("i"), F.col("x_mm").alias("x"), F.col("y_mm").alias("y"))
+    near = C.nearest_points(truth, line, 20000)
+    d = truth.join(near.select("ride_id", "i", (F.col("d") / 10).alias("d")), ["ride_id", "i"], "left").withColumn("d", F.coalesce("d", F.lit(2000.0)))
+    g = d.groupBy("ride_id").agg(F.percentile("d", 0.9).alias("p90"), F.max("d").alias("worst"), F.count(F.lit(1)).alias("n"))
+    gate = F.when(F.col("n") < 10, "SKIP").when((F.col("p90") > 150) | (F.col("worst") > 300), "FAIL").when((F.col("p90") > 80) | (F.col("worst") > 150), "WARN").otherwise("OK")
+    return g.select("ride_id", F.round("p90", 3).alias("p90"), F.round("worst", 3).alias("worst"), gate.alias("gate"))
