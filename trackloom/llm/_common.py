@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What counts as a word: a run of anything but space, tab, newline, vertical tab, form feed and return.
@@ -16,7 +16,6 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _OWN_DIR: list[str] = []
 
 
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local master gets one of its own; on a cluster there is no other."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,13 +36,12 @@ def new_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str, *figures: Column) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives a lost executor.
 
-    figures: named aggregates over df, taken while it is written; the result has them as the attribute `figures`.
+    figures: named aggregates over what was written; the result has them as the attribute `figures`.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    seen = Observation() if figures else None
-    (df.observe(seen, *figures) if seen else df).write.parquet(path)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.path, out.figures = path, seen.get if seen else {}
+    out.path, out.figures = path, out.agg(*figures).first().asDict() if figures else {}
     return out
 
 

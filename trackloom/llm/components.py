@@ -23,7 +23,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round hangs the larger neighbours of a node on its least neighbour (large star), then the smaller ones
     (small star), until nothing changes; the number of rounds grows with the logarithm of a component's size.
-    No neighbourhood is ever collected: a round is two aggregations and two joins and one job, written to the shared
+    No neighbourhood is ever collected: a round is two aggregations and two joins, written to the shared
     folder; what the round before has written goes. The joins are by sorting whatever the sizes: a round that broadcasts keeps
     threads and buffers in the driver for tables that next to nothing is gained by.
     """

@@ -132,7 +132,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     factors = inclusion_factor(needed).withColumnRenamed("s", "of")
     sources = materialize(targets.join(factors, F.col("s").eqNullSafe(F.col("of")), "left").drop("of"), "mix-sources", F.count(F.lit(1)).alias("n"))
     # a table of a row a source is broadcast up to a number of sources, and joined by shuffles beyond it
-    few = F.broadcast if (sources.figures.get("n") or 0) <= BROADCAST_SOURCES else (lambda table: table)
+    few = F.broadcast if sources.figures["n"] <= BROADCAST_SOURCES else (lambda table: table)
     narrow = sizes.select("doc_id", "source", "size", "hash", "number", "u", "own").where("size > 0")
     drawable = narrow.join(few(sources.where("need > 0")), F.col("source").eqNullSafe(F.col("s"))).select("s", "need", "doc_id", "size", "hash", "number", ranking_key().alias("key"))
     bounds = draw(drawable, few).withColumnRenamed("s", "s4")
