@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,10 +57,20 @@ def test_exact_dedup(spark, odd, clashing, empty):
     for d in (odd, clashing):
         got = exact_dedup.exact_groups(d, keep="largest").collect()
         assert len(got) == 10 and {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == want
-        assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
+        assert sorted(r["doc_id"] for r in got if r["kept"]) == sorted({k for _, k, _ in want}) and all(r["kept"] in (True, False) for r in got)
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
+def test_exact_dedup_keeps_one_row_of_each_text(spark):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, "c"), (None, "d"), (7, "d"), (7, None), (8, ""), (8, "")]
+    for keep in ("smallest", "largest"):
+        got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), keep=keep).collect()
+        assert len(got) == len(rows)
+        kept = sorted(((r["doc_id"] is None, r["doc_id"], r["text_sha256"]) for r in got if r["kept"]), key=str)
+        ids = [(1, "a"), (1, "b"), (None, "c"), (7, "d"), (7 if keep == "smallest" else 8, "")]
+        assert kept == sorted(((i is None, i, hashlib.sha256(t.encode()).hexdigest()) for i, t in ids), key=str)
+
+
 def test_exact_dedup_keeps_colliding_texts_apart(spark, odd):
     weak = lambda c: F.substring(F.md5(c), 1, 1)
     strong, got = exact_dedup.exact_groups(odd), exact_dedup.exact_groups(odd, content_hash=weak)

@@ -6,7 +6,8 @@ all rows share leaves each task as one row. Rows find their group again by (hash
 of fixed width; Spark splits that join where one group is hot.
 
 Defined results: null text counts as empty; empty texts are equal to each other; rows that repeat an id and a
-text belong to one group and count separately in group_size; drop_exact_copies() keeps a row without an id only where
+text belong to one group and count separately in group_size, one of them is kept; where a group has no row with an id one without
+is kept, and keep_id is null; `kept` is never null; drop_exact_copies() keeps a row without an id only where
 no row of its text has one; an empty table gives an empty result; other
 columns are ignored by exact_groups() and carried by drop_exact_copies(), whatever their names.
 """
@@ -40,11 +41,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("h", F.unhex(F.sha2("t", 256)).alias("sha"), F.length("t").alias("n"), "group_size", "keep_id")
     )
     rows = base.select("doc_id", content_hash(F.col("t")).alias("h"), F.unhex(F.sha2("t", 256)).alias("sha"), F.length("t").alias("n"))
-    return rows.join(groups, ["h", "sha", "n"]).select(
+    # rows that repeat an id and a text can't be told apart: the first of so many is the one that may stay
+    rows = rows.groupBy("h", "sha", "n", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    found = rows.join(groups, ["h", "sha", "n"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return found.select(
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id") == F.col("keep_id")).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 

@@ -52,7 +52,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(coalesce(d.text, '')) AS text_sha256
+SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AND row_number() OVER (PARTITION BY coalesce(d.text, ''), d.doc_id) = 1 AS kept, sha256(coalesce(d.text, '')) AS text_sha256
 FROM documents d
 JOIN (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1) g
   ON coalesce(d.text, '') = g.t
