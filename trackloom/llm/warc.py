@@ -11,7 +11,8 @@ Reading: archives are streamed. A payload comes as rows of record id and chunk n
 and the running SHA-1 of all chunks so far; no more than a chunk of a payload is held, however long the record is.
 
 Paths are opened by Arrow's file systems (file, hdfs, s3, gs). Defined results: a null payload is empty, and empty
-payloads are responses; repeated page ids are written as often as they occur; null page ids are written as responses and read
+payloads are responses; repeated page ids are written as often as they occur, and a record's id names page and payload, so that a
+revisit is resolved to the payload it had; rows that repeat the largest id and a payload are all responses; null page ids are written as responses and read
 back as null; null urls are written as empty; an empty table gives an archive without records and an empty result; extra
 columns are ignored; a head line of more than `LONGEST_LINE` bytes is an error.
 """
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from trackloom.llm._common import materialize, new_path, text_or_empty
 
 CHUNK, LEAST_BYTES, LONGEST_LINE = 1 << 20, 1000, 1 << 26
+PAGE_PATTERN = r"^urn:page:(-?\d*):"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -61,6 +63,11 @@ class _Record:
         self.out.write(self.pressed.compress(b"\r\n\r\n") + self.pressed.flush())
 
 
+def _record_id(page: int | None, sha1: str) -> str:
+    """Of a page with this payload. Rows that repeat both are one record, written as often."""
+    return f"urn:page:{'' if page is None else page}:{sha1}"
+
+
 def _one_line(value: str) -> str:
     return "".join(c if c not in "\r\n" else " " for c in value)
 
@@ -102,9 +109,9 @@ def write_archives(records: DataFrame, folder: str, chunk: int = CHUNK) -> DataF
                 heads = zip(*(c.to_pylist() for c in batch.columns[:7]))
                 for i, (page, url, target, length, sha1, k, last) in enumerate(heads):
                     if k == 0:
-                        fields = [("WARC-Type", "response" if target is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{page}>"), ("WARC-Target-URI", _one_line(url or "")), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode())]
+                        fields = [("WARC-Type", "response" if target is None else "revisit"), ("WARC-Record-ID", f"<{_record_id(page, sha1)}>"), ("WARC-Target-URI", _one_line(url or "")), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode())]
                         if target is not None:
-                            fields += [("WARC-Refers-To", f"<urn:page:{target}>"), ("WARC-Profile", REVISIT_PROFILE)]
+                            fields += [("WARC-Refers-To", f"<{_record_id(target, sha1)}>"), ("WARC-Profile", REVISIT_PROFILE)]
                         record = _Record(out, fields, length)
                         n += 1
                     if data[i].is_valid:
@@ -208,10 +215,10 @@ def round_trip(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     spark = pages.sparkSession
     manifest = write_archives(choose_revisits(pages, id_col, url_col, payload_col, least_bytes), folder or new_path(spark, "warc"), chunk)
     ends = read_chunks(spark, manifest, chunk, with_data=False).where("last and type <> 'warcinfo'")
-    page = F.regexp_extract("record_id", r"^urn:page:(-?\d+)$", 1).try_cast("long")
-    target = F.regexp_extract("target", r"^urn:page:(-?\d+)$", 1).try_cast("long")
-    ends = materialize(ends.select(page.alias("page_id"), F.col("type").alias("record_type"), target.alias("refers_to"), F.col("length_so_far").alias("payload_bytes"), F.col("sha1_so_far").alias("payload_digest")), "warc-records")
-    named = ends.where("record_type = 'revisit'").select(F.col("refers_to").alias("id")).distinct()
-    known = ends.where("record_type = 'response'").join(named, F.col("page_id") == F.col("id"), "left_semi").select(F.col("page_id").alias("id"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d")).dropDuplicates(["id"])
-    found = ends.join(known, F.col("refers_to") == F.col("id"), "left")
+    page = F.regexp_extract("record_id", PAGE_PATTERN, 1).try_cast("long")
+    target = F.regexp_extract("target", PAGE_PATTERN, 1).try_cast("long")
+    ends = materialize(ends.select("record_id", "target", page.alias("page_id"), F.col("type").alias("record_type"), target.alias("refers_to"), F.col("length_so_far").alias("payload_bytes"), F.col("sha1_so_far").alias("payload_digest")), "warc-records")
+    named = ends.where("record_type = 'revisit'").select(F.col("target").alias("id")).distinct()
+    known = ends.where("record_type = 'response'").join(named, F.col("record_id") == F.col("id"), "left_semi").groupBy(F.col("record_id").alias("id")).agg(F.min("payload_bytes").alias("b"), F.min("payload_digest").alias("d"))
+    found = ends.join(known, F.col("target") == F.col("id"), "left")
     return found.select("page_id", F.coalesce("b", "payload_bytes").alias("payload_bytes"), F.coalesce("d", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
