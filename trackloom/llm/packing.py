@@ -35,8 +35,8 @@ from trackloom.llm._common import materialize
 from trackloom.llm.bpe import WordMerges
 
 CAPACITY, END_ID, BLOCK, SLACK, MEMO = 4096, 1, 4096, 64, 100_000
-#: Pieces of the largest block: sequence ids have 16 bits for the sequences of one.
-LARGEST = 65_536
+#: Pieces that the largest blocks have on average, and the bits that a sequence id has for the sequences of one.
+LARGEST, BIN_BITS = 65_536, 20
 
 #: A word that is letters, then marks: its ids are those of the lower-case letters and of the marks.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
@@ -172,7 +172,9 @@ def _place_block(capacity: int, slack: int, level: int, final: bool):
         pdf = pdf.sort_values(["length", "row"], ascending=[False, True], ignore_index=True)
         bins, offsets = sum_of_squares(pdf["length"].to_numpy(), capacity)
         room = capacity - np.bincount(bins, weights=pdf["length"].to_numpy())
-        pdf["sequence_id"] = (level << 56) + (pdf["block"].to_numpy() << 16) + bins
+        if len(room) > 1 << BIN_BITS:
+            raise ValueError(f"a block has {len(room)} sequences, more than {BIN_BITS} bits number")
+        pdf["sequence_id"] = (level << 56) + (pdf["block"].to_numpy() << BIN_BITS) + bins
         pdf["offset"] = offsets
         pdf["settled"] = True if final else (room <= capacity / slack)[bins]
         return pdf.drop(columns="block")
