@@ -74,10 +74,12 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, checkpoint_every: int = 4) -> DataFrame:
-    """edges(src, dst, links), seeds(host, trust, distrust: each summing to 1) -> host, trust, distrust, sent after `rounds`.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most_rounds: int = 1000) -> DataFrame:
+    """edges(src, dst, links), seeds(host, trust, distrust: each summing to 1) -> host, trust, distrust, sent.
 
-    Mass at a host without onward links returns to nobody, as in the usual PageRank that renormalises only at the end.
+    What a round adds is passed on by the next, until no host's score can still grow by more than `tolerance`: trust and distrust are
+    shared out, so their sums shrink by the damping in every round, and `sent` is an average, so its maximum does. Mass at a
+    host without onward links returns to nobody, as in the usual PageRank that renormalises only at the end.
     """
     out = edges.groupBy("src").agg(F.sum("links").alias("n")).withColumnRenamed("src", "of")
     back = edges.groupBy("dst").agg(F.sum("links").alias("n")).withColumnRenamed("dst", "of")
@@ -86,21 +88,26 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     reverse = both.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(0.0).alias("ft"), (F.col("links") / F.col("n")).alias("fd"), (F.col("links") / F.col("n_by")).alias("fs"))
     steps = materialize(forward.unionByName(reverse), "url-steps")
     own = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust")).withColumn("sent", F.col("distrust"))
-    state = own
     if steps.isEmpty():
-        return state
-    for k in range(1, rounds + 1):
-        moved = steps.join(state, F.col("at") == F.col("host")).select(F.col("to").alias("host"), (F.col("ft") * F.col("trust") * damping).alias("trust"), (F.col("fd") * F.col("distrust") * damping).alias("distrust"), (F.col("fs") * F.col("sent") * damping).alias("sent"))
-        state = moved.unionByName(own).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"), F.sum("sent").alias("sent"))
-        if k % checkpoint_every == 0:
-            state = materialize(state, "url-state")
-    return state
-
-
-def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", majority: float = 0.5, least_distrust: float = 0.1, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+        return own
+    scores = ("trust", "distrust", "sent")
+    total = added = materialize(own, "url-added")
+    for _ in range(most_rounds):
+        moved = steps.join(added, F.col("at") == F.col("host")).select(F.col("to").alias("host"), *[(F.col(f) * F.col(c) * damping).alias(c) for f, c in zip(("ft", "fd", "fs"), scores)])
+        added = materialize(moved.groupBy("host").agg(*[F.sum(c).alias(c) for c in scores]), "url-added", F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"), F.max("sent").alias("sent"))
+        left = max(added.figures[c] or 0.0 for c in scores)
+        # written each round, so that lineage and the union stay short
+        total = materialize(total.unionByName(added).groupBy("host").agg(*[F.sum(c).alias(c) for c in scores]), "url-total")
+        if left * damping / (1 - damping) <= tolerance:
+            return total
+    raise RuntimeError(f"scores are not found after {most_rounds} rounds")
+
+
+def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", majority: float = 0.5, least_distrust: float = 0.1, damping: float = 0.85, precision: float = 0.01) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
     Seeds: hosts of whose pages at least `majority` fall under allow rules are trusted, under block rules blocked.
+    Scores are found to `precision` of the least one that blocks. A host whose distrust equals its trust is allowed.
     """
     url = F.col(f"`{url_col}`")
     verdict_of = F.create_map(*[x for h, p, v in rules for x in (F.lit(h + p), F.lit(v))])
@@ -111,10 +118,11 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id"
     n = hosts.agg(F.sum("t").alias("t"), F.sum("d").alias("d")).first()
     n_trust, n_block = n["t"] or 1.0, n["d"] or 1.0
     seeds = hosts.where("t > 0 or d > 0").select("host", (F.col("t") / n_trust).alias("trust"), (F.col("d") / n_block).alias("distrust"))
-    scores = propagate(host_edges(pages, url_col, html_col), seeds, damping, rounds).withColumnRenamed("host", "h")
+    least = least_distrust * (1 - damping) / n_block
+    scores = propagate(host_edges(pages, url_col, html_col), seeds, damping, precision * least).withColumnRenamed("host", "h")
     # one row a host against very many pages of a hot host: the join is of host with host, then pages find their host
     worst = F.greatest("distrust", "sent")
-    blocked = (worst > least_distrust * (1 - damping) / n_block) & (worst > F.col("trust"))
+    blocked = (worst > least) & (worst > F.col("trust"))
     rows = judged.join(scores, F.col("host") == F.col("h"), "left")
     by_method = F.when(F.coalesce(blocked, F.lit(False)), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
