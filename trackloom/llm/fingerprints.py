@@ -121,7 +121,7 @@ def likeness(a: str, b: str) -> float:
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
-    """docs and a column with each text's fingerprint."""
+    """docs and a column with each text's fingerprint, in place of one that has its name."""
 
     @F.pandas_udf("string")
     def prints(texts: pd.Series) -> pd.Series:

@@ -5,11 +5,12 @@ counts) and normalised. Each language has several centroids, found by spherical
 of the centroid nearest by cosine, and is rejected if even that one is too far for a text of its length. How far
 texts of a length are is learned from the beginnings of the sampled texts: short ones lie farther off. Document frequencies cover all
 labelled training rows; the centroids are fitted on a bounded sample of them (`per_language` rows of each
-language expected, chosen by a hash of the id), which alone comes to the driver, as zipped 16-bit vectors.
+language expected, chosen by a hash of the id), a language in a task; only centroids come to the driver.
 
 Defined results: a text that is null, empty or without any letter is "und" with score 0 and rejected; a text
 whose best cosine is below the threshold of its length keeps the nearest language in lang_pred and is rejected; without any
-training row everything is "und"; rows that repeat an id count as often as they occur; extra columns are ignored.
+training row everything is "und"; rows that repeat an id count as often as they occur; predict() carries all columns but those
+named lang_pred, score and rejected, which it replaces. However many languages there are, all are learned.
 Whole texts are read.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm._common import materialize
 
-DIMENSIONS, PER_LANGUAGE, CENTROIDS, ROUNDS, MOST_LANGUAGES = 4096, 400, 4, 12, 200
+DIMENSIONS, PER_LANGUAGE, CENTROIDS, ROUNDS = 4096, 400, 4, 12
 #: A text is rejected below this share of the cosine that all but one in a hundred beginnings of training texts with as many grams reach.
 REJECT_SHARE = 0.85
 #: Letters of those beginnings. Gram counts fall into buckets by their power of two; one with fewer beginnings than LEAST_KNOWN takes the threshold of the next shorter one.
@@ -96,18 +97,21 @@ class CentroidModel:
         score = float(min(1.0, max(0.0, near[k])))
         return self.languages[self.owner[k]], score, score < self.threshold(counts.sum())
 
-    def calibrate(self, texts: list[str]) -> None:
-        """Sets the thresholds from beginnings of texts; whole texts would find themselves in the centroids."""
-        found: dict[int, list[float]] = {}
-        for text in texts:
-            for k in BEGINNINGS:
-                counts = grams(text[:k]) if len(text) > k else None
-                if counts is not None:
-                    found.setdefault(int(counts.sum()).bit_length() - 1, []).append(float((self.centroids @ self.vector(counts)).max()))
-        self.thresholds = np.zeros(max(found, default=0) + 1)
+    def nearness(self, text: str) -> list[tuple[int, float]]:
+        """Bucket and best cosine of each beginning of a text; the whole text would find itself in the centroids."""
+        found = []
+        for k in BEGINNINGS:
+            counts = grams(text[:k]) if len(text) > k else None
+            if counts is not None:
+                found.append((int(counts.sum()).bit_length() - 1, float((self.centroids @ self.vector(counts)).max())))
+        return found
+
+    def calibrate(self, known: dict[int, tuple[int, float]]) -> None:
+        """Sets the thresholds. known: by bucket how many beginnings there were and the first percentile of their cosines."""
+        self.thresholds = np.zeros(max(known, default=0) + 1)
         for b in range(len(self.thresholds)):
-            known = found.get(b, [])
-            self.thresholds[b] = REJECT_SHARE * float(np.percentile(known, 1)) if len(known) >= LEAST_KNOWN else self.thresholds[b - 1] if b else 0.0
+            n, low = known.get(b, (0, 0.0))
+            self.thresholds[b] = REJECT_SHARE * low if n >= LEAST_KNOWN else self.thresholds[b - 1] if b else 0.0
 
 
 def cluster(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -123,17 +127,14 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centres
 
 
-def fit(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, most_languages: int = MOST_LANGUAGES) -> CentroidModel:
-    """trainable: which rows may be learned from; rows without a language never are. Of more names than most_languages the most frequent are learned."""
+def fit(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> CentroidModel:
+    """trainable: which rows may be learned from; rows without a language never are."""
     lang = F.col(f"`{lang_col}`")
-    rows = docs.where(lang.isNotNull() & (F.lit(True) if trainable is None else trainable))
-    known = rows.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
-    sizes = {r["lang"]: r["n"] for r in known.collect()}
-    share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(lang == name, F.lit(min(1.0, per_language / n))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.select(lang.alias("lang"), F.col(f"`{text_col}`").alias("text"), (draw < share).alias("picked"))
+    rows = docs.where(lang.isNotNull() & (F.lit(True) if trainable is None else trainable)).select(lang.alias("lang"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").alias("id"))
+    # written, so that Spark knows its size before it decides how to join
+    known = materialize(rows.groupBy(F.col("lang").alias("name")).agg(F.least(F.lit(1.0), per_language / F.count(F.lit(1))).alias("share")), "lang-shares")
+    draw = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    picked = rows.join(known, F.col("lang") == F.col("name")).select("lang", "text", (draw < F.col("share")).alias("picked"))
     schema = pa.schema([("lang", pa.string()), ("vector", pa.binary()), ("n", pa.int64()), ("begins", pa.string())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,17 +168,29 @@ def fit(docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id"
     total = parts.coalesce(64).mapInArrow(add, "vector binary, n long").collect()  # 64 rows at most
     frequency = sum((np.frombuffer(r["vector"], np.int64) for r in total), np.zeros(DIMENSIONS, np.int64))
     n = sum(r["n"] for r in total)
-    sample = counted.where("n is null").select("lang", "vector", "begins").toArrow()
+    sample = counted.where("n is null")
     model = CentroidModel([], np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32), (np.log((1 + n) / (1 + frequency)) + 1).astype(np.float32), np.zeros(1))
-    names = np.array(sample.column("lang").to_pylist(), dtype=object)
-    if not len(names):
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        # in an order of their own, for rows come in any
+        vectors = np.stack([model.vector(np.frombuffer(zlib.decompress(v), np.float16).astype(np.float32)) for v in sorted(pdf["vector"])]).astype(np.float32)
+        return pd.DataFrame([(pdf["lang"].iloc[0], c.astype(np.float32).tobytes()) for c in cluster(vectors, centroids)], columns=["lang", "centroid"])
+
+    # about per_language vectors a group, `centroids` rows each
+    found = sorted(sample.select("lang", "vector").groupBy("lang").applyInPandas(learn, "lang string, centroid binary").collect())
+    if not found:
         return model
-    vectors = np.stack([model.vector(np.frombuffer(zlib.decompress(v), np.float16).astype(np.float32)) for v in sample.column("vector").to_pylist()]).astype(np.float32)
-    model.languages = sorted(set(names))
-    found = [cluster(vectors[names == name], centroids) for name in model.languages]
-    model.owner = np.concatenate([np.full(len(c), i) for i, c in enumerate(found)])
-    model.centroids = np.concatenate(found).astype(np.float32)
-    model.calibrate(sample.column("begins").to_pylist())
+    model.languages = sorted({r["lang"] for r in found})
+    model.owner = np.array([model.languages.index(r["lang"]) for r in found])
+    model.centroids = np.stack([np.frombuffer(r["centroid"], np.float32) for r in found])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [x for text in batch.column(0).to_pylist() for x in model.nearness(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in got], pa.int32()), pa.array([c for _, c in got], pa.float64())], names=["bucket", "cosine"])
+
+    buckets = sample.select("begins").mapInArrow(near, "bucket int, cosine double").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.percentile("cosine", 0.01).alias("low"))
+    model.calibrate({r["bucket"]: (r["n"], r["low"]) for r in buckets.collect()})  # a row for each power of two
     return model
 
 
@@ -193,5 +206,5 @@ def predict(docs: DataFrame, model: CentroidModel, text_col: str = "text") -> Da
 
 
 def fold(id_column: Column, folds: int) -> Column:
-    """crc32 of the id as text, modulo folds."""
-    return F.crc32(id_column.cast("string").cast("binary")) % folds
+    """crc32 of the id as text, modulo folds; -1 without an id."""
+    return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % folds, F.lit(-1))
