@@ -197,14 +197,14 @@ def test_page_rank(spark):
     links = collections.Counter((f"h{rng.randrange(20)}", f"h{rng.randrange(20)}") for _ in range(120))
     edges = [(a, b, n) for (a, b), n in links.items() if a != b]
     seeds = [("h0", 0.5, 0.0), ("h1", 0.5, 0.0), ("h2", 0.0, 1.0)]
-    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filters.propagate(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame(seeds, "host string, trust double, distrust double"), rounds=6, checkpoint_every=2).collect()}
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filters.propagate(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame(seeds, "host string, trust double, distrust double"), tolerance=1e-9).collect()}
     out, back = collections.Counter(), collections.Counter()
     for a, b, n in edges:
         out[a] += n
         back[b] += n
     own = {h: (0.15 * t, 0.15 * d) for h, t, d in seeds}
     state = dict(own)
-    for _ in range(6):
+    for _ in range(300):
         new = collections.defaultdict(lambda: [0.0, 0.0])
         for h, (t, d) in own.items():
             new[h][0] += t
@@ -213,7 +213,25 @@ def test_page_rank(spark):
             new[b][0] += 0.85 * state.get(a, (0, 0))[0] * n / out[a]
             new[a][1] += 0.85 * state.get(b, (0, 0))[1] * n / back[b]
         state = {h: tuple(v) for h, v in new.items()}
-    assert all(math.isclose(got[h][i], state[h][i], abs_tol=1e-12) for h in state for i in (0, 1))
+    assert all(math.isclose(got[h][i], state[h][i], abs_tol=1e-9) for h in state for i in (0, 1))
+
+
+def test_distrust_runs_until_it_is_used_up(spark):
+    """On a chain of single links to a blocked host, 0.85^14 of a seed's share still blocks and 0.85^15 doesn't."""
+    from trackloom.llm.queries import URL_RULES
+
+    pages = [(0, "http://bad.net/es/", "")] + [(i, f"http://h{i}.org/", f'<a href="http://{"bad.net" if i == 1 else f"h{i - 1}.org"}/">') for i in range(1, 41)]
+    got = {r["page_id"]: r["verdict"] for r in url_filters.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()}
+    assert [i for i in range(1, 41) if got[i] == "block"] == list(range(1, 15))
+
+
+def test_revisits_have_the_payload_they_had(spark):
+    """Rows that repeat a page id with other payloads, and rows without an id."""
+    a, b = "a" * 2000, "b" * 2000
+    rows = [(9, "u", a), (9, "u", b), (1, "u", a), (2, "u", b), (None, "u", a), (None, "u", "c" * 1500), (4, "u", None)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = sorted(((i, hashlib.sha1((h or "").encode()).hexdigest(), len(h or ""), "revisit" if i in (1, 2) else "response", 9 if i in (1, 2) else None) for i, _, h in rows), key=str)
+    assert sorted(((r["page_id"], r["payload_digest"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got), key=str) == want
 
 
 def test_distrust_blocks_who_links_to_blocked(spark):

@@ -3,18 +3,20 @@
 A document is a bag of passages of 50 words. A passage becomes counts of its characters by class, word statistics and
 hashed words; a small network encodes it, and a second one gives it a gated attention weight (tanh times sigmoid).
 The encoded passages, summed by softmax of their weights, are scored as one vector. Everything is learned from the
-documents' labels alone, on a bounded sample: about `per_class` documents of each label, chosen by a hash of the id, and of
-each no more than `most_passages` evenly spaced passages. Only their features come to the driver (half a KB a passage), which
-trains in numpy; scoring is a pandas UDF over all passages of all texts.
+documents' labels alone, on a bounded sample: about `per_class` documents of each label, chosen by a hash of the id, with all their
+passages. Their features (half a KB a passage) are written; the driver trains in numpy on mini-batches of some 64 documents, holding
+no more than `cache` bytes of features, else reading the table anew for every epoch, which gives the same model. Scoring
+is a pandas UDF over all passages of all texts.
 
 Defined results: null and empty texts are one empty passage and get a score like any other; rows that repeat an
-id are scored alike; labels that are null are ignored and of repeated ones the greatest counts; without any
-training label every score is 0.5; extra columns are ignored. Whole texts are read, in as many passages as they have.
+id are scored alike; labels other than 0 and 1 are ignored and of repeated ones the greatest counts; without any
+training label every score is 0.5; score() carries all columns but one named score, which it replaces. Whole texts are read, in as many passages as they have.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +26,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PASSAGE, HASHED, PER_CLASS, MOST_PASSAGES, HIDDEN, ATTENTION, EPOCHS = 50, 192, 1500, 40, 32, 16, 20
+from trackloom.llm._common import materialize
+
+PASSAGE, HASHED, PER_CLASS, HIDDEN, ATTENTION, EPOCHS, BATCH, CACHE = 50, 192, 1500, 32, 16, 20, 64, 1 << 26
 
 
 def _classes() -> np.ndarray:
@@ -123,28 +127,38 @@ def gradients(model: AttentionModel, x: np.ndarray, starts: np.ndarray, labels:
     return {"W": x.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dv, "U": f["h"].T @ du, "w": (f["v"] * f["u"]).T @ de, "c": f["z"].T @ ds, "d": ds.sum(keepdims=True)}
 
 
-def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> AttentionModel:
-    """Adam on the mean log loss, each class weighing the same; bags of 64 documents a step."""
+#: A mini-batch: a row of features for each passage, documents one after the other; where each document begins; labels.
+Batch = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def batch_of(bags: Sequence[np.ndarray], labels: Sequence[float]) -> Batch:
+    return np.concatenate(bags), np.cumsum([0, *map(len, bags)])[:-1], np.array(labels, np.float32)
+
+
+def train(batches: Callable[[], Iterable[Batch]], epochs: int = EPOCHS, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> AttentionModel:
+    """Adam on the mean log loss, each class weighing the same; batches() gives the same mini-batches for every epoch, one held at a time."""
     rng = np.random.default_rng(seed)
     p = {"W": rng.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, HIDDEN**-0.5, (HIDDEN, ATTENTION)), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, ATTENTION)), "w": rng.normal(0, ATTENTION**-0.5, ATTENTION), "c": np.zeros(HIDDEN), "d": np.zeros(1)}
     p = {k: v.astype(np.float32) for k, v in p.items()}
-    if not len(bags):
+    passages_, documents, positive = 0, 0, 0.0
+    sums, squares = np.zeros(FEATURES), np.zeros(FEATURES)
+    for x, _, labels in batches():
+        passages_ += len(x)
+        sums += x.sum(0, dtype=float)
+        squares += (x.astype(float) ** 2).sum(0)
+        documents += len(labels)
+        positive += float(labels.sum())
+    if not documents:
         return AttentionModel(p, np.zeros(FEATURES, np.float32), np.ones(FEATURES, np.float32))
-    every = np.concatenate(bags)
-    model = AttentionModel(p, every.mean(0), every.std(0) + 0.05)
-    every = (every - model.mean) / model.scale
-    at = np.cumsum([0, *map(len, bags)])
-    share = labels.mean()
-    cost = np.where(labels == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)).astype(np.float32)
+    mean = sums / passages_
+    model = AttentionModel(p, mean.astype(np.float32), (np.sqrt(np.maximum(squares / passages_ - mean**2, 0)) + 0.05).astype(np.float32))
+    share = positive / documents
     m, s, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     for epoch in range(epochs):
-        order = rng.permutation(len(bags))
         pace = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
-        for lo in range(0, len(order), 64):
-            some = order[lo : lo + 64]
-            x = np.concatenate([every[at[i] : at[i + 1]] for i in some])
-            starts = np.cumsum([0, *(at[i + 1] - at[i] for i in some)])[:-1]
-            grads = gradients(model, x, starts, labels[some], cost[some])
+        for x, starts, labels in batches():
+            cost = np.where(labels == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)).astype(np.float32)
+            grads = gradients(model, (x - model.mean) / model.scale, starts, labels, cost)
             step += 1
             for k, g in grads.items():
                 g = g + decay * p[k]
@@ -154,34 +168,50 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, most_passages: int = MOST_PASSAGES) -> AttentionModel:
+class WrittenBatches:
+    """Mini-batches from a written table (batch, doc_id, x, y). What fits `cache` bytes is fetched once; else every epoch streams the table anew."""
+
+    def __init__(self, features: DataFrame, cache: int = CACHE):
+        self.features = features.sort("batch", "doc_id", "x").select("batch", "x", "y")
+        self.held = self.features.toArrow() if (features.figures["bytes"] or 0) <= cache else None
+
+    def rows(self) -> Iterator[tuple[int, bytes, int]]:
+        if self.held is None:
+            yield from self.features.toLocalIterator(prefetchPartitions=True)
+        else:
+            for part in self.held.to_batches(max_chunksize=64):
+                yield from zip(*(c.to_pylist() for c in part.columns))
+
+    def __call__(self) -> Iterator[Batch]:
+        for _, rows in itertools.groupby(self.rows(), key=lambda r: r[0]):
+            _, x, y = zip(*rows)
+            yield batch_of([np.frombuffer(b, np.float16).astype(np.float32).reshape(-1, FEATURES) for b in x], y)
+
+
+def fit(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, cache: int = CACHE) -> AttentionModel:
     """trainable: a condition on doc_id that says which labels may be learned from."""
-    known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("y")).where("doc_id is not null and y is not null")
+    known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = (known if trainable is None else known.where(trainable)).groupBy("doc_id").agg(F.max("y").alias("y"))
-    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a label
+    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     share = F.lit(0.0)
     for y, n in sizes.items():
         share = F.when(F.col("y") == y, F.lit(min(1.0, per_class / n))).otherwise(share)
     picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30) < share)
+    picked = materialize(picked, "quality-sample", F.count(F.lit(1)).alias("n"))
+    n = picked.figures["n"]
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    # some thousand ids, by per_class
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"))
-
-    def some(text: str | None) -> bytes:
-        x = passages(text)
-        if len(x) > most_passages:
-            x = x[np.linspace(0, len(x) - 1, most_passages).astype(int)]
-        return x.astype(np.float16).tobytes()
+    # some 2 * per_class rows, as counted; beyond four times that Spark decides
+    rows = texts.join(F.broadcast(picked) if n <= 8 * per_class else picked, "doc_id").select("doc_id", "text", "y")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                ids, found, y = (c.to_pylist() for c in batch.slice(lo, 200).columns)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([some(t) for t in found], pa.binary()), pa.array(y, pa.int32())], names=["doc_id", "x", "y"])
+            for lo in range(0, batch.num_rows, 50):
+                ids, found, y = (c.to_pylist() for c in batch.slice(lo, 50).columns)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([passages(t).astype(np.float16).tobytes() for t in found], pa.binary()), pa.array(y, pa.int32())], names=["doc_id", "x", "y"])
 
-    got = rows.mapInArrow(featurise, "doc_id long, x binary, y int").toArrow().sort_by("doc_id")
-    bags = [np.frombuffer(b, np.float16).astype(np.float32).reshape(-1, FEATURES) for b in got.column("x").to_pylist()]
-    return train(bags, np.array(got.column("y").to_pylist(), np.float32))
+    features = rows.mapInArrow(featurise, "doc_id long, x binary, y int")
+    features = features.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(max(1, n // BATCH))))
+    return train(WrittenBatches(materialize(features, "quality-features", F.sum(F.octet_length("x")).alias("bytes")), cache))
 
 
 def score(docs: DataFrame, model: AttentionModel, text_col: str = "text") -> DataFrame:
