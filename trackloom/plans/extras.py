@@ -10,6 +10,7 @@ from trackloom.functions.geo import confidence_radius
 from trackloom.operators import fold as D
 from trackloom.operators import series as S
 from trackloom.operators.cleaning import clean, clean_distance
+from trackloom.operators.places import merge_places
 from trackloom.plans._register import Register
 from trackloom.plans.folds import CLEAN_SQL
 from trackloom.plans.scoring import SCORES_SQL, scores
@@ -25,11 +26,11 @@ def scorecard_text(spark, sf_dir):
     return g.select("predictor", F.format_string("%s: %d outages, median %d %%, %d under 10 %%", "predictor", "n", "med", "ok").alias("line"))
 
 
-@query("q_fault_injection", """, f AS (SELECT *, CAST(round(40000 * greatest(least((d_mm - 50000) / 20000.0::DOUBLE, (300000 - d_mm) / 20000.0::DOUBLE, 1), 0)) AS BIGINT) AS pushed_mm FROM r)
+@query("q_fault_injection", """, f AS (SELECT *, CAST(round(40000 * greatest(least((d_mm - 50000) / 40000.0::DOUBLE, (300000 - d_mm) / 40000.0::DOUBLE, 1), 0)) AS BIGINT) AS pushed_mm FROM r)
 SELECT ride_id, seq, pushed_mm, CAST(round(x_mm - pushed_mm * sin(radians(head_deg::DOUBLE))) AS BIGINT) AS x_mm, CAST(round(y_mm + pushed_mm * cos(radians(head_deg::DOUBLE))) AS BIGINT) AS y_mm FROM f""")
 def fault_injection(spark, sf_dir):
-    """A 250 m stretch pushed 40 m sideways, with ramps of 20 m."""
-    share = F.greatest(F.least((F.col("d_mm") - 50000) / 20000.0, (300000 - F.col("d_mm")) / 20000.0, F.lit(1.0)), F.lit(0.0))
+    """A 250 m stretch pushed 40 m sideways, with ramps of 40 m."""
+    share = F.greatest(F.least((F.col("d_mm") - 50000) / 40000.0, (300000 - F.col("d_mm")) / 40000.0, F.lit(1.0)), F.lit(0.0))
     r = rides(spark, sf_dir).withColumn("pushed_mm", F.round(40000 * share).cast("long")).withColumn("h", F.radians(F.col("head_deg").cast("double")))
     return r.select("ride_id", "seq", "pushed_mm", F.round(F.col("x_mm") - F.col("pushed_mm") * F.sin("h")).cast("long").alias("x_mm"), F.round(F.col("y_mm") + F.col("pushed_mm") * F.cos("h")).cast("long").alias("y_mm"))
 
@@ -99,17 +100,23 @@ def json_defaults(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object(p, "$.missing"), F.lit("-1")).cast("long").alias("missing"), F.get_json_object(p, "$.k").isNotNull().alias("has_k"))
 
 
-@query("q_merged_places")
+@query("q_merged_places", """WITH RECURSIVE pa AS (SELECT lower(p_name) AS name, p_partkey AS place, p_partkey * 7919 % 5000 AS x, p_partkey * 104729 % 5000 AS y, p_size % 7 + 1 AS arrivals FROM part),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY name ORDER BY arrivals DESC, place) AS i FROM pa),
+w(name, i, kept) AS (
+ SELECT name, 0::BIGINT, CAST([] AS STRUCT(place BIGINT, x BIGINT, y BIGINT)[]) FROM o GROUP BY name
+ UNION ALL
+ SELECT w.name, o.i, CASE WHEN len(list_filter(kept, lambda q: (q.x - o.x) * (q.x - o.x) + (q.y - o.y) * (q.y - o.y) < 90000)) > 0 THEN kept ELSE list_append(kept, {'place': o.place, 'x': o.x, 'y': o.y}) END FROM w JOIN o ON o.name = w.name AND o.i = w.i + 1),
+b AS (SELECT o.name, o.place, arrivals, (list_filter(w.kept, lambda q: (q.x - o.x) * (q.x - o.x) + (q.y - o.y) * (q.y - o.y) < 90000))[1] AS q FROM o JOIN w ON w.name = o.name AND w.i = o.i)
+SELECT name, q.place AS place, q.x AS x, q.y AS y, count(DISTINCT member) AS merged, count(DISTINCT node) AS arrivals FROM (SELECT name, q, place AS member, unnest(range(place, place + arrivals)) AS node FROM b) GROUP BY name, q""", ctes=False)
 def merged_places(spark, sf_dir):
-    """Places of one name within 300 m of each other become one, in order of arrival; parts stand for places."""
+    """Places of one name within 300 m are one: the entry with most arrivals stays where it is and gets the others' arrivals. Parts stand for places."""
     from trackloom.sources.rides import table
 
-    places = table(spark, sf_dir, "part").select(F.lower("p_name").alias("name"), "p_partkey", (F.pmod(F.col("p_partkey") * 7919, F.lit(5000))).cast("double").alias("x"), (F.pmod(F.col("p_partkey") * 104729, F.lit(5000))).cast("double").alias("y"))
-
-    def step(f, row):
-        f.observe((row["x"], row["y"]), row["p_partkey"])
-
-    return D.fold(places, "name", ["p_partkey"], lambda: D.Crowd(300.0), step, "name string, x double, y double, n int", lambda f, k: [{"x": c["xy"][0], "y": c["xy"][1], "n": c["n"]} for c in f.candidates])
+    own = F.col("p_partkey")
+    nodes = F.sequence(own, own + F.col("p_size") % 7)
+    places = table(spark, sf_dir, "part").select(F.lower("p_name").alias("name"), own.alias("place"), F.pmod(own * 7919, F.lit(5000)).alias("x"), F.pmod(own * 104729, F.lit(5000)).alias("y"), nodes.alias("arrive"))
+    found = merge_places(places, 300)
+    return found.select("name", "place", "x", "y", "merged", F.size("arrive").cast("long").alias("arrivals"))
 
 
 @query("q_clean_distance", CLEAN_SQL + """, sm AS (SELECT ride_id, seq, quantile_cont(x_mm, 0.5) OVER w AS x, quantile_cont(y_mm, 0.5) OVER w AS y FROM c10 WINDOW w AS (PARTITION BY ride_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),

@@ -17,13 +17,13 @@ from trackloom.operators import graph as H
 from trackloom.operators import hmm
 from trackloom.operators import roads as W
 from trackloom.operators import series as S
-from trackloom.operators import spatial as P
+from trackloom.operators.places import arrivals
 from trackloom.plans._register import Register
 from trackloom.plans.folds_sql import near, stepwise
 from trackloom.plans.graph import GRID_SQL, whole_grid
 from trackloom.plans.roads import AT_SQL, road_of
 from trackloom.sources import sinks as K
-from trackloom.sources.files import way_class
+from trackloom.sources.files import SKIPPED_SERVICE, way_class
 from trackloom.sources.rides import RIDES_SQL, by_ride, rides, table
 from trackloom.sources.shared import materialize
 
@@ -235,18 +235,22 @@ def tag_text(spark, sf_dir):
 
 
 #: Road classes by line number, as the query names them.
-CLASSES = ["motorway", "trunk_link", "primary", "secondary", "tertiary_link", "residential", "service"]
+CLASSES = ["motorway", "trunk_link", "primary", "secondary", "tertiary_link", "residential", "service", "living_street", "unclassified", "road", "footway"]
 
 
-@query("q_way_classes", f"""WITH t AS (SELECT l_orderkey, l_linenumber, (['{"', '".join(CLASSES)}'])[(l_linenumber - 1) % 7 + 1] AS highway, CASE l_returnflag WHEN 'A' THEN 'yes' WHEN 'N' THEN '-1' ELSE 'no' END AS oneway, CASE WHEN l_linestatus = 'F' THEN 'private' ELSE 'yes' END AS access, l_linenumber % 2 = 0 AS round FROM lineitem)
-SELECT l_orderkey, l_linenumber, highway, oneway, access, regexp_replace(highway, '_link$', '') AS kind, CASE WHEN oneway = '-1' THEN -1 WHEN oneway = 'yes' OR round THEN 1 ELSE 0 END AS way, access = 'private' AS private,
- round(3.6::DOUBLE / (CASE regexp_replace(highway, '_link$', '') WHEN 'motorway' THEN 80 WHEN 'trunk' THEN 60 WHEN 'primary' THEN 45 WHEN 'secondary' THEN 40 WHEN 'tertiary' THEN 35 WHEN 'residential' THEN 25 ELSE 15 END) * CASE WHEN access = 'private' THEN 5 ELSE 1 END, 9) AS pace FROM t""", ctes=False)
+@query("q_way_classes", f"""WITH t AS (SELECT l_orderkey, l_linenumber, (['{"', '".join(CLASSES)}'])[(l_linenumber + l_partkey) % 11 + 1] AS highway, CASE l_returnflag WHEN 'A' THEN 'yes' WHEN 'N' THEN '-1' ELSE 'no' END AS oneway, CASE WHEN l_linestatus = 'F' THEN 'private' ELSE 'yes' END AS access,
+ (['roundabout', 'circular', 'none', NULL])[l_suppkey % 4 + 1] AS junction, (['driveway', 'parking_aisle', 'alley', NULL, NULL])[l_partkey % 5 + 1] AS service, CASE WHEN l_quantity > 45 THEN 'yes' END AS area FROM lineitem),
+k AS (SELECT *, CASE WHEN service IN ('parking_aisle', 'drive-through') OR area = 'yes' THEN NULL WHEN highway IN ('motorway', 'motorway_link', 'trunk_link') THEN 'trunk' WHEN highway = 'tertiary_link' THEN 'tertiary' ELSE highway END AS kind FROM t)
+SELECT l_orderkey, l_linenumber, highway, oneway, access, kind, CASE WHEN oneway = 'yes' OR junction IN ('roundabout', 'circular') THEN 1 WHEN oneway = '-1' THEN -1 ELSE 0 END AS way, access = 'private' AS private,
+ round(3.6::DOUBLE / CASE kind WHEN 'trunk' THEN 40 WHEN 'primary' THEN 35 WHEN 'secondary' THEN 30 WHEN 'tertiary' THEN 25 WHEN 'unclassified' THEN 20 WHEN 'residential' THEN 20 WHEN 'service' THEN 15 WHEN 'living_street' THEN 10 WHEN 'road' THEN 20 END * CASE WHEN access = 'private' THEN 5 ELSE 1 END, 9) AS pace FROM k""", ctes=False)
 def way_classes(spark, sf_dir):
     """Class, direction, privacy and seconds a metre of ways from their tags."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.element_at(F.array(*map(F.lit, CLASSES)), ((F.col("l_linenumber") - 1) % 7 + 1).cast("int")).alias("highway"), F.when(F.col("l_returnflag") == "A", "yes").when(F.col("l_returnflag") == "N", "-1").otherwise("no").alias("oneway"), F.when(F.col("l_linestatus") == "F", "private").otherwise("yes").alias("access"))
-    tags = F.create_map(F.lit("highway"), F.col("highway"), F.lit("oneway"), F.col("oneway"), F.lit("access"), F.col("access"), F.lit("junction"), F.when(F.col("l_linenumber") % 2 == 0, "roundabout").otherwise("none"))
+    pick = lambda values, c: F.element_at(F.array(*map(F.lit, values)), (c % len(values) + 1).cast("int"))
+    tagged = {"junction": pick(["roundabout", "circular", "none", None], F.col("l_suppkey")), "service": pick(["driveway", SKIPPED_SERVICE[0], "alley", None, None], F.col("l_partkey")), "area": F.when(F.col("l_quantity") > 45, "yes")}
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.create_map(*[x for k, v in tagged.items() for x in (F.lit(k), v)]).alias("more"), pick(CLASSES, F.col("l_linenumber") + F.col("l_partkey")).alias("highway"), F.when(F.col("l_returnflag") == "A", "yes").when(F.col("l_returnflag") == "N", "-1").otherwise("no").alias("oneway"), F.when(F.col("l_linestatus") == "F", "private").otherwise("yes").alias("access"))
+    tags = F.map_concat("more", F.create_map(F.lit("highway"), F.col("highway"), F.lit("oneway"), F.col("oneway"), F.lit("access"), F.col("access")))
     kind, way, private = way_class(tags)
-    return li.select("*", kind.alias("kind"), way.alias("way"), private.alias("private")).withColumn("pace", F.round(H.seconds_per_metre(F.col("kind"), F.col("private")), 9))
+    return li.select("l_orderkey", "l_linenumber", "highway", "oneway", "access", kind.alias("kind"), way.alias("way"), private.alias("private")).withColumn("pace", F.round(H.seconds_per_metre(F.col("kind"), F.col("private")), 9))
 
 
 @query("q_edge_points", ", g AS (SELECT ride_id, CAST(unnest(generate_series(0, max(d_mm), 10000)) AS BIGINT) AS s FROM r GROUP BY ride_id), " + AT_SQL + "SELECT ride_id, s, round(x, 4) AS x, round(y, 4) AS y, round(degrees(atan2(y1 - y0, x1 - x0)), 4) AS heading_deg FROM pl WHERE t0 IS NOT NULL AND t1 IS NOT NULL AND t0 <> t1")
@@ -303,17 +307,18 @@ def maneuvers(spark, sf_dir):
     return d.select("ride_id", F.round("along_m", 3).alias("along_m"), F.round("angle_deg").alias("angle_deg"))
 
 
-@query("q_arrival_nodes", """, nd AS (SELECT event_id AS node, ride_id AS way, x_mm AS nx, y_mm AS ny FROM r WHERE seq % 10 = 0), pl AS (SELECT event_id AS place, ride_id, x_mm AS px, y_mm AS py, k < 50 AS outlined FROM r WHERE hit),
-pr AS (SELECT *, (nx - px) * (nx - px) + (ny - py) * (ny - py) AS d2 FROM pl JOIN nd ON abs(nx - px) <= 60000 AND abs(ny - py) <= 60000 WHERE (nx - px) * (nx - px) + (ny - py) * (ny - py) <= CASE WHEN outlined THEN 1600000000 ELSE 3600000000 END)
-SELECT place, count(*) AS nodes, min(node) AS first_node, CAST(min(d2) AS BIGINT) AS least_d2 FROM pr GROUP BY place""")
+@query("q_arrival_nodes", """, nd AS (SELECT event_id AS node, x_mm AS nx, y_mm AS ny FROM r WHERE seq % 10 = 0), pl AS (SELECT event_id AS place, ride_id, x_mm AS px, y_mm AS py, k < 50 AS outlined FROM r WHERE hit),
+pr AS (SELECT *, (nx - px) * (nx - px) + (ny - py) * (ny - py) AS d2 FROM pl, nd),
+best AS (SELECT place, min(d2) AS least_d2, arg_min(node, (d2, node)) AS nearest FROM pr GROUP BY place),
+near AS (SELECT place, count(*) AS nodes, min(node) AS first_node FROM pr WHERE d2 <= CASE WHEN outlined THEN 1600000000 ELSE 3600000000 END GROUP BY place)
+SELECT place, coalesce(nodes, 1) AS nodes, coalesce(first_node, nearest) AS first_node, CAST(least_d2 AS BIGINT) AS least_d2 FROM best LEFT JOIN near USING (place)""")
 def arrival_nodes(spark, sf_dir):
-    """Where a place can be reached: nodes within 40 m of an outline, 60 m of a point."""
+    """Where a place can be reached: nodes within 40 m of an outline, 60 m of a point, else the nearest one."""
     r = materialize(rides(spark, sf_dir).select("event_id", "seq", "hit", "k", "x_mm", "y_mm"), "rides")
     nodes = r.where("seq % 10 = 0").select(F.col("event_id").alias("node"), F.col("x_mm").alias("nx"), F.col("y_mm").alias("ny"))
-    places = r.where("hit").select(F.col("event_id").alias("place"), (F.col("k") < 50).alias("outlined"), F.col("x_mm").alias("px"), F.col("y_mm").alias("py"))
-    near = P.within_radius(places, nodes, 60000, "px", "py", "nx", "ny").where(~F.col("outlined") | (F.col("d2") <= 40000 * 40000))
-    g = near.groupBy("place").agg(F.sort_array(F.collect_set("node")).alias("set"), F.min("d2").alias("least_d2"))
-    return g.select("place", F.size("set").cast("long").alias("nodes"), F.col("set")[0].alias("first_node"), "least_d2")
+    places = r.where("hit").select(F.col("event_id").alias("place"), (F.col("k") < 50).alias("outlined"), F.col("x_mm").alias("x"), F.col("y_mm").alias("y"))
+    g = arrivals(places, nodes, 40000, 60000, lambda d: materialize(d, "arrivals"))
+    return g.select("place", F.size("arrive").cast("long").alias("nodes"), F.col("arrive")[0].alias("first_node"), F.col("least_d2").cast("long").alias("least_d2"))
 
 
 @query("q_directed_reroute", f"""WITH RECURSIVE {GRID_SQL}, s(node, cost) USING KEY (node) AS (SELECT least, 0::BIGINT FROM z UNION SELECT e.v, CAST(min(s.cost + e.cost) AS BIGINT) FROM s JOIN e ON e.u = s.node LEFT JOIN recurring.s AS o ON o.node = e.v WHERE o.cost IS NULL OR s.cost + e.cost < o.cost GROUP BY e.v)

@@ -9,6 +9,7 @@ from trackloom.functions import geo as G
 from trackloom.operators import consensus as C
 from trackloom.operators import project as J
 from trackloom.operators import spatial as P
+from trackloom.operators.nearest import coverage
 from trackloom.operators.series import ordered, padded_mean
 from trackloom.plans._register import Register
 from trackloom.plans.roads import AT_SQL, road_of
@@ -179,23 +180,23 @@ def passes(spark, sf_dir):
     return materialize(r.select("ride_id", "track", F.col("seq").alias("j"), (F.col("x_mm") + off(1, 37)).alias("x"), (F.col("y_mm") + off(2, 53)).alias("y")), "passes")
 
 
-TYPICAL_SQL = PASSES_SQL + """, nn AS (SELECT a.ride_id, a.track AS of_, a.j AS i, b.track, sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))::DOUBLE) AS d FROM tr a JOIN tr b ON a.ride_id = b.ride_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400000000 GROUP BY ALL),
-sc AS (SELECT ride_id, of_, round((sum(d) + (n * 5 - count(*)) * 20000.0::DOUBLE) / (n * 5), 6) AS mean FROM nn JOIN (SELECT ride_id, count(*) AS n FROM r GROUP BY ride_id) USING (ride_id) GROUP BY ride_id, of_, n),
+TYPICAL_SQL = PASSES_SQL + """, nn AS (SELECT a.ride_id, a.track AS of_, a.j AS i, b.track, sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))::DOUBLE) AS d FROM tr a JOIN tr b ON a.ride_id = b.ride_id GROUP BY ALL),
+sc AS (SELECT ride_id, of_, round(avg(d), 6) AS mean FROM (SELECT ride_id, of_, track, avg(d) AS d FROM nn GROUP BY ALL) GROUP BY ride_id, of_),
 ty AS (SELECT ride_id, arg_min(of_, (mean, of_)) AS track FROM sc GROUP BY ride_id)
 """
 
 
 @query("q_typical_track", TYPICAL_SQL + "SELECT * FROM ty")
 def typical_track(spark, sf_dir):
-    return C.most_typical(passes(spark, sf_dir), 20000)
+    return C.most_typical(passes(spark, sf_dir), 20000, lambda d: materialize(d, "nearest"))
 
 
 @query("q_consensus_track", TYPICAL_SQL + """, st AS (SELECT tr.* FROM tr JOIN ty USING (ride_id, track)),
-ne AS (SELECT st.ride_id, st.j AS i, b.track, arg_min({'x': b.x, 'y': b.y}, ((st.x - b.x) * (st.x - b.x) + (st.y - b.y) * (st.y - b.y), b.j)) AS p FROM st JOIN tr b ON st.ride_id = b.ride_id AND (st.x - b.x) * (st.x - b.x) + (st.y - b.y) * (st.y - b.y) <= 400000000 GROUP BY ALL)
+ne AS (SELECT st.ride_id, st.j AS i, b.track, arg_min({'x': b.x, 'y': b.y}, ((st.x - b.x) * (st.x - b.x) + (st.y - b.y) * (st.y - b.y), b.j)) AS p FROM st JOIN tr b ON st.ride_id = b.ride_id GROUP BY ALL)
 SELECT ride_id, i, quantile_cont(p.x, 0.5) AS x, quantile_cont(p.y, 0.5) AS y, count(*) AS n FROM ne GROUP BY ride_id, i""")
 def consensus_track(spark, sf_dir):
     """The median of five passes, along the most typical one."""
-    return C.consensus(passes(spark, sf_dir), 20000)
+    return C.consensus(passes(spark, sf_dir), 20000, lambda d: materialize(d, "nearest"))
 
 
 def fused_sql(rounds: int) -> str:
@@ -215,28 +216,44 @@ def fused_track(spark, sf_dir):
     return f.select("ride_id", "i", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
 
 
-@query("q_map_score", PASSES_SQL + """, mp AS (SELECT * FROM tr WHERE track = 1), ne AS (SELECT r.ride_id, r.seq, sqrt(min((r.x_mm - x) * (r.x_mm - x) + (r.y_mm - y) * (r.y_mm - y))::DOUBLE) AS d FROM r LEFT JOIN mp ON r.ride_id = mp.ride_id AND (r.x_mm - x) * (r.x_mm - x) + (r.y_mm - y) * (r.y_mm - y) <= 400000000 GROUP BY ALL),
-xt AS (SELECT ride_id, quantile_cont(coalesce(d, 20000), 0.5) AS m, quantile_cont(coalesce(d, 20000), 0.9) AS p FROM ne GROUP BY ride_id),
-la AS (SELECT ride_id, sum(l) AS a FROM (SELECT ride_id, sqrt((pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2))::DOUBLE) AS l FROM mp WINDOW w AS (PARTITION BY ride_id ORDER BY j)) GROUP BY ride_id),
-lb AS (SELECT ride_id, sum(l) AS b FROM (SELECT ride_id, sqrt((pow(x_mm - lag(x_mm) OVER w, 2) + pow(y_mm - lag(y_mm) OVER w, 2))::DOUBLE) AS l FROM r WINDOW w AS (PARTITION BY ride_id ORDER BY seq)) GROUP BY ride_id)
-SELECT ride_id, round(m, 3) AS xtrack_med, round(p, 3) AS xtrack_p90, round(CASE WHEN b > 0 THEN 100.0::DOUBLE * (a - b) / b END, 4) AS len_err FROM xt JOIN la USING (ride_id) JOIN lb USING (ride_id)""")
+@query("q_map_score", PASSES_SQL + """, mp AS (SELECT * FROM tr WHERE track = 1 AND j % 3 < 2), ne AS (SELECT r.ride_id, r.seq, sqrt(min((r.x_mm - x) * (r.x_mm - x) + (r.y_mm - y) * (r.y_mm - y))::DOUBLE) AS d, arg_min(j, ((r.x_mm - x) * (r.x_mm - x) + (r.y_mm - y) * (r.y_mm - y), j)) AS j FROM r JOIN mp ON r.ride_id = mp.ride_id GROUP BY r.ride_id, r.seq),
+xt AS (SELECT ride_id, quantile_cont(d, 0.5) AS m, quantile_cont(d, 0.9) AS p, max(d) AS worst, arg_min(j, seq) AS j0, arg_max(j, seq) AS j1 FROM ne GROUP BY ride_id),
+la AS (SELECT ride_id, j, sum(l) OVER (PARTITION BY ride_id ORDER BY j) AS s FROM (SELECT ride_id, j, coalesce(sqrt((pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2))::DOUBLE), 0) AS l FROM mp WINDOW w AS (PARTITION BY ride_id ORDER BY j))),
+lb AS (SELECT ride_id, coalesce(sum(l), 0) AS b FROM (SELECT ride_id, sqrt((pow(x_mm - lag(x_mm) OVER w, 2) + pow(y_mm - lag(y_mm) OVER w, 2))::DOUBLE) AS l FROM r WINDOW w AS (PARTITION BY ride_id ORDER BY seq)) GROUP BY ride_id)
+SELECT xt.ride_id, round(m, 3) AS xtrack_med, round(p, 3) AS xtrack_p90, round(worst, 3) AS xtrack_worst, round(CASE WHEN b > 0 THEN 100.0::DOUBLE * (abs(q1.s - q0.s) - b) / b END, 4) AS len_err FROM xt JOIN lb USING (ride_id) JOIN la q0 ON q0.ride_id = xt.ride_id AND q0.j = j0 JOIN la q1 ON q1.ride_id = xt.ride_id AND q1.j = j1""")
 def map_score(spark, sf_dir):
-    """The second pass as a map, against the ride itself."""
-    line = passes(spark, sf_dir).where("track = 1").select("ride_id", F.col("j").alias("i"), "x", "y")
+    """The second pass without every third point as a map, against the ride itself."""
+    line = passes(spark, sf_dir).where("track = 1 and j % 3 < 2").select("ride_id", F.col("j").alias("i"), "x", "y")
     truth = rides(spark, sf_dir).select("ride_id", F.col("seq").alias("i"), F.col("x_mm").alias("x"), F.col("y_mm").alias("y"))
-    s = C.map_score(line, truth, 20000)
-    return s.select("ride_id", F.round("xtrack_med", 3).alias("xtrack_med"), F.round("xtrack_p90", 3).alias("xtrack_p90"), F.round("len_err", 4).alias("len_err"))
+    s = C.map_score(line, truth, 20000, lambda d: materialize(d, "nearest"))
+    return s.select("ride_id", *[F.round(c, 3).alias(c) for c in ("xtrack_med", "xtrack_p90", "xtrack_worst")], F.round("len_err", 4).alias("len_err"))
+
+
+@query("q_restationed_consensus", TYPICAL_SQL + """, s0 AS (SELECT tr.ride_id, tr.j AS i, tr.x, tr.y FROM tr JOIN ty USING (ride_id, track)),
+""" + ",\n".join(f"""n{k} AS (SELECT st.ride_id, st.i, b.track, arg_min({{'x': b.x, 'y': b.y}}, ((st.x - b.x) * (st.x - b.x) + (st.y - b.y) * (st.y - b.y), b.j)) AS p FROM s{k} st JOIN tr b ON st.ride_id = b.ride_id GROUP BY ALL),
+m{k} AS (SELECT ride_id, i, quantile_cont(p.x, 0.5)::DOUBLE AS x, quantile_cont(p.y, 0.5)::DOUBLE AS y FROM n{k} GROUP BY ride_id, i),
+l{k} AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS l FROM m{k} WINDOW w AS (PARTITION BY ride_id ORDER BY i)),
+c{k} AS (SELECT ride_id, s, arg_min(x, i) AS x, arg_min(y, i) AS y FROM (SELECT *, sum(l) OVER (PARTITION BY ride_id ORDER BY i) AS s FROM l{k}) WHERE l > 0 OR s = 0 GROUP BY ride_id, s),
+g{k} AS (SELECT ride_id, i, i * 2000.0::DOUBLE AS s FROM (SELECT ride_id, unnest(range(greatest(ceil(max(s) / 2000)::BIGINT, 1))) AS i FROM c{k} GROUP BY ride_id)),
+a{k} AS (SELECT g.*, c.s AS t0, c.x AS x0, c.y AS y0 FROM g{k} g ASOF LEFT JOIN c{k} c ON g.ride_id = c.ride_id AND g.s >= c.s),
+b{k} AS (SELECT a.*, c.s AS t1, c.x AS x1, c.y AS y1 FROM a{k} a ASOF LEFT JOIN c{k} c ON a.ride_id = c.ride_id AND a.s <= c.s),
+s{k + 1} AS (SELECT ride_id, i, CASE WHEN t1 IS NULL OR t0 = t1 THEN x0 ELSE x0 + (x1 - x0) * ((s - t0) / (t1 - t0)) END AS x, CASE WHEN t1 IS NULL OR t0 = t1 THEN y0 ELSE y0 + (y1 - y0) * ((s - t0) / (t1 - t0)) END AS y FROM b{k})""" for k in (0, 1)) + """
+SELECT ride_id, count(*) AS stations, round(sum(x) / 1e6, 3) AS sum_x, round(sum(y) / 1e6, 3) AS sum_y FROM s2 GROUP BY ride_id""")
+def restationed_consensus(spark, sf_dir):
+    """The median of five passes, stationed anew every two metres on its own result."""
+    line = C.consensus(passes(spark, sf_dir), 20000, lambda d: materialize(d, "nearest"), step=2000.0)
+    return line.groupBy("ride_id").agg(F.count(F.lit(1)).alias("stations"), F.round(F.sum("x") / 1e6, 3).alias("sum_x"), F.round(F.sum("y") / 1e6, 3).alias("sum_y"))
 
 
 @query("q_consensus_draws", PASSES_SQL + """, dw AS (SELECT a AS draw, unnest(list_distinct([a % 5, (a * 2 + 1) % 5, (a * 3 + 2) % 5])) AS track FROM (SELECT unnest(range(20)) AS a)),
-ne AS (SELECT r.ride_id, r.seq, b.track, arg_min({'x': b.x, 'y': b.y}, ((r.x_mm - b.x) * (r.x_mm - b.x) + (r.y_mm - b.y) * (r.y_mm - b.y), b.j)) AS p FROM r JOIN tr b ON r.ride_id = b.ride_id AND (r.x_mm - b.x) * (r.x_mm - b.x) + (r.y_mm - b.y) * (r.y_mm - b.y) <= 400000000 GROUP BY ALL),
+ne AS (SELECT r.ride_id, r.seq, b.track, arg_min({'x': b.x, 'y': b.y}, ((r.x_mm - b.x) * (r.x_mm - b.x) + (r.y_mm - b.y) * (r.y_mm - b.y), b.j)) AS p FROM r JOIN tr b ON r.ride_id = b.ride_id GROUP BY ALL),
 md AS (SELECT draw, ride_id, seq, quantile_cont(p.x, 0.5) AS x, quantile_cont(p.y, 0.5) AS y, avg(p.x) AS mx, avg(p.y) AS my FROM ne JOIN dw USING (track) GROUP BY ALL)
 SELECT draw, count(*) AS stations, round(avg(sqrt(pow(x - x_mm, 2) + pow(y - y_mm, 2))), 3) AS median_err, round(avg(sqrt(pow(mx - x_mm, 2) + pow(my - y_mm, 2))), 3) AS mean_err FROM md JOIN r USING (ride_id, seq) GROUP BY draw""")
 def consensus_draws(spark, sf_dir):
     """Twenty fixed draws of up to three passes: how far their median and their mean are from the ride."""
     r = rides(spark, sf_dir)
     stations = r.select("ride_id", F.col("seq").alias("i"), F.col("x_mm").alias("x"), F.col("y_mm").alias("y"))
-    near = C.nearest_points(stations, passes(spark, sf_dir), 20000)
+    near = C.nearest_of_tracks(stations, passes(spark, sf_dir), 20000, lambda d: materialize(d, "nearest"))
     draws = spark.range(20).withColumnRenamed("id", "draw").select("draw", F.explode(F.array_distinct(F.array(F.col("draw") % 5, (F.col("draw") * 2 + 1) % 5, (F.col("draw") * 3 + 2) % 5))).alias("track"))
     m = near.join(F.broadcast(draws), "track").groupBy("draw", "ride_id", "i").agg(F.percentile("x", 0.5).alias("px"), F.percentile("y", 0.5).alias("py"), F.avg("x").alias("mx"), F.avg("y").alias("my"))  # sixty rows
     e = lambda a: F.hypot(F.col(f"{a}x") - F.col("x"), F.col(f"{a}y") - F.col("y"))
@@ -262,15 +279,14 @@ def survey_centroids(spark, sf_dir):
     return J.weighted_centroids(notes.join(r.where("gnss_ok"), ["ride_id", "seq"]), ["ride_id", "noted"], F.lit(1.0) / ((F.col("k") + 5) * (F.col("k") + 5)))
 
 
-@query("q_map_coverage", PASSES_SQL + """, mp AS (SELECT * FROM tr WHERE track = 1), ne AS (SELECT r.ride_id, r.seq, sqrt(min((r.x_mm - x) * (r.x_mm - x) + (r.y_mm - y) * (r.y_mm - y))::DOUBLE) / 10 AS d FROM r LEFT JOIN mp ON r.ride_id = mp.ride_id AND (r.x_mm - x) * (r.x_mm - x) + (r.y_mm - y) * (r.y_mm - y) <= 400000000 GROUP BY ALL),
-g AS (SELECT ride_id, quantile_cont(coalesce(d, 2000), 0.9) AS p90, max(coalesce(d, 2000)) AS worst, count(*) AS n FROM ne GROUP BY ride_id)
-SELECT ride_id, round(p90, 3) AS p90, round(worst, 3) AS worst, CASE WHEN n < 10 THEN 'SKIP' WHEN p90 > 150 OR worst > 300 THEN 'FAIL' WHEN p90 > 80 OR worst > 150 THEN 'WARN' ELSE 'OK' END AS gate FROM g""")
+@query("q_map_coverage", """, mp AS (SELECT x_mm AS x, y_mm AS y FROM r WHERE ride_id % 3 <> 0 AND seq % 4 = 0), bx AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM mp),
+ne AS (SELECT ride_id, seq, sqrt(min((x_mm - x) * (x_mm - x) + (y_mm - y) * (y_mm - y))::DOUBLE) / 10 AS d FROM r, mp GROUP BY ride_id, seq),
+g AS (SELECT ride_id, quantile_cont(d, 0.5) AS p50, quantile_cont(d, 0.9) AS p90, max(d) AS worst, count(*) AS n FROM ne GROUP BY ride_id),
+m AS (SELECT ride_id, least(min(x_mm) - any_value(x0), any_value(x1) - max(x_mm), min(y_mm) - any_value(y0), any_value(y1) - max(y_mm)) / 10.0::DOUBLE AS margin FROM r, bx GROUP BY ride_id)
+SELECT ride_id, round(p50, 3) AS p50, round(p90, 3) AS p90, round(worst, 3) AS worst, margin, CASE WHEN n < 10 THEN 'SKIP' WHEN p90 > 150 OR worst > 300 OR margin < 0 THEN 'FAIL' WHEN p90 > 80 OR worst > 150 OR margin < 200 THEN 'WARN' ELSE 'OK' END AS gate FROM g JOIN m USING (ride_id)""")
 def map_coverage(spark, sf_dir):
-    """Whether a map covers a ride, by the distances of its points from the map's; centimetres stand for metres."""
-    line = passes(spark, sf_dir).where("track = 1").select("ride_id", "track", "j", "x", "y")
-    truth = rides(spark, sf_dir).select("ride_id", F.col("seq").alias("i"), F.col("x_mm").alias("x"), F.col("y_mm").alias("y"))
-    near = C.nearest_points(truth, line, 20000)
-    d = truth.join(near.select("ride_id", "i", (F.col("d") / 10).alias("d")), ["ride_id", "i"], "left").withColumn("d", F.coalesce("d", F.lit(2000.0)))
-    g = d.groupBy("ride_id").agg(F.percentile("d", 0.9).alias("p90"), F.max("d").alias("worst"), F.count(F.lit(1)).alias("n"))
-    gate = F.when(F.col("n") < 10, "SKIP").when((F.col("p90") > 150) | (F.col("worst") > 300), "FAIL").when((F.col("p90") > 80) | (F.col("worst") > 150), "WARN").otherwise("OK")
-    return g.select("ride_id", F.round("p90", 3).alias("p90"), F.round("worst", 3).alias("worst"), gate.alias("gate"))
+    """Whether a map, of two rides in three, covers each ride: by the distances of its points from the map's and by the map's box; centimetres stand for metres."""
+    r = materialize(rides(spark, sf_dir).select("ride_id", "seq", "x_mm", "y_mm"), "rides")
+    road = r.where("ride_id % 3 <> 0 and seq % 4 = 0").select(F.col("x_mm").alias("tx"), F.col("y_mm").alias("ty"), F.lit(0).alias("target"))
+    g = coverage(r.select("ride_id", "seq", F.col("x_mm").alias("x"), F.col("y_mm").alias("y")), road, lambda d: materialize(d, "nearest"), 20000, unit=10.0)
+    return g.select("ride_id", F.round("p50", 3).alias("p50"), F.round("p90", 3).alias("p90"), F.round("worst", 3).alias("worst"), "margin", "gate")

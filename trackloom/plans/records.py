@@ -101,15 +101,15 @@ def sensor_grid(spark, sf_dir):
     return g.join(ends, "ride_id").where("t < end - 1e-9").select("ride_id", "t", F.round("acc", 6).alias("acc"), F.round("gyro", 6).alias("gyro"))
 
 
-@query("q_road_extract", """, w AS (SELECT *, (['primary', 'residential', 'footway', 'service'])[ride_id % 4 + 1] AS kind_ FROM r)
-SELECT ride_id AS way, seq AS seg, round(15 + y_mm / 1e8::DOUBLE, 8) AS alat, round(75 + nx / 1e8::DOUBLE, 8) AS blon FROM (SELECT *, lead(x_mm) OVER (PARTITION BY ride_id ORDER BY seq) AS nx FROM w) WHERE nx IS NOT NULL AND kind_ <> 'footway'""")
+@query("q_road_extract", """, w AS (SELECT *, (['primary', 'residential', 'footway', 'service', 'motorway', 'trunk', 'busway', 'track'])[ride_id % 8 + 1] AS kind_ FROM r)
+SELECT ride_id AS way, seq AS seg, round(15 + y_mm / 1e8::DOUBLE, 8) AS alat, round(75 + nx / 1e8::DOUBLE, 8) AS blon FROM (SELECT *, lead(x_mm) OVER (PARTITION BY ride_id ORDER BY seq) AS nx FROM w) WHERE nx IS NOT NULL AND kind_ NOT IN ('footway', 'motorway', 'trunk')""")
 def road_extract(spark, sf_dir):
     """Rides as the ways of a map extract: segments of those that can be driven."""
     r = rides(spark, sf_dir)
-    kinds = F.array(*map(F.lit, ("primary", "residential", "footway", "service")))
+    kinds = F.array(*map(F.lit, ("primary", "residential", "footway", "service", "motorway", "trunk", "busway", "track")))
     point = F.struct((F.lit(15) + F.col("y_mm") / 1e8).alias("lat"), (F.lit(75) + F.col("x_mm") / 1e8).alias("lon"))
     ways = r.groupBy("ride_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", point.alias("p")))), lambda x: x["p"]).alias("geometry"))
-    element = F.struct(F.lit("way").alias("type"), F.col("ride_id").alias("id"), "geometry", F.create_map(F.lit("highway"), F.element_at(kinds, (F.col("ride_id") % 4 + 1).cast("int"))).alias("tags"))
+    element = F.struct(F.lit("way").alias("type"), F.col("ride_id").alias("id"), "geometry", F.create_map(F.lit("highway"), F.element_at(kinds, (F.col("ride_id") % 8 + 1).cast("int"))).alias("tags"))
     path = folder(spark, "extract")
     # one document a way: as many files as tasks, each read whole
     ways.select(F.to_json(F.struct(F.array(element).alias("elements"))).alias("value")).write.text(path, lineSep="\n")

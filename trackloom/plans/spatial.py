@@ -70,11 +70,13 @@ def found_and_passed(spark, sf_dir):
     return c.groupBy("mark_id").agg(runs.alias("runs"), (1 - F.pow(F.lit(0.5), runs)).alias("confidence")).where("runs >= 2")
 
 
-@query("q_candidates", """SELECT x_mm // 12000 AS cx, y_mm // 12000 AS cy, count(*) AS n, count(DISTINCT ride_id) AS runs, min(kind) AS kind, CAST(sum(x_mm) AS DOUBLE) / count(*) AS x, CAST(sum(y_mm) AS DOUBLE) / count(*) AS y
-FROM (SELECT *, floor(x_mm / 12000.0::DOUBLE) AS fx, floor(y_mm / 12000.0::DOUBLE) AS fy FROM r WHERE hit) GROUP BY 1, 2 HAVING count(DISTINCT ride_id) >= 2""".replace("x_mm // 12000 AS cx, y_mm // 12000 AS cy", "CAST(fx AS BIGINT) AS cx, CAST(fy AS BIGINT) AS cy"))
+@query("q_candidates", """SELECT x_mm // 12000 AS cx, y_mm // 12000 AS cy, count(*) AS n, count(DISTINCT ride_id) AS runs, (list(what ORDER BY same DESC, what))[1] AS kind, CAST(sum(x_mm) AS DOUBLE) / count(*) AS x, CAST(sum(y_mm) AS DOUBLE) / count(*) AS y
+FROM (SELECT *, count(*) OVER (PARTITION BY fx, fy, what) AS same FROM (SELECT *, (['bump', 'hump', 'table'])[k % 3 + 1] AS what, floor(x_mm / 12000.0::DOUBLE) AS fx, floor(y_mm / 12000.0::DOUBLE) AS fy FROM r WHERE hit)) GROUP BY 1, 2 HAVING count(DISTINCT ride_id) >= 2""".replace("x_mm // 12000 AS cx, y_mm // 12000 AS cy", "CAST(fx AS BIGINT) AS cx, CAST(fy AS BIGINT) AS cy"))
 def candidates(spark, sf_dir):
-    g = P.clusters(rides(spark, sf_dir).where("hit"), 12000)
-    return g.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ride_id").alias("runs"), F.min("kind").alias("kind"), F.avg("x_mm").alias("x"), F.avg("y_mm").alias("y")).where("runs >= 2")
+    """Clusters that two rides or more have hit, with the kind that most of the hits had (of equals the first by name)."""
+    what = F.element_at(F.array(*map(F.lit, ("bump", "hump", "table"))), (F.col("k") % 3 + 1).cast("int"))
+    g = P.clusters(rides(spark, sf_dir).where("hit").withColumn("what", what), 12000)
+    return g.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ride_id").alias("runs"), F.mode("what", True).alias("kind"), F.avg("x_mm").alias("x"), F.avg("y_mm").alias("y")).where("runs >= 2")
 
 
 @query("q_weighted_centroid", """, w AS (SELECT ride_id, x_mm, y_mm, 1.0::DOUBLE / (k + 1) AS w FROM r WHERE hit),
