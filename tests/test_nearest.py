@@ -45,8 +45,8 @@ def test_coverage_names_what_is_outside(spark):
 
 
 def test_arrivals_fall_back_to_the_nearest_node(spark):
-    nodes = spark.createDataFrame([(1, 0, 0), (2, 30, 0), (3, 55, 0), (4, 5000, 0)], "node long, nx long, ny long")
-    places = spark.createDataFrame([(10, True, 0, 0), (10, True, 20, 0), (11, False, 0, 0), (12, True, 900, 0), (13, False, 1e6, 0)], "place long, outlined boolean, x double, y double")
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 30.0, 0.0), (3, 55.0, 0.0), (4, 5000.0, 0.0)], "node long, nx double, ny double")
+    places = spark.createDataFrame([(10, True, 0.0, 0.0), (10, True, 20.0, 0.0), (11, False, 0.0, 0.0), (12, True, 900.0, 0.0), (13, False, 1e6, 0.0)], "place long, outlined boolean, x double, y double")
     got = {r["place"]: r["arrive"] for r in arrivals(places, nodes, 40, 60, write).collect()}
     assert got == {10: [1, 2, 3], 11: [1, 2, 3], 12: [3], 13: [4]}
 
