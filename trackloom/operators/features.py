@@ -149,3 +149,39 @@ class Edge:
     def fix(self, speed: float | None = None) -> None:
         self.fixed, self.since_fix = True, 0.0
         self.speed = self.speed if speed is None else speed
+
+
+class FeatureStream:
+    """What a phone feeds the speed model: three sensors' events to one grid, levelled by trailing means, the latest rows in a ring.
+
+    Levelled by the gravity sensor's mean ("gravity"), or by the mean of acceleration with one g added back along its own mean ("replica").
+    Six channels: rates, then accelerations, in east, north, down. No more than `keep` seconds of events, `trail` and `rows` rows are held.
+    """
+
+    ACC, GYRO, GRAV = 0, 1, 2
+
+    def __init__(self, frame: str = "replica", hz: float = 10.0, rows: int = 300, trail: int = 81):
+        if frame not in ("replica", "gravity"):
+            raise ValueError("frame is replica or gravity")
+        self.frame, self.grid = frame, SensorGrid(3, hz)
+        self.acc, self.raw, self.ring = deque(maxlen=trail), deque(maxlen=trail), deque(maxlen=rows)
+
+    def push(self, sensor: int, t: float, v: np.ndarray) -> list[tuple[float, np.ndarray]]:
+        """The rows that this event completes."""
+        return [(due, self._level(*values)) for due, values in self.grid.push(sensor, t, np.asarray(v, float))]
+
+    def _level(self, a: np.ndarray, w: np.ndarray, g: np.ndarray) -> np.ndarray:
+        if self.frame == "gravity":
+            self.raw.append(g)
+        else:
+            self.acc.append(a)
+            mean = np.mean(self.acc, axis=0)
+            self.raw.append(a + mean / max(float(np.linalg.norm(mean)), 1e-6) * GRAVITY)
+        r = tilt(np.mean(self.raw, axis=0))
+        row = np.concatenate([r @ w, r @ a])
+        self.ring.append(row)
+        return row
+
+    def window(self, mean: np.ndarray, std: np.ndarray) -> np.ndarray | None:
+        """The full ring, normalised, channel first; None until it is full."""
+        return None if len(self.ring) < self.ring.maxlen else ((np.stack(self.ring) - mean) / std).T.astype(np.float32)

@@ -122,6 +122,49 @@ class ByMarks:
         return s
 
 
+class ByScale:
+    """As ByMarks, but what is corrected is a scale and an offset, refitted by least squares over all pairs held so far.
+
+    A recorded negative on real rides: early wrong pairs spoil the scale. Only sums of the pairs are kept, so the state doesn't grow with them.
+    A scale farther than `most` from 1 is not believed; then, and with a single pair, the offset alone moves.
+    """
+
+    def __init__(self, marks: list[float], start: float = 0.0, growth: float = 0.07, mark_sigma: float = 4.0, sigma: float = 5.0, gate: float = 3.0, window: int = 3, most: float = 0.35):
+        self.marks, self.start, self.growth, self.noise, self.sigma, self.gate, self.window, self.most = marks, start, growth, mark_sigma**2, sigma, gate, window, most
+        self.k, self.b, self.first, self.held, self.refused, self.ended = 1.0, 0.0, 0, 0, 0, False
+        self.last, self.n, self.sums = 0.0, 0, [0.0] * 4  # of d, m, d * d, d * m
+
+    def step(self, raw: float) -> float:
+        """Where a detection at this raw distance is, by what is known before it."""
+        s = self.start + self.k * raw + self.b
+        sigma = math.hypot(self.sigma, self.growth * max(raw - self.last, 0.0))
+        if self.ended:
+            return s
+        while self.first < len(self.marks) and self.marks[self.first] < s - 3 * sigma - 3 * math.sqrt(self.noise):
+            self.first += 1
+        if self.first >= len(self.marks):
+            self.ended = True
+            return s
+        j = min(range(self.first, min(self.first + self.window, len(self.marks))), key=lambda q: abs(self.marks[q] - s))
+        if (self.marks[j] - s) ** 2 > self.gate**2 * (sigma * sigma + self.noise):
+            self.refused += 1
+            return s
+        self._hold(raw, self.marks[j] - self.start)
+        self.first, self.held = j + 1, self.held + 1
+        return s
+
+    def _hold(self, d: float, m: float) -> None:
+        self.last, self.n = d, self.n + 1
+        self.sums = [a + x for a, x in zip(self.sums, (d, m, d * d, d * m))]
+        sd, sm, sdd, sdm = self.sums
+        spread = self.n * sdd - sd * sd
+        k = (self.n * sdm - sd * sm) / spread if self.n > 1 and spread > 0 else None
+        if k is not None and abs(k - 1) <= self.most:
+            self.k, self.b = k, (sm - k * sd) / self.n
+        else:
+            self.b = m - self.k * d
+
+
 class ByTurns:
     """The same by turns (distance, angle) of the road: sign and angle must agree as well."""
 

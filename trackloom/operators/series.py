@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,3 +148,39 @@ def stairs(df: DataFrame, col: str, key: str, order: str) -> DataFrame:
     """df and new: whether a held value is a new one."""
     before = F.lag(F.struct(col)).over(ordered(key, order))
     return df.withColumn("new", ~F.coalesce(before[col].eqNullSafe(F.col(col)) & before.isNotNull(), F.lit(False)))
+
+
+def half_width(rows: DataFrame, events: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """key, event, width: how long the value stays at half of an event's peak or more around its apex, without a break.
+
+    rows(key, order, value), events(key, event, t0, t1, apex, peak). Order counts in whole steps; within t0..t1.
+    """
+    inside = rows.join(events, key).where(F.col(order).between(F.col("t0"), F.col("t1")))
+    low = F.col(value) * 2 < F.col("peak")
+    g = inside.groupBy(key, "event").agg(F.max(F.when(low & (F.col(order) < F.col("apex")), F.col(order))).alias("lo"), F.min(F.when(low & (F.col(order) > F.col("apex")), F.col(order))).alias("hi"), F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+    return g.select(key, "event", (F.coalesce(F.col("hi") - 1, "t1") - F.coalesce(F.col("lo") + 1, "t0") + 1).alias("width"))
+
+
+def dominant_frequency(windows: DataFrame, hz: float, least: int = 8, above: float = 1.0) -> DataFrame:
+    """windows(..., window: array<double>) and frequency: where the spectrum of the window, less its mean and under a Hann taper, is largest above
+    `above` Hz and below half the rate; null with fewer than `least` samples or no such line; of equal lines the lowest.
+
+    Windows of any lengths; those of one length are one batched real FFT.
+    """
+
+    def loudest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for windows_ in batches:
+            n = windows_.map(lambda w: 0 if w is None else len(w)).to_numpy()
+            out = np.full(len(n), np.nan)
+            for size in np.unique(n[n >= least]):
+                at = np.flatnonzero(n == size)
+                w = np.stack([np.asarray(windows_.iloc[i], float) for i in at])
+                line = np.arange(size // 2 + 1)
+                band = np.flatnonzero((line * hz > above * size) & (2 * line < size))
+                if len(band):
+                    loud = np.abs(np.fft.rfft((w - w.mean(1, keepdims=True)) * np.hanning(size), axis=1))[:, band]
+                    out[at] = band[loud.argmax(1)] * hz / size
+            yield pd.Series(out)
+
+    found = F.pandas_udf(loudest, "double")(F.col("window"))
+    return windows.withColumn("frequency", F.when(~F.isnan(found), found))

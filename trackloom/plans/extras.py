@@ -15,6 +15,7 @@ from trackloom.plans._register import Register
 from trackloom.plans.folds import CLEAN_SQL
 from trackloom.plans.scoring import SCORES_SQL, scores
 from trackloom.sources.rides import RIDES_SQL, by_ride, rides
+from trackloom.sources.shared import materialize
 
 R = Register(RIDES_SQL)
 QUERIES, SQL, query = R.queries, R.sql, R.query
@@ -57,6 +58,38 @@ def event_runs(spark, sf_dir):
     return i.groupBy("ride_id", "run").agg(F.min("seq").alias("t0"), F.max("seq").alias("t1"), F.max_by("seq", F.struct("step_mm", -F.col("seq"))).alias("apex"), F.max("step_mm").alias("peak_mm"), F.sum(F.col("step_mm") * F.col("step_mm")).alias("energy"))
 
 
+EVENTS_SQL = """, b AS (SELECT *, CASE WHEN lag(up) OVER (PARTITION BY ride_id ORDER BY seq) IS NOT DISTINCT FROM up THEN 0 ELSE 1 END AS n FROM (SELECT *, step_mm > 3000 AS up FROM r)),
+i AS (SELECT *, CAST(sum(n) OVER (PARTITION BY ride_id ORDER BY seq) AS BIGINT) AS run FROM b),
+ev AS (SELECT ride_id, run AS event, min(seq) AS t0, max(seq) AS t1, arg_max(seq, (step_mm, -seq)) AS apex, max(step_mm) AS peak FROM i WHERE up GROUP BY ride_id, run)
+"""
+
+
+def step_events(r):
+    i = S.islands(r.withColumn("up", F.col("step_mm") > 3000), F.col("up"), "ride_id", "seq", "run").where("up")
+    return i.groupBy("ride_id", F.col("run").alias("event")).agg(F.min("seq").alias("t0"), F.max("seq").alias("t1"), F.max_by("seq", F.struct("step_mm", -F.col("seq"))).alias("apex"), F.max("step_mm").alias("peak"))
+
+
+@query("q_event_widths", EVENTS_SQL + """, lo AS (SELECT e.ride_id, e.event, e.t0, e.t1, max(seq) FILTER (WHERE seq < apex AND step_mm * 2 < peak) AS lo, min(seq) FILTER (WHERE seq > apex AND step_mm * 2 < peak) AS hi FROM ev e JOIN r ON r.ride_id = e.ride_id AND seq BETWEEN t0 AND t1 GROUP BY ALL)
+SELECT ride_id, event, coalesce(hi - 1, t1) - coalesce(lo + 1, t0) + 1 AS width FROM lo""")
+def event_widths(spark, sf_dir):
+    """How long events stay above half of their peak."""
+    r = materialize(rides(spark, sf_dir).select("ride_id", "seq", "step_mm"), "rides")
+    return S.half_width(r, step_events(r), "ride_id", "seq", "step_mm")
+
+
+@query("q_event_spectra", EVENTS_SQL + """, xs AS (SELECT e.ride_id, e.event, r.step_mm / 1000.0::DOUBLE AS x, row_number() OVER w - 1 AS j, count(*) OVER (PARTITION BY e.ride_id, e.event) AS n, avg(r.step_mm / 1000.0::DOUBLE) OVER (PARTITION BY e.ride_id, e.event) AS mean FROM ev e JOIN r ON r.ride_id = e.ride_id AND r.seq BETWEEN apex - 16 AND apex + 15 WINDOW w AS (PARTITION BY e.ride_id, e.event ORDER BY r.seq)),
+tp AS (SELECT *, (x - mean) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / (n - 1))) AS y FROM xs WHERE n >= 8),
+sp AS (SELECT ride_id, event, f, n, sqrt(pow(sum(y * cos(2 * pi() * f * j / n)), 2) + pow(sum(y * sin(2 * pi() * f * j / n)), 2)) AS loud FROM tp, (SELECT unnest(range(1, 17)) AS f) WHERE f * 10.0::DOUBLE / n > 1 AND f * 10.0::DOUBLE / n < 5 GROUP BY ride_id, event, f, n)
+SELECT DISTINCT ride_id, event, n AS samples, round(fr, 6) AS frequency FROM (SELECT xs.ride_id, xs.event, xs.n, fr FROM (SELECT DISTINCT ride_id, event, n FROM xs) xs LEFT JOIN (SELECT ride_id, event, arg_max(f * 10.0::DOUBLE / n, (round(loud, 9), -f)) AS fr FROM sp GROUP BY ride_id, event) USING (ride_id, event))""")
+def event_spectra(spark, sf_dir):
+    """Where the spectrum of the 32 rows around an event is loudest; ten rows stand for a second."""
+    r = materialize(rides(spark, sf_dir).select("ride_id", "seq", "step_mm"), "rides")
+    near = step_events(r).select("ride_id", "event", F.explode(F.sequence(F.col("apex") - 16, F.col("apex") + 15)).alias("seq")).join(r, ["ride_id", "seq"])
+    w = near.groupBy("ride_id", "event").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "step_mm"))), lambda x: x["step_mm"] / 1000.0).alias("window"))
+    d = S.dominant_frequency(w, 10.0)
+    return d.select("ride_id", "event", F.size("window").cast("long").alias("samples"), F.round("frequency", 6).alias("frequency"))
+
+
 @query("q_since_last_fix", f""", f AS (SELECT ride_id, seq AS fix, d_mm AS at_mm FROM r WHERE gnss_ok), a AS (SELECT r.ride_id, r.seq, r.d_mm - f.at_mm AS since_mm FROM r ASOF LEFT JOIN f ON r.ride_id = f.ride_id AND r.seq >= f.fix)
 SELECT ride_id, seq, since_mm, round(greatest(0.19::DOUBLE * since_mm / 1000, 2) * {math.sqrt(-2 * math.log(1 - 0.9))!r}::DOUBLE, 4) AS radius_m FROM a""")
 def since_last_fix(spark, sf_dir):

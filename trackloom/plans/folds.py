@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trackloom.operators import fold as D
 from trackloom.operators.fusion import Dots, Fleet
-from trackloom.operators.matching import ByMarks, ByTurns, Online, align
+from trackloom.operators.matching import align, ByMarks, ByScale, ByTurns, Online
 from trackloom.plans import folds_sql as Q
 from trackloom.plans._register import Register
 from trackloom.sources.rides import RIDES_SQL, by_ride, rides
@@ -125,12 +125,12 @@ def crowd_landmarks(spark, sf_dir):
     return D.fold(hits, "area", ["event_id"], D.Crowd, step, "area string, candidate int, x double, y double, n int, runs int, confidence double", finish)
 
 
-def _along(spark, sf_dir):
+def _along(spark, sf_dir, scale=1.0):
     """Marks (every tenth step, kind 0) and detections (hits, kind 1) along each ride, in metres; a ride's marks come first."""
     r = materialize(rides(spark, sf_dir).select("ride_id", "seq", "d_mm", "hit", "k"), "rides")
     along = F.col("d_mm") / 1000
     marks = r.where("seq % 10 = 0").select("ride_id", F.lit(0).alias("kind"), along.alias("place"))
-    return marks.unionByName(r.where("hit").select("ride_id", F.lit(1).alias("kind"), (along + (F.col("k") - 50) / 10).alias("place")))
+    return marks.unionByName(r.where("hit").select("ride_id", F.lit(1).alias("kind"), (along * scale + (F.col("k") - 50) / 10).alias("place")))
 
 
 class Seen:
@@ -171,6 +171,34 @@ def landmark_correction(spark, sf_dir):
     return D.fold(_along(spark, sf_dir), "ride_id", ["kind", "place"], lambda: Seen(ByMarks), lambda f, row: f.step(row, lambda m: m["place"], emit), "ride_id long, i int, s double, held int, refused int")
 
 
+SCALE_SQL = f"""WITH RECURSIVE {RIDES_SQL}, al AS (SELECT ride_id, CASE WHEN hit THEN d_mm / 1000.0::DOUBLE * 1.1 + (k - 50) / 10.0::DOUBLE END AS seen, CASE WHEN seq % 10 = 0 THEN d_mm / 1000.0::DOUBLE END AS mark FROM r),
+mk AS MATERIALIZED (SELECT ride_id, list(mark ORDER BY mark) AS marks FROM al WHERE mark IS NOT NULL GROUP BY ride_id),
+sn AS MATERIALIZED (SELECT ride_id, seen, row_number() OVER (PARTITION BY ride_id ORDER BY seen) AS i FROM al WHERE seen IS NOT NULL),
+w(ride_id, i, s, k, b, first, held, refused, ended, last, n, sd, sm, sdd, sdm) AS (
+ SELECT ride_id, 0::BIGINT, NULL::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 1::BIGINT, 0::BIGINT, 0::BIGINT, false, 0.0::DOUBLE, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM mk
+ UNION ALL
+ SELECT ride_id, i, here, CASE WHEN NOT ok THEN k WHEN believed THEN nk ELSE k END, CASE WHEN NOT ok THEN b WHEN believed THEN (sm2 - nk * sd2) / n2 ELSE m - k * seen END,
+  CASE WHEN ended THEN first WHEN ok THEN j + 1 ELSE f2 END, held + ok::INT, refused + (NOT ended AND NOT over AND NOT ok)::INT, ended OR over, CASE WHEN ok THEN seen ELSE last END, CASE WHEN ok THEN n2 ELSE n END, CASE WHEN ok THEN sd2 ELSE sd END, CASE WHEN ok THEN sm2 ELSE sm END, CASE WHEN ok THEN sdd2 ELSE sdd END, CASE WHEN ok THEN sdm2 ELSE sdm END FROM (
+  SELECT *, coalesce(nk IS NOT NULL AND abs(nk - 1) <= 0.35, false) AS believed FROM (
+  SELECT *, CASE WHEN n2 > 1 AND n2 * sdd2 - sd2 * sd2 > 0 THEN (n2 * sdm2 - sd2 * sm2) / (n2 * sdd2 - sd2 * sd2) END AS nk FROM (
+  SELECT *, n + 1 AS n2, sd + seen AS sd2, sm + m AS sm2, sdd + seen * seen AS sdd2, sdm + seen * m AS sdm2 FROM (
+  SELECT *, coalesce(NOT ended AND NOT over AND (m - here) * (m - here) <= 9 * (sg * sg + 16), false) AS ok FROM (
+  SELECT *, marks[j] AS m FROM (
+  SELECT *, f2 > len(marks) AS over, list_min(list_transform(range(f2, least(f2 + 3, len(marks) + 1)), lambda q: {{'d': abs(marks[q] - here), 'q': q}})).q AS j FROM (
+  SELECT *, first + len(list_filter(marks[first:], lambda x: x < here - 3 * sg - 12)) AS f2 FROM (
+  SELECT w.ride_id, sn.i, seen, marks, w.k * seen + w.b AS here, sqrt(25 + pow(0.07::DOUBLE * greatest(seen - w.last, 0), 2)) AS sg, w.k, w.b, w.first, w.held, w.refused, w.ended, w.last, w.n, w.sd, w.sm, w.sdd, w.sdm FROM w JOIN sn ON sn.ride_id = w.ride_id AND sn.i = w.i + 1 JOIN mk ON mk.ride_id = w.ride_id)))))))))
+SELECT ride_id, CAST(i - 1 AS INTEGER) AS i, round(s, 6) AS s, round(k, 9) AS k, CAST(held AS INTEGER) AS held, CAST(refused AS INTEGER) AS refused FROM w WHERE i > 0"""
+
+
+@query("q_scale_correction", SCALE_SQL, ctes=False)
+def scale_correction(spark, sf_dir):
+    """Detections, seen ten per cent too far along, corrected by a scale that each pair refits."""
+    rows = _along(spark, sf_dir, 1.1)
+    emit = lambda c, d: {"s": c.step(d["place"]), "k": c.k, "held": c.held, "refused": c.refused}
+    d = D.fold(rows, "ride_id", ["kind", "place"], lambda: Seen(ByScale), lambda f, row: f.step(row, lambda m: m["place"], emit), "ride_id long, i int, s double, k double, held int, refused int")
+    return d.select("ride_id", "i", F.round("s", 6).alias("s"), F.round("k", 9).alias("k"), "held", "refused")
+
+
 @query("q_turn_correction")
 def turn_correction(spark, sf_dir):
     """Sharp turns, seen three per cent too far along, against the road's own."""
