@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm._common import text_or_empty
+from trackloom.llm._common import materialize, text_or_empty
 
 
 def _md5(text: Column) -> Column:
@@ -40,15 +40,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.count(F.lit(1)).alias("group_size"), pick("doc_id").alias("keep_id"))
         .select("h", F.unhex(F.sha2("t", 256)).alias("sha"), F.length("t").alias("n"), "group_size", "keep_id")
     )
-    rows = base.select("doc_id", content_hash(F.col("t")).alias("h"), F.unhex(F.sha2("t", 256)).alias("sha"), F.length("t").alias("n"))
-    # rows that repeat an id and a text can't be told apart: the first of so many is the one that may stay
-    rows = rows.groupBy("h", "sha", "n", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    found = rows.join(groups, ["h", "sha", "n"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return found.select(
+    rows = base.select("doc_id", content_hash(F.col("t")).alias("h"), F.unhex(F.sha2("t", 256)).alias("sha"), F.length("t").alias("n"), F.monotonically_increasing_id().alias("place"))
+    rows = materialize(rows, "dedup-rows")  # places are what was written
+    # rows that repeat an id and a text: of those only the first may stay
+    again = rows.groupBy(*[F.col(c).alias(f"{c}2") for c in ("h", "sha", "n", "doc_id")]).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    again = materialize(again, "dedup-again")
+    same = F.col("doc_id").eqNullSafe(F.col("doc_id2"))
+    for c in ("h", "sha", "n"):
+        same = same & (F.col(c) == F.col(f"{c}2"))
+    rows = rows.join(again, same, "left").select("doc_id", "h", "sha", "n", (F.col("first").isNull() | (F.col("place") == F.col("first"))).alias("may"))
+    return rows.join(groups, ["h", "sha", "n"]).select(
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("may")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
