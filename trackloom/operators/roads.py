@@ -50,6 +50,19 @@ def curvature(track: DataFrame, key: str, order: str, x: str, y: str, smooth: in
     return t.withColumn("curvature", k).drop("__x", "__y", "__vx", "__vy", "__ax", "__ay")
 
 
+def heading_change(places: DataFrame, road: DataFrame, half: int, key: str = "ride_id") -> DataFrame:
+    """key, change_deg, steps: the wrapped steps of the road's heading from one place(key, i, at, last: the road's length) to the next, summed.
+
+    The heading at a place is that from the point `half` before to the point `half` beyond, held at the ends; places without one are left out.
+    """
+    asked = places.select(key, "i", F.explode(F.array(F.lit(-half), F.lit(half))).alias("o"), "at", "last").withColumn("s", F.greatest(F.least(F.col("at") + F.col("o"), F.col("last")), F.lit(0)))
+    found = asked.join(at(asked.select(key, "s").distinct(), road, key), [key, "s"]).groupBy(key, "i").agg(*[F.max(F.when(F.col("o") == o, F.col(c))).alias(f"{c}{n}") for n, o in enumerate((-half, half)) for c in "xy"])
+    h = found.where("x0 <> x1 or y0 <> y1").withColumn("h", F.degrees(F.atan2(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"))))
+    step = F.col("h") - F.lag("h").over(Window.partitionBy(key).orderBy("i"))
+    d = h.select(key, step.alias("d")).where("d is not null")
+    return d.groupBy(key).agg(F.round(F.sum(F.col("d") - 360 * F.floor((F.col("d") + 180) / 360)), 4).alias("change_deg"), F.count(F.lit(1)).alias("steps"))
+
+
 def heading_mismatch(track: DataFrame, route: DataFrame, window: int, shifts: list[int], key: str = "ride_id", t: str = "seq", s: str = "d_mm", heading: str = "head_deg") -> DataFrame:
     """Of each row, by how much its turn over the last `window` of travel differs from the route's there, at the best shift.
 

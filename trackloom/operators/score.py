@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.geo import CIRCLE_90
@@ -72,3 +72,25 @@ def fit_spread(e: Column, d: Column, least_distance: float = 20.0, least_pairs:
     """Aggregate: k with sigma = k * distance, from errors e at distances d."""
     far = d > least_distance
     return F.when(F.count_if(far) >= least_pairs, F.sqrt(F.avg(F.when(far, F.pow(e / d, 2))) / 2.0)).otherwise(F.lit(default))
+
+
+def run_summary(track: DataFrame, ends: DataFrame, key: str = "ride_id", seq: str = "seq") -> DataFrame:
+    """key, fixes, distance_m, final_error_m, drift_pct, mean_speed, radius_m, verdict: what a phone says of a ride without a laptop.
+
+    track(key, seq, x, y, cut): fixes in metres and where the denied stretch begins; ends(key, px, py, seconds, denied_s): the last dead-reckoned place, how
+    long the ride and the stretch lasted. Steps of 15 m/s or more, by the ride's mean interval, are no movement.
+    """
+    w = Window.partitionBy(key).orderBy(seq)
+    t = track.withColumn("__step", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))).withColumn("__n", F.row_number().over(w) - 1).join(ends, key)
+    size = F.count(F.lit(1)).over(Window.partitionBy(key))
+    t = t.withColumn("__ok", (F.col("__n") >= F.greatest("cut", F.lit(1))) & (F.col("__step") < 15.0 * F.greatest(F.col("seconds") / size, F.lit(0.2))))
+    g = t.groupBy(key).agg(F.count(F.lit(1)).alias("fixes"), F.coalesce(F.sum(F.when(F.col("__ok"), F.col("__step"))), F.lit(0.0)).alias("distance_m"), F.hypot(F.max_by("x", seq) - F.max("px"), F.max_by("y", seq) - F.max("py")).alias("final_error_m"), F.max("denied_s").alias("denied_s"))
+    d, e = F.col("distance_m"), F.col("final_error_m")
+    drift = F.when(d > 1, e / d * 100).otherwise(0.0)
+    said = F.when(d < 20, "NOT SCORABLE").when((d > 1) & (drift < 10), "PASS").otherwise("FAIL")
+    return g.select(key, "fixes", "distance_m", "final_error_m", drift.alias("drift_pct"), F.when(F.col("denied_s") > 0, d / F.col("denied_s")).otherwise(0.0).alias("mean_speed"), (2.146 * F.greatest(0.19 * d, F.lit(2.0))).alias("radius_m"), said.alias("verdict"))
+
+
+def drift_series(errors: DataFrame, warm_up: float = 200.0) -> DataFrame:
+    """errors(..., gone, err in metres) from warm_up on, with drift_pct: before that, a share of the distance says nothing."""
+    return errors.where(F.col("gone") >= warm_up).withColumn("drift_pct", F.col("err") / F.col("gone") * 100)

@@ -97,9 +97,12 @@ g AS (SELECT * FROM va), """
 
 
 @query("q_drive_evaluation", VARIANTS_SQL + AT_SQL + """, dr AS (SELECT pl.target, pl.variant, sqrt(pow(x - e.x_mm, 2) + pow(y - e.y_mm, 2)) / (d1 - d0) * 100 AS pct FROM pl JOIN r e ON e.ride_id = pl.ride_id AND e.seq = pl.i1)
-SELECT target, variant, count(*) AS n, round(quantile_cont(pct, 0.5), 4) AS median_pct, round(avg(CASE WHEN pct < 10 THEN 1.0::DOUBLE ELSE 0 END), 6) AS pass_rate FROM dr GROUP BY target, variant""")
+, gy AS (SELECT mo.ride_id, target, i0, i1, any_value(d1 - d0) AS went, sum(r.k * 100 * cos(radians(r.head_deg + 0.1::DOUBLE * (r.seq - i0)))) AS dx, sum(r.k * 100 * sin(radians(r.head_deg + 0.1::DOUBLE * (r.seq - i0)))) AS dy FROM mo JOIN r ON r.ride_id = mo.ride_id AND r.seq > i0 AND r.seq <= i1 GROUP BY ALL)
+SELECT target, variant, count(*) AS n, round(quantile_cont(pct, 0.5), 4) AS median_pct, round(avg(CASE WHEN pct < 10 THEN 1.0::DOUBLE ELSE 0 END), 6) AS pass_rate FROM (SELECT target, variant, pct FROM dr UNION ALL
+ SELECT gy.target, 'model_gyro', sqrt(pow(a.x_mm + dx - b.x_mm, 2) + pow(a.y_mm + dy - b.y_mm, 2)) / went * 100 FROM gy JOIN r a ON a.ride_id = gy.ride_id AND a.seq = i0 JOIN r b ON b.ride_id = gy.ride_id AND b.seq = i1) GROUP BY target, variant""")
 def drive_evaluation(spark, sf_dir):
-    """Outages of moving rides: frozen, and on the road with the model's speed, the calibrated one and the true one."""
+    """Outages of moving rides: frozen, the model's speed along a heading that drifts by a degree in ten seconds, and on the road with the model's
+    speed, the calibrated one and the true one."""
     r, o = outages(spark, sf_dir)
     o = O.with_distance(O.moving_only(o.select(*KEYS).distinct(), r, 1389), r)
     s = E.calibrated(o, r, F.col("step_mm"), F.col("k") * 100)
@@ -108,7 +111,14 @@ def drive_evaluation(spark, sf_dir):
     v = went.withColumn("v", F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), c.alias("s")) for n, c in places.items()]))).select(*KEYS, "d0", "d1", "v.*")
     at = W.at(v.select("ride_id", "s").distinct(), road_of(r))
     end = r.select("ride_id", F.col("seq").alias("i1"), "x_mm", "y_mm")
-    d = v.join(at, ["ride_id", "s"]).join(end, ["ride_id", "i1"]).withColumn("pct", F.hypot(F.col("x") - F.col("x_mm"), F.col("y") - F.col("y_mm")) / (F.col("d1") - F.col("d0")) * 100)
+    off = lambda x, y: F.hypot(x - F.col("x_mm"), y - F.col("y_mm")) / (F.col("d1") - F.col("d0")) * 100
+    d = v.join(at, ["ride_id", "s"]).join(end, ["ride_id", "i1"]).select("target", "variant", off(F.col("x"), F.col("y")).alias("pct"))
+    h = F.radians(F.col("head_deg") + F.lit(0.1) * (F.col("seq") - F.col("i0")))
+    steps = s.select(*KEYS, "d0", "d1", F.explode(F.sequence(F.col("i0") + 1, F.col("i1"))).alias("seq")).join(r.select("ride_id", "seq", "k", "head_deg"), ["ride_id", "seq"])
+    free = steps.groupBy(*KEYS, "d0", "d1").agg(F.sum(F.col("k") * 100 * F.cos(h)).alias("dx"), F.sum(F.col("k") * 100 * F.sin(h)).alias("dy"))
+    start = r.select("ride_id", F.col("seq").alias("i0"), F.col("x_mm").alias("ax"), F.col("y_mm").alias("ay"))
+    free = free.join(start, ["ride_id", "i0"]).join(end, ["ride_id", "i1"]).select("target", F.lit("model_gyro").alias("variant"), off(F.col("ax") + F.col("dx"), F.col("ay") + F.col("dy")).alias("pct"))
+    d = d.unionByName(free)
     return d.groupBy("target", "variant").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("pct", 0.5), 4).alias("median_pct"), F.round(F.avg((F.col("pct") < 10).cast("double")), 6).alias("pass_rate"))
 
 

@@ -101,16 +101,14 @@ def gravity_average(spark, sf_dir):
 m AS (SELECT ride_id, win, quantile_cont(mag, 0.5) AS mm, quantile_cont(z, 0.5) AS mz, quantile_cont(hor, 0.5) AS mh FROM a GROUP BY ride_id, win HAVING count(*) = 20)
 SELECT ride_id, seq, round(mag - mm, 6) AS size, round(coalesce(mag - lag(mag) OVER (PARTITION BY ride_id, win ORDER BY seq), 0), 6) AS step, round(z - mz, 6) AS vertical, round(hor - mh, 6) AS horizontal FROM a JOIN m USING (ride_id, win)""")
 def detector_channels(spark, sf_dir):
-    """Channels of full windows of 20 rows."""
-
-    def of_window(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        c = X.detector_channels(pdf[["x", "y", "z"]].to_numpy()) if len(pdf) == 20 else np.zeros((0, 4))
-        return pd.DataFrame({"ride_id": pdf["ride_id"][: len(c)], "seq": pdf["seq"][: len(c)], "size": c[:, 0], "step": c[:, 1], "vertical": c[:, 2], "horizontal": c[:, 3]})
-
-    r = rides(spark, sf_dir).select("ride_id", "seq", F.floor(F.col("seq") / 20).alias("win"), (F.col("dx_mm") / 1000).alias("x"), (F.col("dy_mm") / 1000).alias("y"), (F.col("k") - 50).cast("double").alias("z"))
-    d = r.groupBy("ride_id", "win").applyInPandas(of_window, "ride_id long, seq long, size double, step double, vertical double, horizontal double")
-    return d.select("ride_id", "seq", *[F.round(c, 6).alias(c) for c in ("size", "step", "vertical", "horizontal")])
+    """Channels of full windows of 20 rows: all of it windows, nothing in Python."""
+    x, y, z = F.col("dx_mm") / 1000, F.col("dy_mm") / 1000, (F.col("k") - 50).cast("double")
+    r = rides(spark, sf_dir).select("ride_id", "seq", F.floor(F.col("seq") / 20).alias("win"), z.alias("z"), F.sqrt(F.pow(x, 2) + F.pow(y, 2) + F.pow(z, 2)).alias("mag"), F.sqrt(F.pow(x, 2) + F.pow(y, 2)).alias("hor"))
+    whole, w = Window.partitionBy("ride_id", "win"), Window.partitionBy("ride_id", "win").orderBy("seq")
+    centred = lambda c: F.round(F.col(c) - F.percentile(c, 0.5).over(whole), 6)
+    step = F.round(F.coalesce(F.col("mag") - F.lag("mag").over(w), F.lit(0.0)), 6)
+    d = r.select("ride_id", "seq", F.count(F.lit(1)).over(whole).alias("n"), centred("mag").alias("size"), step.alias("step"), centred("z").alias("vertical"), centred("hor").alias("horizontal"))
+    return d.where("n = 20").drop("n")
 
 
 @query("q_speed_estimator", """SELECT ride_id, seq, CASE WHEN count(*) OVER w = 10 THEN round(greatest(sum(k - 45) OVER w / 10.0::DOUBLE, 0), 6) END AS speed FROM r WINDOW w AS (PARTITION BY ride_id ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
@@ -177,6 +175,49 @@ def imu_features(spark, sf_dir):
     return d.select("ride_id", F.round((F.col("t") - 0.6) * 2).cast("long").alias("step"), "filled", *[F.round(f"f{i}", 5).alias(f"f{i}") for i in range(6)])
 
 
+FRAMES_SQL = f""", a AS (SELECT ride_id, seq, dx_mm / 1000.0::DOUBLE AS ax, dy_mm / 1000.0::DOUBLE AS ay, (k - 50) / 25.0::DOUBLE AS az, k / 100.0::DOUBLE AS wx, (k - 50) / 50.0::DOUBLE AS wy, value / 100 AS wz, (k - 50) / 20.0::DOUBLE AS gx, value / 50 AS gy, 9.8::DOUBLE AS gz FROM r),
+t AS (SELECT *, avg(ax) OVER c AS cx, avg(ay) OVER c AS cy, avg(az) OVER c AS cz, avg(ax) OVER b AS bx, avg(ay) OVER b AS by_, avg(az) OVER b AS bz FROM a WINDOW c AS (PARTITION BY ride_id ORDER BY seq ROWS BETWEEN 40 PRECEDING AND 40 FOLLOWING), b AS (PARTITION BY ride_id ORDER BY seq ROWS BETWEEN 80 PRECEDING AND CURRENT ROW)),
+w AS (SELECT ride_id, seq, frame, ax, ay, az, wx, wy, wz, CASE frame WHEN 'gravity' THEN gx WHEN 'offline' THEN ax + cx / cn * {X.GRAVITY} ELSE ax + bx / bn * {X.GRAVITY} END AS rx, CASE frame WHEN 'gravity' THEN gy WHEN 'offline' THEN ay + cy / cn * {X.GRAVITY} ELSE ay + by_ / bn * {X.GRAVITY} END AS ry, CASE frame WHEN 'gravity' THEN gz WHEN 'offline' THEN az + cz / cn * {X.GRAVITY} ELSE az + bz / bn * {X.GRAVITY} END AS rz
+ FROM (SELECT *, greatest(sqrt(cx * cx + cy * cy + cz * cz), 1e-6) AS cn, greatest(sqrt(bx * bx + by_ * by_ + bz * bz), 1e-6) AS bn FROM t), (SELECT unnest(['offline', 'replica', 'gravity']) AS frame)),
+m AS (SELECT *, CASE WHEN frame = 'offline' THEN avg(rx) OVER c ELSE avg(rx) OVER b END AS mx, CASE WHEN frame = 'offline' THEN avg(ry) OVER c ELSE avg(ry) OVER b END AS my, CASE WHEN frame = 'offline' THEN avg(rz) OVER c ELSE avg(rz) OVER b END AS mz FROM w WINDOW c AS (PARTITION BY ride_id, frame ORDER BY seq ROWS BETWEEN 40 PRECEDING AND 40 FOLLOWING), b AS (PARTITION BY ride_id, frame ORDER BY seq ROWS BETWEEN 80 PRECEDING AND CURRENT ROW)
+ UNION ALL SELECT ride_id, seq, 'edge', ax + gx - mx, ay + gy - my, az + gz - mz, wx, wy, wz, 0, 0, 0, mx, my, mz FROM (SELECT *, exp(-(seq + 1) / 20.0::DOUBLE) * (0 + sum((ax + gx) * (1 - exp(-1 / 20.0::DOUBLE)) * exp((seq + 1) / 20.0::DOUBLE)) OVER o) AS mx, exp(-(seq + 1) / 20.0::DOUBLE) * (0 + sum((ay + gy) * (1 - exp(-1 / 20.0::DOUBLE)) * exp((seq + 1) / 20.0::DOUBLE)) OVER o) AS my, exp(-(seq + 1) / 20.0::DOUBLE) * ({X.GRAVITY} + sum((az + gz) * (1 - exp(-1 / 20.0::DOUBLE)) * exp((seq + 1) / 20.0::DOUBLE)) OVER o) AS mz FROM a WINDOW o AS (PARTITION BY ride_id ORDER BY seq))),
+d AS (SELECT *, mx / n AS dx, my / n AS dy, mz / n AS dz FROM (SELECT *, sqrt(mx * mx + my * my + mz * mz) AS n FROM m)),
+e AS (SELECT *, CASE WHEN abs(dx) > 0.9 THEN dz ELSE 0 END AS e1, CASE WHEN abs(dx) > 0.9 THEN 0 ELSE -dz END AS e2, CASE WHEN abs(dx) > 0.9 THEN -dx ELSE dy END AS e3 FROM d),
+f AS (SELECT *, e1 / q AS ex, e2 / q AS ey, e3 / q AS ez FROM (SELECT *, sqrt(e1 * e1 + e2 * e2 + e3 * e3) AS q FROM e))
+SELECT ride_id, seq, frame, round(ex * wx + ey * wy + ez * wz, 5) AS f0, round((dy * ez - dz * ey) * wx + (dz * ex - dx * ez) * wy + (dx * ey - dy * ex) * wz, 5) AS f1, round(dx * wx + dy * wy + dz * wz, 5) AS f2, round(ex * ax + ey * ay + ez * az, 5) AS f3, round((dy * ez - dz * ey) * ax + (dz * ex - dx * ez) * ay + (dx * ey - dy * ex) * az, 5) AS f4, round(dx * ax + dy * ay + dz * az, 5) AS f5 FROM f"""
+
+
+@query("q_feature_frames", FRAMES_SQL)
+def feature_frames(spark, sf_dir):
+    """The model's six channels in four frames: centred as offline, trailing as on the phone, by the gravity sensor, and the small device's running gravity."""
+    k, v = F.col("k"), F.col("value")
+    r = rides(spark, sf_dir).select("ride_id", "seq", (F.col("dx_mm") / 1000).alias("ax"), (F.col("dy_mm") / 1000).alias("ay"), ((k - 50) / 25).alias("az"), (k / 100).alias("wx"), ((k - 50) / 50).alias("wy"), (v / 100).alias("wz"), ((k - 50) / 20).alias("gx"), (v / 50).alias("gy"), F.lit(9.8).alias("gz"))
+    a, g, w = by_ride(), [F.col(c) for c in ("gx", "gy", "gz")], [F.col(c) for c in ("wx", "wy", "wz")]
+    acc = [F.col(c) for c in ("ax", "ay", "az")]
+    parts = []
+    for name, before, after in (("offline", 40, 40), ("replica", 80, 0), ("gravity", 80, 0)):
+        raw = r
+        if name != "gravity":
+            m = r.select("*", *[S.rolling(c, a, before, after, "mean").alias(f"m{i}") for i, c in enumerate(acc)])
+            n = F.greatest(F.sqrt(sum(F.pow(f"m{i}", 2) for i in range(3))), F.lit(1e-6))
+            raw = m.select(*r.columns, *[(c + F.col(f"m{i}") / n * X.GRAVITY).alias(f"r{i}") for i, c in enumerate(acc)])
+        else:
+            raw = r.select("*", *[c.alias(f"r{i}") for i, c in enumerate(g)])
+        down = raw.select(*r.columns, *[S.rolling(F.col(f"r{i}"), a, before, after, "mean").alias(f"d{i}") for i in range(3)])
+        parts.append(down.withColumn("frame", F.lit(name)).select("ride_id", "seq", "frame", *[f"d{i}" for i in range(3)], "wx", "wy", "wz", "ax", "ay", "az"))
+
+    def step(f, row):
+        whole = np.array([row["ax"] + row["gx"], row["ay"] + row["gy"], row["az"] + row["gz"]])
+        d = f.push(whole)
+        return {"seq": row["seq"], **{f"d{i}": float(d[i]) for i in range(3)}, "wx": row["wx"], "wy": row["wy"], "wz": row["wz"], **dict(zip(("ax", "ay", "az"), (whole - d).tolist()))}
+
+    edge = D.fold(r, "ride_id", ["seq"], lambda: X.Ema(20.0, 1.0), step, "ride_id long, seq long, d0 double, d1 double, d2 double, wx double, wy double, wz double, ax double, ay double, az double")
+    parts.append(edge.withColumn("frame", F.lit("edge")).select(parts[0].columns))
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    level = lambda v: X.tilt_columns(F.col("d0"), F.col("d1"), F.col("d2"), v)
+    return every.select("ride_id", "seq", "frame", *[F.round(c, 5).alias(f"f{i}") for i, c in enumerate([*level(w), *level(acc)])])
+
+
 @query("q_window_speed", """, wn AS (SELECT ride_id, seq + 5 AS c, avg(step_mm) OVER w AS v, count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY ride_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
 s AS (SELECT * FROM wn WHERE n = 10 AND (c - 5) % 8 = 0),
 lo AS (SELECT r.ride_id, r.seq, s.c AS t0, s.v AS v0 FROM r ASOF LEFT JOIN s ON r.ride_id = s.ride_id AND r.seq >= s.c),
@@ -335,18 +376,45 @@ def imu_observations(spark, sf_dir):
 
 @query("q_followed_roads")
 def followed_roads(spark, sf_dir):
-    """Every ride's turns over ten metres, followed on a grid of streets 40 m apart: where it ends, and junctions passed."""
-    n, d = 12, 40.0
-    at = lambda i, j: (i * d, j * d)
-    streets = [hmm.Edge(i * n + j, a * n + b, (at(i, j), at(a, b))) for i in range(n) for j in range(n) for a, b in ((i + 1, j), (i, j + 1)) if a < n and b < n]
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        roads = hmm.Roads(streets)
-        pdf = pdf.sort_values("s")
-        path, edges = hmm.follow(roads, at(n // 2, n // 2), [(10.0, t) for t in pdf["turn_deg"].tolist()])
-        return pd.DataFrame({"ride_id": pdf["ride_id"][:1], "steps": [len(path)], "x": [path[-1][0]], "y": [path[-1][1]], "junctions": [roads.junctions(edges)]})
-
-    return imu_observations(spark, sf_dir).groupBy("ride_id").applyInPandas(follow, "ride_id long, steps int, x double, y double, junctions int")
+    """Every ride's turns over ten metres, followed on the streets within 600 m of where it begins, a street every 40 m between neighbouring
+    parts: how far from the ride the way lies at each step, where it ends, and junctions passed.
+
+    A ride and the streets about it are a group, as large as the area that a ride can reach; streets meet rides on cells.
+    """
+    n, edges, targets = whole_grid(spark, sf_dir)
+    n = materialize(n, "places")
+    wide, reach, d = max(1, math.isqrt(max(n.count() - 1, 0)) + 1), 600.0, 40.0
+    place = F.col("node") - targets[0]
+    at = n.select("node", (F.pmod(place, F.lit(wide)) * d).alias("x"), (F.floor(place / wide) * d).alias("y"))
+    p = lambda c: at.select(F.col("node").alias(c), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y"))
+    streets = materialize(edges.where("u < v").join(p("u"), "u").join(p("v"), "v").select("u", "v", "ux", "uy", "vx", "vy"), "streets")
+    r = materialize(rides(spark, sf_dir).select("ride_id", "seq", "d_mm", "head_deg", "x_mm", "y_mm"), "rides")
+    # a ride begins at the part that its number falls on
+    total = n.count()
+    starts = r.groupBy("ride_id").agg(F.min_by("x_mm", "seq").alias("x0"), F.min_by("y_mm", "seq").alias("y0")).withColumn("node", F.pmod("ride_id", F.lit(total)) + targets[0]).join(at, "node")
+    cells = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / reach).cast("long"), F.floor((F.col(c) + reach) / reach).cast("long")))
+    asked = starts.withColumn("cx", cells("x")).withColumn("cy", cells("y")).select("ride_id", "x", "y", "cx", "cy")
+    near = streets.withColumn("cx", F.floor(F.col("ux") / reach).cast("long")).withColumn("cy", F.floor(F.col("uy") / reach).cast("long")).join(asked, ["cx", "cy"])
+    near = near.where(F.hypot(F.col("ux") - F.col("x"), F.col("uy") - F.col("y")) <= reach).select("ride_id", "u", "v", "ux", "uy", "vx", "vy")
+    truth = W.at(r.groupBy("ride_id").agg(F.explode(F.sequence(F.lit(0).cast("long"), F.max("d_mm") - 1, F.lit(10000).cast("long"))).alias("s")), road_of(r)).join(starts.select("ride_id", "x0", "y0", F.col("x").alias("sx"), F.col("y").alias("sy")), "ride_id")
+    seen = imu_observations(spark, sf_dir).join(truth.select("ride_id", "s", "sx", "sy", (F.col("x") - F.col("x0")).alias("tx"), (F.col("y") - F.col("y0")).alias("ty")), ["ride_id", "s"])
+
+    def follow(key, obs: pd.DataFrame, roads: pd.DataFrame) -> pd.DataFrame:
+        obs, roads = obs.sort_values("s"), roads.sort_values(["u", "v"])
+        if obs.empty or roads.empty:
+            return pd.DataFrame({"ride_id": [], "steps": [], "x": [], "y": [], "junctions": [], "median_off": [], "final_off": []})
+        net = hmm.Roads([hmm.Edge(int(e.u), int(e.v), ((e.ux, e.uy), (e.vx, e.vy))) for e in roads.itertuples()])
+        first = (float(obs["sx"].iloc[0]), float(obs["sy"].iloc[0]))
+        path, way = hmm.follow(net, first, [(10.0, t) for t in obs["turn_deg"].tolist()])
+        if not path:
+            return pd.DataFrame({"ride_id": [key[0]], "steps": [0], "x": [None], "y": [None], "junctions": [0], "median_off": [None], "final_off": [None]})
+        # the first place is where the search began, before any observation
+        true = np.column_stack([first[0] + obs["tx"] / 1000, first[1] + obs["ty"] / 1000])[: len(path) - 1]
+        off = np.hypot(*(np.array(path)[1:] - true).T) if len(true) else np.zeros(1)
+        return pd.DataFrame({"ride_id": [key[0]], "steps": [len(path)], "x": [path[-1][0]], "y": [path[-1][1]], "junctions": [net.junctions(way)], "median_off": [float(np.median(off))], "final_off": [float(off[-1])]})
+
+    streets_of = near.withColumnRenamed("ride_id", "of")
+    return seen.groupBy("ride_id").cogroup(streets_of.groupBy("of")).applyInPandas(follow, "ride_id long, steps int, x double, y double, junctions int, median_off double, final_off double")
 
 
 @query("q_maneuvers", stepwise("""SELECT ride_id, row_number() OVER (PARTITION BY ride_id ORDER BY seq) - 1 AS n, along, turn FROM (SELECT ride_id, seq, d_mm / 1000.0::DOUBLE AS along, lead(k - 50) OVER (PARTITION BY ride_id ORDER BY seq) AS turn, max(d_mm) OVER (PARTITION BY ride_id) / 1000.0::DOUBLE AS total, k FROM r) WHERE turn IS NOT NULL AND seq > 0 AND abs(turn) >= 30 AND k % 5 < 3 AND along > 15 AND along < total - 15""", {"oa": "NULL::DOUBLE", "og": "NULL::DOUBLE", "sa": "NULL::DOUBLE", "sg": "NULL::DOUBLE"}, ["oa_ IS NOT NULL AND along - oa_ < 25 AS joins", "CASE WHEN joins THEN NULL ELSE oa_ END AS sa, CASE WHEN joins THEN NULL ELSE og_ END AS sg, CASE WHEN joins THEN oa_ ELSE along END AS oa, CASE WHEN joins THEN og_ + turn ELSE turn END AS og"], "SELECT ride_id, round(sa, 3) AS along_m, round(sg) AS angle_deg FROM f WHERE sa IS NOT NULL UNION ALL SELECT ride_id, round(arg_max(oa, n), 3), round(arg_max(og, n)) FROM f WHERE n >= 0 GROUP BY ride_id"), ctes=False)

@@ -279,6 +279,44 @@ def survey_centroids(spark, sf_dir):
     return J.weighted_centroids(notes.join(r.where("gnss_ok"), ["ride_id", "seq"]), ["ride_id", "noted"], F.lit(1.0) / ((F.col("k") + 5) * (F.col("k") + 5)))
 
 
+SCENARIOS_SQL = PASSES_SQL + """, ln AS (SELECT ride_id, max(d_mm) AS total FROM r GROUP BY ride_id),
+al AS (SELECT tr.ride_id, tr.track, tr.j, tr.x, tr.y, -1 AS fault FROM tr UNION ALL
+ SELECT ride_id, track, j, CAST(round(x - p * sin(h)) AS BIGINT), CAST(round(y + p * cos(h)) AS BIGINT), fault FROM (SELECT tr.ride_id, tr.track, tr.j, tr.x, tr.y, fault, radians(head_deg::DOUBLE) AS h, round(40000 * greatest(least((d_mm - a) / 40000.0::DOUBLE, (a + 250000 - d_mm) / 40000.0::DOUBLE, 1), 0)) AS p
+ FROM (SELECT tr.*, r.d_mm, r.head_deg, fault, (0.25::DOUBLE + 0.1::DOUBLE * fault) * total AS a FROM tr JOIN r ON r.ride_id = tr.ride_id AND r.seq = tr.j JOIN ln ON ln.ride_id = tr.ride_id, (SELECT unnest(range(4)) AS fault)) tr)),
+ne AS (SELECT r.ride_id, r.seq, b.track, b.fault, arg_min({'x': b.x, 'y': b.y}, ((r.x_mm - b.x) * (r.x_mm - b.x) + (r.y_mm - b.y) * (r.y_mm - b.y), b.j)) AS p FROM r JOIN al b ON r.ride_id = b.ride_id GROUP BY ALL),
+dr AS (SELECT d, d % 5 AS p0, (d + 1 + d // 5 % 2) % 5 AS p1, (d + 3 + d // 5 % 2) % 5 AS p2, d % 4 AS f FROM (SELECT unnest(range(20)) AS d)),
+sc AS (SELECT d, '1 contributor' AS scenario, unnest([{'t': p0, 'f': -1}]) AS m, 'median' AS how FROM dr UNION ALL SELECT d, '3 contributors', unnest([{'t': p0, 'f': -1}, {'t': p1, 'f': -1}, {'t': p2, 'f': -1}]), 'median' FROM dr
+ UNION ALL SELECT d, 'faulty alone', unnest([{'t': p2, 'f': f}]), 'median' FROM dr UNION ALL SELECT d, '3 with faulty, mean', unnest([{'t': p0, 'f': -1}, {'t': p1, 'f': -1}, {'t': p2, 'f': f}]), 'mean' FROM dr
+ UNION ALL SELECT d, '3 with faulty, median', unnest([{'t': p0, 'f': -1}, {'t': p1, 'f': -1}, {'t': p2, 'f': f}]), 'median' FROM dr UNION ALL SELECT 0, 'all, median', unnest([{'t': 0, 'f': -1}, {'t': 1, 'f': -1}, {'t': 2, 'f': -1}, {'t': 3, 'f': -1}, {'t': 4, 'f': -1}]), 'median'),
+cs AS (SELECT d, scenario, ride_id, seq, CASE how WHEN 'mean' THEN avg(p.x) ELSE quantile_cont(p.x, 0.5) END AS x, CASE how WHEN 'mean' THEN avg(p.y) ELSE quantile_cont(p.y, 0.5) END AS y FROM ne JOIN sc ON sc.m.t = ne.track AND sc.m.f = ne.fault GROUP BY d, scenario, how, ride_id, seq),
+er AS (SELECT d, scenario, ride_id, quantile_cont(sqrt(pow(x - x_mm, 2) + pow(y - y_mm, 2)), 0.5) AS med, quantile_cont(sqrt(pow(x - x_mm, 2) + pow(y - y_mm, 2)), 0.95) AS p95 FROM cs JOIN r USING (ride_id, seq) GROUP BY d, scenario, ride_id)
+SELECT scenario, count(*) AS maps, round(quantile_cont(med, 0.5), 3) AS shape_median, round(quantile_cont(p95, 0.5), 3) AS shape_p95, round(quantile_cont(p95, 0.9), 3) AS worst_tenth FROM er GROUP BY scenario"""
+
+
+@query("q_fault_scenarios", SCENARIOS_SQL)
+def fault_scenarios(spark, sf_dir):
+    """Maps of one or three passes, drawn twenty times by a table, with and without one that was pushed 40 m aside over 250 m, against the ride itself."""
+    r = materialize(rides(spark, sf_dir).select("ride_id", "seq", "x_mm", "y_mm", "d_mm", "head_deg"), "rides")
+    good = passes(spark, sf_dir)
+    at = good.join(r.select("ride_id", F.col("seq").alias("j"), "d_mm", "head_deg"), ["ride_id", "j"]).join(r.groupBy("ride_id").agg(F.max("d_mm").alias("total")), "ride_id")
+    at = at.withColumn("fault", F.explode(F.array(*map(F.lit, range(4))))).withColumn("a", (F.lit(0.25) + F.lit(0.1) * F.col("fault")) * F.col("total")).withColumn("h", F.radians(F.col("head_deg").cast("double")))
+    push = F.round(40000 * F.greatest(F.least((F.col("d_mm") - F.col("a")) / 40000.0, (F.col("a") + 250000 - F.col("d_mm")) / 40000.0, F.lit(1.0)), F.lit(0.0)))
+    bad = at.select("ride_id", "track", "j", F.round(F.col("x") - push * F.sin("h")).cast("long").alias("x"), F.round(F.col("y") + push * F.cos("h")).cast("long").alias("y"), "fault")
+    both = good.withColumn("fault", F.lit(-1)).unionByName(bad).withColumn("track", F.col("fault") * 10 + F.col("track")).drop("fault")
+    near = materialize(C.nearest_of_tracks(r.select("ride_id", F.col("seq").alias("i"), F.col("x_mm").alias("x"), F.col("y_mm").alias("y")), both, 20000, lambda d: materialize(d, "nearest")).drop("d"), "scenario-points")
+    rows = []
+    for d in range(20):
+        p0, p1, p2, f = d % 5, (d + 1 + d // 5 % 2) % 5, (d + 3 + d // 5 % 2) % 5, d % 4
+        plan = {"1 contributor": ([p0 - 10], "median"), "3 contributors": ([p0 - 10, p1 - 10, p2 - 10], "median"), "faulty alone": ([p2 + 10 * f], "median"), "3 with faulty, mean": ([p0 - 10, p1 - 10, p2 + 10 * f], "mean"), "3 with faulty, median": ([p0 - 10, p1 - 10, p2 + 10 * f], "median")} | ({"all, median": ([t - 10 for t in range(5)], "median")} if d == 0 else {})
+        rows += [(d, name, t, how) for name, (tracks, how) in plan.items() for t in tracks]
+    draws = F.broadcast(spark.createDataFrame(rows, "d int, scenario string, track int, how string"))  # 225 rows
+    pick = lambda c: F.when(F.first("how") == "mean", F.avg(c)).otherwise(F.percentile(c, 0.5)).alias(f"m{c}")
+    made = near.join(draws, "track").groupBy("d", "scenario", "ride_id", F.col("i").alias("seq")).agg(pick("x"), pick("y"))
+    off = made.join(r, ["ride_id", "seq"]).withColumn("e", F.sqrt(F.pow(F.col("mx") - F.col("x_mm"), 2) + F.pow(F.col("my") - F.col("y_mm"), 2)))
+    each = off.groupBy("d", "scenario", "ride_id").agg(F.percentile("e", 0.5).alias("med"), F.percentile("e", 0.95).alias("p95"))
+    return each.groupBy("scenario").agg(F.count(F.lit(1)).alias("maps"), F.round(F.percentile("med", 0.5), 3).alias("shape_median"), F.round(F.percentile("p95", 0.5), 3).alias("shape_p95"), F.round(F.percentile("p95", 0.9), 3).alias("worst_tenth"))
+
+
 @query("q_map_coverage", """, mp AS (SELECT x_mm AS x, y_mm AS y FROM r WHERE ride_id % 3 <> 0 AND seq % 4 = 0), bx AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM mp),
 ne AS (SELECT ride_id, seq, sqrt(min((x_mm - x) * (x_mm - x) + (y_mm - y) * (y_mm - y))::DOUBLE) / 10 AS d FROM r, mp GROUP BY ride_id, seq),
 g AS (SELECT ride_id, quantile_cont(d, 0.5) AS p50, quantile_cont(d, 0.9) AS p90, max(d) AS worst, count(*) AS n FROM ne GROUP BY ride_id),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackloom.operators import score as C
@@ -13,7 +14,7 @@ from trackloom.plans.scoring import SCORES_SQL, scores
 from trackloom.sources import files as L
 from trackloom.sources import sinks as K
 from trackloom.sources.rides import RIDES_SQL, rides
-from trackloom.sources.shared import shared_dir
+from trackloom.sources.shared import materialize, shared_dir
 
 R = Register(RIDES_SQL)
 QUERIES, SQL, query = R.queries, R.sql, R.query
@@ -117,24 +118,49 @@ def road_extract(spark, sf_dir):
     return d.select("way", F.col("seg").cast("long").alias("seg"), F.round("alat", 8).alias("alat"), F.round("blon", 8).alias("blon"))
 
 
-@query("q_city_pack", """SELECT 'node' AS what, seq::BIGINT AS id, round((15 + y_mm / 1e8::DOUBLE), 7) AS a, round((75 + x_mm / 1e8::DOUBLE), 7) AS b, NULL::VARCHAR AS name FROM r WHERE ride_id = (SELECT min(ride_id) FROM r)
-UNION ALL SELECT 'way', 0, max(seq)::DOUBLE, 1.0::DOUBLE, 'primary' FROM r WHERE ride_id = (SELECT min(ride_id) FROM r)
-UNION ALL SELECT 'place', 1, round((15 + y_mm / 1e8::DOUBLE), 7), round((75 + x_mm / 1e8::DOUBLE), 7), 'stop ' || seq FROM r WHERE ride_id = (SELECT min(ride_id) FROM r) AND hit""")
+@query("q_city_pack", """, n AS (SELECT *, ride_id // 16 AS area, row_number() OVER (PARTITION BY ride_id // 16 ORDER BY ride_id, seq) - 1 AS node, round((15 + y_mm / 1e8::DOUBLE) * 1e7)::BIGINT AS lat, round((75 + x_mm / 1e8::DOUBLE) * 1e7)::BIGINT AS lon FROM r)
+SELECT 'area ' || area AS area, count(*) AS nodes, round(sum(lat / 1e7::DOUBLE), 5) AS sum_lat, round(sum(lon / 1e7::DOUBLE), 5) AS sum_lon, count(DISTINCT ride_id) AS ways, CAST(sum(node) AS BIGINT) AS refs, count(DISTINCT ride_id) FILTER (WHERE ride_id % 3 = 1) AS oneways, count(*) FILTER (WHERE hit) AS places, CAST(coalesce(sum(node) FILTER (WHERE hit), 0) AS BIGINT) AS arrivals FROM n GROUP BY area""")
 def city_pack(spark, sf_dir):
-    """A city pack built from a ride's road and stops, and parsed again. A pack is one area: the ride with the least number stands for it."""
-    r = rides(spark, sf_dir)
-    r = r.join(F.broadcast(r.agg(F.min("ride_id").alias("ride_id"))), "ride_id")  # one row
+    """City packs built from all rides, sixteen roads an area, and parsed again; a pack is as large as its area."""
+    r = rides(spark, sf_dir).withColumn("area", F.floor(F.col("ride_id") / 16))
     degrees7 = lambda base, c: F.round((F.lit(base) + F.col(c) / 1e8) * 1e7).cast("long")
-    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("seq", c.alias("v")))), lambda x: x["v"])
-    lat, lon = degrees7(15, "y_mm"), degrees7(75, "x_mm")
-    g = r.agg(ordered(lat).alias("lat"), ordered(lon).alias("lon"), F.max("seq").alias("last"), F.sort_array(F.collect_list(F.when(F.col("hit"), F.struct(F.concat(F.lit("stop "), F.col("seq")).alias("name"), F.lit("").alias("alt"), F.lit("shop").alias("kind"), lat.alias("lat"), lon.alias("lon"), F.array("seq").alias("arrive"))))).alias("places"))
-    ways = F.array(F.concat(F.lit("[["), F.array_join(F.sequence(F.lit(0).cast("long"), "last").cast("array<string>"), ","), F.lit(']],"primary",1,0]')))
+    r = r.withColumn("node", (F.row_number().over(Window.partitionBy("area").orderBy("ride_id", "seq")) - 1).cast("long")).withColumn("lat", degrees7(15, "y_mm")).withColumn("lon", degrees7(75, "x_mm"))
+    r = materialize(r.select("area", "ride_id", "seq", "node", "lat", "lon", "hit"), "pack-nodes")
+    ordered = lambda by, c: F.transform(F.sort_array(F.collect_list(F.struct(by, c.alias("v")))), lambda x: x["v"])
+    ways = r.groupBy("area", "ride_id").agg(F.array_join(F.sort_array(F.collect_list("node")).cast("array<string>"), ",").alias("refs"))
+    text = F.concat(F.lit("[["), F.col("refs"), F.lit('],"primary",'), F.when(F.col("ride_id") % 3 == 1, "1").otherwise("0"), F.lit(",0]"))
+    ways = ways.groupBy("area").agg(ordered("ride_id", text).alias("ways"))
+    stop = F.struct(F.concat(F.lit("stop "), F.col("node")).alias("name"), F.lit("").alias("alt"), F.lit("shop").alias("kind"), "lat", "lon", F.array("node").alias("arrive"))
+    nodes = r.groupBy("area").agg(ordered("node", F.col("lat")).alias("lat"), ordered("node", F.col("lon")).alias("lon"), F.sort_array(F.collect_list(F.when(F.col("hit"), stop))).alias("places"))
     path = folder(spark, "pack")
-    g.select(F.to_json(F.struct(F.lit("track-pack-1").alias("format"), F.lit("area").alias("area"), "lat", "lon", ways.alias("ways"), "places")).alias("value")).write.text(path)
-    nodes, ways, places = L.city_pack(spark, path, "track-pack-1")
-    rows = nodes.select(F.lit("node").alias("what"), F.col("node").cast("long").alias("id"), F.round("lat", 7).alias("a"), F.round("lon", 7).alias("b"), F.lit(None).cast("string").alias("name"))
-    rows = rows.unionByName(ways.select(F.lit("way").alias("what"), F.col("way").cast("long").alias("id"), F.element_at("nodes", -1).cast("double").alias("a"), F.col("oneway").cast("double").alias("b"), F.col("kind").alias("name")))
-    return rows.unionByName(places.select(F.lit("place").alias("what"), F.size("arrive").cast("long").alias("id"), F.round("lat", 7).alias("a"), F.round("lon", 7).alias("b"), "name"))
+    pack = F.struct(F.lit("track-pack-1").alias("format"), F.concat(F.lit("area "), F.col("area")).alias("area"), "lat", "lon", "ways", "places")
+    nodes.join(ways, "area").select(F.to_json(pack).alias("value")).write.text(path)
+    nodes, ways, places = L.city_pack(spark, path, "track-pack-1", lines=True)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    n = nodes.groupBy("area").agg(F.count(F.lit(1)).alias("nodes"), F.round(F.sum("lat"), 5).alias("sum_lat"), F.round(F.sum("lon"), 5).alias("sum_lon"))
+    w = ways.groupBy("area").agg(F.count(F.lit(1)).alias("ways"), F.sum(total("nodes")).alias("refs"), F.count_if(F.col("oneway") == 1).alias("oneways"))
+    p = places.groupBy("area").agg(F.count(F.lit(1)).alias("places"), F.sum(total("arrive")).alias("arrivals"))
+    return n.join(w, "area").join(p, "area", "left").fillna(0, ["places", "arrivals"])
+
+
+@query("q_inertial_traces", """, lo AS (SELECT ride_id, seq, seq * (CASE WHEN ride_id % 2 = 0 THEN 1 ELSE 1000 END) AS t, dx_mm / 1000.0::DOUBLE - k / 100.0::DOUBLE AS ax, k / 50.0::DOUBLE AS gx, 15 + y_mm / 1e8::DOUBLE AS la, 75 + x_mm / 1e8::DOUBLE AS ln, count(*) OVER (PARTITION BY ride_id) AS n FROM r),
+ok AS (SELECT *, arg_max(la, seq) OVER b AS lat, arg_max(ln, seq) OVER b AS lon FROM (SELECT * FROM lo WHERE n >= 50) WINDOW b AS (PARTITION BY ride_id, seq // 3 ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+st AS (SELECT * EXCLUDE (lat, lon), max(CASE WHEN seq % 3 = 0 THEN la END) OVER h AS lat, max(CASE WHEN seq % 3 = 0 THEN ln END) OVER h AS lon FROM ok WINDOW h AS (PARTITION BY ride_id, seq // 3)),
+g AS (SELECT ride_id, i, i / 2.0::DOUBLE AS t FROM (SELECT ride_id, unnest(range(0, 2 * max(seq))) AS i FROM st GROUP BY ride_id)),
+m AS (SELECT g.*, a.ax + (b.ax - a.ax) * (g.t - a.seq) AS ax, a.gx + (b.gx - a.gx) * (g.t - a.seq) AS gx, a.lat + (b.lat - a.lat) * (g.t - a.seq) AS lat, a.lon + (b.lon - a.lon) * (g.t - a.seq) AS lon FROM g JOIN st a ON a.ride_id = g.ride_id AND a.seq = floor(g.t)::BIGINT JOIN st b ON b.ride_id = g.ride_id AND b.seq = a.seq + 1),
+f AS (SELECT *, coalesce(lat <> lag(lat) OVER w OR lon <> lag(lon) OVER w, true) AS fix FROM m WINDOW w AS (PARTITION BY ride_id ORDER BY i)),
+p AS (SELECT f.*, q.i AS i0, q.lat AS lat0 FROM f ASOF JOIN (SELECT * FROM f WHERE fix) q ON q.ride_id = f.ride_id AND f.i >= q.i),
+z AS (SELECT p.*, q.i AS i1, q.lat AS lat1 FROM p ASOF LEFT JOIN (SELECT * FROM f WHERE fix) q ON q.ride_id = p.ride_id AND p.i <= q.i)
+SELECT ride_id, i, t, round(ax, 5) AS ax, round(gx, 5) AS gx, round(((CASE WHEN i1 IS NULL OR i1 = i0 THEN lat0 ELSE lat0 + (lat1 - lat0) * (i - i0) / (i1 - i0)::DOUBLE END) - 15) * 1e8::DOUBLE, 3) AS north_mm, fix FROM z""")
+def inertial_traces(spark, sf_dir):
+    """Logs of 50 rows or more, in seconds or in milliseconds, on one grid of two rows a second: gravity taken off, fixes that stand for three rows spread out."""
+    r = rides(spark, sf_dir)
+    hold = Window.partitionBy("ride_id", F.floor(F.col("seq") / 3))
+    held = lambda base, c: F.max(F.when(F.col("seq") % 3 == 0, F.lit(base) + F.col(c) / 1e8)).over(hold)
+    zero = F.lit(0.0)
+    logs = r.select("ride_id", "seq", (F.col("seq") * F.when(F.col("ride_id") % 2 == 0, 1).otherwise(1000)).cast("double").alias("t"), (F.col("dx_mm") / 1000).alias("ax"), zero.alias("ay"), zero.alias("az"), (F.col("k") / 50).alias("gx"), zero.alias("gy"), zero.alias("gz"), (F.col("k") / 100).alias("grav_x"), zero.alias("grav_y"), zero.alias("grav_z"), held(15, "y_mm").alias("lat"), held(75, "x_mm").alias("lon"))
+    d = L.traces(materialize(logs, "logs"), "ride_id", "seq", hz=2.0, least=50)
+    return d.select("ride_id", "i", "t", F.round("ax", 5).alias("ax"), F.round("gx", 5).alias("gx"), F.round((F.col("lat") - 15) * 1e8, 3).alias("north_mm"), "fix")
 
 
 @query("q_landmark_survey", "SELECT CAST(ride_id % 150 AS INT) AS id, seq, k > 50 AS confirmed, CASE WHEN k > 70 THEN 'bump' ELSE 'hump' END AS type, ride_id % 150 >= 100 AS discovered, CASE WHEN k > 90 THEN NULL ELSE value END AS width_m FROM r WHERE hit")

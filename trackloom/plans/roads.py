@@ -85,6 +85,17 @@ def heading_change(spark, sf_dir):
     return r.groupBy("ride_id").agg(F.sum(within).alias("change_deg"), F.sum(F.abs(within)).alias("turned_deg"))
 
 
+@query("q_heading_between", """, g AS (SELECT ride_id, i, CAST(greatest(least(50000 + i * 5000 + o, last), 0) AS BIGINT) AS s, o FROM (SELECT ride_id, max(d_mm) AS last FROM r GROUP BY ride_id), (SELECT unnest(range(20)) AS i), (SELECT unnest([-5000, 5000]) AS o)), """ + AT_SQL + """,
+h AS (SELECT a.ride_id, a.i, degrees(atan2(b.y - a.y, b.x - a.x)) AS h FROM pl a JOIN pl b ON a.ride_id = b.ride_id AND a.i = b.i AND a.o < b.o WHERE a.x <> b.x OR a.y <> b.y),
+d AS (SELECT ride_id, h - lag(h) OVER (PARTITION BY ride_id ORDER BY i) AS d FROM h)
+SELECT ride_id, round(sum(d - 360 * floor((d + 180) / 360)), 4) AS change_deg, count(*) AS steps FROM d WHERE d IS NOT NULL GROUP BY ride_id""")
+def heading_between(spark, sf_dir):
+    """The heading change of every road from 50 m to 145 m along, at steps of five metres, each heading from the points five metres before and beyond."""
+    r = rides(spark, sf_dir)
+    places = r.groupBy("ride_id").agg(F.max("d_mm").alias("last")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long")))).withColumn("at", 50000 + F.col("i") * 5000)
+    return W.heading_change(places.select("ride_id", "i", "at", "last"), road_of(r), 5000)
+
+
 @query("q_line_breaks", """, b AS (SELECT ride_id, seq, d_mm, CAST(sum(CASE WHEN step_mm > 10000 OR (NOT gnss_ok AND coalesce(lag_ok, true)) THEN 1 ELSE 0 END) OVER (PARTITION BY ride_id ORDER BY seq) AS BIGINT) AS line FROM (SELECT *, lag(gnss_ok) OVER (PARTITION BY ride_id ORDER BY seq) AS lag_ok FROM r))
 SELECT ride_id, line, count(*) AS n, max(d_mm) - min(d_mm) AS length_mm FROM b GROUP BY ride_id, line""")
 def line_breaks(spark, sf_dir):

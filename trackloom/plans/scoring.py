@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackloom.operators import outage as O
@@ -174,3 +175,28 @@ def predictor_contract(spark, sf_dir):
     p = p.withColumn("x", F.when(fault == 1, float("nan")).when(fault == 4, float("inf")).otherwise(F.col("x"))).withColumn("y", F.when(fault != 2, F.col("y")))
     p = p.withColumn("sigma", F.when(fault == 3, -1.0).when(fault == 4, float("-inf")).otherwise(F.col("sigma")))
     return P.problems(p, all_rows=True).groupBy("predictor", F.array_join("problems", ",").alias("problems")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q_run_summary", """, c AS (SELECT ride_id, max(seq) AS last, count(*) AS n, CAST(ceil(count(*) * 0.2) AS BIGINT) AS cut FROM r GROUP BY ride_id),
+s AS (SELECT r.*, last, cut, n, sqrt(pow(x_mm - lag(x_mm) OVER w, 2) + pow(y_mm - lag(y_mm) OVER w, 2)) / 1000.0::DOUBLE AS step FROM r JOIN c USING (ride_id) WINDOW w AS (PARTITION BY ride_id ORDER BY seq)),
+g AS (SELECT ride_id, any_value(n) AS fixes, any_value(last - cut) AS denied_s, coalesce(sum(step) FILTER (WHERE seq >= greatest(cut, 1) AND step < 15.0::DOUBLE * greatest(last / n::DOUBLE, 0.2)), 0) AS dist, sqrt(pow(arg_max(x_mm, seq) - arg_max(x_mm, seq) FILTER (WHERE seq <= cut), 2) + pow(arg_max(y_mm, seq) - arg_max(y_mm, seq) FILTER (WHERE seq <= cut), 2)) / 1000.0::DOUBLE AS err FROM s GROUP BY ride_id)
+SELECT ride_id, fixes, round(dist, 3) AS distance_m, round(err, 3) AS final_error_m, round(CASE WHEN dist > 1 THEN err / dist * 100 ELSE 0 END, 3) AS drift_pct, round(CASE WHEN denied_s > 0 THEN dist / denied_s ELSE 0 END, 4) AS mean_speed, round(2.146::DOUBLE * greatest(0.19::DOUBLE * dist, 2), 3) AS radius_m,
+ CASE WHEN dist < 20 THEN 'NOT SCORABLE' WHEN dist > 1 AND err / dist * 100 < 10 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM g""")
+def run_summary(spark, sf_dir):
+    """What the phone says at the end of a ride whose last four fifths had no fixes and whose dot stood still."""
+    w = Window.partitionBy("ride_id")
+    r = rides(spark, sf_dir).select("ride_id", "seq", (F.col("x_mm") / 1000).alias("x"), (F.col("y_mm") / 1000).alias("y"), F.ceil(F.count(F.lit(1)).over(w) * 0.2).alias("cut"), F.max("seq").over(w).alias("last"))
+    ends = r.groupBy("ride_id").agg((F.max("last") - F.max("cut")).alias("denied_s"), F.max("last").cast("double").alias("seconds"), *[F.max_by(F.when(F.col("seq") <= F.col("cut"), F.col(c)), F.when(F.col("seq") <= F.col("cut"), F.col("seq"))).alias(f"p{c}") for c in "xy"])
+    s = C.run_summary(r, ends)
+    return s.select("ride_id", "fixes", *[F.round(c, 3).alias(c) for c in ("distance_m", "final_error_m", "drift_pct")], F.round("mean_speed", 4).alias("mean_speed"), F.round("radius_m", 3).alias("radius_m"), "verdict")
+
+
+@query("q_drift_series", """, b AS (SELECT *, sum(step_mm) OVER (PARTITION BY ride_id ORDER BY seq) / 1000.0::DOUBLE AS gone, sqrt(pow(sum(value * 100 * cos(radians(head_deg::DOUBLE + 2))) OVER w - (x_mm - first_value(x_mm) OVER w), 2) + pow(sum(value * 100 * sin(radians(head_deg::DOUBLE + 2))) OVER w - (y_mm - first_value(y_mm) OVER w), 2)) / 1000.0::DOUBLE AS err FROM r WINDOW w AS (PARTITION BY ride_id ORDER BY seq))
+SELECT ride_id, seq, round(err / gone * 100, 4) AS drift_pct FROM b WHERE gone >= 200""")
+def drift_series(spark, sf_dir):
+    """Drift along a ride whose heading is two degrees off, from 200 m on."""
+    w = by_ride().rowsBetween(Window.unboundedPreceding, 0)
+    h = F.radians(F.col("head_deg").cast("double") + 2)
+    off = lambda c, f: F.sum(F.col("value") * 100 * f(h)).over(w) - (F.col(c) - F.first(c).over(w))
+    b = rides(spark, sf_dir).select("ride_id", "seq", (F.sum("step_mm").over(w) / 1000).alias("gone"), (F.sqrt(F.pow(off("x_mm", F.cos), 2) + F.pow(off("y_mm", F.sin), 2)) / 1000).alias("err"))
+    return C.drift_series(b).select("ride_id", "seq", F.round("drift_pct", 4).alias("drift_pct"))

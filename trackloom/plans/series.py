@@ -149,13 +149,14 @@ def decimate(spark, sf_dir):
     return S.decimate(rides(spark, sf_dir), "seq", 5).select("ride_id", "seq", "x_mm", "y_mm")
 
 
-@query("q_held_speed", """, w AS (SELECT ride_id, seq, list(step_mm) FILTER (WHERE gnss_ok AND step_mm > 1500) OVER (PARTITION BY ride_id ORDER BY seq RANGE BETWEEN 30 PRECEDING AND CURRENT ROW) AS v FROM r)
-SELECT ride_id, seq, list_sort(v)[len(v) // 2 + 1] AS held_mm FROM w""")
+@query("q_held_speed", """, w AS (SELECT ride_id, seq, list(step_mm) FILTER (WHERE gnss_ok AND step_mm > 1500) OVER (PARTITION BY ride_id ORDER BY seq RANGE BETWEEN 30 PRECEDING AND CURRENT ROW) AS v, gnss_ok AS ok FROM r)
+SELECT ride_id, seq, last_value(CASE WHEN ok THEN {'h': list_sort(v)[len(v) // 2 + 1]} END IGNORE NULLS) OVER (PARTITION BY ride_id ORDER BY seq).h AS held_mm FROM w""")
 def held_speed(spark, sf_dir):
-    """The upper median of good fixes' speeds in the trailing 30 seconds."""
+    """The upper median of good fixes' speeds in the trailing 30 seconds; during a blackout that of its start."""
     fast = F.when(F.col("gnss_ok") & (F.col("step_mm") > 1500), F.col("step_mm"))
     found = F.sort_array(F.collect_list(fast).over(by_ride().rangeBetween(-30, 0)))
-    return rides(spark, sf_dir).select("ride_id", "seq", F.get(found, (F.size(found) / 2).cast("int")).alias("held_mm"))
+    r = rides(spark, sf_dir).select("ride_id", "seq", F.when(F.col("gnss_ok"), F.struct(F.get(found, (F.size(found) / 2).cast("int")).alias("held_mm"))).alias("h"))
+    return r.select("ride_id", "seq", F.last("h", True).over(by_ride().rowsBetween(Window.unboundedPreceding, 0))["held_mm"].alias("held_mm"))
 
 
 @query("q_course_over_ground", """, s AS (SELECT ride_id, seq, lag(seq) OVER w AS s0, x_mm - lag(x_mm) OVER w AS dx, y_mm - lag(y_mm) OVER w AS dy FROM r WINDOW w AS (PARTITION BY ride_id ORDER BY seq))

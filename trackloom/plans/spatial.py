@@ -70,6 +70,18 @@ def found_and_passed(spark, sf_dir):
     return c.groupBy("mark_id").agg(runs.alias("runs"), (1 - F.pow(F.lit(0.5), runs)).alias("confidence")).where("runs >= 2")
 
 
+@query("q_found_against_passed", CROSS_SQL + """, fd AS (SELECT DISTINCT r.ride_id, mark_id FROM r JOIN mk ON hit AND k % 2 = 0 AND (x_mm - mx) * (x_mm - mx) + (y_mm - my) * (y_mm - my) <= 225000000),
+pd AS (SELECT DISTINCT ride_id, mark_id FROM cr)
+SELECT ride_id, count(*) AS passed, count(fd.mark_id) AS found, count(*) - count(fd.mark_id) AS missed FROM pd LEFT JOIN fd USING (ride_id, mark_id) GROUP BY ride_id""")
+def found_against_passed(spark, sf_dir):
+    """Of the marks that a ride passed within 12 m those that it detected within 15 m; every second hit is a detection."""
+    r, marks, crossed = _crossings(spark, sf_dir)
+    hits = P.within_radius(r.where("hit and k % 2 = 0").select("ride_id", "x_mm", "y_mm"), marks, 15000, "x_mm", "y_mm", "mx", "my").select("ride_id", "mark_id").distinct().withColumn("found", F.lit(1))
+    passed = crossed.select("ride_id", "mark_id").distinct()
+    n = passed.join(hits, ["ride_id", "mark_id"], "left").groupBy("ride_id").agg(F.count(F.lit(1)).alias("passed"), F.count("found").alias("found"))
+    return n.withColumn("missed", F.col("passed") - F.col("found"))
+
+
 @query("q_candidates", """SELECT x_mm // 12000 AS cx, y_mm // 12000 AS cy, count(*) AS n, count(DISTINCT ride_id) AS runs, (list(what ORDER BY same DESC, what))[1] AS kind, CAST(sum(x_mm) AS DOUBLE) / count(*) AS x, CAST(sum(y_mm) AS DOUBLE) / count(*) AS y
 FROM (SELECT *, count(*) OVER (PARTITION BY fx, fy, what) AS same FROM (SELECT *, (['bump', 'hump', 'table'])[k % 3 + 1] AS what, floor(x_mm / 12000.0::DOUBLE) AS fx, floor(y_mm / 12000.0::DOUBLE) AS fy FROM r WHERE hit)) GROUP BY 1, 2 HAVING count(DISTINCT ride_id) >= 2""".replace("x_mm // 12000 AS cx, y_mm // 12000 AS cy", "CAST(fx AS BIGINT) AS cx, CAST(fy AS BIGINT) AS cy"))
 def candidates(spark, sf_dir):
