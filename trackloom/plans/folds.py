@@ -59,6 +59,20 @@ def offroute_fold(spark, sf_dir):
     return D.fold(rides(spark, sf_dir).select("ride_id", "seq", "step_mm", "k"), "ride_id", ["seq"], D.OffRoute, step, "ride_id long, seq long, alarm boolean")
 
 
+@query("q_reroute_throttled", Q.stepwise("SELECT ride_id, seq AS n, joined AND far AND coalesce(lag(joined AND far) OVER (PARTITION BY ride_id ORDER BY seq), false) AS alarm FROM (SELECT ride_id, seq, step_mm > 4000 AND step_mm > k * 50 AS far, max(CASE WHEN step_mm <= 2500 THEN 1 ELSE 0 END) OVER (PARTITION BY ride_id ORDER BY seq) = 1 AS joined FROM r)", {"last": "NULL::BIGINT", "asks": "false"}, ["alarm AND (last_ IS NULL OR n - last_ >= 8) AS asks", "CASE WHEN asks THEN n ELSE last_ END AS last"], "SELECT ride_id, n AS seq FROM f WHERE n >= 0 AND asks"), ctes=False)
+def reroute_throttled(spark, sf_dir):
+    """When a new route is asked for: at an alarm, but not within eight seconds of the last time."""
+
+    def start():
+        return D.OffRoute(), D.Throttled(8.0)
+
+    def step(f, row):
+        alarm = f[0].fix(row["step_mm"] / 100, row["k"] / 2)
+        return {"seq": row["seq"]} if alarm and f[1].offer(float(row["seq"]), row["seq"]) else None
+
+    return D.fold(rides(spark, sf_dir).select("ride_id", "seq", "step_mm", "k"), "ride_id", ["seq"], start, step, "ride_id long, seq long")
+
+
 CLEAN_SQL = ", c0 AS (SELECT ride_id, seq, x_mm, y_mm FROM r)" + "".join(
     f""", c{i} AS (SELECT ride_id, seq, x_mm, y_mm FROM (SELECT *, coalesce(pow(x_mm - lag(x_mm) OVER w, 2) + pow(y_mm - lag(y_mm) OVER w, 2) > pow(15000.0::DOUBLE * (seq - lag(seq) OVER w), 2), false) AND count(*) OVER (PARTITION BY ride_id) >= 3 AS bad
 FROM c{i - 1} WINDOW w AS (PARTITION BY ride_id ORDER BY seq)) WHERE NOT bad)"""
@@ -165,10 +179,40 @@ def online_match(spark, sf_dir):
     return D.fold(_along(spark, sf_dir), "ride_id", ["kind", "place"], lambda: Seen(Online), step, "ride_id long, i int, mark int")
 
 
-@query("q_landmark_correction")
+def _correction_sql(seen: str, mark: str, window: int, noise: float, like: str, held_at_end: bool) -> str:
+    """Recursive SQL of ByMarks and ByTurns: seen(ride_id, i, place, angle) against marks(ride_id, ms: list of {p, a} in order).
+
+    like: which of the marks ahead (q) a detection may be. held_at_end: with all marks behind it, a detection changes nothing at all.
+    """
+    over = "first > len(ms)" if held_at_end else "false"
+    moved = "(s0 - here)" if held_at_end else "greatest(s0 - here, 0)"
+    return f"""WITH RECURSIVE {RIDES_SQL}, mk AS MATERIALIZED ({mark}), sn AS MATERIALIZED ({seen}),
+w(ride_id, i, s, shift, first, v, here, held, refused) AS (
+ SELECT ride_id, 0::BIGINT, NULL::DOUBLE, 0.0::DOUBLE, 1::BIGINT, 25.0::DOUBLE, NULL::DOUBLE, 0::BIGINT, 0::BIGINT FROM mk
+ UNION ALL
+ SELECT ride_id, i, s0 + up, shift + up, CASE WHEN over THEN first WHEN ok THEN j + 1 ELSE f2 END, CASE WHEN over THEN v WHEN ok THEN v2 * (1 - gain) ELSE v2 END, CASE WHEN over THEN here ELSE s0 + up END, held + ok::INT, refused + (NOT over AND tried AND NOT ok)::INT FROM (
+  SELECT *, CASE WHEN ok THEN gain * (m - s0) ELSE 0 END AS up FROM (
+  SELECT *, v2 / (v2 + {noise}) AS gain, coalesce(NOT over AND (m - s0) * (m - s0) <= 9 * (v2 + {noise}), false) AS ok FROM (
+  SELECT *, ms[j].p AS m FROM (
+  SELECT *, list_min(list_transform(list_filter(range(f2, least(f2 + {window}, len(ms) + 1)), lambda q: {like}), lambda q: {{'d': abs(ms[q].p - s0), 'q': q}})).q AS j, {"f2 <= len(ms)" if held_at_end else "true"} AS tried FROM (
+  SELECT *, first + len(list_filter(ms[first:], lambda x: x.p < s0 - 3 * sqrt(v2) - 3 * sqrt({noise}::DOUBLE))) AS f2 FROM (
+  SELECT *, CASE WHEN over OR here IS NULL THEN v ELSE v + pow(0.07::DOUBLE * {moved}, 2) END AS v2 FROM (
+  SELECT w.ride_id, sn.i, place + w.shift AS s0, angle, ms, w.shift, w.first, w.v, w.here, w.held, w.refused, {over} AS over FROM w JOIN sn ON sn.ride_id = w.ride_id AND sn.i = w.i + 1 JOIN mk ON mk.ride_id = w.ride_id))))))))
+SELECT ride_id, CAST(i - 1 AS INTEGER) AS i, round(s, 6) AS s, CAST(held AS INTEGER) AS held, CAST(refused AS INTEGER) AS refused FROM w WHERE i > 0"""
+
+
+MARKS_SQL = _correction_sql(
+    "SELECT ride_id, d_mm / 1000.0::DOUBLE + (k - 50) / 10.0::DOUBLE AS place, 0.0::DOUBLE AS angle, row_number() OVER (PARTITION BY ride_id ORDER BY d_mm / 1000.0::DOUBLE + (k - 50) / 10.0::DOUBLE) AS i FROM r WHERE hit",
+    "SELECT ride_id, list({'p': d_mm / 1000.0::DOUBLE, 'a': 0.0::DOUBLE} ORDER BY d_mm) AS ms FROM r WHERE seq % 10 = 0 GROUP BY ride_id", 3, 16.0, "true", True)
+TURNS_SQL = _correction_sql(
+    "SELECT ride_id, d_mm / 1000.0::DOUBLE * 1.03::DOUBLE AS place, (k - 50)::DOUBLE AS angle, row_number() OVER (PARTITION BY ride_id ORDER BY d_mm / 1000.0::DOUBLE * 1.03::DOUBLE, k) AS i FROM r WHERE abs(k - 50) > 35",
+    "SELECT ride_id, list({'p': d_mm / 1000.0::DOUBLE, 'a': (k - 50)::DOUBLE} ORDER BY d_mm, k) AS ms FROM r WHERE abs(k - 50) > 35 GROUP BY ride_id", 4, 64.0, "ms[q].a * angle > 0 AND abs(ms[q].a - angle) <= 45", False)
+
+
+@query("q_landmark_correction", MARKS_SQL, ctes=False)
 def landmark_correction(spark, sf_dir):
     emit = lambda c, d: {"s": c.step(d["place"]), "held": c.held, "refused": c.refused}
-    return D.fold(_along(spark, sf_dir), "ride_id", ["kind", "place"], lambda: Seen(ByMarks), lambda f, row: f.step(row, lambda m: m["place"], emit), "ride_id long, i int, s double, held int, refused int")
+    return D.fold(_along(spark, sf_dir), "ride_id", ["kind", "place"], lambda: Seen(ByMarks), lambda f, row: f.step(row, lambda m: m["place"], emit), "ride_id long, i int, s double, held int, refused int").withColumn("s", F.round("s", 6))
 
 
 SCALE_SQL = f"""WITH RECURSIVE {RIDES_SQL}, al AS (SELECT ride_id, CASE WHEN hit THEN d_mm / 1000.0::DOUBLE * 1.1 + (k - 50) / 10.0::DOUBLE END AS seen, CASE WHEN seq % 10 = 0 THEN d_mm / 1000.0::DOUBLE END AS mark FROM r),
@@ -199,13 +243,13 @@ def scale_correction(spark, sf_dir):
     return d.select("ride_id", "i", F.round("s", 6).alias("s"), F.round("k", 9).alias("k"), "held", "refused")
 
 
-@query("q_turn_correction")
+@query("q_turn_correction", TURNS_SQL, ctes=False)
 def turn_correction(spark, sf_dir):
     """Sharp turns, seen three per cent too far along, against the road's own."""
     r = materialize(rides(spark, sf_dir).where("abs(k - 50) > 35").select("ride_id", (F.col("d_mm") / 1000).alias("place"), (F.col("k") - 50).cast("double").alias("angle")), "turns")
     rows = r.withColumn("kind", F.lit(0)).unionByName(r.withColumn("place", F.col("place") * 1.03).withColumn("kind", F.lit(1)))
     emit = lambda c, d: {"s": c.step(d["place"], d["angle"]), "held": c.held, "refused": c.refused}
-    return D.fold(rows, "ride_id", ["kind", "place", "angle"], lambda: Seen(ByTurns), lambda f, row: f.step(row, lambda m: (m["place"], m["angle"]), emit), "ride_id long, i int, s double, held int, refused int")
+    return D.fold(rows, "ride_id", ["kind", "place", "angle"], lambda: Seen(ByTurns), lambda f, row: f.step(row, lambda m: (m["place"], m["angle"]), emit), "ride_id long, i int, s double, held int, refused int").withColumn("s", F.round("s", 6))
 
 
 class Rides:

@@ -13,6 +13,7 @@ from trackloom.operators.nearest import coverage
 from trackloom.operators.series import ordered, padded_mean
 from trackloom.plans._register import Register
 from trackloom.plans.roads import AT_SQL, road_of
+from trackloom.sources import sinks as K
 from trackloom.sources.rides import RIDES_SQL, rides
 from trackloom.sources.shared import materialize
 
@@ -317,14 +318,31 @@ def fault_scenarios(spark, sf_dir):
     return each.groupBy("scenario").agg(F.count(F.lit(1)).alias("maps"), F.round(F.percentile("med", 0.5), 3).alias("shape_median"), F.round(F.percentile("p95", 0.5), 3).alias("shape_p95"), F.round(F.percentile("p95", 0.9), 3).alias("worst_tenth"))
 
 
-@query("q_map_coverage", """, mp AS (SELECT x_mm AS x, y_mm AS y FROM r WHERE ride_id % 3 <> 0 AND seq % 4 = 0), bx AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM mp),
+COVERAGE_SQL = """, mp AS (SELECT x_mm AS x, y_mm AS y FROM r WHERE ride_id % 3 <> 0 AND seq % 4 = 0), bx AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM mp),
 ne AS (SELECT ride_id, seq, sqrt(min((x_mm - x) * (x_mm - x) + (y_mm - y) * (y_mm - y))::DOUBLE) / 10 AS d FROM r, mp GROUP BY ride_id, seq),
 g AS (SELECT ride_id, quantile_cont(d, 0.5) AS p50, quantile_cont(d, 0.9) AS p90, max(d) AS worst, count(*) AS n FROM ne GROUP BY ride_id),
 m AS (SELECT ride_id, least(min(x_mm) - any_value(x0), any_value(x1) - max(x_mm), min(y_mm) - any_value(y0), any_value(y1) - max(y_mm)) / 10.0::DOUBLE AS margin FROM r, bx GROUP BY ride_id)
-SELECT ride_id, round(p50, 3) AS p50, round(p90, 3) AS p90, round(worst, 3) AS worst, margin, CASE WHEN n < 10 THEN 'SKIP' WHEN p90 > 150 OR worst > 300 OR margin < 0 THEN 'FAIL' WHEN p90 > 80 OR worst > 150 OR margin < 200 THEN 'WARN' ELSE 'OK' END AS gate FROM g JOIN m USING (ride_id)""")
+"""
+GATE_SQL = "CASE WHEN n < 10 THEN 'SKIP' WHEN p90 > 150 OR worst > 300 OR margin < 0 THEN 'FAIL' WHEN p90 > 80 OR worst > 150 OR margin < 200 THEN 'WARN' ELSE 'OK' END"
+
+
+@query("q_map_coverage", COVERAGE_SQL + "SELECT ride_id, round(p50, 3) AS p50, round(p90, 3) AS p90, round(worst, 3) AS worst, margin, " + GATE_SQL + " AS gate FROM g JOIN m USING (ride_id)")
 def map_coverage(spark, sf_dir):
     """Whether a map, of two rides in three, covers each ride: by the distances of its points from the map's and by the map's box; centimetres stand for metres."""
-    r = materialize(rides(spark, sf_dir).select("ride_id", "seq", "x_mm", "y_mm"), "rides")
-    road = r.where("ride_id % 3 <> 0 and seq % 4 = 0").select(F.col("x_mm").alias("tx"), F.col("y_mm").alias("ty"), F.lit(0).alias("target"))
-    g = coverage(r.select("ride_id", "seq", F.col("x_mm").alias("x"), F.col("y_mm").alias("y")), road, lambda d: materialize(d, "nearest"), 20000, unit=10.0)
+    g = covered(materialize(rides(spark, sf_dir).select("ride_id", "seq", "x_mm", "y_mm"), "rides"))
     return g.select("ride_id", F.round("p50", 3).alias("p50"), F.round("p90", 3).alias("p90"), F.round("worst", 3).alias("worst"), "margin", "gate")
+
+
+def covered(r):
+    road = r.where("ride_id % 3 <> 0 and seq % 4 = 0").select(F.col("x_mm").alias("tx"), F.col("y_mm").alias("ty"), F.lit(0).alias("target"))
+    return coverage(r.select("ride_id", "seq", F.col("x_mm").alias("x"), F.col("y_mm").alias("y")), road, lambda d: materialize(d, "nearest"), 20000, unit=10.0)
+
+
+@query("q_route_export", COVERAGE_SQL + ", n AS (SELECT ride_id AS name, max(d_mm) AS length_mm, count(*) AS n_points, 'learned' AS source FROM r WHERE hit GROUP BY ride_id HAVING ride_id IN (SELECT ride_id FROM (SELECT ride_id, " + GATE_SQL + """ AS gate FROM g JOIN m USING (ride_id)) WHERE gate IN ('OK', 'WARN'))),
+o AS (SELECT ride_id AS name, max(d_mm) AS length_mm, count(*) AS n_points, 'shipped' AS source FROM r GROUP BY ride_id)
+SELECT * FROM n UNION ALL SELECT * FROM o WHERE name NOT IN (SELECT name FROM n)""")
+def route_export(spark, sf_dir):
+    """Learned routes replace shipped ones of their name where the map covers their ride."""
+    r = materialize(rides(spark, sf_dir).select("ride_id", "seq", "x_mm", "y_mm", "d_mm", "hit"), "rides")
+    routes = lambda d, source: d.groupBy(F.col("ride_id").alias("name")).agg(F.max("d_mm").alias("length_mm"), F.count(F.lit(1)).alias("n_points")).withColumn("source", F.lit(source))
+    return K.export_routes(routes(r, "shipped"), routes(r.where("hit"), "learned"), covered(r).select(F.col("ride_id").alias("name"), "gate"))

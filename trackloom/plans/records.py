@@ -194,6 +194,17 @@ def feature_collection(spark, sf_dir):
     return K.geojson(h, "lon", "lat", ["event_id", "role"]).select(get("$.properties.event_id", "long").alias("event_id"), F.round(get("$.geometry.coordinates[0]", "double"), 6).alias("lon"), F.round(get("$.geometry.coordinates[1]", "double"), 6).alias("lat"), get("$.geometry.type", "string").alias("kind"), get("$.properties.role", "string").alias("role"))
 
 
+@query("q_feature_collections", """SELECT ride_id, 'FeatureCollection' AS type, count(*) AS features, min(seq) AS first_seq, CAST(sum(x_mm) AS BIGINT) AS sum_x, CAST(arg_max(y_mm, seq) AS BIGINT) AS last_y FROM r WHERE hit GROUP BY ride_id""")
+def feature_collections(spark, sf_dir):
+    """A FeatureCollection of every ride's landmarks, written and read back as JSON."""
+    docs = K.feature_collections(rides(spark, sf_dir).where("hit"), "ride_id", "seq", "x_mm", "y_mm", ["seq"])
+    path = folder(spark, "collections")
+    docs.write.parquet(path)
+    d = spark.read.parquet(path).withColumn("c", F.from_json("doc", "type string, features array<struct<type: string, geometry: struct<type: string, coordinates: array<bigint>>, properties: struct<seq: bigint>>>"))
+    f = F.col("c.features")
+    return d.select("ride_id", F.col("c.type").alias("type"), F.size(f).cast("long").alias("features"), f[0]["properties"]["seq"].alias("first_seq"), F.aggregate(f, F.lit(0).cast("long"), lambda t, x: t + x["geometry"]["coordinates"][0]).alias("sum_x"), F.element_at(f, -1)["geometry"]["coordinates"][1].alias("last_y"))
+
+
 @query("q_summary_docs", SCORES_SQL + "SELECT predictor, count(*) AS n, round(quantile_cont(drift_pct, 0.5), 3) AS median_pct, round(avg(passes::INT), 3) AS pass_rate FROM s GROUP BY predictor")
 def summary_docs(spark, sf_dir):
     """A summary for each predictor as JSON."""
