@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.functions.geo import segment_offset
 from trackloom.operators import fold as D
 from trackloom.operators.roads import at
+from trackloom.operators.series import islands
 from trackloom.operators.spatial import cell
 
 
@@ -146,3 +147,17 @@ def weighted_centroids(fixes: DataFrame, keys: list[str], weight: Column, x: str
     f = fixes.withColumn("__w", weight)
     mean = lambda c: F.round(F.sum(F.col("__w") * F.col(c)) / F.sum("__w"), 3)
     return f.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), mean(x).alias("x"), mean(y).alias("y"))
+
+
+def dwell_centroids(track: DataFrame, slow: Column, least: float, most: float, key: str = "ride_id", t: str = "seq", x: str = "x_mm", y: str = "y_mm") -> DataFrame:
+    """key, noted, n, x, y, spread: the mean place of every stop, slow rows in a row that last `least` and spread (root mean square) less than `most`."""
+    i = islands(track.withColumn("__slow", slow), F.col("__slow"), key, t, "__stop").where("__slow")
+    mean = lambda c: F.avg(F.col(c))
+    g = i.groupBy(key, "__stop").agg(F.min(t).alias("noted"), F.max(t).alias("__end"), F.count(F.lit(1)).alias("n"), mean(x).alias("x"), mean(y).alias("y"), F.sqrt(F.var_pop(F.col(x)) + F.var_pop(F.col(y))).alias("spread"))
+    g = g.where((F.col("__end") - F.col("noted") >= least) & (F.col("spread") < most))
+    return g.select(key, "noted", "n", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round("spread", 3).alias("spread"))
+
+
+def survey_places(noted: DataFrame, dwells: DataFrame, key: str = "ride_id") -> DataFrame:
+    """Places of a survey's notes(key, noted, n, x, y), and of the stops of those rides that have no note."""
+    return noted.select(key, "noted", "n", "x", "y").unionByName(dwells.join(noted.select(key).distinct(), key, "left_anti").select(key, "noted", "n", "x", "y"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from trackloom.operators import fold as D
-from trackloom.operators.fusion import Dots, Fleet
+from trackloom.operators.fusion import Dots, Fleet, Noise
 from trackloom.operators.matching import align, ByMarks, ByScale, ByTurns, Online
 from trackloom.plans import folds_sql as Q
 from trackloom.plans._register import Register
@@ -293,6 +293,56 @@ def ekf6(spark, sf_dir):
     return fused(rides(spark, sf_dir), True)
 
 
+#: Noise of acceleration and of the yaw rate that the filter is tried with.
+SWEEP = [(a, y) for a in (1.2, 2.0, 3.0, 4.5) for y in (0.35, 0.6, 1.0, 1.6)]
+
+
+class Sweep:
+    """Rides through as many filters as there are noises; a run is a ride with one of them."""
+
+    def __init__(self):
+        self.fleets = [Fleet(Noise(accel=a, yaw_rate=y)) for a, y in SWEEP]
+        self.variant, self.place = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def step(self, at: np.ndarray, row: dict[str, np.ndarray], new: np.ndarray) -> dict[str, np.ndarray]:
+        x, y, sigma = np.empty(len(at)), np.empty(len(at)), np.empty(len(at))
+        v = row["v"].astype(int)
+        if new.any():
+            grown = int(at[new].max()) + 1 - len(self.variant)
+            self.variant, self.place = np.append(self.variant, np.zeros(grown, np.int64)), np.append(self.place, np.zeros(grown, np.int64))
+        for k, fleet in enumerate(self.fleets):
+            own = v == k
+            if not own.any():
+                continue
+            xy, speed = np.stack([row["x_mm"][own], row["y_mm"][own]], axis=1) / 1000, row["value"][own] / 10
+            fresh = new[own]
+            self.place[at[own][fresh]] = fleet.add(xy[fresh, 0], xy[fresh, 1], speed[fresh], np.radians(row["head_deg"][own][fresh]))
+            p, none = self.place[at[own]], np.full(int(own.sum()), np.nan)
+            fix = np.where(row["seen"][own].astype(bool)[:, None], xy, np.nan)
+            given = (np.radians(row["k"][own] - 50.0), np.zeros(len(p)), fix, none, speed, np.stack([none, none], axis=1), none, np.stack([none, none], axis=1))
+            fleet.step(p[~fresh], 1.0, *(g[~fresh] for g in given))
+            x[own], y[own], sigma[own] = fleet.x[p, 0], fleet.x[p, 1], fleet.sigma(p)
+        return {"x": x, "y": y, "sigma": sigma}
+
+
+@query("q_noise_sweep")
+def noise_sweep(spark, sf_dir):
+    """Satellites gone from 20 to 80 % of a ride, with sixteen noises: how often the filter's own circles at five levels hold the truth, and how far off that is."""
+    r = materialize(rides(spark, sf_dir), "rides")
+    w = r.groupBy("ride_id").agg(F.count(F.lit(1)).alias("n")).select("ride_id", F.floor(F.col("n") * 0.2).alias("i0"), F.floor(F.col("n") * 0.8).alias("i1"))
+    e = r.join(w, "ride_id").withColumn("seen", (F.col("seq") < F.col("i0")) | (F.col("seq") >= F.col("i1"))).withColumn("v", F.explode(F.array(*map(F.lit, range(len(SWEEP))))))
+    e = e.select((F.col("ride_id") * len(SWEEP) + F.col("v")).alias("run"), "seq", "v", *XY, "value", "k", "head_deg", "seen")
+    f = D.lockstep(e, "run", "seq", Sweep, lambda f, at, row, new: f.step(at, row, new), "run long, seq long, x double, y double, sigma double")
+    off = f.join(e.where("not seen").select("run", "seq", "v", *XY), ["run", "seq"])
+    off = off.withColumn("e", F.hypot(F.col("x") - F.col("x_mm") / 1000, F.col("y") - F.col("y_mm") / 1000)).withColumn("sigma", F.greatest("sigma", F.lit(1e-9)))
+    levels = (0.50, 0.68, 0.90, 0.95, 0.99)
+    share = lambda p: F.avg((F.col("e") <= float(np.sqrt(-2 * np.log(1 - p))) * F.col("sigma")).cast("double"))
+    g = off.groupBy("v").agg(*[share(p).alias(f"c{i}") for i, p in enumerate(levels)], (F.avg(F.pow(F.col("e") / F.col("sigma"), 2)) / 2).alias("anees"))
+    miss = sum((F.abs(F.col(f"c{i}") - p) for i, p in enumerate(levels)), F.lit(0.0)) / len(levels)
+    pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in SWEEP]), F.col("v") + 1)
+    return g.select(pick(0).alias("q_accel"), pick(1).alias("q_yaw_rate"), *[F.round(f"c{i}", 6).alias(f"within_{int(p * 100)}") for i, p in enumerate(levels)], F.round("anees", 4).alias("anees"), F.round(miss, 6).alias("miss"))
+
+
 #: Variants of the ablation: fix every so many seconds, the model's speed always or only without a fix, acceleration used or not.
 ABLATION = [("all", 1, True, True), ("no_accel", 1, True, False), ("sparse_fixes", 10, True, True), ("model_when_lost", 1, False, True), ("sparse_no_accel", 10, True, False), ("sparse_when_lost", 10, False, True), ("bare", 10, False, False)]
 

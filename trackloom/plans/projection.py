@@ -10,7 +10,7 @@ from trackloom.operators import consensus as C
 from trackloom.operators import project as J
 from trackloom.operators import spatial as P
 from trackloom.operators.nearest import coverage
-from trackloom.operators.series import ordered, padded_mean
+from trackloom.operators.series import ordered, padded_mean, rolling
 from trackloom.plans._register import Register
 from trackloom.plans.roads import AT_SQL, road_of
 from trackloom.sources import sinks as K
@@ -280,6 +280,21 @@ def survey_centroids(spark, sf_dir):
     return J.weighted_centroids(notes.join(r.where("gnss_ok"), ["ride_id", "seq"]), ["ride_id", "noted"], F.lit(1.0) / ((F.col("k") + 5) * (F.col("k") + 5)))
 
 
+@query("q_survey_places", """, an AS (SELECT ride_id, seq AS noted FROM r WHERE hit AND k < 5), nr AS (SELECT an.ride_id, noted, x_mm, y_mm, 1.0::DOUBLE / ((k + 5) * (k + 5)) AS w FROM an JOIN r ON r.ride_id = an.ride_id AND r.seq BETWEEN noted - 3 AND noted + 3 WHERE gnss_ok),
+ns AS (SELECT ride_id, noted, count(*) AS n, round(sum(w * x_mm) / sum(w), 3) AS x, round(sum(w * y_mm) / sum(w), 3) AS y FROM nr GROUP BY ride_id, noted),
+sl AS (SELECT *, quantile_cont(step_mm, 0.5) OVER (PARTITION BY ride_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) < 3000 AS slow FROM r),
+il AS (SELECT *, sum(n) OVER (PARTITION BY ride_id ORDER BY seq) AS stop FROM (SELECT *, CASE WHEN lag(slow) OVER (PARTITION BY ride_id ORDER BY seq) IS NOT DISTINCT FROM slow THEN 0 ELSE 1 END AS n FROM sl)),
+dw AS (SELECT ride_id, min(seq) AS noted, count(*) AS n, round(avg(x_mm), 3) AS x, round(avg(y_mm), 3) AS y FROM il WHERE slow GROUP BY ride_id, stop HAVING max(seq) - min(seq) >= 4 AND sqrt(var_pop(x_mm) + var_pop(y_mm)) < 6000)
+SELECT * FROM ns UNION ALL SELECT * FROM dw WHERE ride_id NOT IN (SELECT ride_id FROM ns)""")
+def survey_places(spark, sf_dir):
+    """Survey notes as places; rides without a note give the stops of five seconds and more within six metres."""
+    r = materialize(rides(spark, sf_dir).select("ride_id", "seq", "x_mm", "y_mm", "step_mm", "k", "gnss_ok", "hit"), "rides")
+    notes = r.where("hit and k < 5").select("ride_id", F.col("seq").alias("noted"), F.explode(F.sequence(F.col("seq") - 3, F.col("seq") + 3)).alias("seq"))
+    noted = materialize(J.weighted_centroids(notes.join(r.where("gnss_ok"), ["ride_id", "seq"]), ["ride_id", "noted"], F.lit(1.0) / ((F.col("k") + 5) * (F.col("k") + 5))), "notes")
+    slow = rolling(F.col("step_mm"), ordered("ride_id", "seq"), 2, 2, "median") < 3000
+    return J.survey_places(noted, J.dwell_centroids(r, slow, 4, 6000))
+
+
 SCENARIOS_SQL = PASSES_SQL + """, ln AS (SELECT ride_id, max(d_mm) AS total FROM r GROUP BY ride_id),
 al AS (SELECT tr.ride_id, tr.track, tr.j, tr.x, tr.y, -1 AS fault FROM tr UNION ALL
  SELECT ride_id, track, j, CAST(round(x - p * sin(h)) AS BIGINT), CAST(round(y + p * cos(h)) AS BIGINT), fault FROM (SELECT tr.ride_id, tr.track, tr.j, tr.x, tr.y, fault, radians(head_deg::DOUBLE) AS h, round(40000 * greatest(least((d_mm - a) / 40000.0::DOUBLE, (a + 250000 - d_mm) / 40000.0::DOUBLE, 1), 0)) AS p

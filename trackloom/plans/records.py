@@ -143,6 +143,18 @@ def city_pack(spark, sf_dir):
     return n.join(w, "area").join(p, "area", "left").fillna(0, ["places", "arrivals"])
 
 
+@query("q_adhoc_logs", """, e AS (SELECT ride_id, count(*) AS n, max(seq) AS last FROM r GROUP BY ride_id)
+SELECT ride_id, n, last::DOUBLE AS seconds, CASE WHEN last > 0 THEN 1.0::DOUBLE END AS hz, round(sum_x, 4) AS sum_x FROM e JOIN (SELECT ride_id, sum(dx_mm / 1000.0::DOUBLE) AS sum_x FROM r GROUP BY ride_id) USING (ride_id) WHERE last > 10""")
+def adhoc_logs(spark, sf_dir):
+    """Logs of other apps, in seconds, milliseconds or nanoseconds by ride, told by how long they are: rows, length and rate."""
+    r = rides(spark, sf_dir).withColumn("last", F.max("seq").over(Window.partitionBy("ride_id"))).where("last > 10")
+    unit = F.when(F.col("ride_id") % 3 == 0, 1.0).when(F.col("ride_id") % 3 == 1, 1e3).otherwise(1e9)
+    logs = r.select("ride_id", (F.col("seq") * unit + 7).alias("Timestamp"), (F.col("dx_mm") / 1000).alias("Acc_X"), F.lit(0.0).alias("accY"), F.lit(0.0).alias("Z"))
+    d = L.adhoc_log(logs, "ride_id")
+    g = d.groupBy("ride_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("t"), 6).alias("seconds"), F.round(F.sum("x"), 4).alias("sum_x"))
+    return g.join(L.rate(d, "t", "ride_id").select("ride_id", F.round("hz", 6).alias("hz")), "ride_id").select("ride_id", "n", "seconds", "hz", "sum_x")
+
+
 @query("q_inertial_traces", """, lo AS (SELECT ride_id, seq, seq * (CASE WHEN ride_id % 2 = 0 THEN 1 ELSE 1000 END) AS t, dx_mm / 1000.0::DOUBLE - k / 100.0::DOUBLE AS ax, k / 50.0::DOUBLE AS gx, 15 + y_mm / 1e8::DOUBLE AS la, 75 + x_mm / 1e8::DOUBLE AS ln, count(*) OVER (PARTITION BY ride_id) AS n FROM r),
 ok AS (SELECT *, arg_max(la, seq) OVER b AS lat, arg_max(ln, seq) OVER b AS lon FROM (SELECT * FROM lo WHERE n >= 50) WINDOW b AS (PARTITION BY ride_id, seq // 3 ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 st AS (SELECT * EXCLUDE (lat, lon), max(CASE WHEN seq % 3 = 0 THEN la END) OVER h AS lat, max(CASE WHEN seq % 3 = 0 THEN ln END) OVER h AS lon FROM ok WINDOW h AS (PARTITION BY ride_id, seq // 3)),
