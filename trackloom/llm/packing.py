@@ -12,7 +12,8 @@ they were. After a round that settles less than half of its pieces, blocks are t
 and ids travel, never texts. The tokenised table is written first, so a lost executor repeats no tokenising.
 
 Tokenising is memoised: the vocabulary's pre-tokeniser never joins across ASCII white space, so a text's ids are
-those of its words in order, and most words repeat. Two generations of at most `MEMO` words bound the memory.
+those of its words in order, and most words repeat. Two generations of at most `MEMO` words bound the memory; a word enters when it is met
+for the second time, by a table of marks.
 
 Defined results: null text counts as empty, an empty text is the end id alone; repeated rows are packed as often
 as they occur; an empty table gives an empty result; extra columns are ignored. Where a piece goes depends on
@@ -21,6 +22,7 @@ hashes of its row's place in the table; the number of sequences hardly does.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from trackloom.llm._common import materialize
 from trackloom.llm.bpe import WordMerges
 
-CAPACITY, END_ID, BLOCK, SLACK, MEMO = 4096, 1, 4096, 64, 100_000
+CAPACITY, END_ID, BLOCK, SLACK, MEMO, MET_BITS = 4096, 1, 4096, 64, 100_000, 22
 #: Pieces that the largest blocks have on average, and the bits that a sequence id has for the sequences of one.
 LARGEST, BIN_BITS = 65_536, 20
 
@@ -53,30 +55,38 @@ class Memo:
         self.merges = WordMerges(path)
         self.words: list[dict[bytes, bytes]] = [{}, {}]
         self.parts: list[dict[str, bytes]] = [{}, {}]
+        self.met_words, self.met_parts = np.zeros(1 << MET_BITS, bool), np.zeros(1 << MET_BITS, bool)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def _find(memo: list[dict], wanted: set) -> tuple[dict, list]:
-        """The young generation, now with what the old one knew of wanted, and the rest of wanted."""
+        """What the memo has of wanted, and the rest of it; what only the old generation had is young again."""
         young, old = memo
-        missing = wanted.difference(young)
-        known = missing.intersection(old) if old else ()
-        for x in known:
-            young[x] = old[x]
-        return young, list(missing.difference(known))
+        known = wanted.intersection(young)
+        found = {x: young[x] for x in known}
+        missing = wanted.difference(known)
+        for x in missing.intersection(old) if old else ():
+            found[x] = young[x] = old[x]
+        return found, list(missing.difference(found))
 
     @staticmethod
-    def _age(memo: list[dict]) -> None:
+    def _keep(memo: list[dict], met: np.ndarray, new: dict) -> None:
+        """Takes into the memo what is met for the second time: half of all words come once only."""
+        if not new:
+            return
+        mark = np.fromiter(map(hash, new), np.int64, len(new)) & (len(met) - 1)
+        again = met[mark]
+        met[mark] = True
+        memo[0].update(itertools.compress(new.items(), again.tolist()))
         if len(memo[0]) > MEMO:
             memo[:] = [{}, memo[0]]
+            met[:] = False
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """A memo that holds all of words, valid until the next call."""
-        self._age(self.words)
-        self._age(self.parts)
-        young, missing = self._find(self.words, words)
+        """The ids of each of words."""
+        found, missing = self._find(self.words, words)
         split: list[tuple[bytes, str, str]] = []
         whole: list[bytes] = []
         for w in missing:
@@ -87,12 +97,16 @@ class Memo:
                 whole.append(w)
         parts, unseen = self._find(self.parts, {p for _, a, b in split for p in (a, b) if p})
         letters, marks = [p for p in unseen if p[0].isalpha()], [p for p in unseen if not p[0].isalpha()]
-        parts.update(zip(letters, self.merges.ids([p.encode() for p in letters])))
-        parts.update(zip(marks, self._encode(marks)))
-        young.update(zip(whole, self._encode([w.decode() for w in whole])))
+        new_parts = dict(zip(letters, self.merges.ids([p.encode() for p in letters])))
+        new_parts.update(zip(marks, self._encode(marks)))
+        parts.update(new_parts)
+        new = dict(zip(whole, self._encode([w.decode() for w in whole])))
         for w, a, b in split:
-            young[w] = parts[a] + parts[b] if b else parts[a]
-        return young
+            new[w] = parts[a] + parts[b] if b else parts[a]
+        self._keep(self.parts, self.met_parts, new_parts)
+        self._keep(self.words, self.met_words, new)
+        found.update(new)
+        return found
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode().split() for t in texts]
