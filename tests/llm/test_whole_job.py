@@ -3,6 +3,7 @@
 import collections
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -29,6 +30,37 @@ def test_language_rejects_by_length(spark):
         assert not model.predict(text)[2], (text, model.predict(text))
 
 
+def test_every_labelled_row_is_learned_from(spark):
+    """Centroids and thresholds against those of all rows, of which a language has more than any sample took."""
+    rng = random.Random(3)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(60)] for lang, letters in (("aa", "abcdefgh"), ("bb", "fghijklm"))}
+    rows = [(i, " ".join(rng.choices(words[lang][k : k + 20], k=rng.randint(1, 60))), lang) for i, (lang, k) in enumerate((lang, k) for lang in words for k in (0, 20, 40) for _ in range(250))]
+    rows += [(-1, "a" * 70_000, "aa"), (-2, "12", "aa"), (-3, None, "bb"), (-4, "words of none", None)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5))
+    learned = [(lang, text, language_id.grams(text)) for _, text, lang in rows[:-3]]
+    frequency = sum(c > 0 for _, _, c in learned)
+    assert np.allclose(model.idf, np.log((1 + len(learned)) / (1 + frequency)) + 1, atol=1e-6) and model.languages == ["aa", "bb"]
+    for i, lang in enumerate(model.languages):
+        want = language_id.cluster(np.stack([np.log1p(c) * model.idf.astype(float) for of, _, c in learned if of == lang] / np.array([[np.linalg.norm(np.log1p(c) * model.idf.astype(float))] for of, _, c in learned if of == lang])), 4)
+        assert (model.owner == i).sum() == len(want) == 4 and np.allclose(model.centroids[model.owner == i], want, atol=1e-5)
+    near = {}
+    for _, text, _ in learned:
+        for bucket, cosine in model.nearness(text):
+            near.setdefault(bucket, []).append(cosine)
+    for bucket, found in near.items():
+        if len(found) >= language_id.LEAST_KNOWN:
+            assert abs(model.thresholds[bucket] - language_id.REJECT_SHARE * np.percentile(found, 1)) < 1e-4
+    assert len(near) > 5
+
+
+def test_packed_counts_are_exact():
+    texts = [language_id.grams(t) for t in ("a" * 70_000, "ab", "a b " * 200)]
+    row, gram, n = language_id.unpack(*zip(*map(language_id.pack, texts)))
+    back = np.zeros((3, language_id.DIMENSIONS), np.int64)
+    back[row, gram] = n
+    assert (back == np.stack(texts)).all() and back.max() > 65_535
+
+
 def test_distrust_does_not_fade_with_many_linkers(spark):
     bad, many = '<a href="http://bad.net/es/">', "".join(f'<a href="http://fine{i}.org/">' for i in range(40))
     rows = [(0, "http://bad.net/es/", ""), (1, "http://good.com/a", "")]
