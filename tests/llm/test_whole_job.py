@@ -45,14 +45,33 @@ def test_every_labelled_row_is_learned_from(spark):
         assert (model.owner == i).sum() == len(want) == 4 and np.allclose(model.centroids[model.owner == i], want, atol=1e-5)
     near = {}
     for _, text, _ in learned:
-        for bucket, cosine in model.nearness(text):
-            near.setdefault(bucket, []).append(cosine)
+        for begin in (text[:k] for k in language_id.BEGINNINGS if len(text) > k):
+            counts = language_id.grams(begin)
+            if counts is not None:
+                near.setdefault(int(counts.sum()).bit_length() - 1, []).append(float((model.centroids @ model.vector(counts)).max()))
     for bucket, found in near.items():
         if len(found) >= language_id.LEAST_KNOWN:
             assert abs(model.thresholds[bucket] - language_id.REJECT_SHARE * np.percentile(found, 1)) < 1e-4
     assert len(near) > 5
 
 
+def test_grams_of_many_texts():
+    texts = ["  Ab c1é", "", "12", "a", " ", "\U0001d400x 𐐷 ", "a  ", "ß İ.", "1a2"]
+    row, gram, n = language_id.grams_of(texts)
+    for i, text in enumerate(texts):
+        want = language_id.grams(text)
+        assert (np.bincount(gram[row == i], n[row == i], language_id.DIMENSIONS) == (0 if want is None else want)).all(), text
+    assert all(not len(x) for x in language_id.grams_of([])) and all(not len(x) for x in language_id.grams_of(["1", ""]))
+
+
+def test_language_is_found_once_a_row(spark):
+    """A filter by what is found has it found once, not a second time."""
+    docs = spark.createDataFrame([(1, "the cat", "en"), (2, "der Hund", "de")], "doc_id long, text string, lang string")
+    found = language_id.predict(docs, language_id.fit(docs)).where("not rejected").select("doc_id", "lang_pred")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1, plan
+
+
 def test_packed_counts_are_exact():
     texts = [language_id.grams(t) for t in ("a" * 70_000, "ab", "a b " * 200)]
     row, gram, n = language_id.unpack(*zip(*map(language_id.pack, texts)))
