@@ -2,12 +2,13 @@
 
 import collections
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trackloom.llm import exact_dedup, language_id, packing, url_filters
+from trackloom.llm import _common, exact_dedup, language_id, packing, url_filters
 
 FOREIGN = [
     "Wczoraj wieczorem poszliśmy z przyjaciółmi do małej restauracji nad rzeką, gdzie podano nam świeże ryby i ciepły chleb. Po kolacji długo rozmawialiśmy o podróżach, które chcielibyśmy odbyć w przyszłym roku, i o książkach, które ostatnio przeczytaliśmy.",
@@ -117,3 +118,21 @@ def test_null_and_repeated_ids_stay_whole(spark):
     mixed = corpus_pipeline.mix_sources(spark, left, "")
     assert mixed.columns == docs.columns
     assert collections.Counter((r["doc_id"], r["text"]) for r in mixed.collect()) == collections.Counter((r["doc_id"], r["text"]) for r in left.collect())
+
+
+def test_shuffles_of_written_tables_go(spark):
+    """After a table is written, of its shuffles nothing is left to await the driver's garbage collection; what is built on it can be run again."""
+    store = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    left = lambda: sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.getAllFiles()))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, kept = left(), spark.conf.get(key, None)
+    rows = spark.range(10_000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count()
+    written = _common.materialize(rows, "test-shuffles", F.sum("count").alias("n"))
+    for _ in range(50):
+        if left() <= before:
+            break
+        time.sleep(0.1)
+    assert left() <= before
+    assert written.figures == {"n": 10_000} and spark.conf.get(key, None) == kept
+    again = written.groupBy("k").sum("count")
+    assert len(again.collect()) == len(again.collect()) == 10

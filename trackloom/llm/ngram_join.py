@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm._common import discard, materialize, shuffle_partitions
+from trackloom.llm._common import discard, materialize, shuffle_partitions, shuffles_go
 from trackloom.llm.components import components, merge
 
 WORDS, PERCENT = 5, 80
@@ -180,7 +180,8 @@ def _add_counters(described: DataFrame) -> np.ndarray:
             level = np.round(np.log2(1.0 + got) * OCTAVE).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "counts"])
 
-    parts = described.where("block is not null").select("block", "counts").repartition(COUNTER_BLOCKS, "block").mapInArrow(run, "block int, counts binary").collect()
+    with shuffles_go(described.sparkSession):
+        parts = described.where("block is not null").select("block", "counts").repartition(COUNTER_BLOCKS, "block").mapInArrow(run, "block int, counts binary").collect()
     out = np.zeros((COUNTER_BLOCKS, (1 << COUNTER_BITS) // COUNTER_BLOCKS), np.uint16)
     for r in parts:
         out[r["block"]] = np.frombuffer(r["counts"], np.uint16)
