@@ -154,6 +154,39 @@ def test_next_document_without_id(spark):
     assert {r["edited_fingerprint"] for r in got} == want
 
 
+def test_ranges_without_python(spark):
+    """Texts go to Python once, to be fingerprinted, and not before that to be dealt to ranges; every row meets its next one."""
+    rng = random.Random(11)
+    rows = [(rng.randint(-(1 << 62), 1 << 62), f"text {i} " * rng.randint(0, 30)) for i in range(300)] + [(None, "of no id"), (None, None), (7, "a"), (7, "b")]
+    out = fingerprints.against_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "EvalPython" not in plan
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    want = [(i, len(t), fingerprints.fingerprint(t.encode()), fingerprints.fingerprint((t[: len(t) - len(t) // 3] + u[: len(t) // 3]).encode())) for (i, t), (_, u) in zip(order, order[1:] + order[:1])]
+    key = lambda r: tuple((x is None, x or 0) for x in r[:2]) + r[2:]
+    assert sorted(((r["doc_id"], r["n_chars"], r["fingerprint"], r["edited_fingerprint"]) for r in out.collect()), key=key) == sorted(want, key=key)
+
+
+def test_few_texts_are_read_at_once(spark):
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    try:
+        for own, held in (("4096", "256"), ("64", "64")):
+            spark.conf.set(key, own)
+            out = entry.queries()["op9_document_fingerprints"](spark, SF)
+            assert spark.conf.get(key) == held
+        assert out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_edges_below(spark):
+    values = [None, -(1 << 63), -5, -4, 0, 1, 2, 3, 9, 10, (1 << 63) - 1]
+    for edges in ([], [0], [-5, 2], [-5, 0, 3], [1, 2, 3, 9], list(range(-7, 60, 3)), [-(1 << 63), (1 << 63) - 1]):
+        found = spark.createDataFrame([(v,) for v in values], "v long").select("v", fingerprints.edges_below(F.col("v"), edges).alias("n")).collect()
+        assert all(r["n"] == sum(e < r["v"] for e in edges if r["v"] is not None) for r in found), edges
+
+
 def test_suffix_filter_never_loses_a_link():
     rng = np.random.default_rng(8)
     order = ngram_join.Order(rng.integers(16, 200, 1 << ngram_join.COUNTER_BITS).astype(np.uint16))

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm._common import shuffle_partitions, text_or_empty
@@ -130,6 +130,15 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "finger
     return docs.withColumn(out, prints(F.col(f"`{text_col}`")))
 
 
+def edges_below(value: Column, edges: list[int]) -> Column:
+    """How many of the sorted edges are below a value (0 for null), by binary search, native: a Python UDF would have each task hold its texts meanwhile."""
+    if not edges:
+        return F.lit(0)
+    at = F.split(F.lit(",".join(map(str, edges))), ",").cast("array<long>")  # a literal, once it is planned
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get(at, n + step - 1) < value, step).otherwise(0))
+
+
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -137,31 +146,26 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Each text against itself with the last third replaced by the start of the next document, and against that.
 
     Next is by descending id (ties: descending text; rows without an id last); after the last comes the first. Ids are cut into
-    ranges at quantiles, one for every `RANGE_BYTES` of text; a range is one sorted run in one task, and each range also gets a
-    copy of the first row of the range after it, so every text is shuffled once and no task sees more than its ranges.
+    ranges at quantiles, one for every `RANGE_BYTES` of text; a range is one sorted run, each in a task of its own, and each range also gets a
+    copy of the first row of the range after it, so every text is shuffled once and no task sees more than its range (those without an id share one).
     """
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(F.col(f"`{text_col}`")).alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = min(MOST_RANGES, max(shuffle_partitions(spark), -(-size // RANGE_BYTES)))
     splits = base.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n)).first()[0]
-    edges = np.array(sorted(set(splits or [])), np.int64)
-
-    @F.pandas_udf("long")
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(edges) - np.searchsorted(edges, ids.to_numpy(), side="left"))
-
-    of_range = F.when(F.col("doc_id").isNull(), F.lit(len(edges) + 1)).otherwise(place(F.coalesce("doc_id", F.lit(0).cast("long"))))
+    edges = sorted(set(splits or []))
+    of_range = F.when(F.col("doc_id").isNull(), len(edges) + 1).otherwise(len(edges) - edges_below(F.col("doc_id"), edges)).cast("int")
     base = base.withColumn("range", of_range)
-    # one row for each range, of which there are as many as we asked for above
+    # one row for each range, of which there are as many as we asked for above (quantiles go through doubles, so edges needn't be ids)
     heads = sorted(((r["range"], r["head"]) for r in base.groupBy("range").agg(F.max("doc_id").alias("head")).collect()), key=lambda r: r[0])
     if not heads:
         return spark.createDataFrame([], OUT)
     follows = [(heads[i][0], heads[(i + 1) % len(heads)][1]) for i in range(len(heads))]
-    first = F.broadcast(spark.createDataFrame(follows, "range long, head long"))
+    first = F.broadcast(spark.createDataFrame(follows, "range int, head long"))
     guests = base.drop("range").join(first, F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("range", "doc_id").agg(F.max("text").alias("text"))
     rows = base.select("range", "doc_id", "text", F.lit(False).alias("guest")).unionByName(guests.select("range", "doc_id", "text", F.lit(True).alias("guest")))
-    rows = rows.repartition(n, "range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    rows = rows.repartitionById(n, "range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
