@@ -5,8 +5,10 @@ import hashlib
 import io
 import math
 import random
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +127,35 @@ def test_token_memo_equals_library():
         assert np.frombuffer(got, "<u4").tolist() == t.encode(w, add_special_tokens=False).ids
 
 
+def test_tokeniser_calls_nothing_word_by_word():
+    """New words cost no Python call each: op4's CPU seconds were such calls, 607 a GB for a budget of 400."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdeorst") for _ in range(rng.randint(6, 12))) + rng.choice(["", ".", ",", "!!"]) for _ in range(20_000)]
+    memo, calls = packing.Memo(public_tokenizer()), collections.Counter()
+    texts = [" ".join(words[lo : lo + 100]) for lo in range(0, len(words), 100)]
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        got = memo.ids(texts)
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] + calls["c_call"] < len(words) / 2, calls
+    want = memo.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [e.ids for e in want]
+
+
+def test_token_memo_forgets_and_stays_exact(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 50)
+    rng, memo = random.Random(3), packing.Memo(public_tokenizer())
+    common, long = "the The of! ÉTÉ x1 <|endoftext|>y ß ﬁ", "ab" * 3000
+    for _ in range(12):
+        texts = [common, None, long, "é" * 32 + " " + "é" * 33, " \n", *(" ".join("".join(rng.choice("abcé1-") for _ in range(9)) for _ in range(20)) for _ in range(4))]
+        for text, got in zip(texts, memo.ids(pa.array(texts)), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == memo.tokenizer.encode(text or "", add_special_tokens=False).ids
+        # no more than twice MEMO and what a slice brings; nothing long
+        assert len(memo.parts) <= 100 + 200 and len(memo.flat) == memo.sizes.sum() and max(len(p.encode()) for p in memo.parts.to_pylist()) <= 64
+    assert "the" in memo.parts.to_pylist() and memo.ids([]) == []
+
+
 def test_sum_of_squares_rule():
     """Each choice is the best of all by the plain definition."""
     rng = random.Random(4)

@@ -12,8 +12,9 @@ they were. After a round that settles less than half of its pieces, blocks are t
 and ids travel, never texts. The tokenised table is written first, so a lost executor repeats no tokenising.
 
 Tokenising is memoised: the vocabulary's pre-tokeniser never joins across ASCII white space, so a text's ids are
-those of its words in order, and most words repeat. Two generations of at most `MEMO` words bound the memory; a word enters when it is met
-for the second time, by a table of marks.
+those of its words in order, and most words repeat. Arrow splits `SLICE` texts at once and numbers their distinct words; only the letters and
+the marks of these go further, and only what the library must encode becomes Python objects. The ids of at most some `MEMO` parts of words are kept from slice to slice,
+those that are met again: beyond twice that the others go. Parts longer than `LONG` bytes are left to the library and not kept.
 
 Defined results: null text counts as empty, an empty text is the end id alone; repeated rows are packed as often
 as they occur; an empty table gives an empty result; extra columns are ignored. Where a piece goes depends on
@@ -22,30 +23,33 @@ hashes of its row's place in the table; the number of sequences hardly does.
 
 from __future__ import annotations
 
-import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm._common import materialize
-from trackloom.llm.bpe import WordMerges
+from trackloom.llm.bpe import WordMerges, runs
 
-CAPACITY, END_ID, BLOCK, SLACK, MEMO, MET_BITS = 4096, 1, 4096, 64, 100_000, 22
+CAPACITY, END_ID, BLOCK, SLACK, MEMO, SLICE, LONG = 4096, 1, 4096, 64, 100_000, 1024, 64
 #: Pieces that the largest blocks have on average, and the bits that a sequence id has for the sequences of one.
 LARGEST, BIN_BITS = 65_536, 20
 
 #: A word that is letters, then marks: its ids are those of the lower-case letters and of the marks.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+_SIMPLE = r"\A(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)\z"
+
+
+def _numpy(a: pa.Array) -> np.ndarray:
+    return a.to_numpy(zero_copy_only=False)
 
 
 class Memo:
-    """Words to ids (bytes of little-endian unsigned 32-bit), by a tokenizers file."""
+    """Ids of the words of texts, by a tokenizers file."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -53,65 +57,70 @@ class Memo:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = WordMerges(path)
-        self.words: list[dict[bytes, bytes]] = [{}, {}]
-        self.parts: list[dict[str, bytes]] = [{}, {}]
-        self.met_words, self.met_parts = np.zeros(1 << MET_BITS, bool), np.zeros(1 << MET_BITS, bool)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _find(memo: list[dict], wanted: set) -> tuple[dict, list]:
-        """What the memo has of wanted, and the rest of it; what only the old generation had is young again."""
-        young, old = memo
-        known = wanted.intersection(young)
-        found = {x: young[x] for x in known}
-        missing = wanted.difference(known)
-        for x in missing.intersection(old) if old else ():
-            found[x] = young[x] = old[x]
-        return found, list(missing.difference(found))
-
-    @staticmethod
-    def _keep(memo: list[dict], met: np.ndarray, new: dict) -> None:
-        """Takes into the memo what is met for the second time: half of all words come once only."""
-        if not new:
-            return
-        mark = np.fromiter(map(hash, new), np.int64, len(new)) & (len(met) - 1)
-        again = met[mark]
-        met[mark] = True
-        memo[0].update(itertools.compress(new.items(), again.tolist()))
-        if len(memo[0]) > MEMO:
-            memo[:] = [{}, memo[0]]
-            met[:] = False
-
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of each of words."""
-        found, missing = self._find(self.words, words)
-        split: list[tuple[bytes, str, str]] = []
-        whole: list[bytes] = []
-        for w in missing:
-            m = _SIMPLE.match(w.decode())
-            if m:
-                split.append((w, m[1].lower(), m[2]))
-            else:
-                whole.append(w)
-        parts, unseen = self._find(self.parts, {p for _, a, b in split for p in (a, b) if p})
-        letters, marks = [p for p in unseen if p[0].isalpha()], [p for p in unseen if not p[0].isalpha()]
-        new_parts = dict(zip(letters, self.merges.ids([p.encode() for p in letters])))
-        new_parts.update(zip(marks, self._encode(marks)))
-        parts.update(new_parts)
-        new = dict(zip(whole, self._encode([w.decode() for w in whole])))
-        for w, a, b in split:
-            new[w] = parts[a] + parts[b] if b else parts[a]
-        self._keep(self.parts, self.met_parts, new_parts)
-        self._keep(self.words, self.met_words, new)
-        found.update(new)
-        return found
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        find = self.learn(set().union(*split)).__getitem__
-        return [b"".join(map(find, words)) for words in split]
+        self.parts, self.met = pa.array([], pa.string()), np.empty(0, bool)
+        self.flat, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _encode(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts.to_pylist(), add_special_tokens=False)]
+        sizes = np.array(list(map(len, ids)), np.int64)
+        return np.fromiter((x for e in ids for x in e), np.int32, sizes.sum()), sizes
+
+    def _merge(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(parts):
+            return self.merges.flat(np.empty(0, np.uint8), np.empty(0, np.int64))
+        _, begins, data = parts.buffers()
+        ends = np.frombuffer(begins, np.int32)[parts.offset : parts.offset + len(parts) + 1].astype(np.int64)
+        return self.merges.flat(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], np.diff(ends))
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.met)[-MEMO:]
+        self.flat, self.sizes = runs(self.flat, self.starts[keep], self.sizes[keep]), self.sizes[keep]
+        self.starts, self.parts, self.met = np.cumsum(self.sizes) - self.sizes, self.parts.take(pa.array(keep)), np.zeros(len(keep), bool)
+
+    def _find(self, parts: pa.Array, letters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of parts, the first `letters` of which are letters only: all in one, where those of each part begin and how many they are."""
+        if len(self.parts) > 2 * MEMO:
+            self._forget()
+        at = pc.index_in(parts, value_set=self.parts)
+        new, short = _numpy(at.is_null()), _numpy(pc.binary_length(parts)) <= LONG
+        known, merged = _numpy(at.drop_null()), np.arange(len(parts)) < letters
+        self.met[known] = True
+        starts, sizes = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64)
+        starts[~new], sizes[~new] = self.starts[known], self.sizes[known]
+        flat, kept = self.flat, new & short
+        for some, encode in ((kept & merged, self._merge), (kept & ~merged, self._encode), (new & ~short, self._encode)):
+            ids, n = encode(parts.filter(pa.array(some)))
+            starts[some], sizes[some] = len(flat) + np.cumsum(n) - n, n
+            flat = np.concatenate([flat, ids])
+        self.flat = flat[: len(flat) - len(ids)]  # the long ones came last
+        self.parts, self.met = pa.concat_arrays([self.parts, parts.filter(pa.array(kept))]), np.append(self.met, np.zeros(kept.sum(), bool))
+        self.starts, self.sizes = np.append(self.starts, starts[kept]), np.append(self.sizes, sizes[kept])
+        return flat, starts, sizes
+
+    def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that differ, one word's after the other's, and how many each has."""
+        split = pc.extract_regex(words, _SIMPLE)
+        simple, (letters, marks) = _numpy(split.is_valid()), (part.drop_null() for part in split.flatten())
+        letters, marks, whole = pc.utf8_lower(letters).dictionary_encode(), marks.dictionary_encode(), words.filter(split.is_null())
+        n = len(letters.dictionary)
+        flat, starts, sizes = self._find(pa.concat_arrays([letters.dictionary, marks.dictionary, whole]), n)
+        at = np.empty((len(words), 2), np.int64)
+        at[simple] = np.stack([_numpy(letters.indices), n + _numpy(marks.indices)], 1)
+        at[~simple] = n + len(marks.dictionary) + np.arange(len(whole))[:, None]
+        each = sizes[at]
+        each[~simple, 1] = 0
+        return runs(flat, starts[at].ravel(), each.ravel()), each.sum(1)
+
+    def ids(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Of each text its ids, as little-endian 32-bit numbers."""
+        texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().dictionary_encode()
+        flat, sizes = self.learn(words.dictionary)
+        at = _numpy(words.indices)
+        ids = runs(flat, (np.cumsum(sizes) - sizes)[at], sizes[at]).astype("<u4", copy=False)
+        ends = np.append(0, np.cumsum(sizes[at]))[_numpy(split.offsets)].tolist()
+        return [ids[lo:hi].tobytes() for lo, hi in zip(ends, ends[1:])]
 
 
 _MEMOS: dict[str, Memo] = {}
@@ -134,10 +143,10 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
         memo, row = memo_for(tokenizer_path), TaskContext.get().partitionId() << 36
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
                 out: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), memo.ids(part.column(1).to_pylist())):
+                for doc, ids in zip(part.column(0).to_pylist(), memo.ids(part.column(1))):
                     ids += end
                     for k, at in enumerate(range(0, len(ids) // 4, capacity)):
                         piece = ids[4 * at : 4 * (at + capacity)]
