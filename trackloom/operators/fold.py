@@ -21,6 +21,17 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 Step = Callable[[Any, dict], list[dict] | dict | None]
 
 
+def dealt(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """All rows of a key in one task.
+
+    Spark leaves that shuffle out where a union's sides are each dealt by the key already, and then puts small partitions of each side together
+    on its own, so that a key's rows meet no more; so in this session a union counts as dealt by nothing.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.unionOutputPartitioning", "false")
+    return df.repartition(partitions or int(conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def fold(df: DataFrame, key: str, order: list[str], start: Callable[[], Any], step: Step, schema: str, finish: Callable[[Any, Any], list[dict]] | None = None, partitions: int | None = None) -> DataFrame:
     """Run step over each key's rows in order. The key is added to what it emits. finish(state, key) may emit more at the end."""
     kind = StructType.fromDDL(schema) if hasattr(StructType, "fromDDL") else _parse_datatype_string(schema)
@@ -44,8 +55,7 @@ def fold(df: DataFrame, key: str, order: list[str], start: Callable[[], Any], st
             out = [{key: at, **r} for r in finish(state, at)]
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in out], arrow.field(n).type) for n in names], schema=arrow)
 
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key).sortWithinPartitions(key, *order).mapInArrow(run, kind)
+    return dealt(df, key, partitions).sortWithinPartitions(key, *order).mapInArrow(run, kind)
 
 
 #: step(state, at, columns, new) -> columns to emit. at: places of the rows' keys in the state; new: which of them are seen first.
@@ -100,8 +110,7 @@ def lockstep(df: DataFrame, key: str, seq: str, start: Callable[[], Any], step:
             yield from work(held, groups(held, True)[0])
 
     df_columns = df.columns
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key).sortWithinPartitions(seq, key).mapInArrow(run, kind)
+    return dealt(df, key, partitions).sortWithinPartitions(seq, key).mapInArrow(run, kind)
 
 
 def _apart(a: tuple[float, float], b: tuple[float, float]) -> float:

@@ -89,7 +89,7 @@ def sensor_grid(spark, sf_dir):
     from trackloom.operators import fold as D
     from trackloom.operators.features import SensorGrid
 
-    r = rides(spark, sf_dir)
+    r = materialize(rides(spark, sf_dir).select("ride_id", "seq", "k", "value"), "rides")
     acc = r.select("ride_id", F.lit(0).alias("kind"), F.col("seq").cast("double").alias("t"), F.col("k").cast("double").alias("v"))
     gyro = r.where("seq > 2").select("ride_id", F.lit(1).alias("kind"), (F.col("seq") + 0.25).alias("t"), F.col("value").alias("v"))
 
