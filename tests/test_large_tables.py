@@ -44,3 +44,27 @@ def put_together(spark):
 def test_sensor_grid_of_many_rides(spark, tmp_path, put_together):
     got, want = same(spark, "q_sensor_grid", events(spark, tmp_path, many(150, 30)))
     assert got == want and len(got) > 5000
+
+
+def test_nearest_of_tracks_pairs_stay_in_tasks(spark, tmp_path):
+    """A small key's pairs are not shuffled, a large key's nearest points are the same by the pyramid."""
+    from pyspark.sql import functions as F
+
+    from trackloom.operators import consensus as C
+    from trackloom.sources.shared import materialize
+
+    write = lambda d: materialize(d, "nearest")
+    rows = [(r, t, j, (j * 531 + t * 97 + r * 11) % 5000, (j * j * 37 + t * 13) % 4000) for r in range(6) for t in range(3) for j in range(4 + 20 * (r == 5))]
+    tracks = write(spark.createDataFrame(rows, "ride_id long, track long, j long, x long, y long"))
+    stations = tracks.select("ride_id", F.col("track").alias("of"), F.col("j").alias("i"), "x", "y")
+    key = lambda d: sorted(tuple(r) for r in d.collect())
+    small = C.nearest_of_tracks(stations, tracks, 100, write)
+    want = []
+    for r, of, i, x, y in key(stations):
+        for t in range(3):
+            d2, j, px, py = min(((x - px) ** 2 + (y - py) ** 2, j, px, py) for q, u, j, px, py in rows if (q, u) == (r, t))
+            want.append((r, of, i, t, j, px, py, d2**0.5))
+    assert key(small) == sorted(want)
+    mixed = C.nearest_of_tracks(stations, tracks, 100, write, most_pairs=1000)
+    assert key(mixed) == sorted(want)
+    assert "Window" not in small._jdf.queryExecution().toString()
