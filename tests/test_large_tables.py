@@ -68,3 +68,12 @@ def test_nearest_of_tracks_pairs_stay_in_tasks(spark, tmp_path):
     mixed = C.nearest_of_tracks(stations, tracks, 100, write, most_pairs=1000)
     assert key(mixed) == sorted(want)
     assert "Window" not in small._jdf.queryExecution().toString()
+
+
+def test_route_guard_tries_shifts_within_tasks(spark, tmp_path):
+    """As the SQL, and no row is formed for each shift: 42 a row were shuffled."""
+    folder = events(spark, tmp_path, many(20, 60))
+    got, want = same(spark, "q_route_guard_mismatch", folder)
+    assert got == want and any(r[2] > 0 for r in got)
+    assert same(spark, "q_route_guard", folder)[0] == same(spark, "q_route_guard", folder)[1]
+    assert "Generate" not in core.queries()["q_route_guard"](spark, folder)._jdf.queryExecution().toString()
